@@ -309,3 +309,27 @@ def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
                                       "salt_chunk") if k in kw}
     g = prepare(edges, **prep_kw)
     return run(g, max_iter=iterations, tol=None, **kw)
+
+
+def rank_tagged_fixed(adj: DataFrame, iterations: int, checkpoint_every: int = 5,
+                      damping: float = DAMPING, base: float = BASE) -> DataFrame:
+    """``iterations`` updates of the one-shuffle tagged-union step (R8 loop).
+
+    ``adj`` is (id, nbrs); the state (id, rank, links) starts at rank 1.0.
+    """
+    from ..operators.rank import rank_by_tagged_union
+
+    ensure_checkpoint_dir(adj.sparkSession)
+    state = adj.select("id", F.lit(1.0).alias("rank"), F.col("nbrs").alias("links"))
+    cached = None
+    for k in range(1, iterations + 1):
+        new = rank_by_tagged_union(state, damping, base).select("id", "rank", "links")
+        if checkpoint_every and k % checkpoint_every == 0:
+            new = new.checkpoint(eager=True)
+        else:
+            new = new.persist(StorageLevel.MEMORY_AND_DISK)
+            new.count()
+        if cached is not None:
+            cached.unpersist()
+        cached, state = new, new
+    return state.select("id", "rank")

@@ -1,0 +1,59 @@
+"""Text sinks: adjacency TSV, vertex JSON, rank text, metrics CSV rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _str_list(c: str):
+    return F.transform(F.col(c), lambda x: x.cast("string"))
+
+
+def to_adjacency_tsv(adj: DataFrame, rank: float = 1.0) -> DataFrame:
+    """(value): ``id\\t1.0\\tn1,n2``; empty third field for sinks (K1)."""
+    return adj.select(F.concat_ws("\t", F.col("id").cast("string"), F.lit(repr(float(rank))),
+                                  F.array_join(_str_list("nbrs"), ",")).alias("value"))
+
+
+def to_vertex_json(adj: DataFrame, value: float = 1.0) -> DataFrame:
+    """(value): ``[id,1.0,[[n,0],...]]`` without blanks (K2)."""
+    pairs = F.transform(F.col("nbrs"),
+                        lambda x: F.concat(F.lit("["), x.cast("string"), F.lit(",0]")))
+    return adj.select(F.concat(F.lit("["), F.col("id").cast("string"),
+                               F.lit("," + repr(float(value)) + ",["),
+                               F.array_join(pairs, ","), F.lit("]]")).alias("value"))
+
+
+def rank_lines(ranks: DataFrame) -> DataFrame:
+    """(value): ``id\\tvalue`` per vertex (K3 text form)."""
+    return ranks.select(F.concat_ws("\t", F.col("id").cast("string"),
+                                    F.col("rank").cast("string")).alias("value"))
+
+
+def write_ranks(ranks: DataFrame, path: str, fmt: str = "text") -> None:
+    """Write ranks as ``id\\tvalue`` text or parquet (K3)."""
+    if fmt == "text":
+        rank_lines(ranks).write.mode("errorifexists").text(path)
+    else:
+        ranks.write.mode("errorifexists").parquet(path)
+
+
+def format_metrics(m: DataFrame) -> DataFrame:
+    """(value): one CSV row per job,
+    ``%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%`` (K5)."""
+    return m.select(F.format_string(
+        "%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%",
+        "algorithm", "dataset", "job_id", "total_execution_time", "avg_iteration_time",
+        "network_communication", "peak_memory_usage", "iterations_to_converge",
+        "final_diff", "cpu_utilization").alias("value"))
+
+
+METRICS_HEADER = ("algorithm,dataset,job_id,total_execution_time,avg_iteration_time,"
+                  "network_communication,peak_memory_usage,iterations_to_converge,"
+                  "final_diff,cpu_utilization")
+
+
+def append_metrics(m: DataFrame, path: str) -> None:
+    """Append metrics rows as a headed CSV folder (K5 append)."""
+    (m.write.mode("append").option("header", True).csv(path))
