@@ -68,11 +68,11 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
 def last_position(arr: Column | str, value: str) -> Column:
     """1-based position of the LAST element equal to value, 0 if absent."""
     a = _c(arr)
-    p = F.array_position(F.reverse(a), value)
+    p = F.array_position(F.reverse(a), value).cast("int")
     return F.when(p > 0, F.size(a) - p + 1).otherwise(F.lit(0))
 
 
 def token(arr: Column | str, pos0: Column | int) -> Column:
     """0-based element of an array; null when out of range (ANSI-safe)."""
     p = pos0 if isinstance(pos0, Column) else F.lit(pos0)
-    return F.try_element_at(_c(arr), p + 1)
+    return F.try_element_at(_c(arr), (p + 1).cast("int"))

@@ -229,3 +229,254 @@ SQL["rank_until_salted"] = SQL["rank_until_l1"]
 SQL["rank_tagged_union"] = SQL["rank_fixed_10"]
 SQL["vertex_program_rank"] = SQL["rank_until_l1"]
 SQL["snapshot_resume"] = SQL["rank_until_l1"]
+
+# --------------------------------------------------------------- telemetry
+
+
+def _fmt2(c: str) -> str:
+    return f"(CAST(({c}) // 100 AS VARCHAR) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0'))"
+
+
+EV = """
+SELECT *, algo || '_' || dataset || '_u' || CAST(user_id AS VARCHAR) AS job_id FROM (
+  SELECT event_id, event_type, user_id,
+         CASE WHEN user_id % 2 = 0 THEN 'giraph' ELSE 'mapreduce' END AS algo,
+         CASE user_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS dataset,
+         CAST(round(value * 100) AS BIGINT) AS c, event_id % 4 AS sub
+  FROM events)"""
+
+JOB_LOG = f"""
+SELECT job_id, algo, event_id AS pos, CASE
+  WHEN event_type = 'view' AND sub = 0 THEN 'finishSuperstep: Superstep ' || CAST(c % 50 - 1 AS VARCHAR) || ' done'
+  WHEN event_type = 'view' AND sub = 1 THEN 'INFO superstep ' || CAST(c % 50 AS VARCHAR) || ' completed in ' || CAST(c AS VARCHAR) || ' ms'
+  WHEN event_type = 'view' AND sub = 2 THEN 'Superstep ' || CAST(c % 50 AS VARCHAR) || ' started'
+  WHEN event_type = 'view' THEN 'Bytes sent ' || CAST(c * 1000 AS VARCHAR) || ' bytes'
+  WHEN event_type = 'click' AND sub = 2 THEN 'Job Run time: ' || CAST(c * 10 AS VARCHAR) || ' ms'
+  WHEN event_type = 'click' THEN 'Iteration ' || CAST(c % 100 AS VARCHAR) || ' Diff: ' || CAST(c AS VARCHAR) || 'E-5'
+  WHEN event_type = 'signup' AND sub <= 1 THEN 'Job job_' || CAST(event_id AS VARCHAR) || ' completed successfully'
+  WHEN event_type = 'signup' AND sub = 2 THEN '  Map input records=' || CAST(c AS VARCHAR)
+  WHEN event_type = 'signup' THEN 'Memory Used: ' || CAST(c AS VARCHAR) || ' MB'
+  WHEN event_type = 'purchase' AND sub <= 1 THEN 'Superstep=' || CAST(c % 40 AS VARCHAR) || ' completed, Total Diff: ' || CAST(c AS VARCHAR) || 'E-6'
+  WHEN event_type = 'purchase' AND sub = 2 THEN 'INFO Total execution time: ' || CAST(c % 997 AS VARCHAR) || ' s'
+  WHEN event_type = 'purchase' THEN '  Reduce input records=' || CAST(c AS VARCHAR)
+  WHEN sub = 0 THEN 'Final Diff: ' || CAST(c AS VARCHAR) || 'E-7'
+  WHEN sub = 1 THEN 'Final Diff: n/a'
+  WHEN sub = 2 THEN 'Global Diff: ' || CAST(c AS VARCHAR)
+  ELSE 'Reduce task attempt_' || CAST(event_id AS VARCHAR) || ' SUCCEEDED'
+END AS value FROM ({EV})"""
+
+RUNS = f"""
+SELECT job_id, algo AS algorithm, dataset, sum(c) / 100.0 AS total_time
+FROM ({EV}) GROUP BY job_id, algo, dataset"""
+
+
+def _num(label: str) -> str:
+    return (f"TRY_CAST(nullif(regexp_extract(value, '{label}\\s*([0-9\\.E-]+)', 1), '') "
+            "AS DOUBLE)")
+
+
+PARSED = f"""
+SELECT job_id, algo, pos, value, final_diff, total_diff, any_diff,
+       CASE WHEN algo = 'giraph' THEN total_diff ELSE coalesce(any_diff, total_diff) END AS cand_diff,
+       CASE WHEN algo = 'giraph' AND contains(lower(value), 'superstep')
+                 AND (contains(lower(value), 'finish') OR contains(lower(value), 'completed'))
+            THEN TRY_CAST(nullif(regexp_extract(lower(value), 'superstep\\s*[:=]?\\s*(-?\\d+)', 1), '') AS INTEGER)
+       END AS superstep,
+       contains(value, 'completed successfully') AS success
+FROM (SELECT *,
+        CASE WHEN contains(value, 'Final Diff:') THEN {_num('Final Diff:')} END AS final_diff,
+        CASE WHEN NOT contains(value, 'Final Diff:') AND contains(value, 'Total Diff:')
+             THEN {_num('Total Diff:')} END AS total_diff,
+        CASE WHEN contains(value, 'Diff:') THEN {_num('Diff:')} END AS any_diff
+      FROM ({JOB_LOG}))"""
+
+
+def _row(*parts: str) -> str:
+    return "concat_ws('     ', clk, " + ", ".join(parts) + ")"
+
+
+_Z = "'0.00'"
+_CPU_HDR = _row("'CPU'", "'%user'", "'%nice'", "'%system'", "'%iowait'", "'%steal'", "'%idle'")
+_CPU_ROW = _row("'all'", _fmt2("c % 5000"), _Z, _fmt2("c % 700"), _fmt2("c % 300"), _Z,
+                _fmt2("(c * 7) % 4000"))
+_MEM_HDR = _row(*[f"'{x}'" for x in ("kbmemfree", "kbavail", "kbmemused", "%memused",
+                                     "kbbuffers", "kbcached", "kbcommit", "%commit",
+                                     "kbactive", "kbinact", "kbdirty")])
+_MEM_ROW = _row("CAST(c * 10 AS VARCHAR)", "CAST(c * 11 AS VARCHAR)", "CAST(c * 1000 AS VARCHAR)",
+                _fmt2("c % 10000"), "CAST((c * 3) % 200000 AS VARCHAR)", "CAST(c * 5 AS VARCHAR)",
+                "CAST(c * 6 AS VARCHAR)", _Z, "CAST(c AS VARCHAR)", "CAST(c AS VARCHAR)",
+                "CAST(c % 90 AS VARCHAR)")
+_IF_HDR = _row(*[f"'{x}'" for x in ("IFACE", "rxpck/s", "txpck/s", "rxkB/s", "txkB/s",
+                                    "rxcmp/s", "txcmp/s", "rxmcst/s", "%ifutil")])
+_LO_ROW = _row("'lo'", _fmt2("c % 900"), _fmt2("c % 900"), _fmt2("c"), _fmt2("c"), _Z, _Z, _Z, _Z)
+_ETH_ROW = _row("'eth0'", _fmt2("c % 300"), _fmt2("c % 200"), _fmt2("(c * 3) % 50000"),
+                _fmt2("(c * 2) % 30000"), _Z, _Z, _Z, _Z)
+
+MONITOR = f"""
+SELECT job_id, event_id * 10 + k AS pos, lines[k] AS value FROM (
+  SELECT job_id, event_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (
+    SELECT job_id, event_id,
+      CASE WHEN event_type IN ('view', 'click') THEN ['', {_CPU_HDR}, {_CPU_ROW}]
+           WHEN event_type IN ('signup', 'purchase') THEN ['', {_MEM_HDR}, {_MEM_ROW}]
+           ELSE ['', {_IF_HDR}, {_LO_ROW}, {_ETH_ROW}] END AS lines
+    FROM (SELECT *, CASE WHEN event_id % 2 = 1 THEN '12:00:01 AM' ELSE '00:00:01' END AS clk
+          FROM ({EV}))))
+UNION ALL
+SELECT job_id, min(event_id) * 10 AS pos,
+       'Linux 5.4.0 (' || job_id || ') ' || chr(9) || '01/02/2025 ' || chr(9) || '_x86_64_' || chr(9) || '(4 CPU)' AS value
+FROM ({EV}) GROUP BY job_id"""
+
+_SAR_TOK = f"""
+SELECT job_id, pos, value AS line, {_TOKENS} AS p FROM ({MONITOR})
+WHERE NOT (regexp_replace(value, '[\\x00-\\x20]', '', 'g') = '' OR contains(value, 'Linux')
+           OR contains(value, 'Average') OR contains(value, 'IFACE'))"""
+
+SAMPLES = f"""
+SELECT job_id, pos,
+  CASE WHEN ai >= 0 THEN 'cpu' WHEN is_iface THEN 'iface' WHEN mem_ok THEN 'mem' ELSE 'other' END AS kind,
+  CASE WHEN cpu_ok AND u IS NOT NULL AND sy IS NOT NULL THEN u END AS cpu_user,
+  CASE WHEN cpu_ok AND u IS NOT NULL AND sy IS NOT NULL THEN sy END AS cpu_system,
+  CASE WHEN mem_ok THEN TRY_CAST(nullif(p[v + 3], '') AS DOUBLE) END AS kbmemused,
+  CASE WHEN is_iface THEN p[v + 1] END AS iface,
+  CASE WHEN is_iface THEN a END AS rx_kb_s, CASE WHEN is_iface THEN b END AS tx_kb_s,
+  CASE WHEN net_ok AND a IS NOT NULL AND b IS NOT NULL THEN a END AS compat_a,
+  CASE WHEN net_ok AND a IS NOT NULL AND b IS NOT NULL THEN b END AS compat_b
+FROM (
+  SELECT *, ai >= 0 AND len(p) > ai + 3 AS cpu_ok,
+         TRY_CAST(nullif(p[ai + 2], '') AS DOUBLE) AS u,
+         TRY_CAST(nullif(p[ai + 4], '') AS DOUBLE) AS sy,
+         ai < 0 AND NOT contains(line, 'CPU') AND len(p) > v + 2 AS mem_ok,
+         NOT contains(line, 'CPU') AND len(p) > v + 5 AND p[v + 1] IS DISTINCT FROM 'lo' AS net_ok,
+         TRY_CAST(nullif(p[v + 4], '') AS DOUBLE) AS a,
+         TRY_CAST(nullif(p[v + 5], '') AS DOUBLE) AS b,
+         ai < 0 AND NOT contains(line, 'CPU') AND len(p) > v + 5
+           AND TRY_CAST(nullif(p[v + 1], '') AS DOUBLE) IS NULL AS is_iface
+  FROM (
+    SELECT *, CASE WHEN len(p) > 1 AND p[2] IN ('AM', 'PM') THEN 2 ELSE 1 END AS v,
+           CASE WHEN coalesce(list_position(list_reverse(p), 'all'), 0) > 0
+                THEN len(p) - list_position(list_reverse(p), 'all') ELSE -1 END AS ai
+    FROM ({_SAR_TOK})))"""
+
+
+def _r6(c: str, name: str | None = None) -> str:
+    return f"round({c}, 6) AS {name or c}"
+
+
+SQL["job_log_parsed"] = f"""
+SELECT job_id, pos, {_r6('final_diff')}, {_r6('total_diff')}, {_r6('any_diff')},
+       {_r6('cand_diff')}, superstep, success FROM ({PARSED})"""
+
+SQL["sar_samples"] = f"""
+SELECT job_id, pos, kind, iface, {_r6('cpu_user')}, {_r6('cpu_system')}, {_r6('kbmemused')},
+       {_r6('rx_kb_s')}, {_r6('tx_kb_s')}, {_r6('compat_a')}, {_r6('compat_b')}
+FROM ({SAMPLES})"""
+
+LOG_SUMMARY = f"""
+SELECT job_id,
+  CAST(greatest(CASE WHEN bool_or(algo = 'giraph') THEN coalesce(max(superstep), 0)
+                     ELSE count(*) FILTER (WHERE success) END, 1) AS INTEGER) AS iterations_to_converge,
+  coalesce(arg_max(final_diff, pos) FILTER (WHERE final_diff IS NOT NULL),
+           arg_max(cand_diff, pos) FILTER (WHERE cand_diff IS NOT NULL), 0.0) AS final_diff
+FROM ({PARSED}) GROUP BY job_id"""
+
+MONITOR_SUMMARY = f"""
+SELECT job_id, avg(cpu_user + cpu_system) AS cpu_utilization,
+       max(CASE WHEN kbmemused > 1024 THEN kbmemused END) / (1024.0 * 1024.0) AS peak_memory_usage,
+       avg(CASE WHEN kind = 'iface' AND iface <> 'lo' THEN rx_kb_s + tx_kb_s END) AS iface_rate,
+       avg(compat_a + compat_b) AS compat_rate
+FROM ({SAMPLES}) GROUP BY job_id"""
+
+SQL["job_iterations"] = f"SELECT job_id, iterations_to_converge FROM ({LOG_SUMMARY})"
+SQL["final_diff"] = f"SELECT job_id, {_r6('final_diff')} FROM ({LOG_SUMMARY})"
+SQL["cpu_util"] = f"SELECT job_id, round(coalesce(cpu_utilization, 0.0), 6) AS cpu_utilization FROM ({MONITOR_SUMMARY})"
+SQL["peak_mem"] = f"SELECT job_id, round(coalesce(peak_memory_usage, 0.0), 6) AS peak_memory_usage FROM ({MONITOR_SUMMARY})"
+SQL["network_mb"] = f"""
+SELECT r.job_id, round(coalesce(m.iface_rate, 0.0) * r.total_time / 1024.0, 6) AS network_communication
+FROM ({RUNS}) r LEFT JOIN ({MONITOR_SUMMARY}) m USING (job_id)"""
+SQL["network_mb_compat"] = f"""
+SELECT r.job_id, round(coalesce(m.compat_rate, 0.0) * r.total_time / 1024.0, 6) AS network_communication
+FROM ({RUNS}) r LEFT JOIN ({MONITOR_SUMMARY}) m USING (job_id)"""
+
+
+def job_metrics_sql(rate: str = "iface_rate") -> str:
+    return f"""
+SELECT r.algorithm, r.dataset, r.job_id, r.total_time AS total_execution_time,
+       r.total_time / coalesce(l.iterations_to_converge, 1) AS avg_iteration_time,
+       coalesce(m.{rate}, 0.0) * r.total_time / 1024.0 AS network_communication,
+       coalesce(m.peak_memory_usage, 0.0) AS peak_memory_usage,
+       CAST(coalesce(l.iterations_to_converge, 1) AS INTEGER) AS iterations_to_converge,
+       coalesce(l.final_diff, 0.0) AS final_diff,
+       coalesce(m.cpu_utilization, 0.0) AS cpu_utilization
+FROM ({RUNS}) r LEFT JOIN ({LOG_SUMMARY}) l USING (job_id)
+LEFT JOIN ({MONITOR_SUMMARY}) m USING (job_id)"""
+
+
+SQL["job_metrics"] = f"""
+SELECT algorithm, dataset, job_id, iterations_to_converge,
+       {_r6('total_execution_time')}, {_r6('avg_iteration_time')}, {_r6('network_communication')},
+       {_r6('peak_memory_usage')}, {_r6('final_diff')}, {_r6('cpu_utilization')}
+FROM ({job_metrics_sql()})"""
+
+
+def _jfmt(c: str, d: int) -> str:
+    """Java's %.<d>f (HALF_UP on the shortest decimal digits of the double).
+
+    It differs from C printf (exact binary value) only when the double is the
+    nearest one to a decimal with d+1 places ending in 5: round that one up.
+    """
+    m = f"{10 ** (d + 1)}.0"
+    k = f"round(({c}) * {m})"
+    tie = f"({k} / {m} = ({c}) AND CAST(abs({k}) AS BIGINT) % 10 = 5)"
+    return (f"printf('%.{d}f', CASE WHEN {tie} THEN ({k} + 5 * sign({c})) / {m} "
+            f"ELSE ({c}) END)")
+
+
+SQL["metrics_csv"] = f"""
+SELECT algorithm || ',' || dataset || ',' || job_id || ',' || {_jfmt('total_execution_time', 2)} || 's,'
+       || {_jfmt('avg_iteration_time', 2)} || 's,' || {_jfmt('network_communication', 2)} || 'MB,'
+       || {_jfmt('peak_memory_usage', 2)} || 'GB,' || CAST(iterations_to_converge AS VARCHAR) || ','
+       || {_jfmt('final_diff', 6)} || ',' || {_jfmt('cpu_utilization', 2)} || '%' AS value
+FROM ({job_metrics_sql('compat_rate')})"""
+
+SQL["convergence_rate"] = f"""
+SELECT job_id, round(100.0 * (1.0 - final_diff) / nullif(iterations_to_converge * 1.0, 0.0), 6)
+       AS convergence_rate FROM ({LOG_SUMMARY})"""
+
+
+def _tok(i: int) -> str:
+    return f"TRY_CAST(nullif(({_TOKENS})[{i}], '') AS DOUBLE)"
+
+
+SQL["bytes_sent"] = f"""
+SELECT job_id, round(coalesce(sum(CASE WHEN contains(value, 'Bytes sent') THEN coalesce({_tok(3)}, 0.0) END), 0.0)
+       / 1048576.0, 6) AS bytes_sent_mb FROM ({JOB_LOG}) GROUP BY job_id"""
+
+SQL["shuffle_estimate"] = f"""
+SELECT job_id, round(sum(
+  coalesce(TRY_CAST(nullif(regexp_extract(value, 'Map input records\\s*[=:]?\\s*(\\d+)', 1), '') AS DOUBLE), 0.0)
+  + coalesce(TRY_CAST(nullif(regexp_extract(value, 'Reduce input records\\s*[=:]?\\s*(\\d+)', 1), '') AS DOUBLE), 0.0))
+  * 100.0 / 1048576.0, 6) AS shuffle_mb FROM ({JOB_LOG}) GROUP BY job_id"""
+
+SQL["max_memory"] = f"""
+SELECT job_id, round(coalesce(max(CASE WHEN contains(value, 'Memory Used') THEN coalesce({_tok(3)}, 0.0) END)
+       / 1024.0, 0.0), 6) AS max_memory_gb FROM ({JOB_LOG}) GROUP BY job_id"""
+
+
+def _log_value(label: str, field: int, scale: float, name: str) -> str:
+    return f"""
+SELECT job_id, round(coalesce(arg_max(v, pos) FILTER (WHERE v IS NOT NULL) / {scale!r}, 0.0), 6) AS {name}
+FROM (SELECT job_id, pos, CASE WHEN contains(value, '{label}') THEN coalesce({_tok(field)}, 0.0) END AS v
+      FROM ({JOB_LOG})) GROUP BY job_id"""
+
+
+SQL["log_value"] = f"""
+SELECT a.job_id, a.exec_time, b.run_time
+FROM ({_log_value('Total execution time', 5, 1.0, 'exec_time')}) a
+JOIN ({_log_value('Run time', 4, 1000.0, 'run_time')}) b USING (job_id)"""
+
+SQL["count_lines"] = f"""
+SELECT job_id,
+       CAST(count(*) FILTER (WHERE contains(value, 'Superstep')) AS BIGINT) AS superstep_lines,
+       CAST(count(*) FILTER (WHERE contains(value, 'Reduce') AND contains(value, 'SUCCEEDED')) AS BIGINT)
+         AS reduce_succeeded
+FROM ({JOB_LOG}) GROUP BY job_id"""

@@ -286,3 +286,126 @@ def get(name: str) -> Query:
     return REGISTRY[name]
 
 
+
+
+# ---------------------------------------------------------------- telemetry
+
+from ..operators import telemetry as TM  # noqa: E402
+from ..sinks import format_metrics  # noqa: E402
+from ..sources.logs import parse_job_log, parse_sar  # noqa: E402
+
+
+def _parsed(spark, sf):
+    return parse_job_log(TB.job_log_lines(spark, sf))
+
+
+def _samples(spark, sf):
+    return parse_sar(TB.monitor_lines(spark, sf))
+
+
+@query("job_log_parsed")
+def q_job_log_parsed(spark, sf):
+    p = _parsed(spark, sf)
+    return p.select("job_id", "pos", *[r6(c) for c in ("final_diff", "total_diff",
+                                                         "any_diff", "cand_diff")],
+                    "superstep", "success")
+
+
+@query("sar_samples")
+def q_sar_samples(spark, sf):
+    s = _samples(spark, sf)
+    return s.select("job_id", "pos", "kind", "iface",
+                    *[r6(c) for c in ("cpu_user", "cpu_system", "kbmemused", "rx_kb_s",
+                                      "tx_kb_s", "compat_a", "compat_b")])
+
+
+@query("job_iterations")
+def q_job_iterations(spark, sf):
+    return TM.iterations(_parsed(spark, sf))
+
+
+@query("final_diff")
+def q_final_diff(spark, sf):
+    return TM.final_diff(_parsed(spark, sf)).select("job_id", r6("final_diff"))
+
+
+@query("cpu_util")
+def q_cpu_util(spark, sf):
+    return TM.cpu_util(_samples(spark, sf)).select("job_id", r6("cpu_utilization"))
+
+
+@query("peak_mem")
+def q_peak_mem(spark, sf):
+    return TM.peak_mem_gb(_samples(spark, sf)).select("job_id", r6("peak_memory_usage"))
+
+
+@query("network_mb")
+def q_network_mb(spark, sf):
+    n = TM.network_mb(_samples(spark, sf), TB.job_runs(spark, sf))
+    return n.select("job_id", r6("network_communication"))
+
+
+@query("network_mb_compat")
+def q_network_mb_compat(spark, sf):
+    n = TM.network_mb_compat(_samples(spark, sf), TB.job_runs(spark, sf))
+    return n.select("job_id", r6("network_communication"))
+
+
+METRIC_DOUBLES = ("total_execution_time", "avg_iteration_time", "network_communication",
+                  "peak_memory_usage", "final_diff", "cpu_utilization")
+
+
+def _job_metrics(spark, sf, network="interface"):
+    return TM.job_metrics(_parsed(spark, sf), _samples(spark, sf), TB.job_runs(spark, sf),
+                          network=network)
+
+
+@query("job_metrics")
+def q_job_metrics(spark, sf):
+    m = _job_metrics(spark, sf)
+    return m.select("algorithm", "dataset", "job_id", "iterations_to_converge",
+                    *[r6(c) for c in METRIC_DOUBLES])
+
+
+@query("metrics_csv")
+def q_metrics_csv(spark, sf):
+    return format_metrics(_job_metrics(spark, sf, network="as_coded"))
+
+
+@query("convergence_rate")
+def q_convergence_rate(spark, sf):
+    m = TM.log_summary(_parsed(spark, sf))
+    return m.select("job_id", r6(TM.convergence_rate(1.0, F.col("final_diff"),
+                                                      F.col("iterations_to_converge")),
+                                 "convergence_rate"))
+
+
+@query("bytes_sent")
+def q_bytes_sent(spark, sf):
+    return TM.bytes_sent_mb(TB.job_log_lines(spark, sf)).select("job_id", r6("bytes_sent_mb"))
+
+
+@query("shuffle_estimate")
+def q_shuffle_estimate(spark, sf):
+    return TM.shuffle_mb_estimate(TB.job_log_lines(spark, sf)).select("job_id", r6("shuffle_mb"))
+
+
+@query("max_memory")
+def q_max_memory(spark, sf):
+    return TM.max_memory_gb(TB.job_log_lines(spark, sf)).select("job_id", r6("max_memory_gb"))
+
+
+@query("log_value")
+def q_log_value(spark, sf):
+    lines = TB.job_log_lines(spark, sf)
+    a = TM.log_value(lines, "Total execution time", 5, name="exec_time")
+    b = TM.log_value(lines, "Run time", 4, scale=1000.0, name="run_time")
+    return a.join(b, "job_id").select("job_id", r6("exec_time"), r6("run_time"))
+
+
+@query("count_lines")
+def q_count_lines(spark, sf):
+    lines = TB.job_log_lines(spark, sf)
+    a = TM.count_lines(lines, "Superstep", name="superstep_lines")
+    b = TM.count_lines(lines, "Reduce", "SUCCEEDED", name="reduce_succeeded")
+    return a.join(b, "job_id")

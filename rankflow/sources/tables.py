@@ -140,6 +140,8 @@ def job_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.concat(F.lit("Superstep "), _s(F.pmod(c, F.lit(50))), F.lit(" started")))
         .when(et == "view",
               F.concat(F.lit("Bytes sent "), _s(c * 1000), F.lit(" bytes")))
+        .when((et == "click") & (sub == 2),
+              F.concat(F.lit("Job Run time: "), _s(c * 10), F.lit(" ms")))
         .when(et == "click",
               F.concat(F.lit("Iteration "), _s(F.pmod(c, F.lit(100))), F.lit(" Diff: "),
                        _s(c), F.lit("E-5")))
@@ -149,7 +151,7 @@ def job_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((et == "signup") & (sub == 2),
               F.concat(F.lit("  Map input records="), _s(c)))
         .when(et == "signup",
-              F.concat(F.lit("Container Memory Used: "), _s(c), F.lit(" MB")))
+              F.concat(F.lit("Memory Used: "), _s(c), F.lit(" MB")))
         .when((et == "purchase") & (sub <= 1),
               F.concat(F.lit("Superstep="), _s(F.pmod(c, F.lit(40))),
                        F.lit(" completed, Total Diff: "), _s(c), F.lit("E-6")))
@@ -162,7 +164,7 @@ def job_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(sub == 1, F.lit("Final Diff: n/a"))
         .when(sub == 2, F.concat(F.lit("Global Diff: "), _s(c)))
         .otherwise(F.concat(F.lit("Reduce task attempt_"), _s(F.col("event_id")),
-                            F.lit(" SUCCEEDED, Run time: "), _s(c * 10), F.lit(" ms")))
+                            F.lit(" SUCCEEDED")))
     )
     return ev.select("job_id", "algo", F.col("event_id").alias("pos"), line.alias("value"))
 
