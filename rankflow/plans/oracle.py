@@ -480,3 +480,94 @@ SELECT job_id,
        CAST(count(*) FILTER (WHERE contains(value, 'Reduce') AND contains(value, 'SUCCEEDED')) AS BIGINT)
          AS reduce_succeeded
 FROM ({JOB_LOG}) GROUP BY job_id"""
+
+# -------------------------------------------------------- benchmark stats
+
+METRICS_LINES = f"""
+SELECT concat_ws(',', algo, ds, algo || '_' || ds || '_' || CAST(o_orderkey AS VARCHAR),
+  {_fmt2('c')} || 's', {_fmt2('c // 40')} || 's', {_fmt2('(c * 3) % 100000')} || 'MB',
+  {_fmt2('c % 500')} || 'GB', CAST(c % 100 + 1 AS VARCHAR), '0.0000' || CAST(c % 90 + 10 AS VARCHAR),
+  {_fmt2('c % 10000')} || '%') AS value
+FROM (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS c,
+        CASE o_orderstatus WHEN 'F' THEN 'giraph' WHEN 'O' THEN 'mapreduce' ELSE 'spark' END AS algo,
+        replace(lower(string_split(o_orderpriority, '-')[-1]), ' ', '_') AS ds
+      FROM orders)"""
+
+_RAW_COLS = ("algorithm", "dataset", "job_id", "total_execution_time", "avg_iteration_time",
+             "network_communication", "peak_memory_usage", "iterations_to_converge",
+             "final_diff", "cpu_utilization")
+
+METRICS_RAW = "SELECT " + ", ".join(f"f[{i + 1}] AS {c}" for i, c in enumerate(_RAW_COLS)) + \
+    f" FROM (SELECT string_split(value, ',') AS f FROM ({METRICS_LINES}))"
+
+
+def _strip(c: str) -> str:
+    return f"coalesce(TRY_CAST(nullif(regexp_replace({c}, '[^0-9.]', '', 'g'), '') AS DOUBLE), 0.0)"
+
+
+_UNIT = ("total_execution_time", "avg_iteration_time", "network_communication",
+         "peak_memory_usage", "cpu_utilization")
+_AVG4 = ("total_execution_time", "avg_iteration_time", "network_communication",
+         "peak_memory_usage")
+
+TYPED = ("SELECT algorithm, dataset, job_id, "
+         + ", ".join(f"{_strip(c)} AS {c}" for c in _UNIT)
+         + ", TRY_CAST(iterations_to_converge AS INTEGER) AS iterations_to_converge"
+         + ", TRY_CAST(nullif(final_diff, '') AS DOUBLE) AS final_diff"
+         + f" FROM ({METRICS_RAW})")
+
+AVG = ("SELECT dataset, algorithm, CAST(count(*) AS BIGINT) AS runs, "
+       + ", ".join(f"avg({c}) AS {c}" for c in _AVG4)
+       + f" FROM ({TYPED}) GROUP BY dataset, algorithm")
+
+DIM = """
+SELECT dataset, ord, dataset || '.txt' AS file, edges FROM (
+  SELECT replace(lower(string_split(o_orderpriority, '-')[-1]), ' ', '_') AS dataset,
+         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS ord,
+         CAST(count(*) * 1000 AS BIGINT) AS edges
+  FROM orders GROUP BY 1, 2)"""
+
+SQL["metrics_raw"] = METRICS_RAW
+SQL["strip_units"] = ("SELECT algorithm, dataset, job_id, iterations_to_converge, "
+                      + ", ".join(_r6(c) for c in _UNIT) + ", " + _r6("final_diff")
+                      + f" FROM ({TYPED})")
+SQL["dataset_dim"] = DIM
+SQL["average_metrics"] = ("SELECT dataset, algorithm, runs, " + ", ".join(_r6(c) for c in _AVG4)
+                          + f" FROM ({AVG})")
+SQL["normalized_iter_time"] = f"""
+SELECT a.dataset, a.algorithm, d.edges, round(a.avg_iteration_time, 6) AS avg_iteration_time,
+       round(a.avg_iteration_time / (d.edges / 1e6), 6) AS time_per_m_edges
+FROM ({AVG}) a JOIN ({DIM}) d USING (dataset)"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN NULL ELSE {a} / {b} END"
+
+
+SIDE = f"""
+SELECT n.dataset,
+  n.total_execution_time AS n_t, d.total_execution_time AS d_t,
+  n.avg_iteration_time AS n_i, d.avg_iteration_time AS d_i,
+  n.network_communication AS n_n, d.network_communication AS d_n,
+  n.peak_memory_usage AS n_m, d.peak_memory_usage AS d_m
+FROM (SELECT * FROM ({AVG}) WHERE algorithm = '{{num}}') n
+JOIN (SELECT * FROM ({AVG}) WHERE algorithm = '{{den}}') d USING (dataset)"""
+
+SQL["metric_ratios"] = f"""
+SELECT dataset, round({_div('n_t', 'd_t')}, 6) AS time_ratio, round({_div('n_i', 'd_i')}, 6) AS iter_ratio,
+       round(CASE WHEN d_n > 0 THEN n_n / d_n ELSE 0.0 END, 6) AS network_ratio,
+       round({_div('n_m', 'd_m')}, 6) AS memory_ratio
+FROM ({SIDE.format(num='mapreduce', den='giraph')})"""
+
+SQL["memory_speedup"] = f"""
+SELECT dataset, round({_div('n_m', 'd_m')}, 6) AS mem_ratio, round({_div('d_t', 'n_t')}, 6) AS speedup
+FROM ({SIDE.format(num='giraph', den='mapreduce')})"""
+
+SQL["scaling_exponent"] = f"""
+SELECT algorithm, dataset, ord, edges, round(time, 6) AS time,
+       round(CASE WHEN pe IS NOT NULL AND ln(edges) - ln(pe) <> 0
+                  THEN (ln(time) - ln(pt)) / (ln(edges) - ln(pe)) END, 6) AS slope
+FROM (SELECT a.algorithm, a.dataset, d.ord, d.edges, a.total_execution_time AS time,
+             lag(d.edges) OVER (PARTITION BY a.algorithm ORDER BY d.ord) AS pe,
+             lag(a.total_execution_time) OVER (PARTITION BY a.algorithm ORDER BY d.ord) AS pt
+      FROM ({AVG}) a JOIN ({DIM}) d USING (dataset))"""

@@ -409,3 +409,65 @@ def q_count_lines(spark, sf):
     a = TM.count_lines(lines, "Superstep", name="superstep_lines")
     b = TM.count_lines(lines, "Reduce", "SUCCEEDED", name="reduce_succeeded")
     return a.join(b, "job_id")
+
+
+# ---------------------------------------------------------- benchmark stats
+
+from ..operators import benchstats as BS  # noqa: E402
+
+
+def _typed(spark, sf):
+    return BS.typed_metrics(BS.parse_metrics_lines(TB.metrics_lines(spark, sf)))
+
+
+def _avg(spark, sf):
+    return BS.average_metrics(_typed(spark, sf))
+
+
+@query("metrics_raw")
+def q_metrics_raw(spark, sf):
+    return BS.parse_metrics_lines(TB.metrics_lines(spark, sf))
+
+
+@query("strip_units")
+def q_strip_units(spark, sf):
+    t = _typed(spark, sf)
+    return t.select("algorithm", "dataset", "job_id", "iterations_to_converge",
+                    *[r6(c) for c in BS.UNIT_COLUMNS], r6("final_diff"))
+
+
+@query("dataset_dim")
+def q_dataset_dim(spark, sf):
+    return TB.dataset_sizes(spark, sf)
+
+
+@query("average_metrics")
+def q_average_metrics(spark, sf):
+    return _avg(spark, sf).select("dataset", "algorithm", "runs",
+                                  *[r6(c) for c in BS.AVERAGED])
+
+
+@query("normalized_iter_time")
+def q_normalized_iter_time(spark, sf):
+    n = BS.normalized_iter_time(_avg(spark, sf), TB.dataset_sizes(spark, sf))
+    return n.select("dataset", "algorithm", "edges", r6("avg_iteration_time"),
+                    r6("time_per_m_edges"))
+
+
+@query("metric_ratios")
+def q_metric_ratios(spark, sf):
+    r = BS.metric_ratios(_avg(spark, sf), "mapreduce", "giraph")
+    return r.select("dataset", *[r6(c) for c in ("time_ratio", "iter_ratio",
+                                                  "network_ratio", "memory_ratio")])
+
+
+@query("scaling_exponent")
+def q_scaling_exponent(spark, sf):
+    s = BS.scaling_exponent(_avg(spark, sf), TB.dataset_sizes(spark, sf))
+    return s.select("algorithm", "dataset", "ord", "edges", r6("time"), r6("slope"))
+
+
+@query("memory_speedup")
+def q_memory_speedup(spark, sf):
+    m = BS.memory_speedup(_avg(spark, sf), "giraph", "mapreduce")
+    return m.select("dataset", r6("mem_ratio"), r6("speedup"))
