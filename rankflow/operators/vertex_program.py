@@ -7,7 +7,7 @@ vertex that is active or received a message applies ``update``, named
 aggregators are computed over the updated vertices, and the master hook
 (driver side, scalars only) decides whether to halt before the next
 superstep.  Loop-invariant edges and the partitioned state come from
-``plans.loop.prepare`` (salted or size-checked broadcast join).
+``plans.loop.prepare`` (co-partitioned join, hot sources salted).
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.loop import MAX_ITERATIONS, LinkGraph, _LoopConf, prepare
+from ..plans.loop import MAX_ITERATIONS, LinkGraph, _LoopConf, deliver, prepare
 
 _COMBINERS = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -38,7 +38,7 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
                    halt: Callable[[int, dict], bool] | None = None,
                    vote_to_halt: Column | None = None,
                    max_supersteps: int = MAX_ITERATIONS,
-                   checkpoint_every: int = 5, graph: LinkGraph | None = None,
+                   checkpoint_every: int = 1, graph: LinkGraph | None = None,
                    **prep_kw) -> VertexProgramResult:
     """Run a vertex program over the edge multiset ``edges`` (src, dst).
 
@@ -66,13 +66,8 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
                 halted_by = "master"
                 break
             senders = state.where(F.col("active") & (F.col("outdeg") > 0)).select(
-                F.col("id").alias("src"), send.alias("m"), "nsalt")
-            if g.broadcast:
-                joined = g.edges.join(F.broadcast(senders.drop("nsalt")), "src")
-            else:
-                senders = senders.select("src", "m", F.explode(
-                    F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
-                joined = g.edges.join(senders.hint("shuffle_hash"), ["src", "salt"])
+                "id", "nsalt", send.alias("m"))
+            joined = deliver(g, senders, "m")
             val = F.col("m") * F.col("mult") if combine == "sum" else F.col("m")
             msgs = joined.groupBy(F.col("dst").alias("id")).agg(combiner(val).alias("msg"))
             j = state.join(msgs.hint("shuffle_hash"), "id", "left").withColumn(
@@ -85,13 +80,17 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
             active = (run_it & ~halt_col & F.lit(s < max_supersteps))
             new = j.select("id", "outdeg", "nsalt", *cols, active.alias("active"), *olds,
                            run_it.alias("ran"))
+            agg_cols = [F.coalesce(e, F.lit(0.0)).alias(k) for k, e in aggregators.items()]
+            agg_cols.append(F.coalesce(F.max(F.col("active").cast("int")), F.lit(0))
+                            .alias("__any"))
             if checkpoint_every and s % checkpoint_every == 0:
-                new = new.checkpoint(eager=True)
+                # aggregators observed in the result stage of the checkpoint job
+                obs = Observation(f"rankflow_superstep_{s}")
+                new = new.observe(obs, *agg_cols).checkpoint(eager=True)
+                row = obs.get
             else:
                 new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            agg_cols = [F.coalesce(e, F.lit(0.0)).alias(k) for k, e in aggregators.items()]
-            row = new.agg(*agg_cols, F.max(F.col("active").cast("int")).alias("__any"),
-                          F.count(F.lit(1)).alias("__n")).first()
+                row = new.agg(*agg_cols).first().asDict()
             prev_aggs = {k: row[k] for k in aggregators}
             history.append({"superstep": s, **prev_aggs})
             if cached is not None:

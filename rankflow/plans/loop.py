@@ -5,20 +5,27 @@ Plan per update (the only driver work is one scalar row per update):
 * ``prepare`` runs once: collapse parallel edges into a multiplicity,
   compute out-degrees and the vertex set, decide how ranks reach the edges,
   and cut the lineage with a reliable checkpoint.
-* Ranks reach the edges either by a **broadcast** of (src, vote) - chosen
-  only when the vertex count times a per-row size estimate is below the
-  broadcast limit - or by a **salted shuffle join**: the out-edges of a
-  source are spread over ``nsalt = ceil(fanout / salt_chunk)`` buckets, so a
-  source holding a third of all edges is split over many tasks, and its
-  vote row is replicated ``nsalt`` times (at most V + E / salt_chunk rows).
+* Ranks reach the edges by a **co-partitioned join**: the state is
+  hash-partitioned by id and the edges of ordinary sources by src with the
+  same partition count, so the vote join needs no exchange at all.
+  Sources whose distinct fan-out exceeds ``salt_chunk`` (a "hot" source
+  holding, say, a third of all edges) are **salted**: their edges are spread
+  over ``nsalt = ceil(fanout / salt_chunk)`` buckets partitioned by
+  (src, salt), and only their vote rows are replicated ``nsalt`` times and
+  shuffled (at most E / salt_chunk rows).  A **broadcast** of the votes is
+  available as an option and is refused when the vertex count times a
+  per-row size estimate exceeds the broadcast limit.
 * Votes are summed by target with a partial (map-side) + final aggregate,
   which also absorbs a target that receives a third of all votes.
 * The sums are left-joined to the state, which stays hash-partitioned by
   id from one update to the next, so the state side is never shuffled.
-* Every update is persisted; every ``checkpoint_every`` updates the state
-  is written reliably (``checkpoint()`` into the session's
-  ``spark.checkpoint.dir``, or a parquet snapshot ``iter=<k>``), so lineage
-  and recovery after a lost executor are bounded.
+* Every update is written reliably (``checkpoint()`` into the session's
+  ``spark.checkpoint.dir``, or a parquet snapshot ``iter=<k>``): lineage
+  stays one update deep and a lost executor costs at most one update.  The
+  deltas are observed in the same job (``observe``, result stage, so task
+  retries do not count twice).  ``checkpoint_every > 1`` persists the
+  updates in between instead; it is slower here, as the growing logical
+  plan has to be re-planned each update.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,8 +64,10 @@ class LinkGraph:
     """A prepared graph: loop-invariant data, materialised once."""
 
     vertices: DataFrame          # id, outdeg, nsalt; hash-partitioned by id
-    edges: DataFrame             # src, dst, mult (+ salt in the salted layout)
+    edges: DataFrame             # src, dst, mult of non-hot sources; partitioned by src
+    hot_edges: DataFrame | None  # src, salt, dst, mult of hot sources; by (src, salt)
     num_vertices: int
+    num_hot: int
     num_partitions: int
     broadcast: bool
 
@@ -89,31 +98,34 @@ def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
 
 
 def prepare(edges: DataFrame, num_partitions: int | None = None,
-            broadcast: bool | None = None, broadcast_bytes: int | None = None,
+            broadcast: bool = False, broadcast_bytes: int | None = None,
             salt_chunk: int = SALT_CHUNK) -> LinkGraph:
     """Materialise the loop-invariant part of the graph.
 
-    ``broadcast=None`` decides by size: the vote table has one row per
-    vertex, estimated at 16 bytes plus the id size; it is broadcast only if
-    that is below ``broadcast_bytes`` (default: the session's
-    ``spark.sql.autoBroadcastJoinThreshold``).  Otherwise the salted shuffle
-    join is used, which has no size limit.
+    ``broadcast=True`` asks for a broadcast of the vote table; it is granted
+    only if one row per vertex (16 bytes plus the id size) fits below
+    ``broadcast_bytes`` (default: the session's
+    ``spark.sql.autoBroadcastJoinThreshold``), else the co-partitioned join
+    is used, which has no size limit and no exchange on either side.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     p = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select("src", "dst")
-    mult = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+    # Parallel edges collapse to a multiplicity (partial + final aggregate);
+    # this one job reads the input, everything below reads its checkpoint.
+    mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult")).checkpoint(
+        eager=True)
     deg = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"),
                                   F.count(F.lit(1)).alias("fanout"))
-    ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+    ids = mult.select(F.col("src").alias("id")).union(
+        mult.select(F.col("dst").alias("id"))).distinct()
     verts = ids.join(deg, ids["id"] == deg["src"], "left").select(
         "id",
         F.coalesce("outdeg", F.lit(0)).cast("bigint").alias("outdeg"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("fanout", F.lit(0)) / F.lit(salt_chunk)))
         .cast("int").alias("nsalt"))
     # Lineage cut under the session's own settings (AQE may split a skewed
-    # source in the join below); a reliable checkpoint under AQE does not
+    # source in the joins below); a reliable checkpoint under AQE does not
     # keep the hash partitioning, so the partitioned copies the loop joins
     # against are made afterwards with AQE off and persisted: a lost block is
     # recomputed from the checkpoint files, not from the input.
@@ -121,28 +133,39 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
 
     is_str = isinstance(verts.schema["id"].dataType, T.StringType)
     id_len = F.avg(F.length("id")) if is_str else F.lit(8.0)
-    stats = verts.agg(F.count(F.lit(1)).alias("n"), id_len.alias("w")).first()
+    stats = verts.agg(F.count(F.lit(1)).alias("n"), id_len.alias("w"),
+                      F.count_if(F.col("nsalt") > 1).alias("hot")).first()
     n = int(stats["n"])
-    if broadcast is None:
+    n_hot = int(stats["hot"])
+    if broadcast:
         limit = broadcast_bytes if broadcast_bytes is not None else _bytes_conf(
             spark, "spark.sql.autoBroadcastJoinThreshold", 10 << 20)
         row_bytes = 16.0 + float(stats["w"] or 0.0)
-        broadcast = limit > 0 and n * row_bytes <= limit
+        if limit <= 0 or n * row_bytes > limit:
+            broadcast = False     # size check failed: use the partitioned join
 
-    if broadcast:
-        emat = mult.select("src", "dst", "mult").checkpoint(eager=True)
+    hot_edges = None
+    if broadcast or n_hot == 0:
+        emat = mult
     else:
-        salted = mult.join(verts.select(F.col("id").alias("src"), "nsalt"), "src").select(
-            "src", F.pmod(F.xxhash64("dst"), F.col("nsalt")).cast("int").alias("salt"),
-            "dst", "mult")
-        emat = salted.checkpoint(eager=True)
+        hot = verts.where(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
+        tagged = mult.join(hot, "src", "left").select(
+            "src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("nsalt")), F.lit(0))
+            .cast("int").alias("salt"), "dst", "mult",
+            F.col("nsalt").isNotNull().alias("hot")).checkpoint(eager=True)
+        emat = tagged.where(~F.col("hot")).select("src", "dst", "mult")
+        hot_edges = tagged.where(F.col("hot")).select("src", "salt", "dst", "mult")
     with _LoopConf(spark, p, adaptive=False):
         verts = verts.repartition(p, "id").persist(StorageLevel.MEMORY_AND_DISK)
         verts.count()
         if not broadcast:
-            emat = emat.repartition(p, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+            emat = emat.repartition(p, "src").persist(StorageLevel.MEMORY_AND_DISK)
             emat.count()
-    return LinkGraph(verts, emat, n, p, bool(broadcast))
+            if hot_edges is not None:
+                hot_edges = hot_edges.repartition(p, "src", "salt").persist(
+                    StorageLevel.MEMORY_AND_DISK)
+                hot_edges.count()
+    return LinkGraph(verts, emat, hot_edges, n, n_hot, p, bool(broadcast))
 
 
 def initial_state(g: LinkGraph, value: float = 1.0) -> DataFrame:
@@ -150,18 +173,34 @@ def initial_state(g: LinkGraph, value: float = 1.0) -> DataFrame:
                              F.lit(float(value)).alias("prev"), "outdeg", "nsalt")
 
 
+def deliver(g: LinkGraph, senders: DataFrame, value: str) -> DataFrame:
+    """(dst, mult, <value>): one row per distinct out-edge of every sender.
+
+    ``senders`` has (id, nsalt, <value>) and keeps the state's partitioning
+    by id; ordinary sources join their edges without an exchange, hot
+    sources through their (src, salt) buckets.
+    """
+    if g.broadcast:
+        out = senders.select(F.col("id").alias("src"), value)
+        return g.edges.join(F.broadcast(out), "src").select("dst", "mult", value)
+    cold = senders.where(F.col("nsalt") == 1).select(F.col("id").alias("src"), value)
+    joined = g.edges.join(cold.hint("shuffle_hash"), "src").select("dst", "mult", value)
+    if g.hot_edges is not None:
+        hot = senders.where(F.col("nsalt") > 1).select(
+            F.col("id").alias("src"), value,
+            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
+        joined = joined.unionByName(
+            g.hot_edges.join(hot.hint("shuffle_hash"), ["src", "salt"])
+            .select("dst", "mult", value))
+    return joined
+
+
 def step(g: LinkGraph, state: DataFrame, damping: float = DAMPING,
          base: float = BASE) -> DataFrame:
     """One update over the prepared graph: (id, rank, prev, outdeg, nsalt)."""
     send = state.where(F.col("outdeg") > 0).select(
-        F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("vote"), "nsalt")
-    if g.broadcast:
-        joined = g.edges.join(F.broadcast(send.drop("nsalt")), "src")
-    else:
-        send = send.select("src", "vote", F.explode(
-            F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
-        joined = g.edges.join(send.hint("shuffle_hash"), ["src", "salt"])
-    sums = joined.groupBy(F.col("dst").alias("id")).agg(
+        "id", "nsalt", (F.col("rank") / F.col("outdeg")).alias("vote"))
+    sums = deliver(g, send, "vote").groupBy(F.col("dst").alias("id")).agg(
         F.sum(F.col("vote") * F.col("mult")).alias("s"))
     return state.join(sums.hint("shuffle_hash"), "id", "left").select(
         "id",
@@ -217,7 +256,7 @@ def read_snapshot(spark: SparkSession, base: str, i: int) -> DataFrame:
 
 def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOLERANCE,
         delta: str = "l1", min_updates: int | None = None, lag: int = 0,
-        damping: float = DAMPING, base: float = BASE, checkpoint_every: int = 5,
+        damping: float = DAMPING, base: float = BASE, checkpoint_every: int = 1,
         snapshot_dir: str | None = None, resume: bool = False,
         adaptive: bool = False) -> RankResult:
     """Run updates until the tested delta is below ``tol`` or ``max_iter`` updates.
@@ -242,18 +281,25 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
             k0 = done[-1]
             state = read_snapshot(spark, snapshot_dir, k0)
 
-    def materialise(df: DataFrame, k: int) -> DataFrame:
-        if checkpoint_every and k % checkpoint_every == 0:
-            if snapshot_dir:
-                write_snapshot(df, snapshot_dir, k)
-                return read_snapshot(spark, snapshot_dir, k)
-            return df.checkpoint(eager=True)
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-
     def measure(df: DataFrame) -> tuple[float, float]:
         r = df.agg(l1_delta_col().alias("d"), fixed_point_delta_col().alias("f")).first()
         return float(r["d"]), float(r["f"])
 
+    def advance(df: DataFrame, k: int) -> tuple[DataFrame, float, float]:
+        """Materialise update k and return it with its two deltas."""
+        if checkpoint_every and k % checkpoint_every == 0:
+            if snapshot_dir:
+                write_snapshot(df, snapshot_dir, k)
+                out = read_snapshot(spark, snapshot_dir, k)
+                return (out, *measure(out))
+            obs = Observation(f"rankflow_delta_{k}")
+            out = df.observe(obs, l1_delta_col().alias("d"),
+                             fixed_point_delta_col().alias("f")).checkpoint(eager=True)
+            m = obs.get
+            return out, float(m["d"]), float(m["f"])
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return (out, *measure(out))
+
     status, last_tested = "max_iterations", 0.0
     k = k0
     cached: DataFrame | None = None
@@ -266,8 +312,7 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
                 status, last_tested = "converged", tested
         while status != "converged" and k < max_iter:
             k += 1
-            new = materialise(step(g, state, damping, base), k)
-            d, f = measure(new)
+            new, d, f = advance(step(g, state, damping, base), k)
             if cached is not None:
                 cached.unpersist()
             cached = new if new.storageLevel.useMemory or new.storageLevel.useDisk else None
@@ -279,8 +324,7 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
         if lag and status == "converged":
             for _ in range(lag):
                 k += 1
-                new = materialise(step(g, state, damping, base), k)
-                d, f = measure(new)
+                new, d, f = advance(step(g, state, damping, base), k)
                 if cached is not None:
                     cached.unpersist()
                 cached = new
@@ -311,7 +355,7 @@ def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
     return run(g, max_iter=iterations, tol=None, **kw)
 
 
-def rank_tagged_fixed(adj: DataFrame, iterations: int, checkpoint_every: int = 5,
+def rank_tagged_fixed(adj: DataFrame, iterations: int, checkpoint_every: int = 1,
                       damping: float = DAMPING, base: float = BASE) -> DataFrame:
     """``iterations`` updates of the one-shuffle tagged-union step (R8 loop).
 
