@@ -24,8 +24,10 @@ def read_log_lines(spark: SparkSession, pattern: str, algo: str | None = None) -
     the split's byte offset (``_metadata.file_block_start``), then the row
     order inside the split.
     """
+    # file names come URL-encoded ('{' -> %7B); keep a literal '+' as is
+    fname = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
     raw = spark.read.text(pattern).select(
-        "value", F.col("_metadata.file_name").alias("f"),
+        "value", fname.alias("f"),
         F.col("_metadata.file_block_start").alias("blk"))
     name = F.regexp_extract("f", r"^(.+?)(?:_mon|_full)?\.log$", 1)
     algo_col = F.lit(algo) if algo else F.regexp_extract(name, r"^([^_]+)_", 1)

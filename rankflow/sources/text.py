@@ -1,4 +1,4 @@
-"""Text sources: edge lists, adjacency TSV, vertex JSON, log folders."""
+"""Text sources: edge lists, adjacency TSV, vertex JSON (log folders: ``sources.logs``)."""
 
 from __future__ import annotations
 
@@ -57,21 +57,3 @@ def parse_vertex_json(lines: DataFrame, value: str = "value") -> DataFrame:
                     lambda x: F.struct(x[0].cast("bigint").alias("dst"),
                                        x[1].cast("float").alias("weight")))
         .cast(f"array<{VERTEX_JSON_EDGE}>").alias("edges"))
-
-
-def read_log_dir(spark: SparkSession, pattern: str, algo: str | None = None) -> DataFrame:
-    """(job_id, algo, pos, value) from log files named ``<algo>_<dataset>_<run>.log``.
-
-    Each file is read whole (``wholetext``) and split into numbered lines,
-    so line order is exact; files are spread over tasks, one job per file.
-    ``_mon`` / ``_full`` suffixes are removed from the job id.
-    """
-    raw = spark.read.option("wholetext", True).text(pattern).select(
-        F.input_file_name().alias("f"), "value")
-    name = F.regexp_extract("f", r"([^/]+?)(?:_mon|_full)?\.log$", 1)
-    algo_col = F.lit(algo) if algo else F.regexp_extract(name, r"^([^_]+)_", 1)
-    lines = raw.select(name.alias("job_id"), algo_col.alias("algo"),
-                       F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n"))
-                       .alias("pos", "value"))
-    return lines.select("job_id", "algo", F.col("pos").cast("bigint").alias("pos"),
-                        F.regexp_replace("value", "\r$", "").alias("value"))
