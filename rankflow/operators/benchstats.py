@@ -132,6 +132,11 @@ def scaling_exponent(avg: DataFrame, dim: DataFrame) -> DataFrame:
                            (F.ln(F.col("time")) - F.ln(pt)) / dl).alias("slope"))
 
 
+def presentation_order(df: DataFrame, dim: DataFrame, *then: str) -> DataFrame:
+    """Sort rows by the dataset's presentation order, then by ``then`` (O1)."""
+    return df.join(dim.select("dataset", "ord"), "dataset", "left").orderBy("ord", *then)
+
+
 def dataset_dim(spark: SparkSession, rows: list[tuple[str, int, str, int]]) -> DataFrame:
     """(dataset, ord, file, edges) from explicit rows."""
     schema = "dataset string, ord int, file string, edges bigint"

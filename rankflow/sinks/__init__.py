@@ -16,13 +16,24 @@ def to_adjacency_tsv(adj: DataFrame, rank: float = 1.0) -> DataFrame:
                                   F.array_join(_str_list("nbrs"), ",")).alias("value"))
 
 
-def to_vertex_json(adj: DataFrame, value: float = 1.0) -> DataFrame:
-    """(value): ``[id,1.0,[[n,0],...]]`` without blanks (K2)."""
+def to_vertex_json(adj: DataFrame, value: float = 1.0, style: str = "compact") -> DataFrame:
+    """(value): ``[id,1.0,[[n,0],...]]`` per vertex (K2).
+
+    ``style='compact'`` writes no blanks; ``style='python'`` writes the
+    ``json.dumps`` spacing ``[1, 1.0, [[2, 0], [3, 0]]]`` and casts ids to
+    integers (ids that are not integers become null there).
+    """
+    if style not in ("compact", "python"):
+        raise ValueError("style must be 'compact' or 'python'")
+    sep = ", " if style == "python" else ","
+
+    def ident(c):
+        return c.try_cast("bigint").cast("string") if style == "python" else c.cast("string")
     pairs = F.transform(F.col("nbrs"),
-                        lambda x: F.concat(F.lit("["), x.cast("string"), F.lit(",0]")))
-    return adj.select(F.concat(F.lit("["), F.col("id").cast("string"),
-                               F.lit("," + repr(float(value)) + ",["),
-                               F.array_join(pairs, ","), F.lit("]]")).alias("value"))
+                        lambda x: F.concat(F.lit("["), ident(x), F.lit(sep + "0]")))
+    return adj.select(F.concat(F.lit("["), ident(F.col("id")),
+                               F.lit(sep + repr(float(value)) + sep + "["),
+                               F.array_join(pairs, sep), F.lit("]]")).alias("value"))
 
 
 def rank_lines(ranks: DataFrame) -> DataFrame:

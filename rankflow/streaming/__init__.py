@@ -1,0 +1,9 @@
+"""Streaming: nothing to build.
+
+The ranking study has no streaming part: no watermark, event-time window,
+state or late data.  Its monitor and job logs are read after a job ends and
+are parsed as batch DataFrames (``rankflow.sources.logs``).  The log readers
+only use the file source, so they can be pointed at a growing log folder
+with ``spark.readStream.text`` by a caller; no streaming operator is added
+here, as the reference defines none.
+"""
