@@ -10,8 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A Java-style trim removes every char <= U+0020 at both ends.
-_LEAD_CTRL = r"^[\x00-\x20]+"
-_TRAIL_CTRL = r"[\x00-\x20]+$"
+_CTRL = "".join(chr(i) for i in range(0x21))
 # A number as captured by the log rules (digits, dot, E, minus).
 NUMBER_PATTERN = r"([0-9\.E-]+)"
 # Scale of the integer error counter of the batch rule.
@@ -24,7 +23,7 @@ def _c(c: Column | str) -> Column:
 
 def java_trim(c: Column | str) -> Column:
     """Strip all chars <= U+0020 at both ends (Spark's trim only strips blanks)."""
-    return F.regexp_replace(F.regexp_replace(_c(c), _LEAD_CTRL, ""), _TRAIL_CTRL, "")
+    return F.btrim(_c(c), F.lit(_CTRL))
 
 
 def split_ws(c: Column | str) -> Column:

@@ -15,6 +15,12 @@ from ..functions import split_ws, token, try_double
 MB = 1048576.0
 
 
+def exact_avg(c: Column) -> Column:
+    """Mean over an exact decimal sum, so the result does not depend on how
+    the rows are split over tasks (a double sum does, in its last bits)."""
+    return F.avg(c.cast("decimal(38,10)")).cast("double")
+
+
 def _last(value: Column, pos: str = "pos") -> Column:
     """Value of the last line (by pos) where value is not null."""
     return F.max_by(value, F.when(value.isNotNull(), F.col(pos)))
@@ -25,7 +31,7 @@ def _last(value: Column, pos: str = "pos") -> Column:
 def cpu_util(samples: DataFrame) -> DataFrame:
     """(job_id, cpu_utilization): mean %user + %system of 'all' rows, 0 if none."""
     return samples.groupBy("job_id").agg(
-        F.coalesce(F.avg(F.col("cpu_user") + F.col("cpu_system")), F.lit(0.0))
+        F.coalesce(exact_avg(F.col("cpu_user") + F.col("cpu_system")), F.lit(0.0))
         .alias("cpu_utilization"))
 
 
@@ -47,7 +53,7 @@ def network_mb(samples: DataFrame, runs: DataFrame) -> DataFrame:
     interface rows x total time / 1024 (T3a, the intended rule)."""
     rate = F.when((F.col("kind") == "iface") & (F.col("iface") != "lo"),
                   F.col("rx_kb_s") + F.col("tx_kb_s"))
-    rates = samples.groupBy("job_id").agg(F.avg(rate).alias("rate"))
+    rates = samples.groupBy("job_id").agg(exact_avg(rate).alias("rate"))
     return _with_time(rates, runs, "network_communication")
 
 
@@ -55,7 +61,7 @@ def network_mb_compat(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """(job_id, network_communication): the as-coded rule, which also averages
     CPU and memory rows (T3b; reproduces the published column)."""
     rates = samples.groupBy("job_id").agg(
-        F.avg(F.col("compat_a") + F.col("compat_b")).alias("rate"))
+        exact_avg(F.col("compat_a") + F.col("compat_b")).alias("rate"))
     return _with_time(rates, runs, "network_communication")
 
 
@@ -150,10 +156,10 @@ def monitor_summary(samples: DataFrame) -> DataFrame:
     iface = F.when((F.col("kind") == "iface") & (F.col("iface") != "lo"),
                    F.col("rx_kb_s") + F.col("tx_kb_s"))
     return samples.groupBy("job_id").agg(
-        F.avg(F.col("cpu_user") + F.col("cpu_system")).alias("cpu_utilization"),
+        exact_avg(F.col("cpu_user") + F.col("cpu_system")).alias("cpu_utilization"),
         (F.max(kb) / F.lit(1024.0 * 1024.0)).alias("peak_memory_usage"),
-        F.avg(iface).alias("iface_rate"),
-        F.avg(F.col("compat_a") + F.col("compat_b")).alias("compat_rate"))
+        exact_avg(iface).alias("iface_rate"),
+        exact_avg(F.col("compat_a") + F.col("compat_b")).alias("compat_rate"))
 
 
 def log_summary(parsed: DataFrame) -> DataFrame:

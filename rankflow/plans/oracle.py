@@ -380,10 +380,11 @@ SELECT job_id,
 FROM ({PARSED}) GROUP BY job_id"""
 
 MONITOR_SUMMARY = f"""
-SELECT job_id, avg(cpu_user + cpu_system) AS cpu_utilization,
+SELECT job_id, avg(CAST(cpu_user + cpu_system AS DECIMAL(38, 10))) AS cpu_utilization,
        max(CASE WHEN kbmemused > 1024 THEN kbmemused END) / (1024.0 * 1024.0) AS peak_memory_usage,
-       avg(CASE WHEN kind = 'iface' AND iface <> 'lo' THEN rx_kb_s + tx_kb_s END) AS iface_rate,
-       avg(compat_a + compat_b) AS compat_rate
+       avg(CAST(CASE WHEN kind = 'iface' AND iface <> 'lo' THEN rx_kb_s + tx_kb_s END
+                AS DECIMAL(38, 10))) AS iface_rate,
+       avg(CAST(compat_a + compat_b AS DECIMAL(38, 10))) AS compat_rate
 FROM ({SAMPLES}) GROUP BY job_id"""
 
 SQL["job_iterations"] = f"SELECT job_id, iterations_to_converge FROM ({LOG_SUMMARY})"

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import capture_number, last_position, split_ws, token, try_double
+from ..functions import (capture_number, java_trim, last_position, split_ws, token,
+                         try_double)
 
 # The superstep pattern of the BSP rule (on the lower-cased line).
 SUPERSTEP_PATTERN = r"superstep\s*[:=]?\s*(-?\d+)"
@@ -120,4 +121,4 @@ def parse_sar(lines: DataFrame) -> DataFrame:
 
 def java_blank(c) -> F.Column:
     """True when the line is empty after a Java-style trim."""
-    return F.regexp_replace(c, r"[\x00-\x20]", "") == ""
+    return java_trim(c) == ""

@@ -34,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than the session's
+    parallelism (e.g. one small parquet row group) before row-local work.
+
+    Inputs that already come in enough splits - any large table - are left
+    untouched, so this never adds a shuffle at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -74,7 +87,7 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src string, dst string): 'p<page_id>' -> every href of the page."""
-    pg = table(spark, sf_dir, "pages")
+    pg = spread(table(spark, sf_dir, "pages"))
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(HREF_PATTERN), F.lit(1))
     return pg.select(F.concat(F.lit("p"), _s(F.col("page_id"))).alias("src"),
                      F.explode(hrefs).alias("dst"))
@@ -127,7 +140,7 @@ def _jobs(ev: DataFrame) -> DataFrame:
 
 def job_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, algo, pos, value): one job-log line per event."""
-    ev = _jobs(table(spark, sf_dir, "events"))
+    ev = _jobs(spread(table(spark, sf_dir, "events")))
     c, sub, et = F.col("c"), F.col("sub"), F.col("event_type")
     line = (
         F.when((et == "view") & (sub == 0),
@@ -184,7 +197,7 @@ def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     view/click print a CPU block, signup/purchase a memory block, error an
     interface block with a loopback row.  Each job starts with a banner.
     """
-    ev = _jobs(table(spark, sf_dir, "events"))
+    ev = _jobs(spread(table(spark, sf_dir, "events")))
     c = F.col("c")
     clk = F.when(F.pmod("event_id", F.lit(2)) == 1, F.lit("12:00:01 AM")).otherwise(
         F.lit("00:00:01"))
@@ -236,7 +249,7 @@ METRICS_COLUMNS = ["algorithm", "dataset", "job_id", "total_execution_time",
 
 def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value string): one metrics CSV row (with unit suffixes) per order."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     c = F.round("o_totalprice").cast("bigint")
     algo = (F.when(F.col("o_orderstatus") == "F", F.lit("giraph"))
             .when(F.col("o_orderstatus") == "O", F.lit("mapreduce"))
