@@ -2,9 +2,10 @@
 
 Plan per update (the only driver work is one scalar row per update):
 
-* ``prepare`` runs once: collapse parallel edges into a multiplicity,
-  compute out-degrees and the vertex set, decide how ranks reach the edges,
-  and cut the lineage with a reliable checkpoint.
+* ``prepare`` runs once: collapse parallel edges into a multiplicity (the
+  only pass over the input, cut by a reliable checkpoint), compute
+  out-degrees and the vertex set from it, and lay out vertices by id and
+  edges by src, persisted, with the same partition count.
 * Ranks reach the edges by a **co-partitioned join**: the state is
   hash-partitioned by id and the edges of ordinary sources by src with the
   same partition count, so the vote join needs no exchange at all.
@@ -111,30 +112,28 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     p = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    # Parallel edges collapse to a multiplicity (partial + final aggregate);
-    # this one job reads the input, everything below reads its checkpoint.
+    # Parallel edges collapse to a multiplicity (partial + final aggregate,
+    # so a hot source or pair is combined map-side); this is the one job that
+    # reads the input, and its reliable checkpoint cuts the lineage.
     mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult")).checkpoint(
         eager=True)
-    deg = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"),
-                                  F.count(F.lit(1)).alias("fanout"))
-    ids = mult.select(F.col("src").alias("id")).union(
-        mult.select(F.col("dst").alias("id"))).distinct()
-    verts = ids.join(deg, ids["id"] == deg["src"], "left").select(
-        "id",
-        F.coalesce("outdeg", F.lit(0)).cast("bigint").alias("outdeg"),
-        F.greatest(F.lit(1), F.ceil(F.coalesce("fanout", F.lit(0)) / F.lit(salt_chunk)))
-        .cast("int").alias("nsalt"))
-    # Lineage cut under the session's own settings (AQE may split a skewed
-    # source in the joins below); a reliable checkpoint under AQE does not
-    # keep the hash partitioning, so the partitioned copies the loop joins
-    # against are made afterwards with AQE off and persisted: a lost block is
-    # recomputed from the checkpoint files, not from the input.
-    verts = verts.checkpoint(eager=True)
-
-    is_str = isinstance(verts.schema["id"].dataType, T.StringType)
-    id_len = F.avg(F.length("id")) if is_str else F.lit(8.0)
-    stats = verts.agg(F.count(F.lit(1)).alias("n"), id_len.alias("w"),
-                      F.count_if(F.col("nsalt") > 1).alias("hot")).first()
+    with _LoopConf(spark, p, adaptive=False):
+        # AQE off: the join output stays hash-partitioned by id with p
+        # partitions, the layout the loop joins against; a lost block is
+        # recomputed from the checkpoint, not from the input.
+        deg = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"),
+                                      F.count(F.lit(1)).alias("fanout"))
+        ids = mult.select(F.col("src").alias("id")).union(
+            mult.select(F.col("dst").alias("id"))).distinct()
+        verts = ids.join(deg, ids["id"] == deg["src"], "left").select(
+            "id",
+            F.coalesce("outdeg", F.lit(0)).cast("bigint").alias("outdeg"),
+            F.greatest(F.lit(1), F.ceil(F.coalesce("fanout", F.lit(0)) / F.lit(salt_chunk)))
+            .cast("int").alias("nsalt")).persist(StorageLevel.MEMORY_AND_DISK)
+        is_str = isinstance(verts.schema["id"].dataType, T.StringType)
+        id_len = F.avg(F.length("id")) if is_str else F.lit(8.0)
+        stats = verts.agg(F.count(F.lit(1)).alias("n"), id_len.alias("w"),
+                          F.count_if(F.col("nsalt") > 1).alias("hot")).first()
     n = int(stats["n"])
     n_hot = int(stats["hot"])
     if broadcast:
@@ -148,6 +147,8 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     if broadcast or n_hot == 0:
         emat = mult
     else:
+        # Under the session's settings (AQE may split the hot sources'
+        # partitions of this join), then cut the lineage again.
         hot = verts.where(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
         tagged = mult.join(hot, "src", "left").select(
             "src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("nsalt")), F.lit(0))
@@ -155,10 +156,8 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
             F.col("nsalt").isNotNull().alias("hot")).checkpoint(eager=True)
         emat = tagged.where(~F.col("hot")).select("src", "dst", "mult")
         hot_edges = tagged.where(F.col("hot")).select("src", "salt", "dst", "mult")
-    with _LoopConf(spark, p, adaptive=False):
-        verts = verts.repartition(p, "id").persist(StorageLevel.MEMORY_AND_DISK)
-        verts.count()
-        if not broadcast:
+    if not broadcast:
+        with _LoopConf(spark, p, adaptive=False):
             emat = emat.repartition(p, "src").persist(StorageLevel.MEMORY_AND_DISK)
             emat.count()
             if hot_edges is not None:

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("RANKFLOW_DRIVER_MEM", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        # superseded loop states are deleted from the checkpoint folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
