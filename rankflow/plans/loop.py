@@ -47,6 +47,8 @@ TOLERANCE = 1e-4
 MAX_ITERATIONS = 500
 # Largest number of distinct out-neighbours of one source per join bucket.
 SALT_CHUNK = 50_000
+# Edge rows per partition aimed at when the partition count is chosen.
+EDGE_ROWS_PER_PARTITION = 2_000_000
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("iter", T.IntegerType(), False),
@@ -98,6 +100,16 @@ def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
     return int(m.group(1)) * mult
 
 
+def choose_partitions(spark: SparkSession, edge_rows: int) -> int:
+    """Partitions for the loop: about EDGE_ROWS_PER_PARTITION edges each, at
+    least the session's parallelism, at most ``spark.sql.shuffle.partitions``
+    (the cluster's own bound)."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = spark.sparkContext.defaultParallelism
+    want = -(-edge_rows // EDGE_ROWS_PER_PARTITION)
+    return max(1, min(cap, max(floor, want)))
+
+
 def prepare(edges: DataFrame, num_partitions: int | None = None,
             broadcast: bool = False, broadcast_bytes: int | None = None,
             salt_chunk: int = SALT_CHUNK) -> LinkGraph:
@@ -111,12 +123,14 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    p = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     # Parallel edges collapse to a multiplicity (partial + final aggregate,
     # so a hot source or pair is combined map-side); this is the one job that
-    # reads the input, and its reliable checkpoint cuts the lineage.
-    mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult")).checkpoint(
-        eager=True)
+    # reads the input, and its reliable checkpoint cuts the lineage.  The
+    # number of distinct edges is observed in the same job.
+    obs = Observation("rankflow_edges")
+    mult = (edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+            .observe(obs, F.count(F.lit(1)).alias("e")).checkpoint(eager=True))
+    p = int(num_partitions or choose_partitions(spark, int(obs.get["e"])))
     with _LoopConf(spark, p, adaptive=False):
         # AQE off: the join output stays hash-partitioned by id with p
         # partitions, the layout the loop joins against; a lost block is
