@@ -57,10 +57,15 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
+def group_mean(m: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """(keys..., runs, mean of each col) by the given keys (A5)."""
+    return m.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"),
+                                *[F.avg(c).alias(c) for c in cols])
+
+
 def average_metrics(m: DataFrame) -> DataFrame:
     """(dataset, algorithm, runs, <4 means>) (B2)."""
-    return m.groupBy("dataset", "algorithm").agg(
-        F.count(F.lit(1)).alias("runs"), *[F.avg(c).alias(c) for c in AVERAGED])
+    return group_mean(m, ["dataset", "algorithm"], list(AVERAGED))
 
 
 def normalized_iter_time(avg: DataFrame, dim: DataFrame) -> DataFrame:

@@ -36,6 +36,16 @@ def to_vertex_json(adj: DataFrame, value: float = 1.0, style: str = "compact") -
                                F.array_join(pairs, sep), F.lit("]]")).alias("value"))
 
 
+def write_adjacency_tsv(adj: DataFrame, path: str, rank: float = 1.0) -> None:
+    """Write K1 lines as text files (fails if the folder exists)."""
+    to_adjacency_tsv(adj, rank).write.mode("errorifexists").text(path)
+
+
+def write_vertex_json(adj: DataFrame, path: str, style: str = "compact") -> None:
+    """Write K2 lines as text files (fails if the folder exists)."""
+    to_vertex_json(adj, style=style).write.mode("errorifexists").text(path)
+
+
 def rank_lines(ranks: DataFrame) -> DataFrame:
     """(value): ``id\\tvalue`` per vertex (K3 text form)."""
     return ranks.select(F.concat_ws("\t", F.col("id").cast("string"),

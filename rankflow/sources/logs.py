@@ -39,6 +39,9 @@ def read_log_lines(spark: SparkSession, pattern: str, algo: str | None = None) -
         F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+read_log_dir = read_log_lines   # the survey's name for S9
+
+
 def parse_job_log(lines: DataFrame) -> DataFrame:
     """Per line: (job_id, algo, pos, final_diff, total_diff, any_diff, cand_diff,
     superstep, success) (S6).
