@@ -19,9 +19,11 @@ The DuckDB oracle builds the same inputs with the same expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import next_in_group
+
 # The order of lines inside one order, with enough columns that
 # no ties remain.
 ORDER_LINE_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
@@ -65,10 +67,10 @@ def fmt2(c: Column) -> Column:
 # ---------------------------------------------------------------- graphs
 
 def _order_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the part of the next line of its order (null for the last)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER_LINE_KEYS)
-    w = Window.partitionBy("l_orderkey").orderBy(*ORDER_LINE_KEYS)
-    return li.select("l_orderkey", "l_partkey", "l_linenumber",
-                     F.lead("l_partkey").over(w).alias("next_partkey"))
+    return next_in_group(li, "l_orderkey", ORDER_LINE_KEYS, "l_partkey",
+                         out="next_partkey", keep=["l_linenumber"])
 
 
 def co_purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
