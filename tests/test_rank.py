@@ -169,3 +169,19 @@ def test_update_plan_has_one_exchange_and_no_python(spark, golden_edges):
     # partitioned once, in prepare)
     assert plan.count("ENSURE_REQUIREMENTS") == 1, plan
     assert "Python" not in plan and "BatchEval" not in plan
+
+
+def test_hot_source_is_salted_and_spread(spark):
+    # one hub sends to 400 targets (plus parallel edges), a few ordinary edges
+    edges = [("hub", f"t{i}") for i in range(400)] + [("hub", "t1"), ("hub", "t1")]
+    edges += [(f"t{i}", "hub") for i in range(0, 400, 7)] + [("t3", "t4"), ("t4", "t3")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    g = L.prepare(df, salt_chunk=50, num_partitions=6)
+    assert g.num_hot == 1 and g.hot_edges is not None
+    per_part = (g.hot_edges.groupBy(F.spark_partition_id().alias("p")).count()
+                .agg(F.count(F.lit(1)).alias("parts"), F.max("count").alias("mx")).first())
+    assert per_part["parts"] >= 4 and per_part["mx"] <= 150   # 8 buckets of ~50 targets
+    want, k, status, _ = brute_force(edges)
+    res = L.run(g)
+    assert (res.iterations, res.status) == (k, status)
+    assert close(as_dict(res.ranks), want, 1e-9)
