@@ -43,8 +43,8 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
     """Run a vertex program over the edge multiset ``edges`` (src, dst).
 
     Expressions may use ``outdeg``, the value columns, ``msg`` (combined
-    message, null if none arrived), ``superstep``, and in aggregators the
-    previous values as ``old_<name>``.  ``halt(s, aggregates_of_s_minus_1)``
+    message, null if none arrived), ``superstep``; ``vote_to_halt`` and the
+    aggregators see the new values and the previous ones as ``old_<name>``.  ``halt(s, aggregates_of_s_minus_1)``
     is the master hook, called before superstep s >= 1.
     """
     g = graph or prepare(edges, **prep_kw)
@@ -75,18 +75,23 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
             run_it = F.col("active") | F.col("msg").isNotNull()
             cols = [F.when(run_it, update[n]).otherwise(F.col(n)).alias(n) for n in names]
             olds = [F.col(n).alias(f"old_{n}") for n in names]
+            stepped = j.select("id", "outdeg", "nsalt", *cols, *olds, run_it.alias("ran"))
+            # vote to halt sees the new values and old_<name>; a vertex that did
+            # not run stays halted until a message arrives; the vertex of
+            # superstep == max_supersteps votes to halt (cap)
             halt_col = vote_to_halt if vote_to_halt is not None else F.lit(False)
-            # The vertex of superstep == max_supersteps votes to halt (cap).
-            active = (run_it & ~halt_col & F.lit(s < max_supersteps))
-            new = j.select("id", "outdeg", "nsalt", *cols, active.alias("active"), *olds,
-                           run_it.alias("ran"))
+            active = F.col("ran") & ~halt_col & F.lit(s < max_supersteps)
+            new = stepped.select("id", "outdeg", "nsalt", *names, active.alias("active"),
+                                 *[f"old_{n}" for n in names], "ran")
             agg_cols = [F.coalesce(e, F.lit(0.0)).alias(k) for k, e in aggregators.items()]
             agg_cols.append(F.coalesce(F.max(F.col("active").cast("int")), F.lit(0))
                             .alias("__any"))
+            keep = ["id", "outdeg", "nsalt", *names, "active"]
             if checkpoint_every and s % checkpoint_every == 0:
-                # aggregators observed in the result stage of the checkpoint job
+                # aggregators observed in the result stage of the checkpoint
+                # job; only the state columns are written
                 obs = Observation(f"rankflow_superstep_{s}")
-                new = new.observe(obs, *agg_cols).checkpoint(eager=True)
+                new = new.observe(obs, *agg_cols).select(*keep).checkpoint(eager=True)
                 row = obs.get
             else:
                 new = new.persist(StorageLevel.MEMORY_AND_DISK)

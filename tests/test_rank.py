@@ -185,3 +185,29 @@ def test_hot_source_is_salted_and_spread(spark):
     res = L.run(g)
     assert (res.iterations, res.status) == (k, status)
     assert close(as_dict(res.ranks), want, 1e-9)
+
+
+def test_vertex_program_min_combiner_and_vote_to_halt(spark):
+    from rankflow.operators.vertex_program import vertex_program
+    edges = _random_edges(5, n=25, m=30)
+    edges = edges + [(d, s) for s, d in edges]           # both directions
+    df = spark.createDataFrame(edges, "src string, dst string")
+    res = vertex_program(
+        df,
+        init={"label": F.col("id")},
+        send=F.col("label"),
+        update={"label": F.least(F.col("label"), F.coalesce("msg", F.col("label")))},
+        combine="min",
+        vote_to_halt=F.col("label") == F.col("old_label"),
+        aggregators={"changed": F.sum((F.col("label") != F.col("old_label")).cast("double"))})
+    # plain Python: smallest id reachable = component minimum
+    ids = sorted({x for e in edges for x in e})
+    lab = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for s, d in edges:
+            if lab[s] < lab[d]:
+                lab[d], changed = lab[s], True
+    assert as_dict(res.vertices, "label") == lab
+    assert res.halted_by == "inactive"
