@@ -47,8 +47,10 @@ TOLERANCE = 1e-4
 MAX_ITERATIONS = 500
 # Largest number of distinct out-neighbours of one source per join bucket.
 SALT_CHUNK = 50_000
-# Edge rows per partition aimed at when the partition count is chosen.
+# Edge rows per partition aimed at when the partition count is chosen, and
+# the fewest worth a task of their own.
 EDGE_ROWS_PER_PARTITION = 2_000_000
+MIN_EDGE_ROWS_PER_PARTITION = 10_000
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("iter", T.IntegerType(), False),
@@ -102,10 +104,12 @@ def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
 
 def choose_partitions(spark: SparkSession, edge_rows: int) -> int:
     """Partitions for the loop: about EDGE_ROWS_PER_PARTITION edges each, at
-    least the session's parallelism, at most ``spark.sql.shuffle.partitions``
-    (the cluster's own bound)."""
+    least the session's parallelism (but not below MIN_EDGE_ROWS_PER_PARTITION
+    edges a partition, so a small graph on a big cluster stays small), at
+    most ``spark.sql.shuffle.partitions`` (the cluster's own bound)."""
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = spark.sparkContext.defaultParallelism
+    floor = min(spark.sparkContext.defaultParallelism,
+                -(-edge_rows // MIN_EDGE_ROWS_PER_PARTITION))
     want = -(-edge_rows // EDGE_ROWS_PER_PARTITION)
     return max(1, min(cap, max(floor, want)))
 

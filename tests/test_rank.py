@@ -161,15 +161,17 @@ def test_resume_equals_uninterrupted(spark, tmp_path, golden_edges):
 
 
 def test_update_plan_has_one_exchange_and_no_python(spark, golden_edges):
-    g = L.prepare(golden_edges)
-    after_two = L.run(g, tol=None, max_iter=2).state      # a checkpointed loop state
-    with L._LoopConf(spark, g.num_partitions, False):
-        for st in (L.initial_state(g).checkpoint(eager=True), after_two):
-            plan = L.step(g, st)._jdf.queryExecution().executedPlan().toString()
-            # one shuffle per update: the partial vote sums (the cached edges
-            # were partitioned once, in prepare; the state keeps its layout)
-            assert plan.count("ENSURE_REQUIREMENTS") == 1, plan
-            assert "Python" not in plan and "BatchEval" not in plan
+    for parts, want in ((4, 1), (1, 0)):    # one partition needs no exchange
+        g = L.prepare(golden_edges, num_partitions=parts)
+        after_two = L.run(g, tol=None, max_iter=2).state      # a checkpointed loop state
+        with L._LoopConf(spark, g.num_partitions, False):
+            for st in (L.initial_state(g).checkpoint(eager=True), after_two):
+                plan = L.step(g, st)._jdf.queryExecution().executedPlan().toString()
+                # one shuffle per update: the partial vote sums (the cached
+                # edges were partitioned once, in prepare; the state keeps
+                # its layout)
+                assert plan.count("ENSURE_REQUIREMENTS") == want, plan
+                assert "Python" not in plan and "BatchEval" not in plan
 
 
 def test_hot_source_is_salted_and_spread(spark):
