@@ -47,6 +47,7 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
     aggregators see the new values and the previous ones as ``old_<name>``.  ``halt(s, aggregates_of_s_minus_1)``
     is the master hook, called before superstep s >= 1.
     """
+    own = graph is None
     g = graph or prepare(edges, **prep_kw)
     spark = g.vertices.sparkSession
     names = list(init)
@@ -106,6 +107,8 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
             if not row["__any"]:
                 halted_by = "inactive" if s < max_supersteps else "max_supersteps"
                 break
+    if own and checkpoint_every == 1:
+        g.release()        # the final state is read from its checkpoint
     return VertexProgramResult(state.select("id", *names), last, history, halted_by)
 
 

@@ -76,6 +76,12 @@ class LinkGraph:
     num_partitions: int
     broadcast: bool
 
+    def release(self) -> None:
+        """Drop the persisted copies (results read from checkpoints stay valid)."""
+        for df in (self.vertices, self.edges, self.hot_edges):
+            if df is not None:
+                df.unpersist()
+
 
 @dataclass
 class RankResult:
@@ -360,8 +366,11 @@ def rank_until(edges: DataFrame, tol: float = TOLERANCE, max_iter: int = MAX_ITE
     prep_kw = {k: kw.pop(k) for k in ("num_partitions", "broadcast", "broadcast_bytes",
                                       "salt_chunk") if k in kw}
     g = prepare(edges, **prep_kw)
-    return run(g, max_iter=max_iter, tol=tol, delta=delta, lag=lag,
-               min_updates=min_updates, **kw)
+    try:
+        return run(g, max_iter=max_iter, tol=tol, delta=delta, lag=lag,
+                   min_updates=min_updates, **kw)
+    finally:
+        g.release()
 
 
 def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
@@ -369,7 +378,10 @@ def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
     prep_kw = {k: kw.pop(k) for k in ("num_partitions", "broadcast", "broadcast_bytes",
                                       "salt_chunk") if k in kw}
     g = prepare(edges, **prep_kw)
-    return run(g, max_iter=iterations, tol=None, **kw)
+    try:
+        return run(g, max_iter=iterations, tol=None, **kw)
+    finally:
+        g.release()
 
 
 def rank_tagged_fixed(adj: DataFrame, iterations: int, checkpoint_every: int = 1,
