@@ -375,9 +375,11 @@ def q_metrics_csv(spark, sf):
 @query("convergence_rate")
 def q_convergence_rate(spark, sf):
     m = TM.log_summary(_parsed(spark, sf))
-    return m.select("job_id", r6(TM.convergence_rate(1.0, F.col("final_diff"),
-                                                      F.col("iterations_to_converge")),
-                                 "convergence_rate"))
+    it = F.col("iterations_to_converge")
+    return m.select("job_id",
+                    r6(TM.convergence_rate(1.0, F.col("final_diff"), it), "convergence_rate"),
+                    # the collection script's constants: initial 1.0, final 0.0001
+                    r6(TM.convergence_rate(1.0, 0.0001, it), "convergence_rate_script"))
 
 
 @query("bytes_sent")
