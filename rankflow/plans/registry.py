@@ -13,13 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import benchstats as BS
 from ..operators import graph as G
 from ..operators import rank as R
+from ..operators import telemetry as TM
 from ..operators.vertex_program import link_rank_program
 from ..plans import loop as L
 from ..session import ensure_checkpoint_dir
-from ..sinks import to_adjacency_tsv, to_vertex_json
+from ..sinks import format_metrics, to_adjacency_tsv, to_vertex_json
 from ..sources import tables as TB
+from ..sources.logs import parse_job_log, parse_sar
 from ..sources.text import parse_adjacency_tsv, parse_edges, parse_vertex_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,9 +293,6 @@ def get(name: str) -> Query:
 
 # ---------------------------------------------------------------- telemetry
 
-from ..operators import telemetry as TM  # noqa: E402
-from ..sinks import format_metrics  # noqa: E402
-from ..sources.logs import parse_job_log, parse_sar  # noqa: E402
 
 
 def _parsed(spark, sf):
@@ -415,7 +415,6 @@ def q_count_lines(spark, sf):
 
 # ---------------------------------------------------------- benchmark stats
 
-from ..operators import benchstats as BS  # noqa: E402
 
 
 def _typed(spark, sf):
