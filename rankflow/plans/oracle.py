@@ -98,6 +98,11 @@ FROM (SELECT string_split(regexp_replace(value, chr(9) || '+$', ''), chr(9)) AS
 WHERE len(p) >= 2"""
 
 SQL["edges_to_json"] = JSON_LINES
+SQL["edges_to_json_python"] = f"""
+SELECT '[' || CAST(id AS VARCHAR) || ', 1.0, ['
+       || array_to_string(list_transform(nbrs, lambda x: '[' || CAST(x AS VARCHAR) || ', 0]'), ', ')
+       || ']]' AS value
+FROM ({_adjacency(CO_PURCHASE)})"""
 
 SQL["parse_json"] = f"""
 SELECT CAST(json_extract(value, '$[0]') AS BIGINT) AS id,

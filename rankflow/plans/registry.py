@@ -85,6 +85,11 @@ def q_edges_to_json(spark, sf):
     return to_vertex_json(_co_adj(spark, sf))
 
 
+@query("edges_to_json_python")
+def q_edges_to_json_python(spark, sf):
+    return to_vertex_json(_co_adj(spark, sf), style="python")
+
+
 @query("parse_json")
 def q_parse_json(spark, sf):
     p = parse_vertex_json(to_vertex_json(_co_adj(spark, sf)))
