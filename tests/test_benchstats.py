@@ -67,3 +67,12 @@ def test_units_and_header_variants(spark, tmp_path):
     typed = {r["job_id"]: r for r in BS.typed_metrics(raw).collect()}
     assert typed["a1"]["convergence_rate"] == pytest.approx(99.9)
     assert typed["a_small_1"]["final_diff"] == 0.0
+
+
+def test_metrics_csv_with_glob_characters_in_names(spark, tmp_path):
+    f = tmp_path / "giraph_small_{1}.csv"
+    f.write_text("algorithm,dataset,job_id,total_execution_time,avg_iteration_time,"
+                 "network_communication,peak_memory_usage,iterations_to_converge,final_diff,"
+                 "cpu_utilization\n" + ROWS[0] + "\n\n")
+    raw = BS.read_metrics_csv(spark, str(tmp_path))
+    assert [r["job_id"] for r in raw.collect()] == ["a_small_1"]
