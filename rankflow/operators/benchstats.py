@@ -66,7 +66,9 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
     if "final_diff" in raw.columns:
         cols.append(try_double("final_diff").alias("final_diff"))
     if "convergence_rate" in raw.columns:
-        cols.append(strip_units("convergence_rate").alias("convergence_rate"))
+        # only the older header variant has it: null for the other rows
+        cr = F.col("convergence_rate")
+        cols.append(F.when(cr.isNotNull(), strip_units(cr)).alias("convergence_rate"))
     return raw.select(*cols)
 
 
