@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import split_ws, token, try_double
 
 MB = 1048576.0
+# Line labels of the collect-metrics rules (T10-T12) and the
+# assumed bytes per shuffled record.
+BYTES_SENT_LABEL = "Bytes sent"
+MEMORY_USED_LABEL = "Memory Used"
+MAP_RECORDS_LABEL = "Map input records"
+REDUCE_RECORDS_LABEL = "Reduce input records"
+BYTES_PER_RECORD = 100
 
 
 def exact_avg(c: Column) -> Column:
@@ -102,13 +109,13 @@ def convergence_rate(initial: Column | float, final: Column | float,
 
 def bytes_sent_mb(lines: DataFrame) -> DataFrame:
     """(job_id, bytes_sent_mb): sum of the 3rd token of 'Bytes sent' lines / 2^20."""
-    v = F.when(F.col("value").contains("Bytes sent"),
+    v = F.when(F.col("value").contains(BYTES_SENT_LABEL),
                F.coalesce(try_double(token(split_ws("value"), 2)), F.lit(0.0)))
     return lines.groupBy("job_id").agg(
         (F.coalesce(F.sum(v), F.lit(0.0)) / F.lit(MB)).alias("bytes_sent_mb"))
 
 
-def shuffle_mb_estimate(lines: DataFrame, bytes_per_record: int = 100) -> DataFrame:
+def shuffle_mb_estimate(lines: DataFrame, bytes_per_record: int = BYTES_PER_RECORD) -> DataFrame:
     """(job_id, shuffle_mb): (map input + reduce input records) x 100 B / 2^20.
 
     The record counts are the numbers after 'Map input records' and 'Reduce
@@ -116,15 +123,15 @@ def shuffle_mb_estimate(lines: DataFrame, bytes_per_record: int = 100) -> DataFr
     """
     def rec(label: str) -> Column:
         return try_double(F.regexp_extract("value", label + r"\s*[=:]?\s*(\d+)", 1))
-    recs = F.coalesce(rec("Map input records"), F.lit(0.0)) + F.coalesce(
-        rec("Reduce input records"), F.lit(0.0))
+    recs = F.coalesce(rec(MAP_RECORDS_LABEL), F.lit(0.0)) + F.coalesce(
+        rec(REDUCE_RECORDS_LABEL), F.lit(0.0))
     return lines.groupBy("job_id").agg(
         (F.sum(recs) * F.lit(float(bytes_per_record)) / F.lit(MB)).alias("shuffle_mb"))
 
 
 def max_memory_gb(lines: DataFrame) -> DataFrame:
     """(job_id, max_memory_gb): largest 3rd token of 'Memory Used' lines / 1024."""
-    v = F.when(F.col("value").contains("Memory Used"),
+    v = F.when(F.col("value").contains(MEMORY_USED_LABEL),
                F.coalesce(try_double(token(split_ws("value"), 2)), F.lit(0.0)))
     return lines.groupBy("job_id").agg(
         F.coalesce(F.max(v) / F.lit(1024.0), F.lit(0.0)).alias("max_memory_gb"))

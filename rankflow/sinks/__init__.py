@@ -61,15 +61,16 @@ def write_ranks(ranks: DataFrame, path: str, fmt: str = "text") -> None:
 
 
 def format_metrics(m: DataFrame) -> DataFrame:
-    """(value): one CSV row per job,
-    ``%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%`` (K5)."""
+    """(value): one CSV row per job in the metrics-row format (K5)."""
     return m.select(F.format_string(
-        "%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%",
+        METRICS_ROW_FORMAT,
         "algorithm", "dataset", "job_id", "total_execution_time", "avg_iteration_time",
         "network_communication", "peak_memory_usage", "iterations_to_converge",
         "final_diff", "cpu_utilization").alias("value"))
 
 
+# The metrics row format and its header line.
+METRICS_ROW_FORMAT = "%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%"
 METRICS_HEADER = ("algorithm,dataset,job_id,total_execution_time,avg_iteration_time,"
                   "network_communication,peak_memory_usage,iterations_to_converge,"
                   "final_diff,cpu_utilization")

@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import (capture_number, java_trim, last_position, split_ws, token,
                          try_double)
 
-# The superstep pattern of the BSP rule (on the lower-cased line).
+# The superstep pattern of the BSP rule (on the lower-cased
+# line); the line labels the job-log rules look for; the monitor-log
+# tokens and skipped-line markers.
 SUPERSTEP_PATTERN = r"superstep\s*[:=]?\s*(-?\d+)"
+FINAL_LABEL, TOTAL_LABEL, ANY_LABEL = "Final Diff:", "Total Diff:", "Diff:"
+SUCCESS_TEXT = "completed successfully"
+SKIPPED_MARKERS = ("Linux", "Average", "IFACE")
+CLOCK_TOKENS = ("AM", "PM")
 
 
 def read_log_lines(spark: SparkSession, pattern: str, algo: str | None = None) -> DataFrame:
@@ -57,11 +63,11 @@ def parse_job_log(lines: DataFrame) -> DataFrame:
     """
     v = F.col("value")
     low = F.lower(v)
-    has_final = v.contains("Final Diff:")
-    final_diff = F.when(has_final, capture_number(v, "Final Diff:"))
-    total_diff = F.when(~has_final & v.contains("Total Diff:"),
-                        capture_number(v, "Total Diff:"))
-    any_diff = F.when(v.contains("Diff:"), capture_number(v, "Diff:"))
+    has_final = v.contains(FINAL_LABEL)
+    final_diff = F.when(has_final, capture_number(v, FINAL_LABEL))
+    total_diff = F.when(~has_final & v.contains(TOTAL_LABEL),
+                        capture_number(v, TOTAL_LABEL))
+    any_diff = F.when(v.contains(ANY_LABEL), capture_number(v, ANY_LABEL))
     is_bsp = F.col("algo") == "giraph"
     step_line = low.contains("superstep") & (low.contains("finish") | low.contains("completed"))
     step = F.when(is_bsp & step_line,
@@ -74,7 +80,7 @@ def parse_job_log(lines: DataFrame) -> DataFrame:
         F.when(is_bsp, total_diff).otherwise(F.coalesce(any_diff, total_diff))
         .alias("cand_diff"),
         step.alias("superstep"),
-        v.contains("completed successfully").alias("success"))
+        v.contains(SUCCESS_TEXT).alias("success"))
 
 
 def parse_sar(lines: DataFrame) -> DataFrame:
@@ -93,11 +99,13 @@ def parse_sar(lines: DataFrame) -> DataFrame:
       with more than v+5 tokens (the as-coded network rule).
     """
     v = F.col("value")
-    keep = ~((java_blank(v)) | v.contains("Linux") | v.contains("Average")
-             | v.contains("IFACE"))
+    skip = java_blank(v)
+    for marker in SKIPPED_MARKERS:
+        skip = skip | v.contains(marker)
+    keep = ~skip
     t = lines.where(keep).select("job_id", "pos", v.alias("line"), split_ws(v).alias("p"))
     n = F.size("p")
-    vs = F.when((n > 1) & token("p", 1).isin("AM", "PM"), F.lit(2)).otherwise(F.lit(1))
+    vs = F.when((n > 1) & token("p", 1).isin(*CLOCK_TOKENS), F.lit(2)).otherwise(F.lit(1))
     t = t.withColumn("v", vs).withColumn("ai", last_position("p", "all") - 1)
     has_cpu = F.col("line").contains("CPU")
     ai, vv = F.col("ai"), F.col("v")
