@@ -94,10 +94,10 @@ def _next_split(df: DataFrame, group: str, keys: list[str], value: str, out: str
     heads = s.groupBy("_pid").agg(F.min(head).alias("h"))
     nxt_head = heads.select(
         "_pid", F.lead("h").over(Window.orderBy("_pid")).alias("nh"))
-    tails = shifted.where(F.col("_tail")).drop(out).join(
-        F.broadcast(nxt_head), "_pid", "left").select(
-        *[c for c in slim.columns], F.when(F.col("nh")["k0"] == F.col(group),
-                                           F.col("nh")["v"]).alias(out),
-        F.lit(True).alias("_tail"))
-    body = shifted.where(~F.col("_tail"))
-    return body.unionByName(tails).select(group, *keep, value, out)
+    # one pass: every row meets its slice's successor head (a table with one
+    # row per partition, so the broadcast is bounded); only tail rows use it
+    nh = F.col("nh")
+    fixed = F.when(F.col("_tail"), F.when(nh["k0"] == F.col(group), nh["v"])).otherwise(
+        F.col(out))
+    return shifted.join(F.broadcast(nxt_head), "_pid", "left").select(
+        group, *keep, value, fixed.alias(out))
