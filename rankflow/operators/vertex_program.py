@@ -39,6 +39,7 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
                    vote_to_halt: Column | None = None,
                    max_supersteps: int = MAX_ITERATIONS,
                    checkpoint_every: int = 1, graph: LinkGraph | None = None,
+                   vertices: DataFrame | None = None,
                    **prep_kw) -> VertexProgramResult:
     """Run a vertex program over the edge multiset ``edges`` (src, dst).
 
@@ -46,6 +47,10 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
     message, null if none arrived), ``superstep``; ``vote_to_halt`` and the
     aggregators see the new values and the previous ones as ``old_<name>``.  ``halt(s, aggregates_of_s_minus_1)``
     is the master hook, called before superstep s >= 1.
+
+    ``vertices`` (optional, one row per id): its columns are visible to the
+    ``init`` expressions, and ids without any edge join the program with
+    out-degree 0 (they only ever run in superstep 1).
     """
     own = graph is None
     g = graph or prepare(edges, **prep_kw)
@@ -53,9 +58,15 @@ def vertex_program(edges: DataFrame, init: dict[str, Column], send: Column,
     names = list(init)
     aggregators = aggregators or {}
     combiner = _COMBINERS[combine]
-    state = g.vertices.select("id", "outdeg", "nsalt",
-                              *[init[n].alias(n) for n in names],
-                              F.lit(True).alias("active"))
+    base_v = g.vertices
+    if vertices is not None:
+        base_v = vertices.join(g.vertices, "id", "full").select(
+            "*", F.coalesce("outdeg", F.lit(0)).alias("_od"),
+            F.coalesce("nsalt", F.lit(1)).alias("_ns")).drop("outdeg", "nsalt") \
+            .withColumnRenamed("_od", "outdeg").withColumnRenamed("_ns", "nsalt")
+    state = base_v.select("id", "outdeg", "nsalt",
+                          *[init[n].alias(n) for n in names],
+                          F.lit(True).alias("active"))
     history: list[dict] = []
     prev_aggs: dict = {}
     halted_by = "max_supersteps"
