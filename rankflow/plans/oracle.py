@@ -234,6 +234,7 @@ SQL["rank_until_salted"] = SQL["rank_until_l1"]
 SQL["rank_tagged_union"] = SQL["rank_fixed_10"]
 SQL["vertex_program_rank"] = SQL["rank_until_l1"]
 SQL["snapshot_resume"] = SQL["rank_until_l1"]
+SQL["vertex_program_from_json"] = SQL["rank_until_l1"]
 
 # --------------------------------------------------------------- telemetry
 

@@ -17,7 +17,7 @@ from ..operators import benchstats as BS
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import telemetry as TM
-from ..operators.vertex_program import link_rank_program
+from ..operators.vertex_program import link_rank_program, vertex_program
 from ..plans import loop as L
 from ..session import ensure_checkpoint_dir
 from ..sinks import format_metrics, to_adjacency_tsv, to_vertex_json
@@ -277,6 +277,22 @@ def q_vertex_program_rank(spark, sf):
     return res.vertices.select("id", r6("rank"))
 
 
+@query("vertex_program_from_json")
+def q_vertex_program_from_json(spark, sf):
+    # the BSP input path: vertex JSON lines (K2) -> parsed (S3) -> program
+    vj = parse_vertex_json(to_vertex_json(_co_adj(spark, sf)))
+    edges = vj.select(F.col("id").alias("src"), F.explode("edges").alias("e")).select(
+        "src", F.col("e.dst").alias("dst"))
+    res = vertex_program(
+        edges, vertices=vj.select("id", F.col("value").alias("v0")),
+        init={"rank": F.coalesce("v0", F.lit(1.0))},
+        send=F.col("rank") / F.col("outdeg"),
+        update={"rank": F.lit(R.BASE) + F.lit(R.DAMPING) * F.coalesce("msg", F.lit(0.0))},
+        aggregators={"sum_diff": F.sum(F.abs(F.col("rank") - F.col("old_rank")))},
+        halt=lambda s, agg: s > 1 and agg["sum_diff"] < L.TOLERANCE)
+    return res.vertices.select("id", r6("rank"))
+
+
 @query("snapshot_resume")
 def q_snapshot_resume(spark, sf):
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/snapshots-{uuid.uuid4().hex}"
