@@ -29,26 +29,35 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 def read_metrics_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """metrics_raw, all strings, from headed CSV files, folders or globs.
 
-    One text read: every data line gets the header line of its own file
-    (a join on the file path), and each header variant (9th column
-    ``final_diff`` or ``convergence_rate``) is parsed with ``from_csv`` under
-    its own column names; the variants union by name.  Only the distinct
-    header lines go to the driver.
+    One text read; see ``parse_metrics_text`` for the header variants.
     """
     lines = spark.read.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("file"))
+    return parse_metrics_text(lines)
+
+
+def parse_metrics_text(lines: DataFrame, value: str = "value", file: str = "file") -> DataFrame:
+    """metrics_raw (all strings) from CSV text lines tagged with their file.
+
+    Every data line gets the header line of its own file (a join on the
+    file), and each header variant (9th column ``final_diff`` or
+    ``convergence_rate``) is parsed with ``from_csv`` under its own column
+    names; the variants union by name.  Only the distinct header lines go to
+    the driver.
+    """
+    lines = lines.select(F.col(value).alias("value"), F.col(file).alias("file"))
     is_head = F.col("value").startswith("algorithm,")
     heads = lines.where(is_head).select("file", F.col("value").alias("header"))
     data = lines.where(~is_head & (F.length(F.trim("value")) > 0)).join(heads, "file")
     out = None
-    for h in heads.select("header").distinct().collect():
+    for h in heads.select("header").distinct().orderBy("header").collect():
         names = h["header"].split(",")
         ddl = ", ".join(f"`{c}` STRING" for c in names)
         part = data.where(F.col("header") == h["header"]).select(
             F.from_csv("value", ddl).alias("r")).select("r.*")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
-        return spark.createDataFrame([], RAW_SCHEMA)
+        return lines.sparkSession.createDataFrame([], RAW_SCHEMA)
     return out
 
 

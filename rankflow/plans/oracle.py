@@ -580,3 +580,27 @@ FROM (SELECT a.algorithm, a.dataset, d.ord, d.edges, a.total_execution_time AS t
              lag(d.edges) OVER (PARTITION BY a.algorithm ORDER BY d.ord) AS pe,
              lag(a.total_execution_time) OVER (PARTITION BY a.algorithm ORDER BY d.ord) AS pt
       FROM ({AVG}) a JOIN ({DIM}) d USING (dataset))"""
+
+METRICS_FILES = f"""
+SELECT CASE WHEN o_orderstatus = 'P' THEN 'old' ELSE 'new' END AS variant,
+  concat_ws(',', algo, ds, algo || '_' || ds || '_' || CAST(o_orderkey AS VARCHAR),
+    {_fmt2('c')} || 's', {_fmt2('c // 40')} || 's', {_fmt2('(c * 3) % 100000')} || 'MB',
+    {_fmt2('c % 500')} || 'GB', CAST(c % 100 + 1 AS VARCHAR),
+    CASE WHEN o_orderstatus = 'P' THEN {_fmt2('c % 10000')} || '%'
+         ELSE '0.0000' || CAST(c % 90 + 10 AS VARCHAR) END,
+    {_fmt2('(c * 7) % 10000')} || '%') AS value
+FROM (SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice) AS BIGINT) AS c,
+        CASE o_orderstatus WHEN 'F' THEN 'giraph' WHEN 'O' THEN 'mapreduce' ELSE 'spark' END AS algo,
+        replace(lower(string_split(o_orderpriority, '-')[-1]), ' ', '_') AS ds
+      FROM orders)"""
+
+SQL["metrics_header_variants"] = f"""
+SELECT f[1] AS algorithm, f[2] AS dataset, f[3] AS job_id,
+  TRY_CAST(f[8] AS INTEGER) AS iterations_to_converge,
+  """ + ", ".join(f"round({_strip(f'f[{i}]')}, 6) AS {c}"
+                  for i, c in ((4, "total_execution_time"), (5, "avg_iteration_time"),
+                               (6, "network_communication"), (7, "peak_memory_usage"),
+                               (10, "cpu_utilization"))) + f""",
+  CASE WHEN variant = 'new' THEN round(TRY_CAST(nullif(f[9], '') AS DOUBLE), 6) END AS final_diff,
+  CASE WHEN variant = 'old' THEN round({_strip('f[9]')}, 6) END AS convergence_rate
+FROM (SELECT variant, string_split(value, ',') AS f FROM ({METRICS_FILES}))"""

@@ -458,6 +458,14 @@ def q_strip_units(spark, sf):
                     *[r6(c) for c in BS.UNIT_COLUMNS], r6("final_diff"))
 
 
+@query("metrics_header_variants")
+def q_metrics_header_variants(spark, sf):
+    t = BS.typed_metrics(BS.parse_metrics_text(TB.metrics_files(spark, sf)))
+    return t.select("algorithm", "dataset", "job_id", "iterations_to_converge",
+                    *[r6(c) for c in BS.UNIT_COLUMNS], r6("final_diff"),
+                    r6("convergence_rate"))
+
+
 @query("dataset_dim")
 def q_dataset_dim(spark, sf):
     return TB.dataset_sizes(spark, sf)

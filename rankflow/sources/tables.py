@@ -272,6 +272,36 @@ def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(line.alias("value"))
 
 
+def metrics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, value): headed metrics CSV text in two files of different header
+    variants: orders of status 'P' write the older variant (9th column
+    ``convergence_rate`` as a percentage), the others the newer one
+    (``final_diff``)."""
+    o = spread(table(spark, sf_dir, "orders"))
+    c = F.round("o_totalprice").cast("bigint")
+    old = F.col("o_orderstatus") == "P"
+    fname = F.when(old, F.lit("metrics_old.csv")).otherwise(F.lit("metrics_new.csv"))
+    ninth = F.when(old, F.concat(fmt2(F.pmod(c, F.lit(10000))), F.lit("%"))).otherwise(
+        F.concat(F.lit("0.0000"), _s(F.pmod(c, F.lit(90)) + 10)))
+    algo = F.when(old, F.lit("spark")).otherwise(
+        F.when(F.col("o_orderstatus") == "F", F.lit("giraph")).otherwise(F.lit("mapreduce")))
+    ds = F.regexp_replace(F.lower(F.substring_index(F.col("o_orderpriority"), "-", -1)),
+                          " ", "_")
+    row = F.concat_ws(
+        ",", algo, ds, F.concat(algo, F.lit("_"), ds, F.lit("_"), _s(F.col("o_orderkey"))),
+        F.concat(fmt2(c), F.lit("s")), F.concat(fmt2(F.floor(c / 40)), F.lit("s")),
+        F.concat(fmt2(F.pmod(c * 3, F.lit(100000))), F.lit("MB")),
+        F.concat(fmt2(F.pmod(c, F.lit(500))), F.lit("GB")),
+        _s(F.pmod(c, F.lit(100)) + 1), ninth,
+        F.concat(fmt2(F.pmod(c * 7, F.lit(10000))), F.lit("%")))
+    rows = o.select(fname.alias("file"), row.alias("value"))
+    header = F.concat_ws(",", *[F.lit(x) for x in METRICS_COLUMNS[:8]],
+                         F.when(F.col("file") == "metrics_old.csv", F.lit("convergence_rate"))
+                         .otherwise(F.lit("final_diff")), F.lit(METRICS_COLUMNS[9]))
+    heads = rows.select("file").distinct().select("file", header.alias("value"))
+    return rows.unionByName(heads)
+
+
 def dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, ord, file, edges): the dataset dimension of the metrics rows.
 
