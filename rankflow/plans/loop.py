@@ -138,6 +138,8 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     # reads the input, and its reliable checkpoint cuts the lineage.  The
     # number of distinct edges is observed in the same job.
     obs = Observation("rankflow_edges")
+    # edges with a null end name no vertex and are ignored
+    edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     mult = (edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
             .observe(obs, F.count(F.lit(1)).alias("e")).checkpoint(eager=True))
     p = int(num_partitions or choose_partitions(spark, int(obs.get["e"])))

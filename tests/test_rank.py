@@ -246,3 +246,21 @@ def test_vertex_program_from_vertex_json(spark):
     got = {str(k): v for k, v in as_dict(res.vertices).items()}
     assert close({k: got[k] for k in STOP26}, STOP26, 1e-6)
     assert got["9"] == pytest.approx(0.15)
+
+
+def test_tagged_union_target_without_structure_row(spark):
+    # 'z' is only a link target: it becomes a vertex with old value 0, no links
+    state = spark.createDataFrame([("a", 1.0, ["b", "z"]), ("b", 1.0, ["a"])],
+                                  "id string, rank double, links array<string>")
+    got = {r["id"]: r for r in R.rank_by_tagged_union(state).collect()}
+    assert got["z"]["prev"] == 0.0 and list(got["z"]["links"]) == []
+    assert got["z"]["rank"] == pytest.approx(0.15 + 0.85 * 0.5)
+    assert got["a"]["rank"] == pytest.approx(0.15 + 0.85 * 1.0)
+    assert got["b"]["rank"] == pytest.approx(0.15 + 0.85 * 0.5)
+
+
+def test_null_ends_are_ignored(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "a"), (None, "a"), ("b", None)],
+                               "src string, dst string")
+    clean = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    assert as_dict(L.rank_until(df).ranks) == as_dict(L.rank_until(clean).ranks)
