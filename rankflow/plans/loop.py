@@ -85,6 +85,13 @@ class LinkGraph:
 
 @dataclass
 class RankResult:
+    """Outcome of a loop.
+
+    ``iterations`` counts the updates applied, including the extra one of
+    ``lag=1``; ``final_delta`` is the last tested delta (with ``lag=1`` the
+    one that met the tolerance); ``history`` has one row per update.
+    """
+
     ranks: DataFrame             # id, rank
     history: DataFrame           # iter, delta, delta_fixed
     status: str                  # converged | max_iterations
