@@ -2,8 +2,8 @@
 
 Update rule: ``rank' = base + damping * sum(rank(u) / outdeg(u))`` over the
 in-edges (u, v) of v; every parallel edge sends its own vote and counts in
-``outdeg(u)``.  Unnormalised: a
-sink's rank is sent to nobody, a vertex without in-edges gets ``base``.
+``outdeg(u)``.  Unnormalised: a sink's rank is sent to nobody, a vertex
+without in-edges gets ``base``.
 """
 
 from __future__ import annotations
