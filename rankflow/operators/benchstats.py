@@ -104,6 +104,8 @@ def normalized_iter_time(avg: DataFrame, dim: DataFrame) -> DataFrame:
 
 def _side_by_side(avg: DataFrame, a: str, b: str) -> DataFrame:
     """One row per dataset with both algorithms' means (P8: datasets with both only)."""
+    if a == b:
+        raise ValueError("compare two different algorithms")
     def pick(alg: str, c: str):
         return F.max(F.when(F.col("algorithm") == alg, F.col(c))).alias(f"{alg}__{c}")
     g = avg.where(F.col("algorithm").isin(a, b)).groupBy("dataset").agg(
