@@ -230,9 +230,16 @@ def deliver(g: LinkGraph, senders: DataFrame, value: str) -> DataFrame:
 def step(g: LinkGraph, state: DataFrame, damping: float = DAMPING,
          base: float = BASE) -> DataFrame:
     """One update over the prepared graph: (id, rank, prev, outdeg, nsalt)."""
-    send = state.where(F.col("outdeg") > 0).select(
-        "id", "nsalt", (F.col("rank") / F.col("outdeg")).alias("vote"))
-    sums = deliver(g, send, "vote").groupBy(F.col("dst").alias("id")).agg(
+    vote = (F.col("rank") / F.col("outdeg")).alias("vote")
+    if not g.broadcast and g.hot_edges is None:
+        # every source is ordinary: the same join as ``deliver``, built with
+        # fewer DataFrame calls (each one is analysed on the driver)
+        votes = state.where(F.col("outdeg") > 0).select(F.col("id").alias("src"), vote)
+        joined = g.edges.join(votes.hint("shuffle_hash"), "src")
+    else:
+        joined = deliver(g, state.where(F.col("outdeg") > 0).select("id", "nsalt", vote),
+                         "vote")
+    sums = joined.groupBy(F.col("dst").alias("id")).agg(
         F.sum(F.col("vote") * F.col("mult")).alias("s"))
     return state.join(sums.hint("shuffle_hash"), "id", "left").select(
         "id",
