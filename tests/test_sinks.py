@@ -56,3 +56,6 @@ def test_telemetry_plan_is_jvm_only(spark):
                                  "job_id string, algorithm string, dataset string, total_time double")
     plan = TM.job_metrics(logs, s, runs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+    # per-job aggregates are combined map-side before their shuffle (a job
+    # with a huge log never lands whole in one task)
+    assert "partial_max_by" in plan and "partial_avg" in plan
