@@ -35,6 +35,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,22 +271,24 @@ class _LoopConf:
 
 
 def _list_snapshots(spark: SparkSession, base: str) -> list[int]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Updates with a complete snapshot, from the manifest markers."""
+    try:
+        m = spark.read.parquet(f"{base.rstrip('/')}/manifest")
+    except AnalysisException:           # no snapshot written yet
         return []
-    done = []
-    for st in fs.listStatus(path):
-        m = re.fullmatch(r"iter=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            done.append(int(m.group(1)))
-    return sorted(done)
+    return sorted(int(r["iter"]) for r in m.select("iter").distinct().collect())
 
 
 def write_snapshot(state: DataFrame, base: str, i: int) -> None:
-    """Write the state of update i to ``<base>/iter=<i>``; fails if it exists (K4)."""
-    state.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/iter={i}")
+    """Write the state of update i to ``<base>/iter=<i>``; fails if it exists (K4).
+
+    A one-row marker ``<base>/manifest/iter=<i>`` is written after the
+    snapshot has committed, so a resume only sees complete snapshots.
+    """
+    base = base.rstrip("/")
+    state.write.mode("errorifexists").parquet(f"{base}/iter={i}")
+    state.sparkSession.createDataFrame([(True,)], "done boolean").write.mode(
+        "errorifexists").parquet(f"{base}/manifest/iter={i}")
 
 
 def read_snapshot(spark: SparkSession, base: str, i: int) -> DataFrame:
