@@ -22,7 +22,9 @@ def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     """(dst, vote): one vote rank/outdeg per out-edge.
 
     Vertices without out-edges send nothing: the inner join never divides
-    by a zero out-degree.
+    by a zero out-degree.  This one-step form joins the edges on ``src``
+    and leaves a hot source to AQE's skew-join splitting; the loop
+    (``plans.loop``) salts hot sources itself.
     """
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
     send = ranks.join(deg, ranks["id"] == deg["src"]).select(
