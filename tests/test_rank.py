@@ -264,3 +264,34 @@ def test_null_ends_are_ignored(spark):
                                "src string, dst string")
     clean = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
     assert as_dict(L.rank_until(df).ranks) == as_dict(L.rank_until(clean).ranks)
+
+
+def test_partition_count_bounds():
+    class Conf:
+        def __init__(self, n):
+            self.n = n
+
+        def get(self, key, default=None):
+            return str(self.n)
+
+    class Session:
+        def __init__(self, cap, par):
+            self.conf = Conf(cap)
+            self.sparkContext = type("SC", (), {"defaultParallelism": par})()
+
+    assert L.choose_partitions(Session(200, 8), 0) == 1
+    assert L.choose_partitions(Session(200, 8), 45_257) == 5         # >= 10 k edges each
+    assert L.choose_partitions(Session(200, 8), 452_764) == 8        # the parallelism
+    assert L.choose_partitions(Session(200, 4000), 10**7) == 200     # capped by the conf
+    assert L.choose_partitions(Session(10**6, 8), 10**12) == 500_000     # ~2 M edges each
+
+
+def test_broadcast_is_refused_above_the_limit(spark, golden_edges):
+    assert L._bytes_conf(spark, "rankflow.none", 7) == 7
+    spark.conf.set("rankflow.test.bytes", "10MB")
+    assert L._bytes_conf(spark, "rankflow.test.bytes", 0) == 10 << 20
+    spark.conf.unset("rankflow.test.bytes")
+    assert L.prepare(golden_edges, broadcast=True, broadcast_bytes=10).broadcast is False
+    g = L.prepare(golden_edges, broadcast=True, broadcast_bytes=10 << 20)
+    assert g.broadcast is True
+    assert close(as_dict(L.run(g).ranks), STOP26, 1e-6)
