@@ -3,6 +3,7 @@
     python -m rankflow preprocess EDGES OUT_TSV OUT_JSON
     python -m rankflow rank INPUT OUT [--format edges|tsv|json] [--delta l1|fixed_point]
                        [--tol 1e-4] [--max-iter 500] [--lag 0] [--snapshot-dir DIR] [--resume]
+                       [--partitions N] [--salt-chunk N]
     python -m rankflow metrics --runs RUNS_CSV --logs GLOB --monitor GLOB OUT
                        [--network interface|as_coded]
     python -m rankflow stats METRICS_CSV... --dataset NAME:ORD:EDGES ... [--num A --den B]
@@ -66,7 +67,8 @@ def cmd_preprocess(a) -> int:
 
 def cmd_rank(a) -> int:
     spark = _session()
-    g = L.prepare(_edges(spark, a.input, a.format))
+    g = L.prepare(_edges(spark, a.input, a.format), num_partitions=a.partitions,
+                  salt_chunk=a.salt_chunk)
     res = L.run(g, max_iter=a.max_iter, tol=a.tol, delta=a.delta, lag=a.lag,
                 snapshot_dir=a.snapshot_dir, resume=a.resume)
     col = "delta" if a.delta == "l1" else "delta_fixed"
@@ -133,6 +135,9 @@ def main(argv: list[str] | None = None) -> int:
     pr.add_argument("--lag", type=int, default=0)
     pr.add_argument("--snapshot-dir")
     pr.add_argument("--resume", action="store_true")
+    pr.add_argument("--partitions", type=int, help="loop partitions (default: sized by edges)")
+    pr.add_argument("--salt-chunk", type=int, default=L.SALT_CHUNK,
+                    help="distinct targets per bucket of a hot source")
     pm = sub.add_parser("metrics")
     pm.add_argument("out")
     pm.add_argument("--runs", required=True)

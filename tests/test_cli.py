@@ -50,7 +50,8 @@ def test_rank_log_reads_back_as_a_batch_job_log(spark, tmp_path, capsys):
     from rankflow.sources.logs import parse_job_log
     edges = tmp_path / "edges.txt"
     edges.write_text("\n".join(EDGE_LINES) + "\n")
-    main(["rank", str(edges), str(tmp_path / "r"), "--delta", "fixed_point"])
+    main(["rank", str(edges), str(tmp_path / "r"), "--delta", "fixed_point",
+          "--partitions", "3", "--salt-chunk", "1"])
     lines = capsys.readouterr().out.strip().splitlines()
     summary = TM.log_summary(parse_job_log(lines_df(spark, lines, "b", "mapreduce"))).first()
     assert summary["final_diff"] == pytest.approx(6e-05)
