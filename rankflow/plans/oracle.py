@@ -231,6 +231,9 @@ SQL["rank_capped"] = _final_status(rank_loop(CO_PURCHASE, 5), 1e-4)
 SQL["rank_until_sinks"] = _final_ranks(rank_loop(SUPPLY))
 SQL["rank_until_page_links"] = _final_ranks(rank_loop(PAGE_LINKS))
 SQL["rank_until_salted"] = SQL["rank_until_l1"]
+SQL["rank_lines"] = (SQL["rank_until_l1"].replace(
+    "SELECT id, round(r, 6) AS rank FROM pr",
+    "SELECT CAST(id AS VARCHAR) || chr(9) || CAST(round(r, 6) AS VARCHAR) AS value FROM pr"))
 SQL["rank_tagged_union"] = SQL["rank_fixed_10"]
 SQL["vertex_program_rank"] = SQL["rank_until_l1"]
 SQL["snapshot_resume"] = SQL["rank_until_l1"]

@@ -20,7 +20,7 @@ from ..operators import telemetry as TM
 from ..operators.vertex_program import link_rank_program, vertex_program
 from ..plans import loop as L
 from ..session import ensure_checkpoint_dir
-from ..sinks import format_metrics, to_adjacency_tsv, to_vertex_json
+from ..sinks import format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json
 from ..sources import tables as TB
 from ..sources.logs import parse_job_log, parse_sar
 from ..sources.text import parse_adjacency_tsv, parse_edges, parse_vertex_json
@@ -265,6 +265,12 @@ def q_rank_until_salted(spark, sf):
     return _ranks_out(_ranked(spark, sf, broadcast=False, salt_chunk=2))
 
 
+@query("rank_lines")
+def q_rank_lines(spark, sf):
+    # K3 text form (id TAB rank) of the converged ranks, rounded to 6 decimals
+    return rank_lines(_ranks_out(_ranked(spark, sf)))
+
+
 @query("rank_tagged_union")
 def q_rank_tagged_union(spark, sf):
     adj = G.adjacency(TB.co_purchase_edges(spark, sf))
