@@ -76,3 +76,9 @@ def test_metrics_csv_with_glob_characters_in_names(spark, tmp_path):
                  "cpu_utilization\n" + ROWS[0] + "\n\n")
     raw = BS.read_metrics_csv(spark, str(tmp_path))
     assert [r["job_id"] for r in raw.collect()] == ["a_small_1"]
+
+
+def test_presentation_order(avg, dim):
+    rows = BS.presentation_order(avg, dim, "algorithm").collect()
+    assert [(r["dataset"], r["algorithm"]) for r in rows] == [
+        ("small", "a"), ("small", "b"), ("large", "a"), ("large", "b"), ("huge", "a")]
