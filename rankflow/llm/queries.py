@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .licenses import op1
 from .mixing import op9
+from .quality import op6
+from .simhash import op4
+from .toxicity import op10
 
 QUERIES = {
+    "op1_license_scan": op1,
+    "op4_simhash": op4,
+    "op6_quality": op6,
     "op9_entropy_mix": op9,
+    "op10_toxicity": op10,
 }
 
 ORACLE: dict[str, str] = {}
