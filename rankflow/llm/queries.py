@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import op3
+from .decontaminate import op5
 from .licenses import op1
 from .mixing import op9
 from .quality import op6
@@ -10,7 +12,9 @@ from .toxicity import op10
 
 QUERIES = {
     "op1_license_scan": op1,
+    "op3_chat_format": op3,
     "op4_simhash": op4,
+    "op5_decontaminate": op5,
     "op6_quality": op6,
     "op9_entropy_mix": op9,
     "op10_toxicity": op10,
