@@ -7,11 +7,13 @@ from .decontaminate import op5
 from .licenses import op1
 from .mixing import op9
 from .quality import op6
+from .secrets import op2
 from .simhash import op4
 from .toxicity import op10
 
 QUERIES = {
     "op1_license_scan": op1,
+    "op2_secret_scan": op2,
     "op3_chat_format": op3,
     "op4_simhash": op4,
     "op5_decontaminate": op5,
