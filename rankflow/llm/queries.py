@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op3
 from .decontaminate import op5
+from .embeddings import op7
 from .licenses import op1
 from .mixing import op9
 from .quality import op6
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_simhash": op4,
     "op5_decontaminate": op5,
     "op6_quality": op6,
+    "op7_embedding_neardup": op7,
     "op9_entropy_mix": op9,
     "op10_toxicity": op10,
 }
