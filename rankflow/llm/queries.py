@@ -6,6 +6,7 @@ from .chat import op3
 from .decontaminate import op5
 from .embeddings import op7
 from .licenses import op1
+from .lm import op8
 from .mixing import op9
 from .quality import op6
 from .secrets import op2
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontaminate": op5,
     "op6_quality": op6,
     "op7_embedding_neardup": op7,
+    "op8_lm_score": op8,
     "op9_entropy_mix": op9,
     "op10_toxicity": op10,
 }
