@@ -65,15 +65,14 @@ def _slot(word: Column) -> Column:
 
 
 def windows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``n`` (windows that count), ``pos``, ``h`` and ``vals`` (the
-    slots' values in order, null without slots) of all template windows."""
+    """``keys``, ``pos``, ``h`` and ``vals`` (the slots' values in order, null
+    without slots) of all template windows that count."""
     t = templates(df, keys, text)
     pairs = F.filter(F.arrays_zip("raw", "canon"), lambda x: (x["canon"] != "") & (x["canon"] != "\n"))
-    # one binding of the filtered words: later uses don't compute it again
+    # bound once inside the generator: neither later uses nor a filter on the
+    # result compute the windows again
     w = F.transform(F.array(F.struct(pairs.alias("p"))), lambda s: _window_array(s["p"]))[0]
-    t = t.select(*keys, w.alias("w"))
-    return t.select(*keys, F.size("w").alias("n"), F.explode("w").alias("x")).select(
-        *keys, "n", "x.pos", "x.h", "x.vals")
+    return t.select(*keys, F.explode(w).alias("x")).select(*keys, "x.pos", "x.h", "x.vals")
 
 
 def _window_array(p: Column) -> Column:
@@ -106,9 +105,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
     """(doc_id, th, item_id, coverage, longest_run, n_slots) of every leaked
     item; ``th`` is the hash of the document's text."""
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
-    item_w = saved(windows(items, ["item_id"], "text")
-                   .select("item_id", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), "h",
-                           F.col("vals").alias("item_vals")))
+    item_w = saved(windows(items.withColumn("it", F.xxhash64("text")), ["item_id", "it"], "text"))
+    item_n = item_w.groupBy("item_id", "it").agg(F.count(F.lit(1)).alias("item_n"))
+    item_w = item_w.alias("w").join(item_n.alias("n"), F.expr("w.item_id <=> n.item_id and w.it = n.it")).select(
+        "w.item_id", "item_n", F.col("pos").alias("item_pos"), "h", F.col("vals").alias("item_vals"))
+    item_w = saved(item_w)
     small = item_w.limit(broadcast_windows + 1).count() <= broadcast_windows
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("text is not null")
     hits = windows(src, ["doc_id", "th"], "text").join(F.broadcast(item_w) if small else item_w, "h")
