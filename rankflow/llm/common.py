@@ -26,6 +26,13 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, lineage cut,
     readable after any executor is lost."""

@@ -142,9 +142,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` into which no item has leaked."""
-    bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    same = F.col("__d.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__d.text") == F.col("__th"))
-    return docs.alias("__d").join(bad, same, "left_anti")
+    bad = leaks(docs, benchmark, **how).select("doc_id", "th").distinct().alias("bad")
+    same = F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64("d.text") == F.col("bad.th"))
+    return docs.alias("d").join(bad, same, "left_anti")
 
 
 def op5(spark, sf_dir):

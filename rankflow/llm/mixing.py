@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, word_count
+from .common import free_name, saved, table, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -104,9 +104,10 @@ def solve_rates(hist: DataFrame, goal: DataFrame, cap: int = CAP, tol: float = 1
     return state.select("skey", F.round("lam", 9).alias("lam"), "mean")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    base = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, keep: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate,
+    copies, taken, and the column ``keep`` as ``kept``."""
+    base = saved(docs.select("doc_id", "source", F.col(keep).alias("kept"), word_count(F.col("text")).alias("size"),
                              _source_key("source").alias("skey"),
                              F.xxhash64("doc_id").alias("h")))
     goal = saved(targets(base, weights, budget, cap))
@@ -140,14 +141,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
     words = (words.withColumn("extra", (F.row_number().over(order) <= F.coalesce("kb", "k")).cast("long"))
              .withColumn("copies", F.floor("rate") + F.col("extra")))
     none = placed.filter("size = 0").withColumn("copies", F.lit(0).cast("long"))
-    cols = ["doc_id", "source", "skey", "size", "rate", "copies"]
+    cols = ["doc_id", "source", "kept", "skey", "size", "rate", "copies"]
     return (words.select(cols).unionByName(none.select(cols)).join(goal, "skey")
             .select("doc_id", "source", "size", F.col("total").alias("source_size"), "target",
                     F.coalesce("rate", F.lit(0.0)).alias("rate"), F.col("copies").cast("long").alias("copies"),
-                    (F.col("copies") * F.col("size")).cast("long").alias("taken")))
+                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), "kept"))
+
+
+def take(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it,
+    with the number of the copy (from 1).  Rows with the same id, source and
+    text count as one document that is taken as often as they are together."""
+    name = free_name(docs, "copy")
+    key = F.xxhash64("doc_id", "source", "text")
+    rated = mix(docs.withColumn(free_name(docs, "key"), key), keep=free_name(docs, "key"), **how)
+    plan = saved(rated.groupBy(F.col("kept").alias("key")).agg(F.count(F.lit(1)).alias("n"),
+                                                               F.sum("copies").alias("copies")).filter("copies > 0"))
+    rows = docs.alias("d").join(plan.alias("p"), F.xxhash64("d.doc_id", "d.source", "d.text") == F.col("p.key"))
+    once = rows.filter("p.n = 1").select("d.*", F.col("p.copies").alias(name))
+    again = (rows.filter("p.n > 1").groupBy("p.key", "p.copies")
+             .agg(F.min(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])).alias("row"))
+             .select("row.*", F.col("copies").alias(name)))
+    return once.unionByName(again).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))))
 
 
 def op9(spark, sf_dir):
-    from .common import table
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "rate")

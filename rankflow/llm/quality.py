@@ -169,6 +169,12 @@ def score(model: Model, text: Column, spark) -> Column:
     return run(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``."""
+    good = score(train(docs, labels, **how), F.col("text"), docs.sparkSession) >= least
+    return docs.filter(good)
+
+
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))

@@ -31,7 +31,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 
 PER_CLASS = 5000
 TREES, DEPTH = 24, 5
@@ -134,7 +134,7 @@ def _features(value: Column, before: Column, behind: Column, path: Column) -> di
         "credential_near": flag(before, CREDENTIAL),
         "assigned": flag(before, r"[=:]\s?[\"'`]?$"),
         "quoted": flag(before, "[\"'`]$"),
-        "checksum_near": flag(before, CHECKSUM),
+        "checksum_near": flag(before, CHECKSUM + r"\W{0,6}(?:\w+\W{1,3})?$"),
         "placeholder_near": flag(F.concat(before, F.lit(" "), value, F.lit(" "), behind), PLACEHOLDER),
         "closed": flag(behind, r"^[\"'`;,)\s]|^$"),
         "test_path": flag(path, TEST_PATH),
@@ -165,12 +165,14 @@ def _seed(kind: Column, f: dict[str, Column]) -> Column:
             .when((f["separators"] > 0.2) | (f["digits"] < 0.06), 0))
 
 
-def candidates(docs: DataFrame, text: str = "text", path: str | None = "source") -> DataFrame:
-    """Adds ``__pieces`` (the text around the candidates) and ``__found``, an
-    array of candidates with kind, seed label and features."""
+def candidates(docs: DataFrame, text: str = "text", path: str | None = "source") -> Column:
+    """A struct of ``pieces`` (the text around the candidates) and ``found``,
+    an array of candidates with kind, seed label and features; null without
+    candidates.  Meant for the inside of a generator, where it runs once."""
     t = F.col(text)
-    hit = t.rlike(CANDIDATE)  # most texts have none: one search and no arrays
     where = F.coalesce(F.col(path), F.lit("")) if path and path in docs.columns else F.lit("")
+    # most texts have no digit or no candidate: no arrays for them
+    hit = t.rlike("[0-9]|-----BEGIN") & t.rlike(CANDIDATE)
     parts = F.when(hit, F.struct(F.split(t, CANDIDATE, -1).alias("pieces"),
                                  F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("values")))
 
@@ -186,23 +188,23 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source")
                 F.struct(*[h[k].alias(k) for k in FEATURES]).alias("f")))[0]
         return F.struct(p["pieces"].alias("pieces"), F.transform(p["values"], build).alias("found"))
 
-    bound = F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), one(p)))[0]  # each search runs once
-    return docs.withColumn("__scan", bound)
+    return F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), one(p)))[0]  # each search runs once
 
 
 def labelled_findings(docs: DataFrame, per_class: int = PER_CLASS, **how) -> DataFrame:
     """(features..., label): the hand-labelled findings, and the clear cases
     of the corpus, at most ``per_class`` of each class in hash order."""
-    def rows(found, label):
-        return found.select("x.f.*", label.cast("double").alias("label"), F.xxhash64("x.value", "x.f").alias("h"))
-    some = candidates(docs, **how).filter("__scan is not null").select(F.explode("__scan.found").alias("x"))
-    some = rows(some.filter("x.seed is not null"), F.col("x.seed")).distinct()
+    def rows(df, label, **how):
+        found = df.select(F.explode(F.coalesce(candidates(df, **how)["found"], F.array())).alias("x"), label.alias("y"))
+        return found.select("x.f.*", F.coalesce("y", "x.seed").cast("double").alias("label"),
+                            F.xxhash64("x.value", "x.f").alias("h")).filter("label is not null")
     own = docs.sparkSession.createDataFrame(_labelled_texts(), "text string, y double")
-    own = rows(candidates(own, path=None).filter("__scan is not null").select("y", F.explode("__scan.found").alias("x")),
-               F.col("y"))
+    own = rows(own, F.col("y"), path=None).withColumn("place", F.lit(0))
+    # one search over the corpus for both classes; a partial top in every task
+    some = saved(rows(docs, F.lit(None).cast("double"), **how).distinct())
     for y in (0.0, 1.0):
-        own = own.unionByName(some.filter(F.col("label") == y).orderBy("h").limit(per_class))
-    return saved(own.coalesce(1).sortWithinPartitions("h").drop("h"))
+        own = own.unionByName(some.filter(F.col("label") == y).orderBy("h").limit(per_class).withColumn("place", F.lit(1)))
+    return saved(own.coalesce(1).sortWithinPartitions("place", "h").drop("h", "place"))
 
 
 def _tree_sql(lines: list[str], names) -> str:
@@ -237,22 +239,26 @@ def _votes(forest: list[str] | None) -> str:
     return "(" + " + ".join(re.sub(r"CASE WHEN (\w+)", r"CASE WHEN x.f.\1", t) for t in forest) + f") / {len(forest)}D"
 
 
-def scan(docs: DataFrame, forest: list[str] | None, text: str = "text", path: str | None = "source") -> DataFrame:
-    """Adds ``__pieces`` (the text around the candidates) and ``__found``:
-    array of (value, gap before it, kind, score); null without candidates."""
-    found = F.expr("transform(__scan.found, x -> struct(x.value as value, x.gap as gap, x.kind as kind, "
+def scan(docs: DataFrame, forest: list[str] | None, text: str = "text", path: str | None = "source",
+         name: str = "scan") -> DataFrame:
+    """Adds the column ``name``: ``pieces`` (the text around the candidates)
+    and ``found``, array of (value, gap before it, kind, score); null without
+    candidates."""
+    found = F.expr(f"transform(`{name}`.found, x -> struct(x.value as value, x.gap as gap, x.kind as kind, "
                    f"{_votes(forest)} as score))")
-    return (candidates(docs, text, path).withColumn("__pieces", F.col("__scan.pieces"))
-            .withColumn("__found", found).drop("__scan"))
+    got = docs.withColumn(name, F.explode(F.array(candidates(docs, text, path))))
+    return got.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(
+        F.col(name)["pieces"].alias("pieces"), found.alias("found"))))
 
 
 def findings(docs: DataFrame, forest: list[str] | None, cut: float = 0.5, **how) -> DataFrame:
     """One row per candidate: doc_id, start (code points), length, kind,
     score and whether it is held to be a secret."""
-    got = scan(docs, forest, **how).filter("__found is not null")
-    ends = F.expr("aggregate(__found, struct(0 as at, cast(array() as array<int>) as starts), (s, x) -> struct("
+    got = scan(docs.select("doc_id", "text", *[c for c in docs.columns if c == how.get("path", "source")]), forest, **how)
+    got = got.select("doc_id", F.explode(F.array("scan")).alias("s"))
+    ends = F.expr("aggregate(s.found, struct(0 as at, cast(array() as array<int>) as starts), (s, x) -> struct("
                   "s.at + x.gap + length(x.value) as at, concat(s.starts, array(s.at + x.gap)) as starts)).starts")
-    got = got.select("doc_id", F.explode(F.zip_with("__found", ends, lambda x, at: F.struct(
+    got = got.select("doc_id", F.explode(F.zip_with("s.found", ends, lambda x, at: F.struct(
         at.alias("start"), F.length(x["value"]).alias("length"), x["kind"].alias("kind"),
         F.round(x["score"], 6).alias("score")))).alias("x"))
     return got.select("doc_id", "x.*").withColumn("secret", F.col("score") >= cut)
@@ -261,12 +267,16 @@ def findings(docs: DataFrame, forest: list[str] | None, cut: float = 0.5, **how)
 def redact(docs: DataFrame, forest: list[str] | None, cut: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` with every secret replaced by ``[SECRET:kind]``;
     an ``n_chars`` column follows the change."""
-    got = scan(docs, forest, **how)
-    mixed = F.zip_with("__pieces", "__found", lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).when(
-        x["score"] >= cut, F.concat(F.lit("[SECRET:"), x["kind"], F.lit("]"))).otherwise(x["value"])))
-    got = got.withColumn("__new", F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.array_join(mixed, "")))
-    cols = [F.col("__new").alias("text") if c == "text" else
-            (F.col(c) + F.length("__new") - F.length("text")).cast(docs.schema[c].dataType).alias(c)
+    name = free_name(docs, "scan")
+    got = scan(docs, forest, name=name, **how)
+    mixed = F.zip_with(F.col(name)["pieces"], F.col(name)["found"], lambda p, x: F.concat(p, F.when(
+        x.isNull(), F.lit("")).when(x["score"] >= cut, F.concat(F.lit("[SECRET:"), x["kind"], F.lit("]")))
+        .otherwise(x["value"])))
+    new = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(mixed, ""))
+    made = free_name(got, "made")
+    got = got.withColumn(made, F.explode(F.array(new)))
+    cols = [F.col(made).alias("text") if c == "text" else
+            (F.col(c) + F.length(made) - F.length("text")).cast(docs.schema[c].dataType).alias(c)
             if c == "n_chars" and docs.schema[c].dataType.typeName() in ("long", "integer") else F.col(f"`{c}`")
             for c in docs.columns]
     cols = [F.coalesce(x, F.col("n_chars")).alias("n_chars") if c == "n_chars" else x

@@ -1,0 +1,99 @@
+"""Mixing: targets, rates and copies against plain Python."""
+
+import re
+from collections import defaultdict
+
+import pytest
+
+from rankflow.llm import mixing as M
+
+from .conftest import clash
+
+
+def size_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def slow_targets(sizes, weights=(3, 1, 2), budget=1.5, cap=2):
+    """{source: target} of (source, size) pairs, by resharing the excess."""
+    total = defaultdict(int)
+    for s, n in sizes:
+        total[s] += n
+    order = sorted((s for s in total if s is not None)) + [None] * (None in total)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = budget * sum(total.values()), set(order), {}
+    while open_:
+        share = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if w[s] * share >= cap * total[s]}
+        if not full:
+            out |= {s: w[s] * share for s in open_}
+            break
+        for s in full:
+            out[s] = cap * total[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def check_mix(rows, copies, slack=1.0):
+    """rows (id, text, source); copies by id: near the targets, at most twice."""
+    sizes = [(s, size_of(t)) for _, t, s in rows]
+    want = slow_targets(sizes)
+    got, largest = defaultdict(int), defaultdict(int)
+    for d, t, s in rows:
+        n = copies.get(d, 0)
+        assert 0 <= n <= 2
+        got[s] += n * size_of(t)
+        largest[s] = max(largest[s], size_of(t))
+    for s, t in want.items():
+        assert abs(got[s] - t) <= slack * largest[s] + 1e-6
+
+
+def test_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    want = slow_targets([(s, size_of(t)) for _, t, s in rows])
+    by_id = {d: (t, s) for d, t, s in rows}
+    got = M.op9(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text, source = by_id[r.doc_id]
+        assert r.size == size_of(text) and r.taken == r.copies * r.size and r.taken <= 2 * r.size
+        assert r.source_size == sum(size_of(t) for _, t, s in rows if s == source)
+        assert r.target == pytest.approx(want[source])
+    check_mix(rows, {r.doc_id: r.copies for r in got})
+    assert sorted(map(tuple, got)) == sorted(map(tuple, M.op9(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": [10] * 40, "b": [1] * 5, "c": [3] * 7},          # b and c reach twice their size
+    {"a": [1, 500, 3, 80, 80, 80, 2] * 9, "b": [7] * 300, None: [9, 9, 1], "é": [5]},
+    {"a": [4] * 9000, "b": [5] * 10},                      # one cell with many hash buckets
+    {"a": [0, 0], "b": [2, 2, 2]}, {"a": [6]},
+])
+def test_targets_and_copies(spark, sizes):
+    rows = [(s, n) for s, ns in sizes.items() for n in ns]
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df).collect()
+    want = slow_targets([(s, size_of(t)) for _, t, s in rows])
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
+    check_mix(rows, {r.doc_id: r.copies for r in got})
+    # the rates are a capped exponential tilt of the size inside each source
+    for s in sizes:
+        rates = sorted({(r.size, r.rate) for r in got if r.source == s and r.size})
+        assert all(0 < x <= 2 for _, x in rates)
+        ups = [x for _, x in rates]
+        assert ups == sorted(ups) or ups == sorted(ups, reverse=True)
+
+
+def test_odd_rows(spark, odd, no_docs):
+    got = M.mix(clash(odd, "size", "skey", "h", "b", "m", "k", "nb", "rate", "copies")).collect()
+    assert len(got) == odd.count()
+    assert all(r.taken == 0 for r in got if r.size == 0)
+    assert M.mix(no_docs).count() == 0
+    wide = clash(odd, "copy", "key", "n", "row")
+    out = M.take(wide)
+    assert out.columns == [*wide.columns, "copy_"]
+    want = sum(r.copies for r in got)
+    assert out.count() == want and M.take(no_docs).count() == 0
