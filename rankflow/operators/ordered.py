@@ -2,102 +2,51 @@
 
 ``lead(value) OVER (PARTITION BY group ORDER BY keys)`` puts every group
 into one task; a group holding a third of all rows would make one task do a
-third of the work.  Here rows are range-partitioned on the full key
-(group, keys...), so a hot group is split over as many tasks as its share
-of the sample says; each task shifts within its sorted slice (pandas over
-Arrow batches), and the last row of every slice takes the first row of the
-next non-empty slice when it belongs to the same group.  That fix-up table
-has one row per partition, a bound that does not grow with the data.
+third of the work.  Here the rows are range-partitioned on the full key
+(group, keys...), so a hot group is split over as many slices as its share
+of the sample says, and the slices are materialised once, reliably.  The
+window runs inside a slice; the last row of a group in a slice takes the
+group's first row in the next slice that has it.  There is one plan for all
+sizes, and both steps read the same materialised slices.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-# Rows of one group above which the window is not used.
-HOT_GROUP_ROWS = 1_000_000
+from ..session import ensure_checkpoint_dir
 
 
 def next_in_group(df: DataFrame, group: str, keys: list[str], value: str,
                   out: str = "next_value", keep: list[str] | None = None,
-                  num_partitions: int | None = None,
-                  hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """(group, keep..., value, out): ``out`` is ``value`` of the next row of
     the same group in (keys...) order, null for the last row of a group.
 
     The keys must order the rows of a group totally (no ties), as with
-    ``lead`` over a unique order.  A count per group (the group column only,
-    partial + final aggregate) first looks for a group above ``hot_rows``;
-    without one the plain window is used, with one the range-partitioned
-    plan.  ``hot_rows=None`` always takes the range-partitioned plan.
+    ``lead`` over a unique order.  Null is a group like any other.
     """
-    keep_cols = [c for c in (keep or []) if c not in (group, value)]
-    if hot_rows is not None:
-        hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(
-            F.col("n") > hot_rows).limit(1).count()
-        if hot == 0:
-            w = Window.partitionBy(group).orderBy(*keys)
-            return df.select(group, *keep_cols, value,
-                             F.lead(value).over(w).alias(out))
-    return _next_split(df, group, keys, value, out, keep_cols, num_partitions)
-
-
-def _next_split(df: DataFrame, group: str, keys: list[str], value: str, out: str,
-                keep: list[str], num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    p = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     order = [group, *keys]
-    cols = list(dict.fromkeys([*order, value, *keep]))
-    s = (df.select(*cols).repartitionByRange(p, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()))
-
-    vtype = df.schema[value].dataType
-    slim = s.select(group, value, *keep, "_pid")
-    out_schema = T.StructType(list(slim.schema.fields) + [
-        T.StructField(out, vtype, True), T.StructField("_tail", T.BooleanType(), False)])
-
-    int_types = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
-    g_int = isinstance(df.schema[group].dataType, int_types)
-    v_int = isinstance(vtype, int_types)
-
-    def shift(batches):
-        # rows arrive sorted; the last row of a batch waits for the next one
-        pending = None
-        for pdf in batches:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            g = pdf[group].astype("Int64") if g_int else pdf[group]
-            v = pdf[value].astype("Int64") if v_int else pdf[value]
-            same = (g.shift(-1) == g).fillna(False).astype(bool)
-            nxt = v.shift(-1).where(same)
-            body = pdf.iloc[:-1].copy()
-            body[out] = nxt.iloc[:-1].to_numpy()
-            body["_tail"] = False
-            pending = pdf.iloc[-1:].copy()
-            if len(body):
-                yield body
-        if pending is not None:
-            pending[out] = pd.array([None], dtype="Int64") if v_int else [None]
-            pending["_tail"] = True
-            yield pending
-
-    shifted = slim.mapInPandas(shift, out_schema)
-    # first row of every non-empty slice, then the head of the next slice
-    head = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)],
-                    F.col(value).alias("v"))
-    heads = s.groupBy("_pid").agg(F.min(head).alias("h"))
-    nxt_head = heads.select(
-        "_pid", F.lead("h").over(Window.orderBy("_pid")).alias("nh"))
-    # one pass: every row meets its slice's successor head (a table with one
-    # row per partition, so the broadcast is bounded); only tail rows use it
-    nh = F.col("nh")
-    fixed = F.when(F.col("_tail"), F.when(nh["k0"] == F.col(group), nh["v"])).otherwise(
-        F.col(out))
-    return shifted.join(F.broadcast(nxt_head), "_pid", "left").select(
-        group, *keep, value, fixed.alias(out))
+    cols = list(dict.fromkeys([*order, value, *(keep or [])]))
+    names = {c: f"c{i}" for i, c in enumerate(cols)}     # no clash with our own columns
+    n = [num_partitions] if num_partitions else []
+    slices = (df.select(*[F.col(c).alias(names[c]) for c in cols])
+              .repartitionByRange(*n, *[names[c] for c in order])
+              .withColumn("slice", F.spark_partition_id()).checkpoint(eager=True))
+    g, k, v = names[group], [names[c] for c in keys], names[value]
+    # a struct, so that a null value is not taken for a missing next row
+    here = F.lead(F.struct(F.col(v).alias("v"))).over(Window.partitionBy("slice", g).orderBy(*k))
+    heads = slices.groupBy("slice", g).agg(
+        F.min(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(k)],
+                       F.col(v).alias("v"))).alias("head"))
+    # only groups that a slice boundary cuts: at most one per slice
+    cut = heads.select("slice", F.col(g).alias("cut_group"), F.lead("head").over(
+        Window.partitionBy(g).orderBy("slice")).alias("head")).where("head IS NOT NULL")
+    rows = slices.withColumn("here", here).alias("r").join(
+        F.broadcast(cut).alias("n"),
+        (F.col("r.slice") == F.col("n.slice")) & F.col(f"r.{g}").eqNullSafe(F.col("cut_group")), "left")
+    nxt = F.when(F.col("here").isNotNull(), F.col("here.v")).otherwise(F.col("head.v"))
+    wanted = list(dict.fromkeys([group, *(keep or []), value]))
+    return rows.select(*[F.col(f"r.{names[c]}").alias(c) for c in wanted], nxt.alias(out))

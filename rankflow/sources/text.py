@@ -38,7 +38,8 @@ def parse_adjacency_tsv(lines: DataFrame, value: str = "value") -> DataFrame:
     return parts.select(
         F.col("p")[0].alias("id"),
         try_double(F.col("p")[1]).alias("rank"),
-        F.when(links == "", F.array().cast("array<string>"))
+        # commas alone name no neighbour
+        F.when(F.replace(links, F.lit(",")) == "", F.array().cast("array<string>"))
         .otherwise(split_drop_trailing(links, ",")).alias("nbrs"))
 
 
@@ -49,11 +50,12 @@ def parse_vertex_json(lines: DataFrame, value: str = "value") -> DataFrame:
     """(id bigint, value double, edges array<struct<dst,weight>>) from
     ``[id,value,[[dst,weight],...]]`` lines (S3)."""
     el = F.from_json(F.col(value), "array<string>")
-    pairs = F.from_json(el[2], "array<array<double>>")
+    pairs = F.from_json(el[2], "array<array<string>>")      # ids stay exact above 2^53
     return lines.select(
         el[0].try_cast("bigint").alias("id"),
         el[1].try_cast("double").alias("value"),
-        F.transform(F.coalesce(pairs, F.array().cast("array<array<double>>")),
-                    lambda x: F.struct(x[0].cast("bigint").alias("dst"),
-                                       x[1].cast("float").alias("weight")))
+        F.transform(F.coalesce(pairs, F.array().cast("array<array<string>>")),
+                    lambda x: F.struct(F.coalesce(x[0].try_cast("bigint"),
+                                                  x[0].try_cast("double").try_cast("bigint")).alias("dst"),
+                                       x[1].try_cast("float").alias("weight")))
         .cast(f"array<{VERTEX_JSON_EDGE}>").alias("edges"))

@@ -115,114 +115,73 @@ def test_collect_metrics_rules(spark):
     assert _one(rate, "r") == pytest.approx(9.999)
 
 
-def _sar_rule(lines):
-    """The monitor rules in plain Python: (cpu mean, mem max GB, as-coded rate mean)."""
-    ctrl = "".join(chr(i) for i in range(0x21))
-
-    def num(x):
-        try:
-            return float(x)
-        except (TypeError, ValueError):
-            return None
-    cpus, mems, nets = [], [], []
-    for line in lines:
-        if (not line.strip(ctrl) or "Linux" in line or "Average" in line
-                or "IFACE" in line):
-            continue
-        import re
-        p = re.split(r"[ \t\n\x0b\f\r]+", line.strip(ctrl))
-        v = 2 if len(p) > 1 and p[1] in ("AM", "PM") else 1
-        ai = max((i for i, t in enumerate(p) if t == "all"), default=-1)
-        if ai != -1 and len(p) > ai + 3:
-            a, b = num(p[ai + 1]), num(p[ai + 3])
-            if a is not None and b is not None:
-                cpus.append(a + b)
-        if ai == -1 and "CPU" not in line and len(p) > v + 2:
-            kb = num(p[v + 2])
-            if kb is not None and kb > 1024:
-                mems.append(kb / (1024.0 * 1024.0))
-        if "CPU" not in line and len(p) > v + 5 and p[v] != "lo":
-            a, b = num(p[v + 3]), num(p[v + 4])
-            if a is not None and b is not None:
-                nets.append(a + b)
-    mean = (lambda xs: sum(xs) / len(xs) if xs else None)
-    return mean(cpus), (max(mems) if mems else None), mean(nets)
-
-
-def test_sar_rules_on_random_lines(spark):
-    import random
-    rnd = random.Random(7)
-    toks = ["12:00:01", "AM", "PM", "all", "lo", "eth0", "CPU", "x", "1.50", "2048",
-            "3000000", "0.25", "-1", "7"]
-    jobs = {}
-    for j in range(6):
-        jobs[f"j{j}"] = [" ".join(rnd.choice(toks) for _ in range(rnd.randrange(1, 12)))
-                         for _ in range(300)]
-    rows = [(j, "giraph", i, x) for j, ls in jobs.items() for i, x in enumerate(ls)]
+# one monitor line -> (cpu %, peak memory GB, as-coded network rate), worked out by hand
+SAR_LINES = [
+    ("12:00:01 all 1.50 0.00 0.25 0.00", (1.75, None, None)),        # user and system after "all"
+    ("12:00:01 AM all 1 2 3", (4.0, None, None)),
+    ("12:00:01 all 1.50 9", (None, None, None)),                     # no system column
+    ("12:00:01 all x 0 0.25", (None, None, None)),                   # not a number
+    ("12:00:01 10 20 3145728", (None, 3.0, None)),                   # third value, in KB
+    ("12:00:01 PM 10 20 2097152 4", (None, 2.0, None)),              # a clock of two tokens
+    ("12:00:01 10 20 1024", (None, None, None)),                     # not above 1024 KB
+    ("12:00:01 eth0 1 2 10 20 0", (None, None, 30.0)),               # fourth and fifth value
+    ("12:00:01 lo 1 2 10 20 0", (None, None, None)),                 # loopback
+    ("12:00:01 CPU 1 2 10 20 0", (None, None, None)),
+    ("Linux 12:00 all 1 2 3", (None, None, None)),
+    ("Average: all 1 2 3", (None, None, None)),
+    ("12:00:01 IFACE 1 2 10 20 0", (None, None, None)),
+    ("", (None, None, None)),
+]
+
+
+def _monitor(spark, lines, job="j"):
+    rows = [(job, "giraph", i, x) for i, x in enumerate(lines)]
     df = spark.createDataFrame(rows, "job_id string, algo string, pos bigint, value string")
-    got = {r["job_id"]: r for r in TM.monitor_summary(parse_sar(df)).collect()}
-    for j, ls in jobs.items():
-        cpu, mem, net = _sar_rule(ls)
-        r = got[j]
-        for want, have in ((cpu, r["cpu_utilization"]), (mem, r["peak_memory_usage"]),
-                           (net, r["compat_rate"])):
-            assert (want is None and have is None) or have == pytest.approx(want, rel=1e-12)
-
-
-def _job_rule(lines, algo):
-    """The job-log rules in plain Python: (iterations, final diff)."""
-    import re
-    num = r"([0-9\.E-]+)"
-
-    def cap(label, line):
-        m = re.search(label + r"\s*" + num, line)
-        if not m:
-            return None
-        try:
-            return float(m.group(1))
-        except ValueError:
-            return None
-    it, final, found = 0, 0.0, False
-    for line in lines:
-        if "Final Diff:" in line:
-            v = cap("Final Diff:", line)
-            if v is not None:
-                final, found = v, True
-        elif not found and "Total Diff:" in line:
-            v = cap("Total Diff:", line)
-            if v is not None:
-                final = v
-        if algo == "giraph":
-            low = line.lower()
-            if "superstep" in low and ("finish" in low or "completed" in low):
-                m = re.search(r"superstep\s*[:=]?\s*(-?\d+)", low)
-                if m and int(m.group(1)) > it:
-                    it = int(m.group(1))
-        else:
-            if "completed successfully" in line:
-                it += 1
-            if not found and "Diff:" in line:
-                v = cap("Diff:", line)
-                if v is not None:
-                    final = v
-    return max(it, 1), final
-
-
-def test_job_log_rules_on_random_lines(spark):
-    import random
-    rnd = random.Random(11)
-    parts = ["Final Diff:", "Total Diff:", "Diff:", "Global Diff:", "superstep", "Superstep=",
-             "finished", "completed", "completed successfully", "1.5E-4", "12", "-3", "-",
-             "n/a", ":", "x"]
-    jobs = {}
-    for j in range(8):
-        algo = "giraph" if j % 2 == 0 else "mapreduce"
-        jobs[f"j{j}"] = (algo, [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6)))
-                                for _ in range(200)])
-    rows = [(j, a, i, x) for j, (a, ls) in jobs.items() for i, x in enumerate(ls)]
+    r = TM.monitor_summary(parse_sar(df)).collect()
+    return (r[0]["cpu_utilization"], r[0]["peak_memory_usage"], r[0]["compat_rate"]) if r else (None,) * 3
+
+
+def test_monitor_lines_one_by_one(spark):
+    rows = [(f"j{i}", "giraph", 0, x) for i, (x, _) in enumerate(SAR_LINES)]
+    df = spark.createDataFrame(rows, "job_id string, algo string, pos bigint, value string")
+    got = {r["job_id"]: (r["cpu_utilization"], r["peak_memory_usage"], r["compat_rate"])
+           for r in TM.monitor_summary(parse_sar(df)).collect()}
+    for i, (line, want) in enumerate(SAR_LINES):
+        assert got.get(f"j{i}", (None, None, None)) == pytest.approx(want), line
+
+
+def test_monitor_means_and_peak(spark):
+    lines = [x for x, _ in SAR_LINES]
+    want = (pytest.approx((1.75 + 4) / 2), 3.0, 30.0)
+    assert _monitor(spark, lines) == want
+    assert _monitor(spark, lines[::-1]) == want                      # in any order
+    twelve = [x.replace("12:00:01 ", "12:00:01 AM ") if "M " not in x else x for x in lines]
+    assert _monitor(spark, twelve) == want                           # with either clock
+
+
+# a log -> (iterations, final difference), worked out by hand
+JOB_LOGS = [
+    ("giraph", ["Superstep 3 finished"], (3, 0.0)),
+    ("giraph", ["superstep: 7 completed", "Superstep=2 finished"], (7, 0.0)),   # the largest
+    ("giraph", ["Superstep 9 started", "superstep -3 finished"], (1, 0.0)),     # at least one
+    ("giraph", ["Final Diff: 1.5E-4", "Total Diff: 9"], (1, 1.5e-4)),           # final beats total
+    ("giraph", ["Total Diff: 9", "Total Diff: 8"], (1, 8.0)),                   # the last counts
+    ("giraph", ["Total Diff: 9", "Final Diff: n/a"], (1, 9.0)),                 # no number, no change
+    ("giraph", ["Final Diff: 2", "Final Diff: 3"], (1, 3.0)),
+    ("giraph", ["Iteration 1 Diff: 5"], (1, 0.0)),                              # batch lines only
+    ("mapreduce", ["Iteration 1 Diff: 5", "Iteration 2 Diff: 4"], (1, 4.0)),
+    ("mapreduce", ["Final Diff: 2", "Iteration 3 Diff: 7"], (1, 2.0)),
+    ("mapreduce", ["Job a completed successfully"] * 3 + ["Job b failed"], (3, 0.0)),
+    ("mapreduce", ["Superstep 5 finished"], (1, 0.0)),                          # BSP lines only
+    ("mapreduce", ["nothing here"], (1, 0.0)),
+]
+
+
+def test_job_logs_one_by_one(spark):
+    rows = [(f"j{j}", algo, i, x) for j, (algo, lines, _) in enumerate(JOB_LOGS)
+            for i, x in enumerate(lines)]
     df = spark.createDataFrame(rows, "job_id string, algo string, pos bigint, value string")
     got = {r["job_id"]: r for r in TM.log_summary(parse_job_log(df)).collect()}
-    for j, (a, ls) in jobs.items():
-        it, final = _job_rule(ls, a)
-        assert got[j]["iterations_to_converge"] == it, j
-        assert got[j]["final_diff"] == pytest.approx(final), j
+    for j, (_, lines, want) in enumerate(JOB_LOGS):
+        r = got[f"j{j}"]
+        assert (r["iterations_to_converge"], r["final_diff"]) == (want[0], pytest.approx(want[1])), lines
