@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 def vertices(edges: DataFrame) -> DataFrame:
     """(id): every id seen as src or dst (G1)."""
-    return (edges.select(F.col("src").alias("id"))
-            .union(edges.select(F.col("dst").alias("id"))).distinct())
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def vertex_count(edges: DataFrame) -> int:
@@ -26,10 +25,10 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     The count is a partial + final hash aggregate, so a source holding a
     large share of all edges is combined map-side before the shuffle.
     """
-    deg = edges.groupBy(F.col("src").alias("id")).agg(
-        F.count(F.lit(1)).alias("out_degree"))
-    return vertices(edges).join(deg, "id", "left").select(
-        "id", F.coalesce("out_degree", F.lit(0)).cast("bigint").alias("out_degree"))
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("id"), F.lit(1).alias("out")),
+        F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("out").cast("bigint").alias("out_degree"))
 
 
 def adjacency(edges: DataFrame, order_col: str | None = None) -> DataFrame:

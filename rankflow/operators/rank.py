@@ -18,25 +18,63 @@ DAMPING = 0.85
 BASE = 0.15
 
 
-def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+# Distinct out-neighbours of one source per join bucket, and the buckets that
+# a hot source's edges are spread over while they are tagged.
+SALT_CHUNK = 50_000
+TAG_BUCKETS = 256
+
+
+def hot_sources(fan: DataFrame, salt_chunk: int = SALT_CHUNK) -> DataFrame:
+    """(src, nsalt) of the sources with more than ``salt_chunk`` distinct
+    targets, from (src, fanout)."""
+    return fan.where(F.col("fanout") > salt_chunk).select(
+        "src", F.ceil(F.col("fanout") / F.lit(salt_chunk)).cast("int").alias("nsalt"))
+
+
+def tag_salts(mult: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``nsalt`` and ``salt`` to (src, dst, mult) rows; 1 and 0 for
+    sources that are not among the (src, nsalt) rows of ``hot``.
+
+    The join that finds the hot sources is itself salted: edges go by
+    (src, bucket of dst), and only the hot rows are repeated for the buckets.
+    """
+    hot = hot.select(F.col("src").alias("hot_src"), F.col("nsalt").alias("hot_nsalt"), F.explode(
+        F.sequence(F.lit(0), F.lit(TAG_BUCKETS - 1))).alias("hot_bucket"))
+    bucket = F.pmod(F.xxhash64("dst"), F.lit(TAG_BUCKETS)).cast("int")
+    tagged = mult.withColumn("bucket", bucket).join(
+        hot, (F.col("src") == F.col("hot_src")) & (F.col("bucket") == F.col("hot_bucket")), "left")
+    nsalt = F.coalesce("hot_nsalt", F.lit(1))
+    return tagged.select("src", "dst", "mult", nsalt.alias("nsalt"),
+                         F.pmod(F.xxhash64("dst", F.lit(1)), nsalt).cast("int").alias("salt"))
+
+
+def _votes(edges: DataFrame, ranks: DataFrame, salt_chunk: int) -> DataFrame:
+    """(dst, mult, vote) per distinct edge; hot sources meet their votes in
+    salted buckets, parallel edges are counted before anything moves."""
+    mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+    fan = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"), F.count(F.lit(1)).alias("fanout"))
+    send = ranks.join(fan, ranks["id"] == fan["src"]).select(
+        "src", (F.col("rank") / F.col("outdeg")).alias("vote"),
+        F.explode(F.sequence(F.lit(0), F.greatest(
+            F.ceil(F.col("fanout") / F.lit(salt_chunk)).cast("int"), F.lit(1)) - 1)).alias("salt"))
+    return tag_salts(mult, hot_sources(fan, salt_chunk)).join(send, ["src", "salt"]).select("dst", "mult", "vote")
+
+
+def contributions(edges: DataFrame, ranks: DataFrame, salt_chunk: int = SALT_CHUNK) -> DataFrame:
     """(dst, vote): one vote rank/outdeg per out-edge.
 
     Vertices without out-edges send nothing: the inner join never divides
-    by a zero out-degree.  This one-step form joins the edges on ``src``
-    and leaves a hot source to AQE's skew-join splitting; the loop
-    (``plans.loop``) salts hot sources itself.
+    by a zero out-degree.
     """
-    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
-    send = ranks.join(deg, ranks["id"] == deg["src"]).select(
-        "src", (F.col("rank") / F.col("outdeg")).alias("vote"))
-    return edges.join(send, "src").select("dst", "vote")
+    repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mult")))
+    return _votes(edges, ranks, salt_chunk).select("dst", "vote", repeated.alias("n")).drop("n")
 
 
 def rank_step(edges: DataFrame, ranks: DataFrame, damping: float = DAMPING,
-              base: float = BASE) -> DataFrame:
+              base: float = BASE, salt_chunk: int = SALT_CHUNK) -> DataFrame:
     """(id, rank, prev): one update; every vertex of ``ranks`` keeps a row (R2)."""
-    sums = contributions(edges, ranks).groupBy(F.col("dst").alias("id")).agg(
-        F.sum("vote").alias("s"))
+    sums = _votes(edges, ranks, salt_chunk).groupBy(F.col("dst").alias("id")).agg(
+        F.sum(F.col("vote") * F.col("mult")).alias("s"))
     return ranks.join(sums, "id", "left").select(
         "id",
         (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"),
@@ -61,35 +99,3 @@ def l1_delta(step: DataFrame) -> float:
 
 def fixed_point_delta(step: DataFrame) -> float:
     return float(step.agg(fixed_point_delta_col().alias("d")).first()["d"])
-
-
-def rank_by_tagged_union(state: DataFrame, damping: float = DAMPING,
-                         base: float = BASE) -> DataFrame:
-    """One update with a single shuffle over tagged records.
-
-    ``state`` is (id, rank, links array).  Structure, old value and votes
-    are unioned as typed rows (kind = struct / old / val) and reduced by id.
-    A target that has no structure row becomes a vertex with old value 0 and
-    no links.  Output: (id, rank, prev, links).
-    """
-    etype = state.schema["links"].dataType
-    votes = state.where(F.size("links") > 0).select(
-        F.explode("links").alias("id"),
-        F.lit("val").alias("kind"),
-        F.lit(None).cast(etype).alias("links"),
-        (F.col("rank") / F.size("links")).alias("value"))
-    structure = state.select("id", F.lit("struct").alias("kind"), "links",
-                             F.lit(None).cast("double").alias("value"))
-    old = state.select("id", F.lit("old").alias("kind"),
-                       F.lit(None).cast(etype).alias("links"),
-                       F.col("rank").alias("value"))
-    tagged = structure.unionByName(old).unionByName(votes)
-    g = tagged.groupBy("id").agg(
-        F.first(F.when(F.col("kind") == "struct", F.col("links")), True).alias("links"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "val", F.col("value"))),
-                   F.lit(0.0)).alias("s"),
-        F.coalesce(F.max(F.when(F.col("kind") == "old", F.col("value"))),
-                   F.lit(0.0)).alias("prev"))
-    return g.select(
-        "id", (F.lit(base) + F.lit(damping) * F.col("s")).alias("rank"), "prev",
-        F.coalesce("links", F.array().cast(etype)).alias("links"))

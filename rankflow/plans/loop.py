@@ -12,7 +12,7 @@ Plan per update (the only driver work is one scalar row per update):
   Sources whose distinct fan-out exceeds ``salt_chunk`` (a "hot" source
   holding, say, a third of all edges) are **salted**: their edges are spread
   over ``nsalt = ceil(fanout / salt_chunk)`` buckets partitioned by
-  (src, salt), and only their vote rows are replicated ``nsalt`` times and
+  (src, salt), the join that finds them is salted too, and only their vote rows are replicated ``nsalt`` times and
   shuffled (at most E / salt_chunk rows).  A **broadcast** of the votes is
   available as an option and is refused when the vertex count times a
   per-row size estimate exceeds the broadcast limit.
@@ -40,17 +40,17 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.rank import BASE, DAMPING, fixed_point_delta_col, l1_delta_col
+from ..operators.rank import (BASE, DAMPING, SALT_CHUNK, fixed_point_delta_col,
+                              l1_delta_col, tag_salts)
 from ..session import ensure_checkpoint_dir
 
 # The study's convergence threshold and update cap.
 TOLERANCE = 1e-4
 MAX_ITERATIONS = 500
-# Largest number of distinct out-neighbours of one source per join bucket.
-SALT_CHUNK = 50_000
-# Edge rows per partition aimed at when the partition count is chosen, and
-# the fewest worth a task of their own.
-EDGE_ROWS_PER_PARTITION = 2_000_000
+# Edge rows per partition aimed at when the partition count is chosen (a
+# partition then has at most twice as many vertices), and the fewest worth a
+# task of their own.
+EDGE_ROWS_PER_PARTITION = 1_000_000
 MIN_EDGE_ROWS_PER_PARTITION = 10_000
 
 HISTORY_SCHEMA = T.StructType([
@@ -117,15 +117,14 @@ def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
 
 
 def choose_partitions(spark: SparkSession, edge_rows: int) -> int:
-    """Partitions for the loop: about EDGE_ROWS_PER_PARTITION edges each, at
-    least the session's parallelism (but not below MIN_EDGE_ROWS_PER_PARTITION
-    edges a partition, so a small graph on a big cluster stays small), at
-    most ``spark.sql.shuffle.partitions`` (the cluster's own bound)."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = min(spark.sparkContext.defaultParallelism,
-                -(-edge_rows // MIN_EDGE_ROWS_PER_PARTITION))
+    """Partitions for the loop: one per EDGE_ROWS_PER_PARTITION edges, so the
+    hash join's build side stays small at any size; at least the session's
+    parallelism or shuffle partitions, but not below
+    MIN_EDGE_ROWS_PER_PARTITION edges each, so a small graph stays small."""
+    floor = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
     want = -(-edge_rows // EDGE_ROWS_PER_PARTITION)
-    return max(1, min(cap, max(floor, want)))
+    return max(1, want, min(floor, -(-edge_rows // MIN_EDGE_ROWS_PER_PARTITION)))
 
 
 def prepare(edges: DataFrame, num_partitions: int | None = None,
@@ -155,15 +154,15 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
         # AQE off: the join output stays hash-partitioned by id with p
         # partitions, the layout the loop joins against; a lost block is
         # recomputed from the checkpoint, not from the input.
-        deg = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"),
-                                      F.count(F.lit(1)).alias("fanout"))
-        ids = mult.select(F.col("src").alias("id")).union(
-            mult.select(F.col("dst").alias("id"))).distinct()
-        verts = ids.join(deg, ids["id"] == deg["src"], "left").select(
-            "id",
-            F.coalesce("outdeg", F.lit(0)).cast("bigint").alias("outdeg"),
-            F.greatest(F.lit(1), F.ceil(F.coalesce("fanout", F.lit(0)) / F.lit(salt_chunk)))
-            .cast("int").alias("nsalt")).persist(StorageLevel.MEMORY_AND_DISK)
+        # one pass and one exchange: both ends of an edge, counted by id
+        ends = mult.select(F.explode(F.array(
+            F.struct(F.col("src").alias("id"), F.col("mult").alias("out"), F.lit(1).alias("fan")),
+            F.struct(F.col("dst").alias("id"), F.lit(0).cast("bigint").alias("out"),
+                     F.lit(0).alias("fan")))).alias("e")).select("e.*")
+        verts = ends.groupBy("id").agg(F.sum("out").alias("outdeg"), F.sum("fan").alias("fanout")).select(
+            "id", F.col("outdeg").cast("bigint").alias("outdeg"),
+            F.greatest(F.lit(1), F.ceil(F.col("fanout") / F.lit(salt_chunk))).cast("int").alias("nsalt")
+        ).persist(StorageLevel.MEMORY_AND_DISK)
         is_str = isinstance(verts.schema["id"].dataType, T.StringType)
         id_len = F.avg(F.length("id")) if is_str else F.lit(8.0)
         stats = verts.agg(F.count(F.lit(1)).alias("n"), id_len.alias("w"),
@@ -181,13 +180,10 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     if broadcast or n_hot == 0:
         emat = mult
     else:
-        # Under the session's settings (AQE may split the hot sources'
-        # partitions of this join), then cut the lineage again.
+        # the tagging join is salted itself; then the lineage is cut again
         hot = verts.where(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
-        tagged = mult.join(hot, "src", "left").select(
-            "src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("nsalt")), F.lit(0))
-            .cast("int").alias("salt"), "dst", "mult",
-            F.col("nsalt").isNotNull().alias("hot")).checkpoint(eager=True)
+        tagged = tag_salts(mult, hot).withColumn("hot", F.col("nsalt") > 1).select(
+            "src", "salt", "dst", "mult", "hot").checkpoint(eager=True)
         emat = tagged.where(~F.col("hot")).select("src", "dst", "mult")
         hot_edges = tagged.where(F.col("hot")).select("src", "salt", "dst", "mult")
     if not broadcast:
@@ -270,25 +266,32 @@ class _LoopConf:
                 self.spark.conf.set(k, v)
 
 
-def _list_snapshots(spark: SparkSession, base: str) -> list[int]:
-    """Updates with a complete snapshot, from the manifest markers."""
+def _list_snapshots(spark: SparkSession, base: str) -> list[tuple[int, float, float]]:
+    """(iter, delta, delta_fixed) of the complete snapshots, from the markers
+    (one row per update, as the history has)."""
     try:
         m = spark.read.parquet(f"{base.rstrip('/')}/manifest")
     except AnalysisException:           # no snapshot written yet
         return []
-    return sorted(int(r["iter"]) for r in m.select("iter").distinct().collect())
+    return sorted((int(r["iter"]), r["delta"], r["delta_fixed"])
+                  for r in m.select("iter", "delta", "delta_fixed").distinct().collect())
 
 
-def write_snapshot(state: DataFrame, base: str, i: int) -> None:
-    """Write the state of update i to ``<base>/iter=<i>``; fails if it exists (K4).
+def write_snapshot(state: DataFrame, base: str, i: int, deltas: list[tuple[int, float, float]]) -> None:
+    """Write the state of update i to ``<base>/iter=<i>`` (K4).
 
-    A one-row marker ``<base>/manifest/iter=<i>`` is written after the
-    snapshot has committed, so a resume only sees complete snapshots.
+    The marker ``<base>/manifest/iter=<i>`` is written after the snapshot has
+    committed and holds the deltas of the updates since the marker before, so
+    a resume sees complete snapshots only and has the whole history.  A
+    snapshot without a marker (a run that broke off) is written anew; one
+    with a marker is an error.
     """
     base = base.rstrip("/")
-    state.write.mode("errorifexists").parquet(f"{base}/iter={i}")
-    state.sparkSession.createDataFrame([(True,)], "done boolean").write.mode(
-        "errorifexists").parquet(f"{base}/manifest/iter={i}")
+    if any(d[0] == i for d in _list_snapshots(state.sparkSession, base)):
+        raise ValueError(f"snapshot {i} exists in {base}")
+    state.write.mode("overwrite").parquet(f"{base}/iter={i}")
+    state.sparkSession.createDataFrame(deltas, HISTORY_SCHEMA).coalesce(1).write.mode(
+        "overwrite").parquet(f"{base}/manifest/part={i}")
 
 
 def read_snapshot(spark: SparkSession, base: str, i: int) -> DataFrame:
@@ -318,9 +321,9 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     k0 = 0
     history: list[tuple[int, float, float]] = []
     if snapshot_dir and resume:
-        done = _list_snapshots(spark, snapshot_dir)
-        if done:
-            k0 = done[-1]
+        history = _list_snapshots(spark, snapshot_dir)
+        if history:
+            k0 = history[-1][0]
             state = read_snapshot(spark, snapshot_dir, k0)
 
     def measure(df: DataFrame) -> tuple[float, float]:
@@ -330,15 +333,18 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     def advance(df: DataFrame, k: int) -> tuple[DataFrame, float, float]:
         """Materialise update k and return it with its two deltas."""
         if checkpoint_every and k % checkpoint_every == 0:
-            if snapshot_dir:
-                write_snapshot(df, snapshot_dir, k)
-                out = read_snapshot(spark, snapshot_dir, k)
-                return (out, *measure(out))
+            # the checkpoint keeps the layout by id that the next update joins
+            # against; a snapshot is written from it
             obs = Observation(f"rankflow_delta_{k}")
             out = df.observe(obs, l1_delta_col().alias("d"),
                              fixed_point_delta_col().alias("f")).checkpoint(eager=True)
             m = obs.get
-            return out, float(m["d"]), float(m["f"])
+            d, f = float(m["d"]), float(m["f"])
+            if snapshot_dir:
+                saved_to = max([h[0] for h in _list_snapshots(spark, snapshot_dir)], default=0)
+                write_snapshot(out, snapshot_dir, k,
+                               [h for h in history if h[0] > saved_to] + [(k, d, f)])
+            return out, d, f
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
         return (out, *measure(out))
 
@@ -347,11 +353,12 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     cached: DataFrame | None = None
     with _LoopConf(spark, g.num_partitions, adaptive):
         if k0 > 0:
-            d, f = measure(state)
-            history.append((k0, d, f))
-            tested = d if delta == "l1" else f
-            if tol is not None and k0 >= min_updates and tested < tol:
-                status, last_tested = "converged", tested
+            # back into the layout of the loop, once
+            state = state.repartition(g.num_partitions, "id").checkpoint(eager=True)
+            _, d, f = history[-1]
+            last_tested = d if delta == "l1" else f
+            if tol is not None and k0 >= min_updates and last_tested < tol:
+                status = "converged"
         while status != "converged" and k < max_iter:
             k += 1
             new, d, f = advance(step(g, state, damping, base), k)
@@ -403,25 +410,25 @@ def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
         g.release()
 
 
-def rank_tagged_fixed(adj: DataFrame, iterations: int, checkpoint_every: int = 1,
-                      damping: float = DAMPING, base: float = BASE) -> DataFrame:
-    """``iterations`` updates of the one-shuffle tagged-union step (R8 loop).
-
-    ``adj`` is (id, nbrs); the state (id, rank, links) starts at rank 1.0.
-    """
-    from ..operators.rank import rank_by_tagged_union
-
-    ensure_checkpoint_dir(adj.sparkSession)
-    state = adj.select("id", F.lit(1.0).alias("rank"), F.col("nbrs").alias("links"))
-    cached = None
-    for k in range(1, iterations + 1):
-        new = rank_by_tagged_union(state, damping, base).select("id", "rank", "links")
-        if checkpoint_every and k % checkpoint_every == 0:
-            new = new.checkpoint(eager=True)
-        else:
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            new.count()
-        if cached is not None:
-            cached.unpersist()
-        cached, state = new, new
+def rank_tagged_fixed(edges: DataFrame, iterations: int, damping: float = DAMPING,
+                      base: float = BASE, **kw) -> DataFrame:
+    """``iterations`` updates where votes and old values meet in one
+    aggregation by id instead of a join (R8): typed rows (value or old) are
+    unioned and reduced.  Only numbers move; the edges stay where they are."""
+    g = prepare(edges, **kw)
+    state = initial_state(g)
+    with _LoopConf(edges.sparkSession, g.num_partitions, False):
+        for _ in range(iterations):
+            votes = deliver(g, state.where(F.col("outdeg") > 0).select(
+                "id", "nsalt", (F.col("rank") / F.col("outdeg")).alias("vote")), "vote")
+            rows = votes.select(F.col("dst").alias("id"), (F.col("vote") * F.col("mult")).alias("val"),
+                                F.lit(None).cast("double").alias("old"), F.lit(None).cast("bigint").alias("outdeg"),
+                                F.lit(None).cast("int").alias("nsalt")).unionByName(
+                state.select("id", F.lit(None).cast("double").alias("val"), F.col("rank").alias("old"),
+                             "outdeg", "nsalt"))
+            state = rows.groupBy("id").agg(
+                (F.lit(base) + F.lit(damping) * F.coalesce(F.sum("val"), F.lit(0.0))).alias("rank"),
+                F.coalesce(F.max("old"), F.lit(0.0)).alias("prev"), F.max("outdeg").alias("outdeg"),
+                F.max("nsalt").alias("nsalt")).checkpoint(eager=True)
+    g.release()
     return state.select("id", "rank")

@@ -179,19 +179,8 @@ def q_fixed_point_delta(spark, sf):
 
 # -------------------------------------------------------------------- loops
 
-_MEMO: dict = {}
-
-
-def _memo(spark: SparkSession, key: tuple, make):
-    k = (id(spark), spark.sparkContext.applicationId) + key
-    if k not in _MEMO:
-        _MEMO[k] = make()
-    return _MEMO[k]
-
-
 def _ranked(spark, sf, graph="co_purchase", **kw) -> L.RankResult:
-    key = ("rank", sf, graph) + tuple(sorted(kw.items()))
-    return _memo(spark, key, lambda: L.rank_until(TB.GRAPHS[graph](spark, sf), **kw))
+    return L.rank_until(TB.GRAPHS[graph](spark, sf), **kw)
 
 
 def _ranks_out(res: L.RankResult) -> DataFrame:
@@ -273,8 +262,7 @@ def q_rank_lines(spark, sf):
 
 @query("rank_tagged_union")
 def q_rank_tagged_union(spark, sf):
-    adj = G.adjacency(TB.co_purchase_edges(spark, sf))
-    return L.rank_tagged_fixed(adj, 10).select("id", r6("rank"))
+    return L.rank_tagged_fixed(TB.co_purchase_edges(spark, sf), 10).select("id", r6("rank"))
 
 
 @query("vertex_program_rank")

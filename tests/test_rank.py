@@ -133,7 +133,8 @@ def test_tagged_union_equals_rank_step(spark):
     edges = _random_edges(7, n=30, m=120)
     df = spark.createDataFrame(edges, "src string, dst string")
     want, _, _, _ = brute_force(edges, updates=6)
-    got = as_dict(L.rank_tagged_fixed(G.adjacency(df), 6))
+    got = as_dict(L.rank_tagged_fixed(df, 6))
+    assert close(as_dict(L.rank_tagged_fixed(df, 6, salt_chunk=2)), want, 1e-9)
     assert close(got, want, 1e-9)
     assert close(as_dict(L.rank_fixed(df, 6).ranks), want, 1e-9)
 
@@ -248,17 +249,6 @@ def test_vertex_program_from_vertex_json(spark):
     assert got["9"] == pytest.approx(0.15)
 
 
-def test_tagged_union_target_without_structure_row(spark):
-    # 'z' is only a link target: it becomes a vertex with old value 0, no links
-    state = spark.createDataFrame([("a", 1.0, ["b", "z"]), ("b", 1.0, ["a"])],
-                                  "id string, rank double, links array<string>")
-    got = {r["id"]: r for r in R.rank_by_tagged_union(state).collect()}
-    assert got["z"]["prev"] == 0.0 and list(got["z"]["links"]) == []
-    assert got["z"]["rank"] == pytest.approx(0.15 + 0.85 * 0.5)
-    assert got["a"]["rank"] == pytest.approx(0.15 + 0.85 * 1.0)
-    assert got["b"]["rank"] == pytest.approx(0.15 + 0.85 * 0.5)
-
-
 def test_null_ends_are_ignored(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), (None, "a"), ("b", None)],
                                "src string, dst string")
@@ -279,11 +269,74 @@ def test_partition_count_bounds():
             self.conf = Conf(cap)
             self.sparkContext = type("SC", (), {"defaultParallelism": par})()
 
-    assert L.choose_partitions(Session(200, 8), 0) == 1
-    assert L.choose_partitions(Session(200, 8), 45_257) == 5         # >= 10 k edges each
-    assert L.choose_partitions(Session(200, 8), 452_764) == 8        # the parallelism
-    assert L.choose_partitions(Session(200, 4000), 10**7) == 200     # capped by the conf
-    assert L.choose_partitions(Session(10**6, 8), 10**12) == 500_000     # ~2 M edges each
+    assert L.choose_partitions(Session(8, 8), 0) == 1
+    assert L.choose_partitions(Session(8, 8), 45_257) == 5           # >= 10 k edges each
+    assert L.choose_partitions(Session(8, 8), 452_764) == 8          # the parallelism
+    assert L.choose_partitions(Session(200, 4000), 10**7) == 1000    # >= 10 k edges each
+    assert L.choose_partitions(Session(200, 8), 10**12) == 10**6     # no cap: 1 M edges each
+
+
+def test_tagging_a_source_with_a_third_of_all_edges_is_even(spark):
+    """No task of the tagging join reads more than twice the mean."""
+    n = 60_000
+    mult = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000 + 100).alias("src"),
+        F.col("id").alias("dst"), F.lit(1).cast("bigint").alias("mult"))
+    hot = R.hot_sources(mult.groupBy("src").agg(F.count(F.lit(1)).alias("fanout")), 1000)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                            "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        tagged = R.tag_salts(mult, hot)
+        rows = [r["count"] for r in tagged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(rows) == n and max(rows) <= 2 * n / 8, rows
+        salts = {r["salt"]: r["count"] for r in tagged.where("src = 7").groupBy("salt").count().collect()}
+        assert len(salts) == 20 and max(salts.values()) <= 1500
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
+def test_one_step_form_with_salts(spark):
+    edges = [("hub", f"t{i}") for i in range(90)] + [("hub", "t1")] * 5 + [("t1", "hub"), ("t2", "t2")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    ranks = G.init_ranks(G.vertices(df))
+    want, _, _, _ = brute_force(edges, updates=1)
+    for chunk in (7, 50_000):
+        assert close(as_dict(R.rank_step(df, ranks, salt_chunk=chunk)), want, 1e-12)
+        votes = R.contributions(df, ranks, salt_chunk=chunk)
+        assert votes.count() == len(edges)
+        assert votes.where("dst = 't1'").count() == 6
+
+
+def test_resume_after_a_break(spark, tmp_path, golden_edges):
+    g = L.prepare(golden_edges)
+    whole = L.run(g, max_iter=7)
+    base = str(tmp_path / "snap")
+    L.run(g, max_iter=4, checkpoint_every=2, snapshot_dir=base)
+    # a run that broke off between snapshot and marker
+    whole.state.write.parquet(f"{base}/iter=6")
+    res = L.run(g, max_iter=7, checkpoint_every=2, snapshot_dir=base, resume=True)
+    hist = lambda r: [tuple(x) for x in r.history.orderBy("iter").collect()]
+    assert [h[0] for h in hist(res)] == list(range(1, 8))
+    assert [h[1] for h in hist(res)] == pytest.approx([h[1] for h in hist(whole)])
+    assert close(as_dict(res.ranks), as_dict(whole.ranks), 1e-12)
+    # resuming at the cap keeps the history and the last delta
+    again = L.run(g, max_iter=6, checkpoint_every=2, snapshot_dir=base, resume=True)
+    assert again.iterations == 6 and again.final_delta == pytest.approx(hist(whole)[5][1])
+    assert [h[0] for h in hist(again)] == list(range(1, 7))
+
+
+def test_resumed_update_plan_has_one_exchange(spark, tmp_path, golden_edges):
+    g = L.prepare(golden_edges, num_partitions=4)
+    base = str(tmp_path / "snap")
+    L.run(g, tol=None, max_iter=2, snapshot_dir=base)
+    state = L.run(g, tol=None, max_iter=4, snapshot_dir=base, resume=True).state
+    with L._LoopConf(spark, g.num_partitions, False):
+        plan = L.step(g, state)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1, plan
 
 
 def test_broadcast_is_refused_above_the_limit(spark, golden_edges):

@@ -18,9 +18,9 @@ def test_rank_text_and_snapshot_round_trip(spark, tmp_path, golden_edges):
         k, v = r["value"].split("\t")
         back[k] = float(v)
     assert back == {r["id"]: r["rank"] for r in res.ranks.collect()}
-    L.write_snapshot(res.state, str(tmp_path / "snap"), 26)
+    L.write_snapshot(res.state, str(tmp_path / "snap"), 26, [(26, 0.5, 0.25)])
     with pytest.raises(Exception):
-        L.write_snapshot(res.state, str(tmp_path / "snap"), 26)   # never overwrite
+        L.write_snapshot(res.state, str(tmp_path / "snap"), 26, [(26, 0.5, 0.25)])   # never overwrite
     snap = L.read_snapshot(spark, str(tmp_path / "snap"), 26)
     assert snap.count() == 5 and set(snap.columns) >= {"id", "rank", "prev"}
 
