@@ -8,8 +8,8 @@
                        [--network interface|as_coded]
     python -m rankflow stats METRICS_CSV... --dataset NAME:ORD:EDGES ... [--num A --den B]
 
-``rank`` prints one ``Iteration i Diff: d`` line per update and a ``Final
-Diff:`` line when it converges, which ``metrics`` reads back as a job log.
+``rank`` prints one ``Iteration i Diff: d`` line per update (from 0) and a
+``Final Diff:`` at the end, which ``metrics`` reads back as a job log.
 All work runs on the session the command builds (``spark.checkpoint.dir``
 from the cluster's configuration; a local folder only in local mode).
 """
@@ -57,11 +57,13 @@ def _edges(spark: SparkSession, path: str, fmt: str):
 
 def cmd_preprocess(a) -> int:
     spark = _session()
-    edges = parse_edges(read_lines(spark, a.edges))
-    adj = G.adjacency(edges)
+    edges = parse_edges(read_lines(spark, a.edges, order=True), keep=("pos",))
+    # neighbours in the order of the input lines, computed once for all outputs
+    adj = G.adjacency(edges, order_col="pos").persist()
     print(f"Nodes: {adj.count()}. Writing outputs...")
     write_adjacency_tsv(adj, a.out_tsv)
     write_vertex_json(adj, a.out_json)
+    adj.unpersist()
     return 0
 
 
@@ -73,13 +75,13 @@ def cmd_rank(a) -> int:
                 snapshot_dir=a.snapshot_dir, resume=a.resume)
     col = "delta" if a.delta == "l1" else "delta_fixed"
     for r in res.history.orderBy("iter").collect():      # one row per update
-        print(f"Iteration {r['iter']} Diff: {_num(r[col])}")
+        print(f"Iteration {r['iter'] - 1} Diff: {_num(r[col])}")
     if res.status == "converged":
         print(f"Final Diff: {_num(res.final_delta)}")
         print(f"Converged at iteration {res.iterations}")
     else:
         print(f"Reached max iterations ({res.iterations}) without full convergence. "
-              f"Last Diff: {_num(res.final_delta)}")
+              f"Final Diff: {_num(res.final_delta)}")
     write_ranks(res.ranks, a.out)
     return 0
 
@@ -90,13 +92,19 @@ def cmd_metrics(a) -> int:
         "job_id string, algorithm string, dataset string, total_time double").csv(a.runs)
     logs = read_log_lines(spark, a.logs)
     mon = read_log_lines(spark, a.monitor)
-    m = TM.job_metrics(parse_job_log(logs), parse_sar(mon), runs, network=a.network)
+    m = TM.job_metrics(parse_job_log(logs), parse_sar(mon), runs, network=a.network).persist()
     append_metrics(m, a.out)
-    for r in format_metrics(m).orderBy("value").collect():   # one row per job
+    # one row per job, a partition at a time
+    for r in format_metrics(m).orderBy("value").toLocalIterator():
         print(r["value"])
+    m.unpersist()
     return 0
 
 
+def _cell(v) -> str:
+    return "NULL" if v is None else str(v)
+
+
 def cmd_stats(a) -> int:
     spark = _session()
     dims = []
@@ -104,17 +112,21 @@ def cmd_stats(a) -> int:
         name, ord_, edges = d.split(":")
         dims.append((name, int(ord_), f"{name}", int(edges)))
     dim = BS.dataset_dim(spark, dims)
-    avg = BS.average_metrics(BS.typed_metrics(BS.read_metrics_csv(spark, *a.metrics)))
-    show = [("averages", BS.presentation_order(avg, dim, "algorithm")),
-            ("ratios", BS.presentation_order(BS.metric_ratios(avg, a.num, a.den), dim)),
-            ("time per iteration and 1 M edges",
-             BS.presentation_order(BS.normalized_iter_time(avg, dim), dim, "algorithm")),
-            ("log-log slopes", BS.scaling_exponent(avg, dim).orderBy("algorithm", "ord")),
-            ("memory and speed-up",
-             BS.presentation_order(BS.memory_speedup(avg, a.den, a.num), dim))]
-    for title, df in show:
+    avg = BS.average_metrics(BS.typed_metrics(BS.read_metrics_csv(spark, *a.metrics))).persist()
+    tables = [("averages", BS.presentation_order(avg, dim, "algorithm")),
+              ("ratios", BS.presentation_order(BS.metric_ratios(avg, a.num, a.den), dim)),
+              ("time per iteration and 1 M edges",
+               BS.presentation_order(BS.normalized_iter_time(avg, dim), dim, "algorithm")),
+              ("log-log slopes", BS.scaling_exponent(avg, dim).orderBy("algorithm", "ord")),
+              ("memory and speed-up",
+               BS.presentation_order(BS.memory_speedup(avg, a.den, a.num), dim))]
+    for title, df in tables:
+        df = df.drop("ord")
         print(f"=== {title}")
-        df.drop("ord").show(truncate=False)
+        print("\t".join(df.columns))
+        for r in df.toLocalIterator():      # all rows, a partition at a time
+            print("\t".join(map(_cell, r)))
+    avg.unpersist()
     return 0
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import safe_ratio, strip_units, try_double
+from ..sinks import METRICS_FORMATS
 
 # The columns that carry unit suffixes and are cleaned (B1),
 # and the four averaged metrics (B2).
@@ -20,9 +21,7 @@ UNIT_COLUMNS = ("total_execution_time", "avg_iteration_time", "network_communica
                 "peak_memory_usage", "cpu_utilization")
 AVERAGED = ("total_execution_time", "avg_iteration_time", "network_communication",
             "peak_memory_usage")
-RAW_COLUMNS = ("algorithm", "dataset", "job_id", "total_execution_time",
-               "avg_iteration_time", "network_communication", "peak_memory_usage",
-               "iterations_to_converge", "final_diff", "cpu_utilization")
+RAW_COLUMNS = tuple(METRICS_FORMATS)
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
@@ -32,33 +31,39 @@ def read_metrics_csv(spark: SparkSession, *paths: str) -> DataFrame:
     One text read; see ``parse_metrics_text`` for the header variants.
     """
     lines = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("file"))
-    return parse_metrics_text(lines)
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row")).alias("pos"))
+    return parse_metrics_text(lines, pos="pos")
 
 
-def parse_metrics_text(lines: DataFrame, value: str = "value", file: str = "file") -> DataFrame:
+# Every header variant has these columns at most (the older one has
+# ``convergence_rate`` in place of ``final_diff``).
+READ_COLUMNS = (*RAW_COLUMNS, "convergence_rate")
+
+
+def parse_metrics_text(lines: DataFrame, value: str = "value", file: str = "file",
+                       pos: str | None = None) -> DataFrame:
     """metrics_raw (all strings) from CSV text lines tagged with their file.
 
-    Every data line gets the header line of its own file (a join on the
-    file), and each header variant (9th column ``final_diff`` or
-    ``convergence_rate``) is parsed with ``from_csv`` under its own column
-    names; the variants union by name.  Only the distinct header lines go to
-    the driver.
+    The header of a file is its first header line (the smallest ``pos``, or
+    the smallest text without one); header lines are never data, also not
+    repeated ones.  Every data line is cut once by ``from_csv``, and its
+    fields get the names of its file's header, so all variants are read in
+    one pass.  The header table has one row per file, as the listing of the
+    files has, and is broadcast.
     """
-    lines = lines.select(F.col(value).alias("value"), F.col(file).alias("file"))
+    lines = lines.select(F.col(value).alias("value"), F.col(file).alias("file"),
+                         (F.col(pos) if pos else F.col(value)).alias("pos"))
     is_head = F.col("value").startswith("algorithm,")
-    heads = lines.where(is_head).select("file", F.col("value").alias("header"))
-    data = lines.where(~is_head & (F.length(F.trim("value")) > 0)).join(heads, "file")
-    out = None
-    for h in heads.select("header").distinct().orderBy("header").collect():
-        names = h["header"].split(",")
-        ddl = ", ".join(f"`{c}` STRING" for c in names)
-        part = data.where(F.col("header") == h["header"]).select(
-            F.from_csv("value", ddl).alias("r")).select("r.*")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        return lines.sparkSession.createDataFrame([], RAW_SCHEMA)
-    return out
+    heads = lines.where(is_head).groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    width = len(RAW_COLUMNS)
+    fields = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(width)))
+    data = (lines.where(~is_head & (F.length(F.trim("value")) > 0)).join(F.broadcast(heads), "file")
+            .select(fields.alias("f"), F.slice(F.split("header", ","), 1, width).alias("names"))
+            .select(F.array(*[F.col(f"f.c{i}") for i in range(width)]).alias("f"), "names"))
+    return data.select(*[F.try_element_at("f", F.nullif(F.array_position("names", c), F.lit(0).cast("bigint"))
+                                          .cast("int")).alias(c) for c in READ_COLUMNS])
 
 
 def parse_metrics_lines(lines: DataFrame, value: str = "value") -> DataFrame:

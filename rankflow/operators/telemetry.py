@@ -155,6 +155,51 @@ def count_lines(lines: DataFrame, *patterns: str, name: str = "n") -> DataFrame:
     return lines.groupBy("job_id").agg(F.count_if(cond).cast("bigint").alias(name))
 
 
+def collected_metrics(lines: DataFrame) -> DataFrame:
+    """One row per job as the collection script writes it, plus the mean
+    superstep time, in a single aggregate over the log lines.
+
+    ``lines`` is (job_id, algo, pos, value).  BSP jobs: seconds are the fifth
+    field of the last 'Total execution time' line, iterations the 'Superstep'
+    lines, network the 'Bytes sent' bytes, superstep time the mean fifth
+    field of 'Superstep' lines.  Batch jobs: the fourth field of the last
+    'Run time' line in ms, 'Reduce ... SUCCEEDED' lines, 100 bytes per input
+    record.  Without iterations the per-iteration values are null.
+    """
+    text = F.col("value")
+    fields = split_ws("value")
+
+    def num(i: int) -> Column:
+        return F.coalesce(try_double(token(fields, i)), F.lit(0.0))
+
+    def rec(label: str) -> Column:
+        return F.coalesce(try_double(F.regexp_extract("value", label + r"\s*[=:]?\s*(\d+)", 1)), F.lit(0.0))
+    step = text.contains("Superstep")
+    g = lines.groupBy("job_id").agg(
+        F.bool_or(F.col("algo") == "giraph").alias("bsp"),
+        _last(F.when(text.contains("Total execution time"), num(4))).alias("bsp_s"),
+        (_last(F.when(text.contains("Run time"), num(3))) / 1000).alias("batch_s"),
+        F.count_if(step).alias("steps"),
+        F.count_if(text.contains("Reduce") & text.contains("SUCCEEDED")).alias("reduces"),
+        F.sum(F.when(text.contains(BYTES_SENT_LABEL), num(2)).otherwise(0.0)).alias("sent"),
+        (F.sum(rec(MAP_RECORDS_LABEL) + rec(REDUCE_RECORDS_LABEL)) * float(BYTES_PER_RECORD)).alias("records"),
+        F.max(F.when(text.contains(MEMORY_USED_LABEL), num(2))).alias("memory"),
+        F.avg(F.when(step, num(4))).alias("superstep_time"))
+
+    def either(a: str, b: str) -> Column:
+        return F.when(F.col("bsp"), F.col(a)).otherwise(F.col(b))
+    n = either("steps", "reduces")
+    time = F.coalesce(either("bsp_s", "batch_s"), F.lit(0.0))
+    return g.select(
+        F.when(F.col("bsp"), F.lit("giraph")).otherwise(F.lit("mapreduce")).alias("algorithm"), "job_id",
+        time.alias("total_execution_time"), F.try_divide(time, n).alias("avg_iteration_time"),
+        (either("sent", "records") / F.lit(MB)).alias("network_communication"),
+        (F.coalesce("memory", F.lit(0.0)) / 1024).alias("peak_memory_usage"),
+        n.cast("bigint").alias("iterations_to_converge"),
+        convergence_rate(1.0, 0.0001, n).alias("convergence_rate"),
+        F.when(F.col("bsp"), F.col("superstep_time")).alias("mean_superstep_time"))
+
+
 # ------------------------------------------------------------------ join
 
 def monitor_summary(samples: DataFrame) -> DataFrame:

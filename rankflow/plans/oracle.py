@@ -607,3 +607,74 @@ SELECT f[1] AS algorithm, f[2] AS dataset, f[3] AS job_id,
   CASE WHEN variant = 'new' THEN round(TRY_CAST(nullif(f[9], '') AS DOUBLE), 6) END AS final_diff,
   CASE WHEN variant = 'old' THEN round({_strip('f[9]')}, 6) END AS convergence_rate
 FROM (SELECT variant, string_split(value, ',') AS f FROM ({METRICS_FILES}))"""
+
+
+# ---------------------------------------------------------- exact ids, order
+
+_BIG = 2 ** 53 + 1
+_BIG_EDGES = f"SELECT src + {_BIG} AS src, dst + {_BIG} AS dst FROM ({CO_PURCHASE})"
+SQL["parse_json_big_ids"] = f"""
+SELECT id, CAST(len(nbrs) AS INTEGER) AS n_edges, {_joined('nbrs')} AS dsts
+FROM ({_adjacency(_BIG_EDGES)})"""
+SQL["vertex_program_big_ids"] = f"SELECT id + {_BIG} AS id, rank FROM ({SQL['rank_until_l1']})"
+
+SQL["adjacency_input_order"] = f"""
+WITH e AS (SELECT * FROM (
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst,
+         l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice
+  FROM lineitem) WHERE dst IS NOT NULL),
+a AS (SELECT src, list(dst ORDER BY l_orderkey, l_linenumber, src, l_suppkey, l_shipdate, l_extendedprice) AS nbrs
+      FROM e GROUP BY src)
+SELECT v.id, CAST(len(coalesce(nbrs, [])) AS INTEGER) AS n_nbrs, {_joined('coalesce(nbrs, [])')} AS nbrs
+FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) v LEFT JOIN a ON v.id = a.src"""
+
+SQL["next_in_hot_group"] = f"""
+SELECT grp, l_orderkey, l_linenumber, price, val, lead(val) OVER (PARTITION BY grp
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS next_val
+FROM (SELECT *, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 11 = 0 THEN NULL
+                          ELSE l_orderkey + 100 END AS BIGINT) AS grp,
+        CAST(CASE WHEN l_partkey % 17 <> 0 THEN l_partkey * 2 + {_BIG} END AS BIGINT) AS val,
+        l_extendedprice AS price FROM lineitem)"""
+
+# ------------------------------------------------- metrics rows, presentation
+
+SQL["metrics_append_round_trip"] = "SELECT " + ", ".join(
+    f"f[{i + 1}] AS {c}" for i, c in enumerate(
+        ("algorithm", "dataset", "job_id", "total_execution_time", "avg_iteration_time",
+         "network_communication", "peak_memory_usage", "iterations_to_converge", "final_diff",
+         "cpu_utilization"))) + f" FROM (SELECT string_split(value, ',') AS f FROM ({SQL['metrics_csv']}))"
+
+SQL["presentation_order"] = f"""
+SELECT d.ord, a.dataset, a.algorithm, a.runs FROM ({AVG}) a LEFT JOIN ({DIM}) d USING (dataset)"""
+SQL["dataset_dim_rows"] = SQL["dataset_dim"]
+
+
+def _rec(label: str) -> str:
+    return (f"coalesce(TRY_CAST(nullif(regexp_extract(value, '{label}\\s*[=:]?\\s*(\\d+)', 1), '') "
+            "AS DOUBLE), 0.0)")
+
+
+SQL["collected_metrics"] = f"""
+WITH l AS (SELECT *, ({_TOKENS}) AS t FROM ({JOB_LOG})),
+g AS (SELECT job_id, bool_or(algo = 'giraph') AS bsp,
+  arg_max(coalesce({{n5}}, 0.0), pos) FILTER (WHERE contains(value, 'Total execution time')) AS bsp_s,
+  arg_max(coalesce({{n4}}, 0.0), pos) FILTER (WHERE contains(value, 'Run time')) / 1000 AS batch_s,
+  count(*) FILTER (WHERE contains(value, 'Superstep')) AS steps,
+  count(*) FILTER (WHERE contains(value, 'Reduce') AND contains(value, 'SUCCEEDED')) AS reduces,
+  sum(CASE WHEN contains(value, 'Bytes sent') THEN coalesce({{n3}}, 0.0) ELSE 0.0 END) AS sent,
+  sum({_rec('Map input records')} + {_rec('Reduce input records')}) * 100.0 AS records,
+  max(coalesce({{n3}}, 0.0)) FILTER (WHERE contains(value, 'Memory Used')) AS memory,
+  avg(coalesce({{n5}}, 0.0)) FILTER (WHERE contains(value, 'Superstep')) AS superstep_time
+  FROM l GROUP BY job_id),
+h AS (SELECT *, CASE WHEN bsp THEN steps ELSE reduces END AS n,
+        coalesce(CASE WHEN bsp THEN bsp_s ELSE batch_s END, 0.0) AS secs FROM g)
+SELECT CASE WHEN bsp THEN 'giraph' ELSE 'mapreduce' END AS algorithm, job_id,
+  CAST(n AS BIGINT) AS iterations_to_converge, round(secs, 6) AS total_execution_time,
+  round(CASE WHEN n <> 0 THEN secs / n END, 6) AS avg_iteration_time,
+  round((CASE WHEN bsp THEN sent ELSE records END) / 1048576.0, 6) AS network_communication,
+  round(coalesce(memory, 0.0) / 1024, 6) AS peak_memory_usage,
+  round(100.0 * (1.0 - 0.0001) / nullif(n * 1.0, 0.0), 6) AS convergence_rate,
+  round(CASE WHEN bsp THEN superstep_time END, 6) AS mean_superstep_time
+FROM h""".replace("{n3}", "TRY_CAST(nullif(t[3], '') AS DOUBLE)").replace(
+    "{n4}", "TRY_CAST(nullif(t[4], '') AS DOUBLE)").replace("{n5}", "TRY_CAST(nullif(t[5], '') AS DOUBLE)")

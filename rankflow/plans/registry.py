@@ -17,10 +17,11 @@ from ..operators import benchstats as BS
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import telemetry as TM
+from ..operators.ordered import next_in_group
 from ..operators.vertex_program import link_rank_program, vertex_program
 from ..plans import loop as L
 from ..session import ensure_checkpoint_dir
-from ..sinks import format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json
+from ..sinks import append_metrics, format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json
 from ..sources import tables as TB
 from ..sources.logs import parse_job_log, parse_sar
 from ..sources.text import parse_adjacency_tsv, parse_edges, parse_vertex_json
@@ -101,6 +102,44 @@ def q_parse_json(spark, sf):
                     .alias("weight_sum"))
 
 
+# Ids above 2^53, which a double cannot hold.
+BIG = 2 ** 53 + 1
+
+
+def _big_lines(spark, sf):
+    e = TB.co_purchase_edges(spark, sf)
+    return to_vertex_json(G.adjacency(e.select((F.col("src") + BIG).alias("src"),
+                                               (F.col("dst") + BIG).alias("dst"))))
+
+
+@query("parse_json_big_ids")
+def q_parse_json_big_ids(spark, sf):
+    p = parse_vertex_json(_big_lines(spark, sf))
+    return p.select("id", F.size("edges").alias("n_edges"),
+                    F.array_join(F.transform("edges", lambda x: x["dst"].cast("string")), ",").alias("dsts"))
+
+
+@query("adjacency_input_order")
+def q_adjacency_input_order(spark, sf):
+    e = TB.co_purchase_edges_in_order(spark, sf)
+    a = G.adjacency(e, order_col="pos")
+    return a.select("id", F.size("nbrs").alias("n_nbrs"), _joined("nbrs").alias("nbrs"))
+
+
+@query("next_in_hot_group")
+def q_next_in_hot_group(spark, sf):
+    # a third of the orders in one group, a null group, null values, numbers above 2^53
+    li = TB.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 11 == 0, None)
+        .otherwise(F.col("l_orderkey") + 100).cast("bigint").alias("grp"),
+        "l_orderkey", *TB.ORDER_LINE_KEYS,
+        F.when(F.col("l_partkey") % 17 != 0, F.col("l_partkey") * 2 + BIG).cast("bigint").alias("val"),
+        F.col("l_extendedprice").alias("price"))
+    out = next_in_group(li, "grp", ["l_orderkey", *TB.ORDER_LINE_KEYS], "val", out="next_val",
+                        keep=["l_orderkey", "l_linenumber", "price"])
+    return out.select("grp", "l_orderkey", "l_linenumber", "price", "val", "next_val")
+
+
 # -------------------------------------------------------------------- graph
 
 @query("vertex_set")
@@ -287,11 +326,20 @@ def q_vertex_program_from_json(spark, sf):
     return res.vertices.select("id", r6("rank"))
 
 
+@query("vertex_program_big_ids")
+def q_vertex_program_big_ids(spark, sf):
+    vj = parse_vertex_json(_big_lines(spark, sf))
+    edges = vj.select(F.col("id").alias("src"), F.explode("edges").alias("e")).select(
+        "src", F.col("e.dst").alias("dst"))
+    return link_rank_program(edges).vertices.select("id", r6("rank"))
+
+
 @query("snapshot_resume")
 def q_snapshot_resume(spark, sf):
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/snapshots-{uuid.uuid4().hex}"
     g = L.prepare(TB.co_purchase_edges(spark, sf))
-    L.run(g, max_iter=4, checkpoint_every=2, snapshot_dir=base)     # interrupted run
+    broken = L.run(g, max_iter=4, checkpoint_every=2, snapshot_dir=base)     # interrupted run
+    broken.state.write.parquet(f"{base}/iter=6")        # a snapshot without its marker
     res = L.run(g, checkpoint_every=2, snapshot_dir=base, resume=True)
     return res.ranks.select("id", r6("rank"))
 
@@ -412,6 +460,14 @@ def q_max_memory(spark, sf):
     return TM.max_memory_gb(TB.job_log_lines(spark, sf)).select("job_id", r6("max_memory_gb"))
 
 
+@query("collected_metrics")
+def q_collected_metrics(spark, sf):
+    m = TM.collected_metrics(TB.job_log_lines(spark, sf))
+    return m.select("algorithm", "job_id", "iterations_to_converge", *[r6(c) for c in (
+        "total_execution_time", "avg_iteration_time", "network_communication", "peak_memory_usage",
+        "convergence_rate", "mean_superstep_time")])
+
+
 @query("log_value")
 def q_log_value(spark, sf):
     lines = TB.job_log_lines(spark, sf)
@@ -460,6 +516,29 @@ def q_metrics_header_variants(spark, sf):
                     r6("convergence_rate"))
 
 
+@query("metrics_append_round_trip")
+def q_metrics_append_round_trip(spark, sf):
+    # appended in two runs to one folder, read back with its headers
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/metrics-{uuid.uuid4().hex}"
+    m = _job_metrics(spark, sf, network="as_coded")
+    for algo in ("giraph", "mapreduce"):
+        append_metrics(m.where(F.col("algorithm") == algo), path)
+    return BS.read_metrics_csv(spark, path).select(*BS.RAW_COLUMNS)
+
+
+@query("presentation_order")
+def q_presentation_order(spark, sf):
+    out = BS.presentation_order(_avg(spark, sf), TB.dataset_sizes(spark, sf), "algorithm")
+    return out.select("ord", "dataset", "algorithm", "runs")
+
+
+@query("dataset_dim_rows")
+def q_dataset_dim_rows(spark, sf):
+    # the explicit dimension: a handful of datasets, given as rows
+    rows = [tuple(r) for r in TB.dataset_sizes(spark, sf).select("dataset", "ord", "file", "edges").collect()]
+    return BS.dataset_dim(spark, rows)
+
+
 @query("dataset_dim")
 def q_dataset_dim(spark, sf):
     return TB.dataset_sizes(spark, sf)

@@ -60,22 +60,22 @@ def write_ranks(ranks: DataFrame, path: str, fmt: str = "text") -> None:
         ranks.write.mode("errorifexists").parquet(path)
 
 
-def format_metrics(m: DataFrame) -> DataFrame:
-    """(value): one CSV row per job in the metrics-row format (K5)."""
-    return m.select(F.format_string(
-        METRICS_ROW_FORMAT,
-        "algorithm", "dataset", "job_id", "total_execution_time", "avg_iteration_time",
-        "network_communication", "peak_memory_usage", "iterations_to_converge",
-        "final_diff", "cpu_utilization").alias("value"))
+# The columns of a metrics row and the format of each.
+METRICS_FORMATS = {
+    "algorithm": "%s", "dataset": "%s", "job_id": "%s", "total_execution_time": "%.2fs",
+    "avg_iteration_time": "%.2fs", "network_communication": "%.2fMB",
+    "peak_memory_usage": "%.2fGB", "iterations_to_converge": "%d", "final_diff": "%.6f",
+    "cpu_utilization": "%.2f%%",
+}
 
 
-# The metrics row format and its header line.
-METRICS_ROW_FORMAT = "%s,%s,%s,%.2fs,%.2fs,%.2fMB,%.2fGB,%d,%.6f,%.2f%%"
-METRICS_HEADER = ("algorithm,dataset,job_id,total_execution_time,avg_iteration_time,"
-                  "network_communication,peak_memory_usage,iterations_to_converge,"
-                  "final_diff,cpu_utilization")
+def format_metrics(m: DataFrame) -> DataFrame:
+    """(value): one CSV row per job in the metrics-row format (K5)."""
+    return m.select(F.format_string(",".join(METRICS_FORMATS.values()), *METRICS_FORMATS).alias("value"))
 
 
 def append_metrics(m: DataFrame, path: str) -> None:
-    """Append metrics rows as a headed CSV folder (K5 append)."""
-    (m.write.mode("append").option("header", True).csv(path))
+    """Append rows in the metrics-row format to a folder of CSV files, each
+    with the header line (K5 append)."""
+    rows = m.select(*[F.format_string(f, c).alias(c) for c, f in METRICS_FORMATS.items()])
+    rows.write.mode("append").option("header", True).csv(path)

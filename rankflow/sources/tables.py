@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.benchstats import RAW_COLUMNS
 from ..operators.ordered import next_in_group
 
 # The order of lines inside one order, with enough columns that
@@ -67,6 +68,16 @@ def co_purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("src"), F.col("next_partkey").alias("dst"))
 
 
+def co_purchase_edges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, pos): the same edges with their place in the input."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER_LINE_KEYS)
+    s = next_in_group(li, "l_orderkey", ORDER_LINE_KEYS, "l_partkey", out="next_partkey",
+                      keep=ORDER_LINE_KEYS)
+    return s.where(F.col("next_partkey").isNotNull()).select(
+        F.col("l_partkey").alias("src"), F.col("next_partkey").alias("dst"),
+        F.struct("l_orderkey", *ORDER_LINE_KEYS).alias("pos"))
+
+
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src string, dst string): supplier 'S<k>' -> part 'P<k>' per lineitem."""
     li = table(spark, sf_dir, "lineitem")
@@ -231,11 +242,6 @@ def monitor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- metrics
 
-METRICS_COLUMNS = ["algorithm", "dataset", "job_id", "total_execution_time",
-                   "avg_iteration_time", "network_communication", "peak_memory_usage",
-                   "iterations_to_converge", "final_diff", "cpu_utilization"]
-
-
 def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value string): one metrics CSV row (with unit suffixes) per order."""
     o = table(spark, sf_dir, "orders")
@@ -282,11 +288,12 @@ def metrics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(F.pmod(c, F.lit(100)) + 1), ninth,
         F.concat(fmt2(F.pmod(c * 7, F.lit(10000))), F.lit("%")))
     rows = o.select(fname.alias("file"), row.alias("value"))
-    header = F.concat_ws(",", *[F.lit(x) for x in METRICS_COLUMNS[:8]],
+    header = F.concat_ws(",", *[F.lit(x) for x in RAW_COLUMNS[:8]],
                          F.when(F.col("file") == "metrics_old.csv", F.lit("convergence_rate"))
-                         .otherwise(F.lit("final_diff")), F.lit(METRICS_COLUMNS[9]))
+                         .otherwise(F.lit("final_diff")), F.lit(RAW_COLUMNS[9]))
+    # every file has its header twice, as files do that were put together
     heads = rows.select("file").distinct().select("file", header.alias("value"))
-    return rows.unionByName(heads)
+    return rows.unionByName(heads).unionByName(heads)
 
 
 def dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import split_drop_trailing, split_ws, try_double
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value string): one row per text line (S1 input)."""
-    return spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """(value string): one row per text line (S1 input); with ``order`` also
+    ``pos``, the line's place in the input."""
+    lines = spark.read.text(path)
+    if not order:
+        return lines
+    return lines.select("value", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("pos"))
 
 
-def parse_edges(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_edges(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """(src string, dst string) from raw edge-list lines.
 
     Lines that start with '#' (tested before trimming) are comments; the
     rest is trimmed (all chars <= U+0020) and split on whitespace runs; lines
     with fewer than two tokens are dropped; tokens after the second are
-    ignored.  A line ' # a b' (leading blank) is the edge ('#', 'a').
+    ignored.  A line ' # a b' (leading blank) is the edge ('#', 'a').  The
+    columns ``keep`` stay.
     """
-    toks = lines.where(~F.col(value).startswith("#")).select(split_ws(value).alias("t"))
+    toks = lines.where(~F.col(value).startswith("#")).select(split_ws(value).alias("t"), *keep)
     return toks.where(F.size("t") >= 2).select(
-        F.col("t")[0].alias("src"), F.col("t")[1].alias("dst"))
+        F.col("t")[0].alias("src"), F.col("t")[1].alias("dst"), *keep)
 
 
 def parse_adjacency_tsv(lines: DataFrame, value: str = "value") -> DataFrame:

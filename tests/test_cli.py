@@ -55,3 +55,40 @@ def test_rank_log_reads_back_as_a_batch_job_log(spark, tmp_path, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     summary = TM.log_summary(parse_job_log(lines_df(spark, lines, "b", "mapreduce"))).first()
     assert summary["final_diff"] == pytest.approx(6e-05)
+
+
+def test_neighbours_keep_the_input_order(spark, tmp_path):
+    edges = tmp_path / "e.txt"
+    edges.write_text("1 10\n2 7\n1 2\n1 10\n1 3\n2 1\n")
+    assert main(["preprocess", str(edges), str(tmp_path / "tsv"), str(tmp_path / "json")]) == 0
+    got = {r["value"].split("\t")[0]: r["value"].split("\t")[2] for r in spark.read.text(str(tmp_path / "tsv")).collect()
+           if r["value"].count("\t") > 1}
+    assert got["1"] == "10,2,10,3" and got["2"] == "7,1"
+
+
+def test_capped_log_reads_back(spark, tmp_path, capsys):
+    from conftest import lines_df
+    from rankflow.operators import telemetry as TM
+    from rankflow.sources.logs import parse_job_log
+    edges = tmp_path / "edges.txt"
+    edges.write_text("\n".join(EDGE_LINES) + "\n")
+    main(["rank", str(edges), str(tmp_path / "r"), "--max-iter", "2"])
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0].startswith("Iteration 0 Diff:")
+    last = float(lines[1].split()[-1])
+    for algo in ("giraph", "mapreduce"):
+        summary = TM.log_summary(parse_job_log(lines_df(spark, lines, "b", algo))).first()
+        assert summary["final_diff"] == pytest.approx(last)
+
+
+def test_stats_prints_all_rows(spark, tmp_path, capsys):
+    from rankflow.operators.benchstats import RAW_COLUMNS
+    rows = [f"giraph,d{i},j{i},{i + 1}.00s,1.00s,1.00MB,1.00GB,1,0.1,1.00%" for i in range(30)]
+    (tmp_path / "m.csv").write_text("\n".join([",".join(RAW_COLUMNS), *rows, ",".join(RAW_COLUMNS)]) + "\n")
+    args = ["stats", str(tmp_path / "m.csv")]
+    for i in range(30):
+        args += ["--dataset", f"d{i}:{i}:1000"]
+    assert main(args) == 0
+    out = capsys.readouterr().out
+    averages = out.split("=== ")[1].strip().splitlines()
+    assert len(averages) == 32 and averages[2].split("\t")[:3] == ["d0", "giraph", "1"]
