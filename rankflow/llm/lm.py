@@ -17,7 +17,9 @@ refinement learn online from about ``DRAWS`` training words, drawn in
 proportion to their counts by their hash, each predicted as if it had not
 been counted itself.  Then the model is frozen, so a score does not depend
 on the order of documents; every different word is scored once, and
-documents, dealt into chunks of bounded size, look up their chunk's words.
+documents look up the words of their chunk, a run of rows with a bounded
+size of text.  (The table is read twice in the same order for that; save a
+frame first whose order can change.)
 
 Defined cases: null texts count as empty (their end is scored); a null
 doc_id is in the fold of the empty text; repeated rows are scored and
@@ -31,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,7 @@ ORDERS = (1, 2, 3, 4, 0)  # bytes of context; 0: the whole word so far
 SLOT_BITS = (16, 18, 20, 20, 22)
 DRAWS = 60_000
 WORDS_PER_TASK = 1_000_000
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
 FLUSH = 400_000
 PART_BYTES = 1 << 18
 APM_STEPS = 33
@@ -137,6 +140,23 @@ class Model:
         gate = np.minimum(np.log2(longer + 1), 5).astype(np.int64) * 4 + np.minimum(np.log2(long + 1) / 2, 3).astype(np.int64)
         return x, gate
 
+    def freeze(self) -> None:
+        """Per slot what scoring needs, in place of the counts: stretched
+        prediction, the same by confidence, and its part of the gate."""
+        n = self.counts.sum(axis=1)
+        p = (self.counts[:, 1] + np.float32(0.02)) / (n + np.float32(0.04))
+        st = np.clip(_stretch(np.clip(p, 1e-7, 1 - 1e-7)), -_CLIP, _CLIP)
+        self.tables = np.stack([st, st * (n / (n + 3))], axis=1).astype(np.float32)
+        level = np.log2(n + 1)
+        level = np.concatenate([np.minimum(level[:_OFFSETS[4]] / 2, 3), np.minimum(level[_OFFSETS[4]:], 5)])
+        self.levels = level.astype(np.uint8)
+        self.counts = None
+
+    def frozen_inputs(self, slots):
+        both = self.tables[slots]
+        x = np.concatenate([both[..., 0], both[..., 1]], axis=1)
+        return x, self.levels[slots[:, 4]].astype(np.int64) * 4 + self.levels[slots[:, 3]]
+
     def _refine(self, z, so_far):
         at = (np.clip(z, -7.999, 7.999) + 8) * ((APM_STEPS - 1) / 16)
         low = at.astype(np.int64)
@@ -144,7 +164,7 @@ class Model:
         return self.apm[so_far, low] * (1 - part) + self.apm[so_far, low + 1] * part, low, part
 
     def predict(self, x, gate, so_far):
-        z = np.clip((self.weights[gate] * x).sum(axis=1), -_CLIP, _CLIP)
+        z = np.clip(np.einsum("ij,ij->i", self.weights[gate], x), -_CLIP, _CLIP)
         p = _squash(z)
         q, low, part = self._refine(z, so_far)
         final = np.where(np.abs(z) < 7.9, 0.5 * p + 0.5 * q, p)
@@ -166,14 +186,16 @@ class Model:
         np.clip(self.apm, 1e-4, 1 - 1e-4, out=self.apm)
 
     def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of every coded word."""
+        """log10 probability of every coded word, by the frozen model."""
+        if self.counts is not None:
+            self.freeze()
         out = np.empty(len(words))
         for at, end in parts(words):
             slots, bits, so_far, owner = events(words[at:end])
             sums = np.zeros(end - at)
             for lo in range(0, len(bits), 1 << 18):
                 s = slice(lo, lo + (1 << 18))
-                x, gate = self.inputs(slots[s])
+                x, gate = self.frozen_inputs(slots[s])
                 gate = gate * 8 + np.tile(np.arange(8), len(x) // 8)
                 _, p, _, _ = self.predict(x, gate, so_far[s])
                 sums += np.bincount(owner[s], np.log10(np.where(bits[s] == 1, p, 1 - p)), end - at)
@@ -250,6 +272,7 @@ def train(words: DataFrame, n_words: int, n_tokens: int, draws: int = DRAWS) ->
     some = drawn.column("word").to_pylist()
     order = sorted(range(len(stream)), key=lambda i: (hash_order(some[stream[i]], i)))
     model.learn([some[stream[i]] for i in order])
+    model.freeze()
     return model
 
 
@@ -277,21 +300,45 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     size = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("c").alias("n")).first()
     v, n = size["v"], size["n"] or 0
     scored = score_words(words, train(words, v, n))
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-volume // CHUNK_BYTES))
-    # identical rows spread as well
-    deal = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("t"), out.alias("held_out"), deal.alias("chunk"))
+    source = docs.select("doc_id", F.col("text").cast("binary").alias("t"), out.alias("held_out"),
+                         F.spark_partition_id().alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def vocabulary(key, rows):
-        found = set()
-        for t in rows.column("t").to_pylist():
-            found.update(tokens(t))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(found), pa.int32()),
-                         "word": pa.array(sorted(found), pa.binary())})
+    def chunks(batches):
+        """(chunk of every row, batch): a new chunk after CHUNK_BYTES of text."""
+        chunk, size = 0, 0
+        for batch in batches:
+            own, at = np.empty(batch.num_rows, dtype=np.int64), batch.column(3).to_numpy()
+            for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+                if size > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                size += (n or 0) + 1
+                own[i] = (int(at[i]) << 32) + chunk
+            yield own, batch
+
+    def deal(batches):
+        for own, batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns[:3]], ["chunk", "doc_id", "t", "held_out"])
+
+    def vocabulary(batches):
+        now, found = None, set()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now)), pa.array(sorted(found), pa.binary())],
+                                              ["chunk", "word"])
+        for own, batch in chunks(batches):
+            for c, t in zip(own.tolist(), batch.column(1).to_pylist(), strict=True):
+                if c != now and found:
+                    yield rows()
+                    found.clear()
+                now = c
+                found.update(tokens(t))
+        if found:
+            yield rows()
 
-    need = dealt.select("chunk", "t").groupBy("chunk").applyInArrow(vocabulary, "chunk int, word binary")
+    # both read the same partitions in the same order, so their chunks agree
+    dealt = source.mapInArrow(deal, f"chunk long, doc_id {id_type}, t binary, held_out boolean")
+    need = source.mapInArrow(vocabulary, "chunk long, word binary")
     have = need.join(scored, "word")
     base_under = np.log10(n + 0.1 * (v + 1))
 
