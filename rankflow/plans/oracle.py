@@ -203,7 +203,7 @@ def _final_status(loop: str, tol: float, delta: str = "l1",
     return f"""{loop}
 SELECT CASE WHEN i >= {min_updates} AND {col} < {tol!r} THEN 'converged'
             ELSE 'max_iterations' END AS status,
-       CAST(i AS INTEGER) AS iterations, round({col}, 6) AS final_delta
+       CAST(i AS INTEGER) AS iterations, round({col}, 10) AS final_delta
 FROM (SELECT DISTINCT i, delta, dfix FROM pr WHERE i = (SELECT max(i) FROM pr))"""
 
 

@@ -227,7 +227,7 @@ def _ranks_out(res: L.RankResult) -> DataFrame:
 
 
 def _status_out(spark, res: L.RankResult) -> DataFrame:
-    return res.status_frame(spark).select("status", "iterations", r6("final_delta"))
+    return res.status_frame(spark).select("status", "iterations", F.round("final_delta", 10).alias("final_delta"))
 
 
 @query("rank_fixed_10")
