@@ -215,7 +215,7 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
         x["text"].alias("value"))).alias("conversations")))
     return conv.select("conv_id", F.when(roles == "user|assistant", prompt)
                        .when(roles == "system|user|assistant", instruction)
-                       .when(known & (F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0), speakers)
+                       .when(known & (F.pmod("conv_id", F.lit(2)) == 0), speakers)
                        .otherwise(messages).alias("record"))
 
 
@@ -239,3 +239,30 @@ def op3(spark, sf_dir):
         *[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
           for i, role in enumerate(("user", "assistant"))])).alias("x")).select("conv_id", "x.*")
     return digest(format_records(records_of_rows(rows.unionByName(own))))
+
+
+ORACLE = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT CAST(-7 AS BIGINT), t, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, role)),
+x AS (
+  SELECT *, length(text) + len(regexp_extract_all(text,
+           '[<\[]\\*(?:\|im_(?:start|end)\|>|/?s>|</?SYS>>|/?INST\])')) AS coded,
+         length(role) + 2 * len(regexp_extract_all(role, '[%<\n]')) AS role_coded,
+         role = 'assistant' AS said FROM r),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE said), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE said), '')) AS loss_sha256,
+    -- the marks: 12 characters and a line break before a text, 10 and a line break behind it
+    CAST(sum(12 + role_coded + 1 + coded + 10 + 1) AS BIGINT) AS formatted_chars,
+    CAST(coalesce(sum(coded) FILTER (WHERE said), 0) AS BIGINT) AS span_chars,
+    string_agg(role, '|' ORDER BY turn NULLS FIRST, role, text) AS roles,
+    bool_and(role IN ('user', 'assistant', 'system')) AS known
+  FROM x GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, span_chars,
+  CASE WHEN roles = 'user|assistant' THEN 'prompt' WHEN roles = 'system|user|assistant' THEN 'instruction'
+       WHEN known AND conv_id % 2 = 0 THEN 'speakers' ELSE 'messages' END AS layout
+FROM c"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat
 from .chat import op3
 from .decontaminate import op5
 from .embeddings import op7
@@ -26,4 +27,6 @@ QUERIES = {
     "op10_toxicity": op10,
 }
 
-ORACLE: dict[str, str] = {}
+#: The other queries go beyond SQL (hash functions, models, copies) and are
+#: tested against brute-force versions.
+ORACLE = {"op3_chat_format": chat.ORACLE}
