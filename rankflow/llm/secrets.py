@@ -198,7 +198,8 @@ def labelled_findings(docs: DataFrame, per_class: int = PER_CLASS, **how) -> Dat
         found = df.select(F.explode(F.coalesce(candidates(df, **how)["found"], F.array())).alias("x"), label.alias("y"))
         return found.select("x.f.*", F.coalesce("y", "x.seed").cast("double").alias("label"),
                             F.xxhash64("x.value", "x.f").alias("h")).filter("label is not null")
-    own = docs.sparkSession.createDataFrame(_labelled_texts(), "text string, y double")
+    own = docs.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("text"), F.lit(y).alias("y")) for t, y in _labelled_texts()])))
     own = rows(own, F.col("y"), path=None).withColumn("place", F.lit(0))
     # one search over the corpus for both classes; a partial top in every task
     some = saved(rows(docs, F.lit(None).cast("double"), **how).distinct())
