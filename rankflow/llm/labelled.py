@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +13,8 @@ from .common import fold
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int,
-           per_class: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
-    """Texts and 0/1 labels of at most ``per_class`` rows of each class.
+           per_class: int, max_bytes: int) -> DataFrame:
+    """(t, y): texts and 0/1 labels of at most ``per_class`` rows of each class.
 
     Rows of the held-out fold (crc32 of the id modulo ``folds`` equal to
     ``held``) and texts above ``max_bytes`` are never among them.  The ids
@@ -30,6 +33,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t"))
     # at most 2 * per_class ids are broadcast
     rows = text.filter(F.octet_length("t") <= max_bytes).join(F.broadcast(ids), "doc_id")
-    rows = rows.orderBy("h", "doc_id", F.xxhash64("t")).limit(2 * per_class).select("t", "y")
-    got: pa.Table = rows.toArrow()
-    return got.column("t").to_pylist(), got.column("y").to_pylist()
+    return rows.orderBy("h", "doc_id", F.xxhash64("t")).limit(2 * per_class).select("t", "y")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable):
+    """``fit(texts, labels)`` of a bounded sample, run in one task; only the
+    model comes to the driver."""
+    def run(batches):
+        tables = list(batches)
+        labels = [y for b in tables for y in b.column(1).to_pylist()]
+        model = fit((t.as_py() for b in tables for t in b.column(0)), labels)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    got = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else fit(iter(()), [])

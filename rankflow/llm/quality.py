@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .labelled import sample
+from .labelled import fit_in_task, sample
 
 BITS = 16
 OFTEN = 48
@@ -72,20 +72,45 @@ def features(text: bytes | None) -> np.ndarray:
     return np.concatenate([np.array(levels, dtype=np.int64), there, often + (1 << BITS)])
 
 
-def _dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0,
+class Rows:
+    """Indicator ids of many texts in one flat array, with the scaled values
+    of each text brought to length 1."""
+
+    def __init__(self, texts):
+        parts, some, ends = [], [], [0]
+        for t in texts:
+            some.append(features(t).astype(np.int32))
+            ends.append(ends[-1] + len(some[-1]))
+            if len(some) == 256:
+                parts.append(np.concatenate(some))
+                some = []
+        self.ids = np.concatenate([*parts, *some]) if ends[-1] else np.empty(0, np.int32)
+        self.ends, self.values = ends, None
+
+    def scale(self, by: np.ndarray) -> None:
+        self.values = by[self.ids].astype(np.float32)
+        for i in range(len(self)):
+            v = self.values[self.ends[i]:self.ends[i + 1]]
+            v /= np.sqrt(v @ v) or 1.0
+
+    def __len__(self):
+        return len(self.ends) - 1
+
+    def __getitem__(self, i):
+        at = slice(self.ends[i], self.ends[i + 1])
+        return self.ids[at], None if self.values is None else self.values[at]
+
+
+def _dual_descent(rows: Rows, use: np.ndarray, y: np.ndarray, size: int, c: float = 1.0,
                   epochs: int = 15) -> tuple[np.ndarray, float]:
-    """L2-regularised hinge loss by dual coordinate descent; the rows are
-    brought to length 1, the intercept is one more feature of value 1."""
-    values = []
-    for r in rows:
-        v = scale[r]
-        values.append(v / (np.sqrt(v @ v) or 1.0))
-    w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
+    """L2-regularised hinge loss by dual coordinate descent over the rows
+    ``use``; the intercept is one more feature of value 1."""
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(0)
     for _ in range(epochs):
         worst = 0.0
-        for i in order.permutation(len(rows)):
-            r, v = rows[i], values[i]
+        for i in order.permutation(use):
+            r, v = rows[i]
             g = y[i] * (w[r] @ v + bias) - 1
             step = min(max(alpha[i] - g / 2.0, 0.0), c) - alpha[i]
             if step:
@@ -131,31 +156,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
+def fit(texts, labels: list[int]) -> Model:
+    """The model of some texts (any iterable of bytes) and their labels."""
     y = np.where(np.array(labels, dtype=int) == 1, 1, -1)
     if not (y > 0).any() or not (y < 0).any():
         return Model(None, None, 0.0, 1.0, 0.0)
-    rows = [features(t) for t in texts]
-    size = 2 << BITS
+    rows, size = Rows(texts), 2 << BITS
     share = [np.ones(size), np.ones(size)]
-    for r, s in zip(rows, y, strict=True):
-        share[int(s > 0)][r] += 1
+    for i, s in enumerate(y):
+        share[int(s > 0)][rows[i][0]] += 1
     scale = np.log((share[1] / share[1].sum()) / (share[0] / share[0].sum()))
-    scale = scale.astype(np.float32).astype(np.float64)
+    rows.scale(scale)
     late = np.arange(len(rows)) % 5 == 4
     if not ((y[late] > 0).any() and (y[late] < 0).any() and (y[~late] > 0).any() and (y[~late] < 0).any()):
         late = np.zeros(len(rows), dtype=bool)
-    w, bias = _dual_descent([r for r, x in zip(rows, late, strict=True) if not x], y[~late], scale)
+    w, bias = _dual_descent(rows, np.nonzero(~late)[0], y, size)
     model = Model(scale, w, bias, 1.0, 0.0)
-    use = late if late.any() else ~late
-    m = np.array([model.margin(r) for r, x in zip(rows, use, strict=True) if x])
+    use = np.nonzero(late if late.any() else ~late)[0]
+    m = np.array([model.margin(rows[i][0]) for i in use])
     model.a, model.b = _logistic(m, y[use])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
           per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
-    return fit(*sample(docs, labels, "quality", folds, held, per_class, max_bytes))
+    return fit_in_task(sample(docs, labels, "quality", folds, held, per_class, max_bytes), fit)
 
 
 def score(model: Model, text: Column, spark) -> Column:

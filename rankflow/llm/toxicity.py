@@ -7,9 +7,9 @@ vectors with the words they come from.  A word right after itself counts
 once.  The rows of ``BLOCK`` consecutive words are averaged and go through a
 linear softmax; the text's probability
 is that of its most toxic block, so the length of a text does not dilute a
-passage.  Embeddings and softmax are trained jointly in numpy: of a toxic
-text its currently most toxic block gets the gradient, of a clean text the
-same, and the order is reshuffled per epoch with a fixed seed.
+passage.  Embeddings and softmax are trained jointly in numpy by ``UPDATES``
+steps over the sample, reordered per pass with a fixed seed: of every text
+its currently most toxic block gets the gradient.
 
 The fit uses at most ``per_class`` labelled texts of each class of up to
 ``max_bytes`` bytes; scoring reads every whole text.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .labelled import sample
+from .labelled import fit_in_task, sample
 
 BITS = 17
 DIM = 8
@@ -36,6 +36,7 @@ GRAMS = (3, 4, 5, 6)
 BLOCK = 12
 LEAST = 100  # a block of fewer n-grams is averaged as if of so many
 REFRESH = 200  # texts between two refreshes of the odds that choose the blocks
+UPDATES = 60_000
 PER_CLASS = 4000
 MAX_BYTES = 100_000
 PART_WORDS = BLOCK * 4096
@@ -62,7 +63,7 @@ def _ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             continue
         # no blank strictly inside
         keep = np.nonzero(seen[n - 2:len(b) - 1] == seen[:len(b) - n + 1])[0]
-        ids.append(((x[keep] * _MULT) >> np.uint64(64 - BITS)).astype(np.int64))
+        ids.append(((x[keep] * _MULT) >> np.uint64(64 - BITS)).astype(np.int32))
         own.append(word[keep])
     ids, own = np.concatenate(ids), np.concatenate(own) // BLOCK
     own = np.minimum(own, max(len(words) // BLOCK - 1, 0))  # a short rest joins the block before
@@ -102,7 +103,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 0.4) -> Model:
+def fit(texts, labels: list[int], updates: int = UPDATES, rate: float = 0.4) -> Model:
     y = np.array(labels, dtype=int)
     if not (y == 1).any() or not (y == 0).any():
         return Model(None, 0.0)
@@ -111,12 +112,12 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 0.
     out = rng.uniform(-1, 1, (DIM, 2))
     bias = np.zeros(2)
     parts = [list(blocks(t)) for t in texts]
-    steps, done = epochs * len(texts), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(texts)):
+    done = 0
+    while done < updates:
+        for i in rng.permutation(len(parts))[:updates - done]:
             if done % REFRESH == 0:
                 odds = emb @ (out[:, 1] - out[:, 0])
-            lr = rate * (1 - done / steps)
+            lr = rate * (1 - done / updates)
             done += 1
             best, top, size = -np.inf, None, 1
             for ids, starts, sizes in parts[i]:
@@ -141,7 +142,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 0.
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
           per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
-    return fit(*sample(docs, labels, "toxic", folds, held, per_class, max_bytes))
+    return fit_in_task(sample(docs, labels, "toxic", folds, held, per_class, max_bytes), fit)
 
 
 def score(model: Model, text: Column, spark) -> Column:
