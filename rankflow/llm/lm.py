@@ -46,7 +46,7 @@ DRAWS = 60_000
 WORDS_PER_TASK = 1_000_000
 CHUNK_BYTES = 16_000_000
 FLUSH = 400_000
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 17
 APM_STEPS = 33
 _CLIP = 14.0
 
@@ -210,6 +210,11 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), b""]
 
 
+def keys(words) -> np.ndarray:
+    """64-bit hashes of words, as Spark's ``xxhash64`` gives them."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64).view(np.int64)
+
+
 def word_counts(docs: DataFrame, train: Column) -> DataFrame:
     """(word, c): every different word and its count in training rows."""
     def run(batches):
@@ -246,7 +251,11 @@ def train(words: DataFrame, n_words: int, n_tokens: int, draws: int = DRAWS) ->
                 weight = c[at:end][owner]
                 for o in range(len(ORDERS)):
                     lo, size = 2 * _OFFSETS[o], 2 << SLOT_BITS[o]
-                    counts[lo:lo + size] += np.bincount(slots[:, o] * 2 - lo + bits, weight, size)
+                    at_bit = slots[:, o] * 2 - lo + bits
+                    if size > 2 * len(at_bit):  # a table much larger than what is counted into it
+                        np.add.at(counts, at_bit + lo, weight)
+                    else:
+                        counts[lo:lo + size] += np.bincount(at_bit, weight, size)
         pair = counts.reshape(-1, 2)
         for at in range(0, SLOTS, 1 << 16):
             used = np.nonzero(pair[at:at + (1 << 16)].any(axis=1))[0] + at
@@ -324,8 +333,8 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         now, found = None, set()
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now)), pa.array(sorted(found), pa.binary())],
-                                              ["chunk", "word"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now)), pa.array(np.sort(keys(found)))],
+                                              ["chunk", "h"])
         for own, batch in chunks(batches):
             for c, t in zip(own.tolist(), batch.column(1).to_pylist(), strict=True):
                 if c != now and found:
@@ -338,15 +347,24 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     # both read the same partitions in the same order, so their chunks agree
     dealt = source.mapInArrow(deal, f"chunk long, doc_id {id_type}, t binary, held_out boolean")
-    need = source.mapInArrow(vocabulary, "chunk long, word binary")
-    have = need.join(scored, "word")
+    need = source.mapInArrow(vocabulary, "chunk long, h long")
+    # words travel as their 64-bit hash
+    have = need.join(scored.select(F.xxhash64("word").alias("h"), "c", F.col("lp").cast("float").alias("lp")), "h")
     base_under = np.log10(n + 0.1 * (v + 1))
 
     def look_up(left, right):
-        index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        c, lp = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        found = set()
+        for t in left.column("t").to_pylist():
+            found.update(tokens(t))
+        words = list(found)
+        h = right.column("h").to_numpy()
+        order = np.argsort(h)
+        at = order[np.searchsorted(h, keys(words), sorter=order)]
+        index = dict(zip(words, at.tolist(), strict=True))
+        coded = np.zeros(len(h), dtype=np.int64)
+        coded[at] = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        c, lp = right.column("c").to_numpy(), right.column("lp").to_numpy().astype(np.float64)
         base, known = np.log10(c + 0.1) - base_under, c > 0
-        coded = np.fromiter(map(len, index), np.int64, len(index)) + 1
         rows = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
         for t in left.column("t").to_pylist():
             at = np.fromiter(map(index.__getitem__, tokens(t)), np.int64)
