@@ -125,7 +125,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
                      F.ceil(F.col("m") / BUCKET_ROWS).alias("nb")))
     cells = saved(cells)
     placed = (base.join(cells, ["skey", "size"], "left")
-              .withColumn("b", F.pmod(F.col("h"), F.coalesce("nb", F.lit(1)))))
+              .withColumn("b", F.pmod(F.col("h"), F.coalesce("nb", F.lit(1))))
+              # else the cell's own layout would serve the window below, whole cells in one task
+              .repartition("skey", "size", "b"))
     # the k extra copies of a large cell, spread over its hash buckets
     buckets = (base.join(cells.filter("nb > 1"), ["skey", "size"])
                .withColumn("b", F.pmod(F.col("h"), F.col("nb")))
