@@ -10,16 +10,21 @@ much the two longest contexts have seen, and the bit's place), and the
 result is refined by an adaptive table over (bits so far, mixed
 prediction).  A text's score is the log10 probability of its code.
 
-Where the work runs: words are counted over all documents; the context
-counts are sums over the training counts of all words, in hash tables of a
-fixed number of slots, so only these slots reach the driver.  Weights and
-refinement learn online from about ``DRAWS`` training words, drawn in
-proportion to their counts by their hash, each predicted as if it had not
-been counted itself.  Then the model is frozen, so a score does not depend
-on the order of documents; every different word is scored once, and
-documents look up the words of their chunk, a run of rows with a bounded
-size of text.  (The table is read twice in the same order for that; save a
-frame first whose order can change.)
+Where the work runs: words are counted over all documents and dealt in
+ranges of bounded size.  The context counts are a Spark aggregate over the
+training counts of all words, by the context's 56-bit hash and the byte that
+follows, as many as the corpus has; a range of words gets the counts of its
+own contexts by a join, so nothing of them reaches the driver.  Weights and
+refinement learn online in every range from all of its training words, each
+by its count and predicted as if it had not been counted itself; their mean
+over the ranges, by training tokens, is the model's.  Then the model is
+frozen, so a score does not depend on the order of documents; every
+different word is scored once, and documents look up the words of their
+chunk, a run of rows with a bounded size of text.  (The table is read twice
+in the same order for that; save a frame first whose order can change.)
+
+``Model`` also works from counts in ``SLOTS`` hash slots (``events``), for a
+few words in memory; ``score`` does not use them.
 
 Defined cases: null texts count as empty (their end is scored); a null
 doc_id is in the fold of the empty text; repeated rows are scored and
@@ -42,8 +47,10 @@ from .common import fold, saved, table
 
 ORDERS = (1, 2, 3, 4, 0)  # bytes of context; 0: the whole word so far
 SLOT_BITS = (16, 18, 20, 20, 22)
-DRAWS = 60_000
-WORDS_PER_TASK = 1_000_000
+RANGE_BYTES = 6_000_000  # coded words of a range
+COUNT_FLUSH = 4_000_000
+STEP = 240  # words between two moves of the weights when a range learns
+PER_STEP = 12  # bits whose errors a set of weights follows in full in one step
 CHUNK_BYTES = 16_000_000
 FLUSH = 400_000
 PART_BYTES = 1 << 17
@@ -59,10 +66,8 @@ _POLY_INVERSE = np.uint64(pow(_POLY, -1, 2 ** 64))
 
 # ------------------------------------------------------------------ contexts
 
-def events(words: list[bytes]):
-    """(slots, bits, so_far, owner) of all bits of some coded words: slots
-    is (bits, orders), so_far the byte's bits before this one with a leading
-    one, owner the index of the word."""
+def contexts(words: list[bytes]):
+    """(bytes, lengths, hashes per order) of some coded words."""
     b = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -70,23 +75,47 @@ def events(words: list[bytes]):
     x = b.astype(np.uint64)
     last = [np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), x[:-k]]) if k < len(b) else 0, 256 + k)
             .astype(np.uint64) for k in (1, 2, 3, 4)]
-    contexts, h = [], np.zeros(len(b), dtype=np.uint64)
+    found, h = [], np.zeros(len(b), dtype=np.uint64)
     for k in range(4):
         h = (h + last[k] + np.uint64(1)) * _M2
         h ^= h >> np.uint64(29)
-        contexts.append(h)
+        found.append(h)
     # hash of the word so far: a polynomial in the place inside the word
     power, inverse = np.full(len(b), _POLY, np.uint64), np.full(len(b), _POLY_INVERSE, np.uint64)
     power[0] = inverse[0] = 1
     power, inverse = np.cumprod(power), np.cumprod(inverse)
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((x + np.uint64(1)) * power, out=total[1:])
-    contexts.append((total[:-1] - total[starts]) * inverse[starts] + place.astype(np.uint64) * _M2)
+    found.append((total[:-1] - total[starts]) * inverse[starts] + place.astype(np.uint64) * _M2)
+    return b, lengths, found
+
+
+def bits_of(b: np.ndarray):
+    """(bits, so_far) of some bytes: so_far is the byte's bits before this
+    one with a leading one."""
     shifts = np.arange(8)
-    so_far = (1 << shifts) | (b[:, None].astype(np.int64) >> (8 - shifts))
-    bits = (b[:, None] >> (7 - shifts)) & 1
+    return (b[:, None] >> (7 - shifts)) & 1, (1 << shifts) | (b[:, None].astype(np.int64) >> (8 - shifts))
+
+
+def codes_of(b: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """(bytes, orders): 56 bits of the context's hash and the byte behind it."""
+    out = np.empty((len(b), len(ORDERS)), dtype=np.uint64)
+    for o, h in enumerate(hashes):
+        v = (h + np.uint64(o + 1)) * _M1
+        v ^= v >> np.uint64(31)
+        v *= _M2
+        v ^= v >> np.uint64(29)
+        out[:, o] = (v & ~np.uint64(255)) | b
+    return out
+
+
+def events(words: list[bytes]):
+    """(slots, bits, so_far, owner) of all bits of some coded words: slots
+    is (bits, orders), owner the index of the word."""
+    b, lengths, hashes = contexts(words)
+    bits, so_far = bits_of(b)
     slots = np.empty((len(b) * 8, len(ORDERS)), dtype=np.int32)
-    for o, h in enumerate(contexts):
+    for o, h in enumerate(hashes):
         v = (h[:, None] + so_far.astype(np.uint64) * _M2) * _M1
         v ^= v >> np.uint64(31)
         slots[:, o] = ((v * _M2) >> np.uint64(64 - SLOT_BITS[o])).astype(np.int32).ravel() + _OFFSETS[o]
@@ -106,6 +135,37 @@ def parts(words: list[bytes]):
         yield at, len(words)
 
 
+class Paths:
+    """Exact counts of the contexts of some words: per code (context and
+    byte) how often the context was followed by the byte's first 0 to 8
+    bits.  ``more``: codes that may lack a count."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, more: np.ndarray):
+        every = np.concatenate([codes, more])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
+        self.codes = every[first]
+        n = np.concatenate([n, np.zeros(len(more))])[order]
+        n = np.add.reduceat(n, first) if len(first) else n
+        self.n = np.empty((len(first), 9))
+        for j in range(9):
+            group = self.codes >> np.uint64(8 - j)
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[:len(group)])
+            if len(first):
+                self.n[:, j] = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(group)))
+
+    def of(self, words: list[bytes]):
+        """(seen, same, bits, so_far, owner) of all bits: per order how often
+        the context was seen, and with the bit that comes."""
+        b, lengths, hashes = contexts(words)
+        n = self.n[np.searchsorted(self.codes, codes_of(b, hashes))]
+        bits, so_far = bits_of(b)
+        owner = np.repeat(np.repeat(np.arange(len(words)), lengths), 8)
+        seen, same = (n[:, :, k:k + 8].transpose(0, 2, 1).reshape(-1, len(ORDERS)) for k in (0, 1))
+        return seen, same, bits.ravel(), so_far.ravel(), owner
+
+
 # --------------------------------------------------------------------- model
 
 def _stretch(p):
@@ -117,9 +177,10 @@ def _squash(x):
 
 
 class Model:
-    """Counts per slot (n0, n1), gated weights and the refinement table."""
+    """Gated weights and the refinement table; counts per slot (n0, n1) for
+    what is not counted in ``Paths``."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray | None = None):
         self.counts = counts
         self.weights = np.full((8 * 6 * 4, 2 * len(ORDERS)), 0.15)
         grid = np.linspace(-8, 8, APM_STEPS)
@@ -133,8 +194,11 @@ class Model:
             bits, take = less
             n[np.arange(len(bits)), :, bits] -= take[:, None]
             np.maximum(n, 0, out=n)
-        seen = n.sum(axis=2)
-        st = np.clip(_stretch((n[..., 1] + 0.02) / (seen + 0.04)), -_CLIP, _CLIP)
+        return self.stretched(n.sum(axis=2), n[..., 1])
+
+    @staticmethod
+    def stretched(seen, ones):
+        st = np.clip(_stretch((ones + 0.02) / (seen + 0.04)), -_CLIP, _CLIP)
         x = np.concatenate([st, st * (seen / (seen + 3))], axis=1)
         long, longer = seen[:, 3], seen[:, 4]
         gate = np.minimum(np.log2(longer + 1), 5).astype(np.int64) * 4 + np.minimum(np.log2(long + 1) / 2, 3).astype(np.int64)
@@ -185,6 +249,53 @@ class Model:
                 np.add.at(self.apm, (so_far, cell), apm_rate * share * (bits - self.apm[so_far, cell]))
         np.clip(self.apm, 1e-4, 1 - 1e-4, out=self.apm)
 
+    def counted(self, paths: Paths, words: list[bytes], less: int = 0):
+        """(x, gate, bits, so_far, owner) from exact counts; ``less`` is taken
+        off the counts of the bits that come."""
+        seen, same, bits, so_far, owner = paths.of(words)
+        other = np.maximum(seen - same, 0)
+        same = np.maximum(same - less, 0)
+        x, gate = self.stretched(same + other, np.where(bits[:, None] == 1, same, other))
+        return x, gate * 8 + np.tile(np.arange(8), len(bits) // 8), bits, so_far, owner
+
+    def learn_all(self, paths: Paths, words: list[bytes], c: np.ndarray, rate: float = 0.005, apm_rate: float = 0.02) -> None:
+        """Online, from every word by its count: a word with more than the
+        mean count comes as several copies, so no step hangs on one word."""
+        mean = c.sum() / len(c)
+        k = np.ceil(c / mean).astype(np.int64)
+        stream = np.repeat(np.arange(len(words)), k)
+        weight = c / (k * mean)
+        np.random.default_rng(7).shuffle(stream)
+        sets, width = self.weights.shape
+        for at in range(0, len(stream), STEP):
+            own = stream[at:at + STEP]
+            x, gate, bits, so_far, owner = self.counted(paths, [words[i] for i in own], less=1)
+            p, _, low, part = self.predict(x, gate, so_far)
+            by = weight[own][owner]
+            err = by * (bits - p)
+            mass = np.bincount(gate, by, sets)
+            now = rate / (1 + at / (len(stream) / 4)) * np.minimum(1, PER_STEP / np.maximum(mass, 1e-9))
+            for i in range(width):
+                self.weights[:, i] += now * np.bincount(gate, err * x[:, i], sets)
+            cell = so_far * APM_STEPS + low
+            share = np.concatenate([(1 - part) * by, part * by])
+            cell = np.concatenate([cell, cell + 1])
+            table = self.apm.reshape(-1)
+            mass = np.bincount(cell, share, table.size)
+            ones = np.bincount(cell, share * np.concatenate([bits, bits]), table.size)
+            # as many moves of apm_rate as the cell has weight
+            table += (1 - (1 - apm_rate) ** mass) * (ones / np.maximum(mass, 1e-9) - table) * (mass > 0)
+        np.clip(self.apm, 1e-4, 1 - 1e-4, out=self.apm)
+
+    def score_counted(self, paths: Paths, words: list[bytes]) -> np.ndarray:
+        """log10 probability of every coded word, from exact counts."""
+        out = np.empty(len(words))
+        for at, end in parts(words):
+            x, gate, bits, so_far, owner = self.counted(paths, words[at:end])
+            _, p, _, _ = self.predict(x, gate, so_far)
+            out[at:end] = np.bincount(owner, np.log10(np.where(bits == 1, p, 1 - p)), end - at)
+        return out
+
     def score(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of every coded word, by the frozen model."""
         if self.counts is not None:
@@ -240,75 +351,112 @@ def word_counts(docs: DataFrame, train: Column) -> DataFrame:
     return src.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(words: DataFrame, n_words: int, n_tokens: int, draws: int = DRAWS) -> Model:
-    """The model of (word, c) counts."""
+def in_ranges(words: DataFrame) -> DataFrame:
+    """(chunk, word, c): the words in ranges of about ``RANGE_BYTES``."""
+    size = words.agg(F.sum(F.length("word") + 1)).first()[0] or 0
+    return saved(words.repartitionByRange(max(1, -(-size // RANGE_BYTES)), "word")
+                 .select(F.spark_partition_id().alias("chunk"), "word", "c"))
+
+
+def context_counts(words: DataFrame) -> DataFrame:
+    """(ctx, byte, n): how often a byte follows a context in training rows,
+    for all contexts of all words."""
     def run(batches):
-        counts = np.zeros(2 * SLOTS)
+        codes, n, size = [], [], 0
+
+        def rows():
+            found, at = np.unique(np.concatenate(codes), return_inverse=True)
+            sums = np.bincount(at, np.concatenate(n), len(found)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(8)).view(np.int64)), pa.array(
+                (found & np.uint64(255)).astype(np.int32)), pa.array(sums)], ["ctx", "byte", "n"])
         for batch in batches:
-            some, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
+            some, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
             for at, end in parts(some):
-                slots, bits, _, owner = events(some[at:end])
-                weight = c[at:end][owner]
-                for o in range(len(ORDERS)):
-                    lo, size = 2 * _OFFSETS[o], 2 << SLOT_BITS[o]
-                    at_bit = slots[:, o] * 2 - lo + bits
-                    if size > 2 * len(at_bit):  # a table much larger than what is counted into it
-                        np.add.at(counts, at_bit + lo, weight)
-                    else:
-                        counts[lo:lo + size] += np.bincount(at_bit, weight, size)
-        pair = counts.reshape(-1, 2)
-        for at in range(0, SLOTS, 1 << 16):
-            used = np.nonzero(pair[at:at + (1 << 16)].any(axis=1))[0] + at
-            if len(used):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used.astype(np.int32)), pa.array(pair[used, 0].astype(np.int64)),
-                     pa.array(pair[used, 1].astype(np.int64))], ["slot", "n0", "n1"])
-    learnt = words.filter("c > 0")
-    tasks = max(1, -(-n_words // WORDS_PER_TASK))
-    sums = (learnt.coalesce(tasks).mapInArrow(run, "slot int, n0 long, n1 long")
-            .groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-            .select("slot", F.col("n0").cast("float"), F.col("n1").cast("float")).toArrow())  # SLOTS rows at most
-    counts = np.zeros((SLOTS, 2), dtype=np.float32)
-    slot = sums.column("slot").to_numpy()
-    counts[slot, 0], counts[slot, 1] = sums.column("n0").to_numpy(), sums.column("n1").to_numpy()
-    del sums
-    model = Model(counts)
-    share = F.col("c") * F.lit(draws / max(n_tokens, 1))
-    luck = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = (learnt.withColumn("k", F.floor(share + luck).cast("int")).filter("k > 0")
-             .select("word", "k").toArrow())  # about ``draws`` words
-    stream = np.repeat(np.arange(drawn.num_rows), drawn.column("k").to_numpy())
-    some = drawn.column("word").to_pylist()
-    order = sorted(range(len(stream)), key=lambda i: (hash_order(some[stream[i]], i)))
-    model.learn([some[stream[i]] for i in order])
-    model.freeze()
-    return model
+                b, lengths, hashes = contexts(some[at:end])
+                codes.append(codes_of(b, hashes).ravel())
+                n.append(np.repeat(c[at:end], lengths * len(ORDERS)))
+                size += len(codes[-1])
+                if size > COUNT_FLUSH:
+                    yield rows()
+                    codes, n, size = [], [], 0
+        if codes:
+            yield rows()
+    got = words.filter("c > 0").select("word", "c").mapInArrow(run, "ctx long, byte int, n long")
+    # dealt by context at once: the sums and the join need no other exchange
+    return saved(got.repartition("ctx").groupBy("ctx", "byte").agg(F.sum("n").alias("n")))
+
 
+def with_counts(words: DataFrame, counts: DataFrame, work, schema: str, learnt: bool = False) -> DataFrame:
+    """``work`` on every range of words and the exact counts of its contexts:
+    work(words, c, paths) gives a table."""
+    if learnt:
+        words = words.filter("c > 0")
 
-def hash_order(word: bytes, i: int) -> int:
-    """A fixed shuffle of the learning stream that does not depend on row order."""
-    return xxhash.xxh64_intdigest(word, i & 0xFFFF)
+    def needed(batches):
+        found, now = [], None
+        for batch in batches:
+            if batch.num_rows:
+                now, some = batch.column("chunk")[0].as_py(), batch.column("word").to_pylist()
+                for at, end in parts(some):
+                    b, _, hashes = contexts(some[at:end])
+                    found.append(np.unique(codes_of(b, hashes) >> np.uint64(8)))
+        if found:
+            ctx = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ctx), now, np.int32)), pa.array(ctx.view(np.int64))],
+                                             ["chunk", "ctx"])
+    need = words.select("chunk", "word").mapInArrow(needed, "chunk int, ctx long")
+    have = need.join(counts, "ctx").select("chunk", F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("code"), "n")
+
+    def run(left, right):
+        some, c = left.column("word").to_pylist(), left.column("c").to_numpy()
+        new = [w for w, k in zip(some, c.tolist(), strict=True) if not k]
+        more = []
+        for at, end in parts(new):
+            b, _, hashes = contexts(new[at:end])
+            more.append(np.unique(codes_of(b, hashes)))
+        paths = Paths(right.column("code").to_numpy().view(np.uint64), right.column("n").to_numpy().astype(np.float64),
+                      np.concatenate([np.zeros(0, np.uint64), *more]))
+        return work(some, c, paths)
+    return words.groupBy("chunk").cogroup(have.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def train(words: DataFrame, counts: DataFrame) -> Model:
+    """Weights and refinement, learnt in every range from all of its training
+    words; their means by training tokens."""
+    def learn(some, c, paths):
+        model = Model()
+        model.learn_all(paths, some, c.astype(np.float64))
+        flat = np.concatenate([model.weights.ravel(), model.apm.ravel()])
+        return pa.table({"cell": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat),
+                         "by": pa.array(np.full(len(flat), float(c.sum())))})
+    got = (with_counts(words, counts, learn, "cell int, v double, by double", learnt=True).groupBy("cell")
+           .agg((F.sum(F.col("v") * F.col("by")) / F.sum("by")).alias("v")).toArrow())  # a row per weight and cell
+    model = Model()
+    if got.num_rows:
+        flat = np.empty(got.num_rows)
+        flat[got.column("cell").to_numpy()] = got.column("v").to_numpy()
+        model.weights = flat[:model.weights.size].reshape(model.weights.shape)
+        model.apm = flat[model.weights.size:].reshape(model.apm.shape)
+    return model
 
 
-def score_words(words: DataFrame, model: Model) -> DataFrame:
+def score_words(words: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """(word, c, lp): log10 probability of every different word."""
-    shared = words.sparkSession.sparkContext.broadcast(model)  # SLOTS pairs of counts
-
-    def run(batches):
-        for batch in batches:
-            lp = shared.value.score(batch.column(0).to_pylist()) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], ["word", "c", "lp"])
-    return words.mapInArrow(run, "word binary, c long, lp double")
+    def run(some, c, paths):
+        return pa.table({"word": pa.array(some, pa.binary()), "c": pa.array(c),
+                         "lp": pa.array(model.score_counted(paths, some))})
+    return with_counts(words, counts, run, "word binary, c long, lp double")
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, bits_per_byte."""
     out = fold(F.col("doc_id"), folds) == held
-    words = saved(word_counts(docs, ~out))
+    words = in_ranges(word_counts(docs, ~out))
     size = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("c").alias("n")).first()
     v, n = size["v"], size["n"] or 0
-    scored = score_words(words, train(words, v, n))
+    counts = context_counts(words)
+    scored = score_words(words, counts, train(words, counts))
     source = docs.select("doc_id", F.col("text").cast("binary").alias("t"), out.alias("held_out"),
                          F.spark_partition_id().alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()

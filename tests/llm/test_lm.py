@@ -104,3 +104,75 @@ def test_parts_cover_all_words(monkeypatch):
     words = [b"a" * n for n in (0, 3, 50, 1, 9, 10, 11, 0)]
     assert [w for a, e in L.parts(words) for w in words[a:e]] == words
     assert list(L.parts([])) == []
+
+
+def _slow_paths(words):
+    """Counter of (order, context, bits so far) and of the same with the next bit, for all training words."""
+    n = Counter()
+    for w, c in words.items():
+        code = w + b" "
+        for i, byte in enumerate(code):
+            for order in (1, 2, 3, 4, 0):
+                ctx = (order, code[:i] if order == 0 or i < order else (code[i - order:i],))
+                for j in range(9):
+                    n[ctx, f"{byte:08b}"[:j]] += c
+    return n
+
+
+def test_context_counts_are_exact_and_grow_with_the_words(spark):
+    """More contexts than the hash slots of order 1 hold, each with its own counts, in several ranges."""
+    rng = np.random.default_rng(3)
+    some = {bytes(rng.integers(97, 123, rng.integers(0, 9)).astype(np.uint8)): int(rng.integers(0, 4)) for _ in range(3000)}
+    words = L.in_ranges(spark.createDataFrame([(bytearray(w), c) for w, c in some.items()], "word binary, c long"))
+    counts = L.context_counts(words)
+    slow = _slow_paths({w: c for w, c in some.items() if c})
+    assert counts.count() == sum(1 for (_, bits), _ in slow.items() if len(bits) == 8)
+    seen, same, bits, _, owner = L.Paths(*_collected(counts), np.unique(L.codes_of(*_coded(list(some))))).of(list(some))
+    at = 0
+    for w in some:
+        code = w + b" "
+        for i, byte in enumerate(code):
+            for j in range(8):
+                for o, order in enumerate((1, 2, 3, 4, 0)):
+                    ctx = (order, code[:i] if order == 0 or i < order else (code[i - order:i],))
+                    assert seen[at, o] == slow[ctx, f"{byte:08b}"[:j]] and same[at, o] == slow[ctx, f"{byte:08b}"[:j + 1]]
+                at += 1
+
+
+def _coded(words):
+    b, _, hashes = L.contexts(words)
+    return b, hashes
+
+
+def _collected(counts):
+    t = counts.toArrow()
+    ctx, byte = t.column("ctx").to_numpy().astype(np.uint64), t.column("byte").to_numpy().astype(np.uint64)
+    return ctx << np.uint64(8) | byte, t.column("n").to_numpy().astype(np.float64)
+
+
+def test_ranges_share_their_counts(spark, monkeypatch):
+    """Scores with given weights do not depend on how the words are dealt."""
+    some = [(bytearray(b"w%d" % i), i % 3) for i in range(500)] + [(bytearray(b""), 70)]
+    words = spark.createDataFrame(some, "word binary, c long")
+    scores = []
+    for size in (10 ** 9, 300):
+        monkeypatch.setattr(L, "RANGE_BYTES", size)
+        ranged = L.in_ranges(words)
+        got = L.score_words(ranged, L.context_counts(ranged), L.Model()).collect()
+        scores.append({bytes(r.word): (r.c, round(r.lp, 9)) for r in got})
+        assert (ranged.select("chunk").distinct().count() > 1) == (size == 300)
+    assert scores[0] == scores[1] and len(scores[0]) == 501
+
+
+def test_every_training_word_moves_the_weights(spark):
+    """Words far beyond any sample's size, told apart only by rare ones."""
+    some = {b"common": 1_000_000} | {b"r%d" % i: 1 for i in range(50)}
+    words = list(some)
+    c = np.array(list(some.values()), dtype=np.float64)
+    b, lengths, hashes = L.contexts(words)
+    codes = L.codes_of(b, hashes)
+    paths = L.Paths(codes.ravel(), np.repeat(c, lengths * len(L.ORDERS)), codes.ravel()[:0])
+    with_all, without = L.Model(), L.Model()
+    with_all.learn_all(paths, words, c)
+    without.learn_all(paths, words[:-1], c[:-1])
+    assert not np.array_equal(with_all.weights, without.weights)
