@@ -40,9 +40,22 @@ TURNS = "array<struct<role: string, text: string>>"
 
 # ------------------------------------------------------------- fingerprints
 
+def skeleton(record: Column) -> Column:
+    """The record with empty texts, so its size does not depend on them
+    (``try_parse_json`` gives null for a text of over 20 M characters or a
+    record of over 128 MiB).  Broken JSON stays broken."""
+    # the same JSON without a quote inside a string
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    # names with their colon are kept; strings with control signs are no JSON and stay
+    empty = F.regexp_replace(plain, r'("[^"\x00-\x1f]*+"[ \t\r\n]*+:)|(")[^"\x00-\x1f]*+(")', "$1$2$3")
+    once = F.regexp_replace(empty, r'(\{"[^{}]*+\},)\1++', "$1")  # equal neighbours in a list
+    broken = plain.rlike(r"\\(?![/bfnrt]|u[0-9a-fA-F]{4})")
+    return F.when(broken, None).otherwise(once)
+
+
 def paths_of(record: Column) -> Column:
     """The nested field paths of a JSON record, without the types of values."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     return F.regexp_replace(schema, r"(?<=[:<] ?)(?:STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|VARIANT|BINARY|DATE|"
                                     r"TIMESTAMP(?:_NTZ)?|DECIMAL\([0-9, ]*\))(?=[,>])", "_")
 
@@ -126,7 +139,7 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     by_print = F.create_map(*[F.lit(x) for m in MAPPINGS for f in m.fingerprints() for x in (f, m.name)])
     turns = F.lit(None).cast(TURNS)
     for m in MAPPINGS:
-        read = F.transform(F.array(F.from_json(record, m.schema)), m.turns)[0]  # parsed once
+        read = F.transform(F.array(F.from_json(record, m.schema, {"maxStringLen": str(2 ** 31 - 1)})), m.turns)[0]  # parsed once
         turns = F.when(F.col("layout") == m.name, read).otherwise(turns)
     return (records.withColumn("fingerprint", fingerprint(F.col(record)))
             .withColumn("layout", F.try_element_at(by_print, F.col("fingerprint")))

@@ -106,3 +106,34 @@ def test_round_trip(spark, turns):
     out = df.select(C.render(F.col("turns")).alias("f")).select("f", C.read_back(F.col("f")).alias("b")).first()
     assert [(t.role, t.text) for t in out.b] == turns
     assert out.f.count(C.START) == out.f.count(C.END) == len(turns)
+
+
+def test_very_long_text(spark, tmp_path):
+    """A text above the 20 M characters that the JSON parser takes by default."""
+    long = "say \"\\n\" \n" * 2_500_000
+    rows = [(1, 0, "user", "x"), (1, 1, "assistant", long), (2, 0, "user", "y"), (2, 1, "tool", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    convs = {-7: [("user", NASTY[0]), ("assistant", NASTY[0])], 1: [r[2:] for r in rows[:2]], 2: [r[2:] for r in rows[2:]]}
+    got = C.op3(spark, str(tmp_path)).collect()
+    check(got, convs)
+    assert {r.conv_id: r.layout for r in got} == {-7: "prompt", 1: "prompt", 2: "messages"}
+
+
+@pytest.mark.parametrize("record", [
+    r'{"prompt": "a\"b: {\\", "response": "\\\\\"x\": 1, \\"}', r'{"pro\u006dpt": "", "response": "\u00e9 \/ \b"}',
+    r'{"a\"b": "x", "a\\": {"{}": ["q", 1, {"z": "}"}, {"z": "}"}, {"z": "w"}, {"z": 5}]}}', r'["a", "b:", ":"]', '"text"',
+    r'{"prompt": "a\q", "response": "b"}', '{"prompt": "a\nb", "response": "b"}', r'{"prompt": "\u12", "response": "b"}',
+    '{"prompt": "a", "response": "b', r'{"prompt": "a", "response": "b\"}', '{"a": 1, "a": "x"}', r'{"a": \"x"}', ""])
+def test_skeleton_has_the_paths_of_the_record(spark, record):
+    df = spark.createDataFrame([(record,)], "record string")
+    got, want = df.select(C.paths_of(F.col("record")), F.schema_of_variant(F.try_parse_json("record"))).first()
+    empty = df.select(C.skeleton(F.col("record"))).first()[0]
+    assert (got is None) == (want is None), empty
+    if want is not None:
+        slow = json.loads(record)
+        keys = lambda x: ({k: keys(v) for k, v in x.items()} if isinstance(x, dict) else
+                          [keys(v) for v in x] if isinstance(x, list) else "" if isinstance(x, str) else x)
+        full = spark.createDataFrame([(json.dumps(keys(slow), ensure_ascii=False),)], "record string")
+        assert full.select(F.schema_of_variant(F.try_parse_json("record"))).first()[0] == want
+        assert df.select(F.schema_of_variant(F.try_parse_json(F.lit(empty)))).first()[0] == want
