@@ -3,14 +3,17 @@
 A text becomes a template: words are cut at white space, signs around and
 inside them are dropped, letters are lower-cased, and numbers, units behind
 a number, and names (capitalised words inside a sentence) are replaced by
-typed placeholders.  Windows of ``WINDOW`` template words, of which at least
-``LITERALS`` are no placeholders, are hashed and joined with the windows of
-the benchmark.  Matches are grouped by document, item and alignment; within
+typed placeholders.  A second, case-folded form leaves names as lower-case
+words, so a copy in capitals or in lower case matches too.  Windows of
+``WINDOW`` words of either form, of which at least ``LITERALS`` are no
+placeholders, are hashed and joined with the windows of the benchmark; a
+window that is the same in both forms goes once.  Matches are grouped by
+document, item, form and alignment; within
 an alignment a slot value of the item must always stand for the same value
 of the document; if more than ``CONFLICTS`` of the values conflict, the
 alignment is no copy with new parameters and is dropped.  An item is leaked into a document if the windows
-that are left cover ``COVER`` of the item's windows, or ``RUN`` words of it
-in one alignment.
+that are left cover ``COVER`` of the item's windows of one form, or ``RUN``
+words of it in one alignment.
 
 Only DataFrame functions are used.  All windows of all texts take part; they
 are exploded inside the scan's stage and meet the benchmark in a broadcast
@@ -46,18 +49,23 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) +
 
 
 def templates(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` plus ``raw`` and ``canon``: aligned arrays of words and template words."""
+    """``keys`` plus ``raw``, ``canon`` and ``folded``: aligned arrays of words,
+    template words and case-folded words without names."""
     # a line break stays a word of its own until the names are found, as it
     # ends a sentence like a full stop does
     flat = F.replace(F.translate(F.col(text), "\t\x0b\f\r", "    "), F.lit("\n"), F.lit(" \n "))
     df = df.select(*keys, flat.alias("__t"))
     canon = F.regexp_replace("__t", r"\p{Lu}(?<=[\p{L}\p{N},;)'\"] \p{Lu})[\p{L}'’-]*", "\u0001")
-    canon = F.when(F.col("__t").rlike("[0-9]"), F.regexp_replace(
-        F.regexp_replace(canon, rf"(?<=[0-9])( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "$1\u0002"),
-        _NUMBER, "\u0003")).otherwise(canon)
-    canon = F.lower(F.translate(canon, _PUNCTUATION, ""))
-    # both arrays are split at the same blanks, so they stay aligned
-    return df.select(*keys, F.split("__t", " ").alias("raw"), F.split(canon, " ").alias("canon"))
+
+    def typed(c):
+        return F.when(F.col("__t").rlike("[0-9]"), F.regexp_replace(
+            F.regexp_replace(c, rf"(?<=[0-9])( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "$1\u0002"),
+            _NUMBER, "\u0003")).otherwise(c)
+    canon = F.lower(F.translate(typed(canon), _PUNCTUATION, ""))
+    folded = F.translate(typed(F.lower("__t")), _PUNCTUATION, "")
+    # all arrays are split at the same blanks, so they stay aligned
+    return df.select(*keys, F.split("__t", " ").alias("raw"), F.split(canon, " ").alias("canon"),
+                     F.split(folded, " ").alias("folded"))
 
 
 def _slot(word: Column) -> Column:
@@ -65,37 +73,47 @@ def _slot(word: Column) -> Column:
 
 
 def windows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``pos``, ``h`` and ``vals`` (the slots' values in order, null
-    without slots) of all template windows that count."""
+    """``keys``, ``pos``, ``h``, ``vals`` (the slots' values in order, null
+    without slots) and ``form`` (1: template, 2: case-folded, 3: the same in
+    both) of all windows that count."""
     t = templates(df, keys, text)
-    pairs = F.filter(F.arrays_zip("raw", "canon"), lambda x: (x["canon"] != "") & (x["canon"] != "\n"))
+    pairs = F.filter(F.arrays_zip("raw", "canon", "folded"), lambda x: (x["canon"] != "") & (x["canon"] != "\n"))
     # bound once inside the generator: neither later uses nor a filter on the
     # result compute the windows again
     w = F.transform(F.array(F.struct(pairs.alias("p"))), lambda s: _window_array(s["p"]))[0]
-    return t.select(*keys, F.explode(w).alias("x")).select(*keys, "x.pos", "x.h", "x.vals")
+    return t.select(*keys, F.explode(w).alias("x")).select(*keys, "x.pos", "x.h", "x.vals", "x.form")
 
 
 def _window_array(p: Column) -> Column:
-    canon = F.transform(p, lambda x: x["canon"])
-    hashed = F.transform(p, lambda x: F.xxhash64(x["canon"]))
-    flags = F.transform(p, lambda x: _slot(x["canon"]).cast("int"))
-    state = F.array(F.struct(p.alias("p"), hashed.alias("hs"), flags.alias("f"),
-                             F.exists(canon, _slot).alias("any")))
-
-    def build(s):
-        last = F.size(s["hs"]) - WINDOW
+    def form_of(name):
+        words = F.transform(p, lambda x: x[name])
+        return F.struct(F.transform(words, lambda x: F.xxhash64(x)).alias("hs"),
+                        F.transform(words, lambda x: _slot(x).cast("int")).alias("f"), F.exists(words, _slot).alias("any"))
+    other = F.transform(p, lambda x: (x["canon"] != x["folded"]).cast("int"))
+    state = F.array(F.struct(p.alias("p"), form_of("canon").alias("canon"), form_of("folded").alias("folded"),
+                             other.alias("other"), F.exists(p, lambda x: x["canon"] != x["folded"]).alias("differ")))
 
-        def one(i):
-            part = [s["hs"][i + k] for k in range(WINDOW)]
-            slots = F.aggregate(F.slice(s["f"], i + 1, WINDOW), F.lit(0), lambda a, x: a + x)
-            vals = F.transform(F.filter(F.slice(s["p"], i + 1, WINDOW), lambda x: _slot(x["canon"])),
-                               lambda x: F.lower(F.translate(x["raw"], _PUNCTUATION, "")))
-            n = F.when(s["any"], slots).otherwise(0)
-            return F.struct(i.alias("pos"), F.xxhash64(*part).alias("h"), n.alias("slots"),
-                            F.when(n > 0, vals).alias("vals"))
+    def total(flags, i):
+        return F.aggregate(F.slice(flags, i + 1, WINDOW), F.lit(0), lambda a, x: a + x)
 
-        full = F.filter(F.transform(F.sequence(F.lit(0), last), one), lambda x: x["slots"] <= WINDOW - LITERALS)
-        return F.when(last >= 0, full)
+    def build(s):
+        last = F.size(s["p"]) - WINDOW
+
+        def one(name, form):
+            def at(i):
+                part = [s[name]["hs"][i + k] for k in range(WINDOW)]
+                vals = F.transform(F.filter(F.slice(s["p"], i + 1, WINDOW), lambda x: _slot(x[name])),
+                                   lambda x: F.lower(F.translate(x["raw"], _PUNCTUATION, "")))
+                n = F.when(s[name]["any"], total(s[name]["f"], i)).otherwise(0)
+                return F.struct(i.alias("pos"), F.xxhash64(*part).alias("h"), n.alias("slots"),
+                                F.when(n > 0, vals).alias("vals"), form(i).alias("form"))
+            return at
+
+        every = F.sequence(F.lit(0), last)
+        template = F.transform(every, one("canon", lambda i: F.when(s["differ"] & (total(s["other"], i) > 0), 1).otherwise(3)))
+        folded = F.transform(F.filter(every, lambda i: total(s["other"], i) > 0), one("folded", lambda i: F.lit(2)))
+        full = F.when(s["differ"], F.concat(template, folded)).otherwise(template)
+        return F.when(last >= 0, F.filter(full, lambda x: x["slots"] <= WINDOW - LITERALS))
 
     return F.transform(state, build)[0]
 
@@ -106,9 +124,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
     item; ``th`` is the hash of the document's text."""
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     item_w = saved(windows(items.withColumn("it", F.xxhash64("text")), ["item_id", "it"], "text"))
-    item_n = item_w.groupBy("item_id", "it").agg(F.count(F.lit(1)).alias("item_n"))
+    item_n = item_w.groupBy("item_id", "it").agg(F.array(
+        F.count(F.when(F.col("form") != 2, 1)), F.count(F.when(F.col("form") != 1, 1))).alias("item_n"))
     item_w = item_w.alias("w").join(item_n.alias("n"), F.expr("w.item_id <=> n.item_id and w.it = n.it")).select(
-        "w.item_id", "item_n", F.col("pos").alias("item_pos"), "h", F.col("vals").alias("item_vals"))
+        "w.item_id", "item_n", F.col("pos").alias("item_pos"), "h", F.col("vals").alias("item_vals"),
+        F.col("form").alias("item_form"))
     item_w = saved(item_w)
     small = item_w.limit(broadcast_windows + 1).count() <= broadcast_windows
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("text is not null")
@@ -116,10 +136,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
     # the same slots in an item and a document, by their place in the window
     pairs = F.when(F.col("vals").isNotNull(), F.zip_with(
         "item_vals", "vals", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    hits = hits.select("doc_id", "th", "item_id", "item_n", "item_pos",
+    both = F.col("form").bitwiseAND(F.col("item_form"))
+    forms = F.filter(F.array(F.lit(1), F.lit(2)), lambda f: both.bitwiseAND(f) != 0)
+    hits = hits.select("doc_id", "th", "item_id", F.col("item_n").alias("ns"), "item_pos", F.explode(forms).alias("form"),
                        (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    hits = hits.withColumn("item_n", F.col("ns")[F.col("form") - 1]).drop("ns")
     # an alignment has each item position once, or as often as the row repeats
-    along = hits.groupBy("doc_id", "th", "item_id", "item_n", "shift").agg(
+    along = hits.groupBy("doc_id", "th", "item_id", "item_n", "form", "shift").agg(
         F.collect_set("item_pos").alias("at"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda x: x["a"]))
@@ -131,12 +154,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
                            F.array(F.when(x == s["last"] + 1, s["len"] + 1).otherwise(F.lit(1))),
                            lambda n: F.struct(x.alias("last"), n.alias("len"), F.greatest(s["best"], n).alias("best")))[0])
     along = along.withColumn("longest", runs["best"])
-    out = along.groupBy("doc_id", "th", "item_id", "item_n").agg(
+    out = along.groupBy("doc_id", "th", "item_id", "item_n", "form").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"),
         F.max("longest").alias("longest"), F.max("n_slots").alias("n_slots"))
-    out = out.select("doc_id", "th", "item_id", (F.col("covered") / F.col("item_n")).alias("coverage"),
-                     (F.col("longest") + (WINDOW - 1)).cast("long").alias("longest_run"),
-                     F.col("n_slots").cast("long").alias("n_slots"))
+    # the better form counts
+    out = out.groupBy("doc_id", "th", "item_id").agg(
+        F.max(F.col("covered") / F.col("item_n")).alias("coverage"),
+        (F.max("longest") + (WINDOW - 1)).cast("long").alias("longest_run"),
+        F.max("n_slots").cast("long").alias("n_slots"))
     return out.filter((F.col("coverage") >= cover) | (F.col("longest_run") >= run))
 
 

@@ -107,3 +107,12 @@ def test_clean_keeps_columns_and_odd_rows(spark, odd, no_docs, bench):
     assert sorted(map(str, D.clean(both, bench).collect())) == sorted(map(str, kept.collect()))
     assert D.clean(no_docs, bench).count() == 0
     assert D.leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_copies_in_other_cases(spark, bench):
+    """Capitals, lower case and title case, also re-flowed; a torn copy stays none."""
+    flow = ITEM.upper().replace(" ", "\n  ", 3)
+    got = D.leaks(docs_of(spark, {1: ITEM.upper(), 2: ITEM.lower(), 3: ITEM.title(), 4: "x y z. " + flow + " Z", 5: ITEM.upper().replace(
+        "5 KM", "9 KM").replace("5 APPLES", "4 APPLES"), 6: ITEM.upper().replace("5", "8").replace("7", "6"), 7: ITEM}), bench)
+    assert found(got) == {(i, 1) for i in (1, 2, 3, 4, 6, 7)}
+    assert {r.doc_id: r.coverage for r in got.collect()}[1] == 1
