@@ -3,7 +3,7 @@
     python -m rankflow preprocess EDGES OUT_TSV OUT_JSON
     python -m rankflow rank INPUT OUT [--format edges|tsv|json] [--delta l1|fixed_point]
                        [--tol 1e-4] [--max-iter 500] [--lag 0] [--snapshot-dir DIR] [--resume]
-                       [--partitions N] [--salt-chunk N]
+                       [--partitions N] [--salt-chunk N] [--strict]
     python -m rankflow metrics --runs RUNS_CSV --logs GLOB --monitor GLOB OUT
                        [--network interface|as_coded]
     python -m rankflow stats METRICS_CSV... --dataset NAME:ORD:EDGES ... [--num A --den B]
@@ -19,7 +19,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import benchstats as BS
@@ -30,7 +30,8 @@ from .session import ensure_checkpoint_dir
 from .sinks import append_metrics, format_metrics, write_adjacency_tsv, write_ranks, \
     write_vertex_json
 from .sources.logs import parse_job_log, parse_sar, read_log_lines
-from .sources.text import parse_adjacency_tsv, parse_edges, parse_vertex_json, read_lines
+from .sources.text import adjacency_graph, count_rejects, parse_adjacency_tsv, parse_edges, \
+    parse_vertex_json, read_lines, vertex_json_graph
 
 
 def _num(x: float) -> str:
@@ -44,15 +45,23 @@ def _session() -> SparkSession:
     return spark
 
 
-def _edges(spark: SparkSession, path: str, fmt: str):
+def _graph(spark: SparkSession, path: str, fmt: str, seen: Observation) -> tuple:
+    """Edges, declared vertices (id, rank) and the start value of the others.
+
+    An edge list declares nothing: every vertex starts from 1.  The adjacency
+    formats declare their vertices, also those without an edge; a vertex that
+    is a target only starts from 0.  The start ranks are those of the TSV
+    rows, and 1 for vertex JSON, whose values the BSP program sets anew.
+    Rejected lines are counted into ``seen`` by the job that reads them.
+    """
     lines = read_lines(spark, path)
+    checked = count_rejects(lines, fmt, seen)
     if fmt == "edges":
-        return parse_edges(lines)
+        return parse_edges(checked), None, 1.0
     if fmt == "tsv":
-        return G.explode_adjacency(parse_adjacency_tsv(lines))
-    vj = parse_vertex_json(lines)
-    return vj.select(F.col("id").alias("src"), F.explode("edges").alias("e")).select(
-        "src", F.col("e.dst").alias("dst"))
+        return *(adjacency_graph(parse_adjacency_tsv(x))[k] for k, x in enumerate((lines, checked))), 0.0
+    edges, vertices = (vertex_json_graph(parse_vertex_json(x))[k] for k, x in enumerate((lines, checked)))
+    return edges.select("src", "dst"), vertices.select("id", F.lit(1.0).alias("rank")), 0.0
 
 
 def cmd_preprocess(a) -> int:
@@ -69,8 +78,14 @@ def cmd_preprocess(a) -> int:
 
 def cmd_rank(a) -> int:
     spark = _session()
-    g = L.prepare(_edges(spark, a.input, a.format), num_partitions=a.partitions,
-                  salt_chunk=a.salt_chunk)
+    seen = Observation("rankflow_lines")
+    edges, vertices, start = _graph(spark, a.input, a.format, seen)
+    g = L.prepare(edges, num_partitions=a.partitions, salt_chunk=a.salt_chunk, vertices=vertices, start=start)
+    bad = {k: n for k, n in seen.get.items() if k != "lines" and n}
+    for reason, n in bad.items():
+        print(f"Rejected lines: {n} ({reason})", file=sys.stderr)
+    if bad and a.strict:
+        return 1
     res = L.run(g, max_iter=a.max_iter, tol=a.tol, delta=a.delta, lag=a.lag,
                 snapshot_dir=a.snapshot_dir, resume=a.resume)
     col = "delta" if a.delta == "l1" else "delta_fixed"
@@ -147,6 +162,7 @@ def main(argv: list[str] | None = None) -> int:
     pr.add_argument("--lag", type=int, default=0)
     pr.add_argument("--snapshot-dir")
     pr.add_argument("--resume", action="store_true")
+    pr.add_argument("--strict", action="store_true", help="stop if a line of the input is rejected")
     pr.add_argument("--partitions", type=int, help="loop partitions (default: sized by edges)")
     pr.add_argument("--salt-chunk", type=int, default=L.SALT_CHUNK,
                     help="distinct targets per bucket of a hot source")

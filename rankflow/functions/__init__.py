@@ -59,6 +59,32 @@ def fixed_point(c: Column | str, scale: int = FIXED_POINT_SCALE) -> Column:
     return (F.abs(_c(c)) * F.lit(float(scale))).cast("bigint")
 
 
+# Width of a bin of ``exact_sum`` and the size up to which it is used.
+_BIN = float(2 ** 31)
+_BINNED = float(2 ** 32)
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Sum of doubles that is the same for any order and split of the rows.
+
+    Each number is cut into its whole part and two bins of 31 binary places;
+    the bins are summed as integers (partial and final aggregates, so no
+    rounding and no order) and put together once.  What a number has below
+    2^-62 is left out.  Numbers of 2^32 and more, and those that are not
+    numbers, are summed as doubles beside them.
+    """
+    x = _c(c)
+    small = F.abs(x) < _BINNED
+    v = F.when(small, x)
+    whole = F.floor(v)
+    first = (v - whole) * F.lit(_BIN)
+    second = (first - F.floor(first)) * F.lit(_BIN)
+    low = (F.sum(F.floor(first)).cast("double") / F.lit(_BIN)
+           + F.sum(F.floor(second)).cast("double") / F.lit(_BIN * _BIN))
+    total, rest = F.sum(whole).cast("double") + low, F.sum(F.when(~small, x))
+    return F.coalesce(total + rest, total, rest)
+
+
 def safe_ratio(num: Column | str, den: Column | str) -> Column:
     """num / den when den > 0 else 0.0."""
     return F.when(_c(den) > 0, _c(num) / _c(den)).otherwise(F.lit(0.0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import FIXED_POINT_SCALE, fixed_point
+from ..functions import FIXED_POINT_SCALE, exact_sum, fixed_point
 
 # Damping and base of the update rule.
 DAMPING = 0.85
@@ -31,21 +31,22 @@ def hot_sources(fan: DataFrame, salt_chunk: int = SALT_CHUNK) -> DataFrame:
         "src", F.ceil(F.col("fanout") / F.lit(salt_chunk)).cast("int").alias("nsalt"))
 
 
-def tag_salts(mult: DataFrame, hot: DataFrame) -> DataFrame:
-    """Adds ``nsalt`` and ``salt`` to (src, dst, mult) rows; 1 and 0 for
-    sources that are not among the (src, nsalt) rows of ``hot``.
+def tag_salts(mult: DataFrame, hot: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``nsalt`` and ``salt`` to (src, dst, values..., mult) rows; 1 and
+    0 for sources that are not among the (src, nsalt) rows of ``hot``.
 
     The join that finds the hot sources is itself salted: edges go by
-    (src, bucket of dst), and only the hot rows are repeated for the buckets.
+    (src, bucket of dst and values), and only the hot rows are repeated for
+    the buckets.
     """
     hot = hot.select(F.col("src").alias("hot_src"), F.col("nsalt").alias("hot_nsalt"), F.explode(
         F.sequence(F.lit(0), F.lit(TAG_BUCKETS - 1))).alias("hot_bucket"))
-    bucket = F.pmod(F.xxhash64("dst"), F.lit(TAG_BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("dst", *values), F.lit(TAG_BUCKETS)).cast("int")
     tagged = mult.withColumn("bucket", bucket).join(
         hot, (F.col("src") == F.col("hot_src")) & (F.col("bucket") == F.col("hot_bucket")), "left")
     nsalt = F.coalesce("hot_nsalt", F.lit(1))
-    return tagged.select("src", "dst", "mult", nsalt.alias("nsalt"),
-                         F.pmod(F.xxhash64("dst", F.lit(1)), nsalt).cast("int").alias("salt"))
+    return tagged.select("src", "dst", *values, "mult", nsalt.alias("nsalt"),
+                         F.pmod(F.xxhash64("dst", *values, F.lit(1)), nsalt).cast("int").alias("salt"))
 
 
 def _votes(edges: DataFrame, ranks: DataFrame, salt_chunk: int) -> DataFrame:
@@ -74,7 +75,7 @@ def rank_step(edges: DataFrame, ranks: DataFrame, damping: float = DAMPING,
               base: float = BASE, salt_chunk: int = SALT_CHUNK) -> DataFrame:
     """(id, rank, prev): one update; every vertex of ``ranks`` keeps a row (R2)."""
     sums = _votes(edges, ranks, salt_chunk).groupBy(F.col("dst").alias("id")).agg(
-        F.sum(F.col("vote") * F.col("mult")).alias("s"))
+        exact_sum(F.col("vote") * F.col("mult")).alias("s"))
     return ranks.join(sums, "id", "left").select(
         "id",
         (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"),
@@ -82,8 +83,9 @@ def rank_step(edges: DataFrame, ranks: DataFrame, damping: float = DAMPING,
 
 
 def l1_delta_col(new: str = "rank", old: str = "prev") -> Column:
-    """sum |new - old| over all vertices, absolute, not divided by N."""
-    return F.coalesce(F.sum(F.abs(F.col(new) - F.col(old))), F.lit(0.0))
+    """sum |new - old| over all vertices, absolute, not divided by N (R3);
+    the same for any order of the rows."""
+    return F.coalesce(exact_sum(F.abs(F.col(new) - F.col(old))), F.lit(0.0))
 
 
 def fixed_point_delta_col(new: str = "rank", old: str = "prev",

@@ -17,7 +17,11 @@ Plan per update (the only driver work is one scalar row per update):
   available as an option and is refused when the vertex count times a
   per-row size estimate exceeds the broadcast limit.
 * Votes are summed by target with a partial (map-side) + final aggregate,
-  which also absorbs a target that receives a third of all votes.
+  which also absorbs a target that receives a third of all votes.  The sums
+  are exact (``functions.exact_sum``), so ranks, deltas and the number of
+  updates do not depend on the partitioning or on retried tasks.
+* Vertices may also be given as a table, with start values of their own; it
+  meets the ends of the edges in the one exchange that finds the vertices.
 * The sums are left-joined to the state, which stays hash-partitioned by
   id from one update to the next, so the state side is never shuffled.
 * Every update is written reliably (``checkpoint()`` into the session's
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import exact_sum
 from ..operators.rank import (BASE, DAMPING, SALT_CHUNK, fixed_point_delta_col,
                               l1_delta_col, tag_salts)
 from ..session import ensure_checkpoint_dir
@@ -69,13 +74,14 @@ STATUS_SCHEMA = T.StructType([
 class LinkGraph:
     """A prepared graph: loop-invariant data, materialised once."""
 
-    vertices: DataFrame          # id, outdeg, nsalt; hash-partitioned by id
-    edges: DataFrame             # src, dst, mult of non-hot sources; partitioned by src
-    hot_edges: DataFrame | None  # src, salt, dst, mult of hot sources; by (src, salt)
+    vertices: DataFrame          # id, outdeg, nsalt, start; hash-partitioned by id
+    edges: DataFrame             # src, dst, values, mult of non-hot sources; partitioned by src
+    hot_edges: DataFrame | None  # src, salt, dst, values, mult of hot sources; by (src, salt)
     num_vertices: int
     num_hot: int
     num_partitions: int
     broadcast: bool
+    values: tuple[str, ...] = ()  # edge values carried along
 
     def release(self) -> None:
         """Drop the persisted copies (results read from checkpoints stay valid)."""
@@ -129,9 +135,17 @@ def choose_partitions(spark: SparkSession, edge_rows: int) -> int:
 
 def prepare(edges: DataFrame, num_partitions: int | None = None,
             broadcast: bool = False, broadcast_bytes: int | None = None,
-            salt_chunk: int = SALT_CHUNK) -> LinkGraph:
+            salt_chunk: int = SALT_CHUNK, vertices: DataFrame | None = None,
+            start: float = 1.0, values: tuple[str, ...] = ()) -> LinkGraph:
     """Materialise the loop-invariant part of the graph.
 
+    ``vertices`` (id, rank) declares vertices, with or without edges, and
+    their start values (of rows with the same id the largest value counts;
+    rows without an id none).  A vertex that no row gives a value, because it
+    is the end of an edge only or its rank is null, starts from ``start``.
+    ``values`` are columns of ``edges`` that stay with them: parallel edges
+    are counted together only where these are equal too.
+
     ``broadcast=True`` asks for a broadcast of the vote table; it is granted
     only if one row per vertex (16 bytes plus the id size) fits below
     ``broadcast_bytes`` (default: the session's
@@ -147,9 +161,19 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     obs = Observation("rankflow_edges")
     # edges with a null end name no vertex and are ignored
     edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    mult = (edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+    mult = (edges.groupBy("src", "dst", *values).agg(F.count(F.lit(1)).alias("mult"))
             .observe(obs, F.count(F.lit(1)).alias("e")).checkpoint(eager=True))
-    p = int(num_partitions or choose_partitions(spark, int(obs.get["e"])))
+    rows = int(obs.get["e"])
+    declared = None
+    if vertices is not None:
+        # one row per declared vertex; counted, as a graph may have few edges
+        seen = Observation("rankflow_vertices")
+        kind = mult.schema["src"].dataType
+        declared = (vertices.where(F.col("id").isNotNull())
+                    .groupBy(F.col("id").cast(kind).alias("id")).agg(F.max("rank").cast("double").alias("start"))
+                    .observe(seen, F.count(F.lit(1)).alias("v")).checkpoint(eager=True))
+        rows = max(rows, int(seen.get["v"]))
+    p = int(num_partitions or choose_partitions(spark, rows))
     with _LoopConf(spark, p, adaptive=False):
         # AQE off: the join output stays hash-partitioned by id with p
         # partitions, the layout the loop joins against; a lost block is
@@ -158,10 +182,15 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
         ends = mult.select(F.explode(F.array(
             F.struct(F.col("src").alias("id"), F.col("mult").alias("out"), F.lit(1).alias("fan")),
             F.struct(F.col("dst").alias("id"), F.lit(0).cast("bigint").alias("out"),
-                     F.lit(0).alias("fan")))).alias("e")).select("e.*")
-        verts = ends.groupBy("id").agg(F.sum("out").alias("outdeg"), F.sum("fan").alias("fanout")).select(
+                     F.lit(0).alias("fan")))).alias("e")).select("e.*", F.lit(None).cast("double").alias("start"))
+        if declared is not None:
+            ends = ends.unionByName(declared.select("id", F.lit(0).cast("bigint").alias("out"),
+                                                    F.lit(0).alias("fan"), "start"))
+        verts = ends.groupBy("id").agg(F.sum("out").alias("outdeg"), F.sum("fan").alias("fanout"),
+                                       F.max("start").alias("start")).select(
             "id", F.col("outdeg").cast("bigint").alias("outdeg"),
-            F.greatest(F.lit(1), F.ceil(F.col("fanout") / F.lit(salt_chunk))).cast("int").alias("nsalt")
+            F.greatest(F.lit(1), F.ceil(F.col("fanout") / F.lit(salt_chunk))).cast("int").alias("nsalt"),
+            F.coalesce("start", F.lit(float(start))).alias("start")
         ).persist(StorageLevel.MEMORY_AND_DISK)
         is_str = isinstance(verts.schema["id"].dataType, T.StringType)
         id_len = F.avg(F.length("id")) if is_str else F.lit(8.0)
@@ -182,10 +211,10 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     else:
         # the tagging join is salted itself; then the lineage is cut again
         hot = verts.where(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
-        tagged = tag_salts(mult, hot).withColumn("hot", F.col("nsalt") > 1).select(
-            "src", "salt", "dst", "mult", "hot").checkpoint(eager=True)
-        emat = tagged.where(~F.col("hot")).select("src", "dst", "mult")
-        hot_edges = tagged.where(F.col("hot")).select("src", "salt", "dst", "mult")
+        tagged = tag_salts(mult, hot, values).withColumn("hot", F.col("nsalt") > 1).select(
+            "src", "salt", "dst", *values, "mult", "hot").checkpoint(eager=True)
+        emat = tagged.where(~F.col("hot")).select("src", "dst", *values, "mult")
+        hot_edges = tagged.where(F.col("hot")).select("src", "salt", "dst", *values, "mult")
     if not broadcast:
         with _LoopConf(spark, p, adaptive=False):
             emat = emat.repartition(p, "src").persist(StorageLevel.MEMORY_AND_DISK)
@@ -194,33 +223,34 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
                 hot_edges = hot_edges.repartition(p, "src", "salt").persist(
                     StorageLevel.MEMORY_AND_DISK)
                 hot_edges.count()
-    return LinkGraph(verts, emat, hot_edges, n, n_hot, p, bool(broadcast))
+    return LinkGraph(verts, emat, hot_edges, n, n_hot, p, bool(broadcast), tuple(values))
 
 
-def initial_state(g: LinkGraph, value: float = 1.0) -> DataFrame:
-    return g.vertices.select("id", F.lit(float(value)).alias("rank"),
-                             F.lit(float(value)).alias("prev"), "outdeg", "nsalt")
+def initial_state(g: LinkGraph) -> DataFrame:
+    return g.vertices.select("id", F.col("start").alias("rank"), F.col("start").alias("prev"),
+                             "outdeg", "nsalt")
 
 
-def deliver(g: LinkGraph, senders: DataFrame, value: str) -> DataFrame:
-    """(dst, mult, <value>): one row per distinct out-edge of every sender.
+def deliver(g: LinkGraph, senders: DataFrame, *message: str) -> DataFrame:
+    """(dst, <edge values>, mult, <message columns>): one row per distinct
+    out-edge of every sender.
 
-    ``senders`` has (id, nsalt, <value>) and keeps the state's partitioning
-    by id; ordinary sources join their edges without an exchange, hot
-    sources through their (src, salt) buckets.
+    ``senders`` has (id, nsalt, <message columns>) and keeps the state's
+    partitioning by id; ordinary sources join their edges without an
+    exchange, hot sources through their (src, salt) buckets.
     """
+    out = ["dst", *g.values, "mult", *message]
     if g.broadcast:
-        out = senders.select(F.col("id").alias("src"), value)
-        return g.edges.join(F.broadcast(out), "src").select("dst", "mult", value)
-    cold = senders.where(F.col("nsalt") == 1).select(F.col("id").alias("src"), value)
-    joined = g.edges.join(cold.hint("shuffle_hash"), "src").select("dst", "mult", value)
+        all_ = senders.select(F.col("id").alias("src"), *message)
+        return g.edges.join(F.broadcast(all_), "src").select(*out)
+    cold = senders.where(F.col("nsalt") == 1).select(F.col("id").alias("src"), *message)
+    joined = g.edges.join(cold.hint("shuffle_hash"), "src").select(*out)
     if g.hot_edges is not None:
         hot = senders.where(F.col("nsalt") > 1).select(
-            F.col("id").alias("src"), value,
+            F.col("id").alias("src"), *message,
             F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
         joined = joined.unionByName(
-            g.hot_edges.join(hot.hint("shuffle_hash"), ["src", "salt"])
-            .select("dst", "mult", value))
+            g.hot_edges.join(hot.hint("shuffle_hash"), ["src", "salt"]).select(*out))
     return joined
 
 
@@ -237,7 +267,7 @@ def step(g: LinkGraph, state: DataFrame, damping: float = DAMPING,
         joined = deliver(g, state.where(F.col("outdeg") > 0).select("id", "nsalt", vote),
                          "vote")
     sums = joined.groupBy(F.col("dst").alias("id")).agg(
-        F.sum(F.col("vote") * F.col("mult")).alias("s"))
+        exact_sum(F.col("vote") * F.col("mult")).alias("s"))
     return state.join(sums.hint("shuffle_hash"), "id", "left").select(
         "id",
         (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"),
@@ -277,17 +307,21 @@ def _list_snapshots(spark: SparkSession, base: str) -> list[tuple[int, float, fl
                   for r in m.select("iter", "delta", "delta_fixed").distinct().collect())
 
 
-def write_snapshot(state: DataFrame, base: str, i: int, deltas: list[tuple[int, float, float]]) -> None:
+def write_snapshot(state: DataFrame, base: str, i: int, deltas: list[tuple[int, float, float]],
+                   complete: set[int] | None = None) -> None:
     """Write the state of update i to ``<base>/iter=<i>`` (K4).
 
     The marker ``<base>/manifest/iter=<i>`` is written after the snapshot has
     committed and holds the deltas of the updates since the marker before, so
     a resume sees complete snapshots only and has the whole history.  A
     snapshot without a marker (a run that broke off) is written anew; one
-    with a marker is an error.
+    with a marker is an error.  ``complete``: the updates known to have one (read
+    from the markers if not given).
     """
     base = base.rstrip("/")
-    if any(d[0] == i for d in _list_snapshots(state.sparkSession, base)):
+    if complete is None:
+        complete = {d[0] for d in _list_snapshots(state.sparkSession, base)}
+    if i in complete:
         raise ValueError(f"snapshot {i} exists in {base}")
     state.write.mode("overwrite").parquet(f"{base}/iter={i}")
     state.sparkSession.createDataFrame(deltas, HISTORY_SCHEMA).coalesce(1).write.mode(
@@ -320,11 +354,15 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     state = initial_state(g)
     k0 = 0
     history: list[tuple[int, float, float]] = []
-    if snapshot_dir and resume:
-        history = _list_snapshots(spark, snapshot_dir)
-        if history:
-            k0 = history[-1][0]
-            state = read_snapshot(spark, snapshot_dir, k0)
+    marked: list[tuple[int, float, float]] = []
+    if snapshot_dir:
+        # the markers are read once; updates written from here on are added
+        marked = _list_snapshots(spark, snapshot_dir)
+    if marked and resume:
+        history = list(marked)
+        k0 = history[-1][0]
+        state = read_snapshot(spark, snapshot_dir, k0)
+    complete = {h[0] for h in marked}
 
     def measure(df: DataFrame) -> tuple[float, float]:
         r = df.agg(l1_delta_col().alias("d"), fixed_point_delta_col().alias("f")).first()
@@ -341,9 +379,9 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
             m = obs.get
             d, f = float(m["d"]), float(m["f"])
             if snapshot_dir:
-                saved_to = max([h[0] for h in _list_snapshots(spark, snapshot_dir)], default=0)
-                write_snapshot(out, snapshot_dir, k,
-                               [h for h in history if h[0] > saved_to] + [(k, d, f)])
+                since = [h for h in history if h[0] > max(complete, default=0)] + [(k, d, f)]
+                write_snapshot(out, snapshot_dir, k, since, complete)
+                complete.update(h[0] for h in since)
             return out, d, f
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
         return (out, *measure(out))
@@ -385,12 +423,18 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     return RankResult(state.select("id", "rank"), hist, status, k, last_tested, state)
 
 
+def _prepare_options(kw: dict) -> dict:
+    """Takes the options of ``prepare`` out of ``kw``."""
+    return {k: kw.pop(k) for k in ("num_partitions", "broadcast", "broadcast_bytes", "salt_chunk",
+                                   "vertices", "start") if k in kw}
+
+
 def rank_until(edges: DataFrame, tol: float = TOLERANCE, max_iter: int = MAX_ITERATIONS,
                delta: str = "l1", lag: int = 0, min_updates: int | None = None,
                **kw) -> RankResult:
-    """Prepare and run to convergence (R6 with delta='l1', R7 with 'fixed_point')."""
-    prep_kw = {k: kw.pop(k) for k in ("num_partitions", "broadcast", "broadcast_bytes",
-                                      "salt_chunk") if k in kw}
+    """Prepare and run to convergence (R6 with delta='l1', R7 with
+    'fixed_point'); ``vertices`` and ``start`` as in ``prepare``."""
+    prep_kw = _prepare_options(kw)
     g = prepare(edges, **prep_kw)
     try:
         return run(g, max_iter=max_iter, tol=tol, delta=delta, lag=lag,
@@ -401,8 +445,7 @@ def rank_until(edges: DataFrame, tol: float = TOLERANCE, max_iter: int = MAX_ITE
 
 def rank_fixed(edges: DataFrame, iterations: int, **kw) -> RankResult:
     """Exactly ``iterations`` updates, no convergence test."""
-    prep_kw = {k: kw.pop(k) for k in ("num_partitions", "broadcast", "broadcast_bytes",
-                                      "salt_chunk") if k in kw}
+    prep_kw = _prepare_options(kw)
     g = prepare(edges, **prep_kw)
     try:
         return run(g, max_iter=iterations, tol=None, **kw)
@@ -427,7 +470,7 @@ def rank_tagged_fixed(edges: DataFrame, iterations: int, damping: float = DAMPIN
                 state.select("id", F.lit(None).cast("double").alias("val"), F.col("rank").alias("old"),
                              "outdeg", "nsalt"))
             state = rows.groupBy("id").agg(
-                (F.lit(base) + F.lit(damping) * F.coalesce(F.sum("val"), F.lit(0.0))).alias("rank"),
+                (F.lit(base) + F.lit(damping) * F.coalesce(exact_sum("val"), F.lit(0.0))).alias("rank"),
                 F.coalesce(F.max("old"), F.lit(0.0)).alias("prev"), F.max("outdeg").alias("outdeg"),
                 F.max("nsalt").alias("nsalt")).checkpoint(eager=True)
     g.release()

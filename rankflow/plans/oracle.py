@@ -162,9 +162,24 @@ FROM ({_step_one(CO_PURCHASE)})"""
 # ------------------------------------------------------------------ loops
 
 
+def _exact(x: str, over: str = "") -> str:
+    """Order-free sum of doubles: whole parts and two bins of 31 binary
+    places, summed as integers."""
+    first = f"(({x}) - floor({x})) * 2147483648::DOUBLE"
+    second = f"({first} - floor({first})) * 2147483648::DOUBLE"
+    whole, a, b = (f"CAST(sum(CAST(floor({c}) AS BIGINT)){over} AS DOUBLE)" for c in (x, first, second))
+    return f"({whole} + ({a} / 2147483648::DOUBLE + {b} / 4611686018427387904::DOUBLE))"
+
+
 def rank_loop(edges: str, max_iter: int = 500, tol: float | None = 1e-4,
-              delta: str = "l1", min_updates: int | None = None) -> str:
-    """Recursive CTE ``pr(i, id, r, delta, dfix)`` over all updates."""
+              delta: str = "l1", min_updates: int | None = None, vertices: str | None = None,
+              exact: bool = False) -> str:
+    """Recursive CTE ``pr(i, id, r, delta, dfix)`` over all updates.
+    ``vertices``: SQL for all vertices with their start values (id, start);
+    ``exact``: order-free sums."""
+    v = vertices or "SELECT id, 1.0::DOUBLE AS start FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+    vote = _exact("x") if exact else "sum(x)"
+    change = _exact("abs(nr - r)", " OVER ()") if exact else "sum(abs(nr - r)) OVER ()"
     if min_updates is None:
         min_updates = 1 if delta == "l1" else 2
     col = "p.delta" if delta == "l1" else "p.dfix"
@@ -174,19 +189,20 @@ def rank_loop(edges: str, max_iter: int = 500, tol: float | None = 1e-4,
         cont = f"({col} >= {tol!r} OR p.i < {min_updates})"
     return f"""
 WITH RECURSIVE e AS ({edges}),
-v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+v AS ({v}),
 od AS (SELECT src, count(*) AS outdeg FROM e GROUP BY src),
-ew AS (SELECT e.src, e.dst, od.outdeg FROM e JOIN od USING (src)),
+ew AS (SELECT e.src, e.dst, od.outdeg, count(*) AS mult FROM e JOIN od USING (src) GROUP BY ALL),
 pr(i, id, r, delta, dfix) AS (
-  SELECT 0, id, 1.0::DOUBLE, 1e300::DOUBLE, 1e300::DOUBLE FROM v
+  SELECT 0, id, start, 1e300::DOUBLE, 1e300::DOUBLE FROM v
   UNION ALL
-  SELECT i + 1, id, nr, sum(abs(nr - r)) OVER (),
+  SELECT i + 1, id, nr, {change},
          sum(trunc(abs(nr - r) * 100000)) OVER () / 100000.0
   FROM (
-    SELECT p.i, p.id, p.r, 0.15 + 0.85 * coalesce(s.s, 0) AS nr
+    SELECT p.i, p.id, p.r, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s.s, 0) AS nr
     FROM pr p LEFT JOIN (
-      SELECT ew.dst, sum(q.r / ew.outdeg) AS s FROM ew JOIN pr q ON ew.src = q.id
-      GROUP BY ew.dst) s ON p.id = s.dst
+      SELECT dst, {vote} AS s FROM (
+        SELECT ew.dst, q.r / ew.outdeg * ew.mult AS x FROM ew JOIN pr q ON ew.src = q.id)
+      GROUP BY dst) s ON p.id = s.dst
     WHERE p.i < {max_iter} AND {cont}))"""
 
 
@@ -196,21 +212,21 @@ SELECT id, round(r, 6) AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)"""
 
 
 def _final_status(loop: str, tol: float, delta: str = "l1",
-                  min_updates: int | None = None) -> str:
+                  min_updates: int | None = None, places: int | None = 10) -> str:
     if min_updates is None:
         min_updates = 1 if delta == "l1" else 2
     col = "delta" if delta == "l1" else "dfix"
     return f"""{loop}
 SELECT CASE WHEN i >= {min_updates} AND {col} < {tol!r} THEN 'converged'
             ELSE 'max_iterations' END AS status,
-       CAST(i AS INTEGER) AS iterations, round({col}, 10) AS final_delta
+       CAST(i AS INTEGER) AS iterations, {f'round({col}, {places})' if places else col} AS final_delta
 FROM (SELECT DISTINCT i, delta, dfix FROM pr WHERE i = (SELECT max(i) FROM pr))"""
 
 
 def _lag1(edges: str, loop: str) -> str:
     return f"""{loop},
 fin AS (SELECT id, r FROM pr WHERE i = (SELECT max(i) FROM pr)),
-s AS (SELECT ew.dst, sum(f.r / ew.outdeg) AS s FROM ew JOIN fin f ON ew.src = f.id
+s AS (SELECT ew.dst, sum(f.r / ew.outdeg * ew.mult) AS s FROM ew JOIN fin f ON ew.src = f.id
       GROUP BY ew.dst)
 SELECT fin.id, round(0.15 + 0.85 * coalesce(s.s, 0), 6) AS rank
 FROM fin LEFT JOIN s ON fin.id = s.dst"""
@@ -238,6 +254,80 @@ SQL["rank_tagged_union"] = SQL["rank_fixed_10"]
 SQL["vertex_program_rank"] = SQL["rank_until_l1"]
 SQL["snapshot_resume"] = SQL["rank_until_l1"]
 SQL["vertex_program_from_json"] = SQL["rank_until_l1"]
+SQL["vertex_program_vertex_halt"] = SQL["rank_until_lag1"]
+
+# adjacency state: every seventh part is a target only (start 0), customers have no edge
+_ADJ_EDGES = f"""SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst
+FROM ({CO_PURCHASE}) WHERE src % 7 <> 0"""
+_ADJ_VERTICES = f"""
+SELECT id, coalesce(max(start), 0.0)::DOUBLE AS start FROM (
+  SELECT CAST(id AS VARCHAR) AS id, id % 5 + 1.0 AS start FROM ({SQL['vertex_set']}) WHERE id % 7 <> 0
+  UNION ALL SELECT 'C' || CAST(c_custkey AS VARCHAR), c_custkey % 3 + 0.5 FROM customer
+  UNION ALL SELECT dst, NULL FROM e) GROUP BY id"""
+SQL["rank_from_adjacency"] = _final_ranks(
+    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES, exact=True))
+SQL["rank_status_from_adjacency"] = _final_status(
+    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES, exact=True), 1e-4, "fixed_point")
+SQL["rank_fixed_from_adjacency"] = _final_ranks(rank_loop(_ADJ_EDGES, 10, None, vertices=_ADJ_VERTICES, exact=True))
+SQL["rank_until_exact"] = f"""{rank_loop(CO_PURCHASE, exact=True)}
+SELECT id, r AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)"""
+SQL["rank_status_exact"] = _final_status(rank_loop(CO_PURCHASE, exact=True), 1e-4, places=None)
+
+SQL["parse_rejects"] = f"""
+SELECT 'edges' AS format, value, 'too few fields' AS reason FROM ({EDGE_TEXT})
+WHERE NOT starts_with(value, '#') AND len({_TOKENS}) < 2
+UNION ALL SELECT 'tsv', 'S' || CAST(s_suppkey AS VARCHAR), 'too few fields' FROM supplier
+UNION ALL SELECT 'tsv', 'X' || CAST(s_suppkey AS VARCHAR) || chr(9) || 'x' || chr(9) || CAST(s_suppkey AS VARCHAR),
+                 'rank is not a number' FROM supplier
+UNION ALL SELECT 'json', replace(b.line, '%s', CAST(s_suppkey AS VARCHAR)), b.reason
+FROM supplier, (VALUES ('[%s,1.0', 'too few fields'), ('["a%s",1.0,[]]', 'vertex id is not a number'),
+  ('[%s,"z",[]]', 'vertex value is not a number'), ('[%s,1.0,[[%s]]]', 'edge is not a pair of numbers'),
+  ('[%s,1.0,[[%s,0],["b",1]]]', 'edge is not a pair of numbers')) b(line, reason)"""
+
+# ------------------------------------------------------- vertex programs
+
+SQL["vertex_program_two_fields"] = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({CO_PURCHASE})),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+r(i, id, hops, parent, far) AS (
+  SELECT 0, id, CASE WHEN id = (SELECT min(src) FROM e) THEN 0 END::BIGINT, NULL::BIGINT, 0::BIGINT FROM v
+  UNION ALL
+  SELECT i + 1, id, nh, np, max(nh) OVER () FROM (
+    SELECT p.i, p.id, coalesce(p.hops, CASE WHEN n.parent IS NOT NULL THEN p.i + 1 END) AS nh,
+           CASE WHEN p.hops IS NULL THEN n.parent ELSE p.parent END AS np
+    FROM r p LEFT JOIN (
+      SELECT e.dst, min(q.id) AS parent FROM e JOIN r q ON e.src = q.id WHERE q.hops = q.i GROUP BY e.dst
+    ) n ON p.id = n.dst
+    WHERE p.far = p.i))
+SELECT id, hops, parent FROM r WHERE i = (SELECT max(i) FROM r)"""
+
+SQL["vertex_program_labels"] = f"""
+WITH RECURSIVE e AS ({CO_PURCHASE}),
+r(i, id, label) AS (
+  SELECT 0, id, id FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)
+  UNION ALL
+  SELECT p.i + 1, p.id, coalesce(n.label, p.label)
+  FROM r p LEFT JOIN (
+    SELECT dst, label FROM (
+      SELECT dst, label, row_number() OVER (PARTITION BY dst ORDER BY n DESC, label) AS k FROM (
+        SELECT e.dst, q.label, count(*) AS n FROM e JOIN r q ON e.src = q.id GROUP BY e.dst, q.label))
+    WHERE k = 1) n ON p.id = n.dst
+  WHERE p.i < 5)
+SELECT id, label FROM r WHERE i = 5"""
+
+SQL["vertex_program_weighted"] = f"""
+WITH RECURSIVE e AS (SELECT src, dst, (dst % 4 + 1) / 4.0::DOUBLE AS w FROM ({CO_PURCHASE})),
+ew AS (SELECT e.src, e.dst, e.w, t.total FROM e JOIN (SELECT src, sum(w) AS total FROM e GROUP BY src) t USING (src)),
+r(i, id, v, delta) AS (
+  SELECT 0, id, 1.0::DOUBLE, 1e300::DOUBLE FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)
+  UNION ALL
+  SELECT i + 1, id, nv, sum(abs(nv - v)) OVER () FROM (
+    SELECT p.i, p.id, p.v, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s.s, 0) AS nv
+    FROM r p LEFT JOIN (
+      SELECT ew.dst, sum(q.v / ew.total * ew.w) AS s FROM ew JOIN r q ON ew.src = q.id GROUP BY ew.dst
+    ) s ON p.id = s.dst
+    WHERE p.i < 500 AND p.delta >= 0.0001))
+SELECT id, round(v, 6) AS rank FROM r WHERE i = (SELECT max(i) FROM r)"""
 
 # --------------------------------------------------------------- telemetry
 

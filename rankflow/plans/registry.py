@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact_sum
 from ..operators import benchstats as BS
 from ..operators import graph as G
 from ..operators import rank as R
@@ -24,7 +25,8 @@ from ..session import ensure_checkpoint_dir
 from ..sinks import append_metrics, format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json
 from ..sources import tables as TB
 from ..sources.logs import parse_job_log, parse_sar
-from ..sources.text import parse_adjacency_tsv, parse_edges, parse_vertex_json
+from ..sources.text import adjacency_graph, parse_adjacency_tsv, parse_edges, parse_vertex_json, \
+    rejects, vertex_json_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -344,6 +346,128 @@ def q_snapshot_resume(spark, sf):
     return res.ranks.select("id", r6("rank"))
 
 
+# ----------------------------------------- adjacency state as rank input
+
+def _ranked_tsv_lines(spark, sf):
+    """Adjacency lines with start ranks other than 1: the co-purchase graph
+    without the lines of every seventh part (targets that nobody declares),
+    and all customers as vertices without an edge."""
+    parts = _co_adj(spark, sf).where(F.col("id") % 7 != 0).select(
+        F.col("id").cast("string").alias("id"), F.transform("nbrs", lambda x: x.cast("string")).alias("nbrs"),
+        (F.col("id") % 5 + 1).cast("double").alias("rank"))
+    alone = TB.table(spark, sf, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"),
+        F.array().cast("array<string>").alias("nbrs"), (F.col("c_custkey") % 3 + 0.5).cast("double").alias("rank"))
+    return to_adjacency_tsv(parts.unionByName(alone), rank="rank")
+
+
+def _adjacency_ranked(spark, sf, **kw) -> L.RankResult:
+    edges, vertices = adjacency_graph(parse_adjacency_tsv(_ranked_tsv_lines(spark, sf)))
+    return L.rank_until(edges, vertices=vertices, start=0.0, **kw)
+
+
+@query("rank_from_adjacency")
+def q_rank_from_adjacency(spark, sf):
+    return _ranks_out(_adjacency_ranked(spark, sf, delta="fixed_point"))
+
+
+@query("rank_status_from_adjacency")
+def q_rank_status_from_adjacency(spark, sf):
+    return _status_out(spark, _adjacency_ranked(spark, sf, delta="fixed_point"))
+
+
+@query("rank_fixed_from_adjacency")
+def q_rank_fixed_from_adjacency(spark, sf):
+    return _ranks_out(_adjacency_ranked(spark, sf, tol=None, max_iter=10))
+
+
+@query("parse_rejects")
+def q_parse_rejects(spark, sf):
+    sup = TB.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    broken = ["[%s,1.0", "[\"a%s\",1.0,[]]", "[%s,\"z\",[]]", "[%s,1.0,[[%s]]]", "[%s,1.0,[[%s,0],[\"b\",1]]]"]
+    json_lines = to_vertex_json(_co_adj(spark, sf)).unionByName(
+        sup.select(F.explode(F.array(*[F.replace(F.lit(b), F.lit("%s"), F.col("k")) for b in broken])).alias("value")))
+    lines = {"edges": TB.edge_text_lines(spark, sf), "tsv": _tsv_lines(spark, sf), "json": json_lines}
+    out = [rejects(df, fmt).select(F.lit(fmt).alias("format"), "value", "reason") for fmt, df in lines.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# -------------------------------------------- results to the last binary place
+
+@query("rank_until_exact")
+def q_rank_until_exact(spark, sf):
+    return _ranked(spark, sf).ranks.select("id", "rank")
+
+
+@query("rank_status_exact")
+def q_rank_status_exact(spark, sf):
+    return _ranked(spark, sf).status_frame(spark).select("status", "iterations", "final_delta")
+
+
+# ------------------------------------------------------------ vertex programs
+
+@query("vertex_program_vertex_halt")
+def q_vertex_program_vertex_halt(spark, sf):
+    # the vertices themselves halt, by the sum of changes of the superstep before
+    res = vertex_program(
+        TB.co_purchase_edges(spark, sf),
+        init={"rank": F.lit(1.0)},
+        send=F.col("rank") / F.col("outdeg"),
+        update={"rank": F.lit(R.BASE) + F.lit(R.DAMPING) * F.coalesce("msg", F.lit(0.0))},
+        aggregators={"sum_diff": exact_sum(F.abs(F.col("rank") - F.col("old_rank")))},
+        vote_to_halt=(F.col("superstep") > 1) & (F.col("agg_sum_diff") < L.TOLERANCE))
+    return res.vertices.select("id", r6("rank"))
+
+
+@query("vertex_program_two_fields")
+def q_vertex_program_two_fields(spark, sf):
+    # hops from the smallest part, and the smallest neighbour that is one hop nearer
+    edges = TB.co_purchase_edges(spark, sf)
+    root = edges.agg(F.min("src")).first()[0]
+    reached = F.col("best.hops")
+    res = vertex_program(
+        edges,
+        init={"hops": F.when(F.col("id") == F.lit(root), 0).cast("bigint"),
+              "parent": F.lit(None).cast("bigint")},
+        send={"hops": F.col("hops") + 1, "parent": F.col("id")},
+        combine={"best": F.min(F.when(F.col("hops").isNotNull(), F.struct("hops", "parent")))},
+        update={"hops": F.coalesce("hops", reached),
+                "parent": F.when(F.col("hops").isNull(), F.col("best.parent")).otherwise(F.col("parent"))},
+        vote_to_halt=F.col("old_hops").isNotNull() | F.col("hops").isNull())
+    return res.vertices.select("id", "hops", "parent")
+
+
+@query("vertex_program_labels")
+def q_vertex_program_labels(spark, sf):
+    # five rounds of the most frequent label among the in-neighbours (ties: the smallest)
+    res = vertex_program(
+        TB.co_purchase_edges(spark, sf),
+        init={"label": F.col("id")},
+        send={"label": F.col("label")},
+        combine={"best": F.max(F.struct("mult", (-F.col("label")).alias("minus")))}, count_equal=True,
+        update={"label": F.coalesce(-F.col("best.minus"), F.col("label"))},
+        max_supersteps=5)
+    return res.vertices.select("id", "label")
+
+
+@query("vertex_program_weighted")
+def q_vertex_program_weighted(spark, sf):
+    # vertex JSON with edge weights (a quarter to one): votes are shared by weight
+    adj = _co_adj(spark, sf).select("id", F.transform("nbrs", lambda x: F.struct(
+        x.alias("dst"), ((x % 4 + 1) / 4.0).cast("float").alias("weight"))).alias("nbrs"))
+    vj = parse_vertex_json(to_vertex_json(adj))
+    edges, _ = vertex_json_graph(vj)
+    total = F.aggregate("edges", F.lit(0.0), lambda acc, e: acc + e["weight"])
+    res = vertex_program(
+        edges, vertices=vj.select("id", total.alias("total")), values=("weight",),
+        init={"rank": F.lit(1.0), "total": F.col("total")},
+        send=F.col("rank") / F.col("total"), along={"m": F.col("m") * F.col("weight")},
+        update={"rank": F.lit(R.BASE) + F.lit(R.DAMPING) * F.coalesce("msg", F.lit(0.0)), "total": F.col("total")},
+        aggregators={"sum_diff": exact_sum(F.abs(F.col("rank") - F.col("old_rank")))},
+        halt=lambda s, agg: s > 1 and agg["sum_diff"] < L.TOLERANCE)
+    return res.vertices.select("id", r6("rank"))
+
+
 def names() -> list[str]:
     return list(REGISTRY)
 

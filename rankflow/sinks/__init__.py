@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _str_list(c: str):
     return F.transform(F.col(c), lambda x: x.cast("string"))
 
 
-def to_adjacency_tsv(adj: DataFrame, rank: float = 1.0) -> DataFrame:
-    """(value): ``id\\t1.0\\tn1,n2``; empty third field for sinks (K1)."""
-    return adj.select(F.concat_ws("\t", F.col("id").cast("string"), F.lit(repr(float(rank))),
+def to_adjacency_tsv(adj: DataFrame, rank: float | str = 1.0) -> DataFrame:
+    """(value): ``id\\t1.0\\tn1,n2``; empty third field for sinks (K1).
+    ``rank``: the same for all, or the name of a column."""
+    ranks = F.col(rank).cast("string") if isinstance(rank, str) else F.lit(repr(float(rank)))
+    return adj.select(F.concat_ws("\t", F.col("id").cast("string"), ranks,
                                   F.array_join(_str_list("nbrs"), ",")).alias("value"))
 
 
@@ -21,7 +24,8 @@ def to_vertex_json(adj: DataFrame, value: float = 1.0, style: str = "compact") -
 
     ``style='compact'`` writes no blanks; ``style='python'`` writes the
     ``json.dumps`` spacing ``[1, 1.0, [[2, 0], [3, 0]]]`` and casts ids to
-    integers (ids that are not integers become null there).
+    integers (ids that are not integers become null there).  Neighbours may
+    be structs (dst, weight); plain ones have weight 0.
     """
     if style not in ("compact", "python"):
         raise ValueError("style must be 'compact' or 'python'")
@@ -29,8 +33,12 @@ def to_vertex_json(adj: DataFrame, value: float = 1.0, style: str = "compact") -
 
     def ident(c):
         return c.try_cast("bigint").cast("string") if style == "python" else c.cast("string")
-    pairs = F.transform(F.col("nbrs"),
-                        lambda x: F.concat(F.lit("["), ident(x), F.lit(sep + "0]")))
+    weighted = isinstance(adj.schema["nbrs"].dataType.elementType, T.StructType)
+
+    def pair(x):
+        dst, weight = (x["dst"], x["weight"].cast("string")) if weighted else (x, F.lit("0"))
+        return F.concat(F.lit("["), ident(dst), F.lit(sep), weight, F.lit("]"))
+    pairs = F.transform(F.col("nbrs"), pair)
     return adj.select(F.concat(F.lit("["), ident(F.col("id")),
                                F.lit(sep + repr(float(value)) + sep + "["),
                                F.array_join(pairs, sep), F.lit("]]")).alias("value"))
