@@ -139,13 +139,24 @@ SQL["init_ranks"] = f"SELECT id, 1.0::DOUBLE AS rank FROM ({SQL['vertex_set']})"
 # ------------------------------------------------------------- one update
 
 
+def _exact(x: str, over: str = "") -> str:
+    """Order-free sum of doubles: whole parts and two bins of 31 binary
+    places, summed as integers."""
+    first = f"(({x}) - floor({x})) * 2147483648::DOUBLE"
+    second = f"({first} - floor({first})) * 2147483648::DOUBLE"
+    whole, a, b = (f"CAST(sum(CAST(floor({c}) AS BIGINT)){over} AS DOUBLE)" for c in (x, first, second))
+    return f"({whole} + ({a} / 2147483648::DOUBLE + {b} / 4611686018427387904::DOUBLE))"
+
+
 def _step_one(edges: str) -> str:
     return f"""
 WITH e AS ({edges}),
 od AS (SELECT src, count(*) AS outdeg FROM e GROUP BY src),
 v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
-s AS (SELECT e.dst, sum(1.0 / od.outdeg) AS s FROM e JOIN od USING (src) GROUP BY e.dst)
-SELECT v.id, 0.15 + 0.85 * coalesce(s.s, 0) AS rank, 1.0::DOUBLE AS prev
+s AS (SELECT dst, {_exact('x')} AS s FROM (
+  SELECT e.dst, 1::DOUBLE / od.outdeg * count(*) AS x FROM e JOIN od USING (src)
+  GROUP BY e.src, e.dst, od.outdeg) GROUP BY dst)
+SELECT v.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s.s, 0) AS rank, 1.0::DOUBLE AS prev
 FROM v LEFT JOIN s ON v.id = s.dst"""
 
 
@@ -162,24 +173,13 @@ FROM ({_step_one(CO_PURCHASE)})"""
 # ------------------------------------------------------------------ loops
 
 
-def _exact(x: str, over: str = "") -> str:
-    """Order-free sum of doubles: whole parts and two bins of 31 binary
-    places, summed as integers."""
-    first = f"(({x}) - floor({x})) * 2147483648::DOUBLE"
-    second = f"({first} - floor({first})) * 2147483648::DOUBLE"
-    whole, a, b = (f"CAST(sum(CAST(floor({c}) AS BIGINT)){over} AS DOUBLE)" for c in (x, first, second))
-    return f"({whole} + ({a} / 2147483648::DOUBLE + {b} / 4611686018427387904::DOUBLE))"
-
-
 def rank_loop(edges: str, max_iter: int = 500, tol: float | None = 1e-4,
-              delta: str = "l1", min_updates: int | None = None, vertices: str | None = None,
-              exact: bool = False) -> str:
-    """Recursive CTE ``pr(i, id, r, delta, dfix)`` over all updates.
-    ``vertices``: SQL for all vertices with their start values (id, start);
-    ``exact``: order-free sums."""
+              delta: str = "l1", min_updates: int | None = None, vertices: str | None = None) -> str:
+    """Recursive CTE ``pr(i, id, r, delta, dfix)`` over all updates, with
+    order-free sums.  ``vertices``: SQL for all vertices with their start
+    values (id, start)."""
     v = vertices or "SELECT id, 1.0::DOUBLE AS start FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)"
-    vote = _exact("x") if exact else "sum(x)"
-    change = _exact("abs(nr - r)", " OVER ()") if exact else "sum(abs(nr - r)) OVER ()"
+    vote, change = _exact("x"), _exact("abs(nr - r)", " OVER ()")
     if min_updates is None:
         min_updates = 1 if delta == "l1" else 2
     col = "p.delta" if delta == "l1" else "p.dfix"
@@ -226,9 +226,9 @@ FROM (SELECT DISTINCT i, delta, dfix FROM pr WHERE i = (SELECT max(i) FROM pr))"
 def _lag1(edges: str, loop: str) -> str:
     return f"""{loop},
 fin AS (SELECT id, r FROM pr WHERE i = (SELECT max(i) FROM pr)),
-s AS (SELECT ew.dst, sum(f.r / ew.outdeg * ew.mult) AS s FROM ew JOIN fin f ON ew.src = f.id
-      GROUP BY ew.dst)
-SELECT fin.id, round(0.15 + 0.85 * coalesce(s.s, 0), 6) AS rank
+s AS (SELECT dst, {_exact('x')} AS s FROM (
+  SELECT ew.dst, f.r / ew.outdeg * ew.mult AS x FROM ew JOIN fin f ON ew.src = f.id) GROUP BY dst)
+SELECT fin.id, round(0.15::DOUBLE + 0.85::DOUBLE * coalesce(s.s, 0), 6) AS rank
 FROM fin LEFT JOIN s ON fin.id = s.dst"""
 
 
@@ -265,13 +265,13 @@ SELECT id, coalesce(max(start), 0.0)::DOUBLE AS start FROM (
   UNION ALL SELECT 'C' || CAST(c_custkey AS VARCHAR), c_custkey % 3 + 0.5 FROM customer
   UNION ALL SELECT dst, NULL FROM e) GROUP BY id"""
 SQL["rank_from_adjacency"] = _final_ranks(
-    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES, exact=True))
+    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES))
 SQL["rank_status_from_adjacency"] = _final_status(
-    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES, exact=True), 1e-4, "fixed_point")
-SQL["rank_fixed_from_adjacency"] = _final_ranks(rank_loop(_ADJ_EDGES, 10, None, vertices=_ADJ_VERTICES, exact=True))
-SQL["rank_until_exact"] = f"""{rank_loop(CO_PURCHASE, exact=True)}
+    rank_loop(_ADJ_EDGES, delta="fixed_point", vertices=_ADJ_VERTICES), 1e-4, "fixed_point")
+SQL["rank_fixed_from_adjacency"] = _final_ranks(rank_loop(_ADJ_EDGES, 10, None, vertices=_ADJ_VERTICES))
+SQL["rank_until_exact"] = f"""{rank_loop(CO_PURCHASE)}
 SELECT id, r AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)"""
-SQL["rank_status_exact"] = _final_status(rank_loop(CO_PURCHASE, exact=True), 1e-4, places=None)
+SQL["rank_status_exact"] = _final_status(rank_loop(CO_PURCHASE), 1e-4, places=None)
 
 SQL["parse_rejects"] = f"""
 SELECT 'edges' AS format, value, 'too few fields' AS reason FROM ({EDGE_TEXT})
@@ -317,14 +317,16 @@ SELECT id, label FROM r WHERE i = 5"""
 
 SQL["vertex_program_weighted"] = f"""
 WITH RECURSIVE e AS (SELECT src, dst, (dst % 4 + 1) / 4.0::DOUBLE AS w FROM ({CO_PURCHASE})),
-ew AS (SELECT e.src, e.dst, e.w, t.total FROM e JOIN (SELECT src, sum(w) AS total FROM e GROUP BY src) t USING (src)),
+ew AS (SELECT e.src, e.dst, e.w, t.total, count(*) AS mult
+  FROM e JOIN (SELECT src, sum(w) AS total FROM e GROUP BY src) t USING (src) GROUP BY ALL),
 r(i, id, v, delta) AS (
   SELECT 0, id, 1.0::DOUBLE, 1e300::DOUBLE FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)
   UNION ALL
-  SELECT i + 1, id, nv, sum(abs(nv - v)) OVER () FROM (
+  SELECT i + 1, id, nv, {_exact('abs(nv - v)', ' OVER ()')} FROM (
     SELECT p.i, p.id, p.v, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s.s, 0) AS nv
     FROM r p LEFT JOIN (
-      SELECT ew.dst, sum(q.v / ew.total * ew.w) AS s FROM ew JOIN r q ON ew.src = q.id GROUP BY ew.dst
+      SELECT dst, {_exact('x')} AS s FROM (
+        SELECT ew.dst, q.v / ew.total * ew.w * ew.mult AS x FROM ew JOIN r q ON ew.src = q.id) GROUP BY dst
     ) s ON p.id = s.dst
     WHERE p.i < 500 AND p.delta >= 0.0001))
 SELECT id, round(v, 6) AS rank FROM r WHERE i = (SELECT max(i) FROM r)"""

@@ -64,7 +64,9 @@ def test_one_update_golden(golden_edges):
     step2 = R.rank_step(golden_edges, step.select("id", "rank"))
     assert close(as_dict(step2), UPDATE2, 1e-9)
     assert R.l1_delta(step2) == pytest.approx(1.846388889, abs=1e-8)
-    assert R.fixed_point_delta(step2) == pytest.approx(1.84637, abs=1e-12)
+    # vertex 3 changes by 289/400, which lies on the edge of a unit of 1e-5:
+    # the last binary place of its two ranks decides whether 72250 or 72249 count
+    assert R.fixed_point_delta(step2) == pytest.approx(1.84637, abs=1.1e-5)
 
 
 @pytest.mark.parametrize("kind", ["l1", "fixed_point"])
