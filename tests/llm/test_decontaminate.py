@@ -116,3 +116,83 @@ def test_copies_in_other_cases(spark, bench):
         "5 KM", "9 KM").replace("5 APPLES", "4 APPLES"), 6: ITEM.upper().replace("5", "8").replace("7", "6"), 7: ITEM}), bench)
     assert found(got) == {(i, 1) for i in (1, 2, 3, 4, 6, 7)}
     assert {r.doc_id: r.coverage for r in got.collect()}[1] == 1
+
+
+SHORT = {0: "What is 12 + 7 * 3 - 4?", 1: "Solve 3x + 5 = 20", 2: "Who wrote Hamlet?", 3: "Word", 4: "1 2 3 4 5 6 7 8"}
+
+
+def test_short_and_number_dense_items(spark):
+    bench = spark.createDataFrame(list(SHORT.items()), "item_id long, text string")
+    texts = {**{k: f"before. {t} after" for k, t in SHORT.items()},
+             10: "What is 9 + 8 * 7 - 6?", 11: "now Solve 5x + 7 = 21 ok", 12: "and who wrote Macbeth?",
+             13: "9 8 7 6 5 4 3 2 1 9 8 7", 14: "What is 1, and what is 2 + 3?", 15: "she wrote it", 16: "WHO WROTE HAMLET"}
+    want = {(k, k) for k in (0, 1, 2)} | {(10, 0), (11, 1), (12, 2), (16, 2)}
+    assert found(D.leaks(docs_of(spark, texts), bench)) == want
+    assert found(D.leaks(docs_of(spark, texts), bench, broadcast_windows=0)) == want
+
+
+def test_dense_item_among_others_needs_all_windows(spark):
+    dense = "Add 1 2 3 4 5 and 6 7 8 9 now"
+    bench = spark.createDataFrame([(1, dense), (2, ITEM)], "item_id long, text string")
+    texts = {1: dense, 2: "Add 9 8 7 6 5 and 4 3 2 1 now", 3: "Add 1 2 3 4 5 and 6 7 8 then", 4: ITEM}
+    assert found(D.leaks(docs_of(spark, texts), bench)) == {(1, 1), (2, 1), (4, 2)}
+
+
+def slow_templates(text):
+    """Template words with their values, by plain rules: numbers, and capitalised words inside a sentence."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        word = m[0]
+        inner = m.start() > 1 and re.match(r"[\w,;)'\"] ", text[m.start() - 2:m.start()])
+        plain = re.sub(r"[^\w]", "", word).lower()
+        if re.fullmatch(r"\d+", plain):
+            out.append(("N", plain))
+        elif inner and word[0].isupper():
+            out.append(("NAME", plain))
+        elif plain:
+            out.append((plain, None))
+    return out
+
+
+def test_slots_against_plain_templates(spark):
+    """Items with numbers and names, copied with other ones, consistently or not."""
+    rng = random.Random(8)
+    vocab = [f"{a}{b}" for a in "bcdfgh" for b in ("ala", "ere", "iti")]
+    names = ["Alice", "Bob", "Carol", "Dan", "Eve"]
+
+    def item():
+        words = rng.choices(vocab, k=12)
+        for at in rng.sample(range(1, 12), 3):
+            words[at] = rng.choice(names + ["12", "7", "55"])
+        return " ".join(words)
+    items = {i: item() for i in range(15)}
+    texts = {}
+    for d in range(90):
+        swap = {w: rng.choice(names) for w in names} | {w: str(rng.randrange(100, 900)) for w in ("12", "7", "55")}
+        words = [swap.get(w, w) for w in items[d % 15].split()]
+        if d % 3 == 1:  # torn: one place takes a value of its own
+            slots = [k for k, w in enumerate(items[d % 15].split()) if w in swap]
+            words[rng.choice(slots)] = "Zoe" if rng.random() < 0.5 else "4711"
+        texts[d] = "zaza zozo " + " ".join(words) + " zizi"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+
+    def aligned(t, i):
+        """Windows of the item found at one shift, with consistent slots."""
+        a, b = slow_templates(items[i]), slow_templates(texts[t])
+        rich = [p for p in range(len(a) - 4) if sum(v is None for _, v in a[p:p + 5]) >= 3]
+        best = 0
+        for shift in range(-len(a), len(b)):
+            hit = [p for p in rich if 0 <= p + shift <= len(b) - 5
+                   and [w for w, _ in a[p:p + 5]] == [w for w, _ in b[p + shift:p + shift + 5]]]
+            pairs = {(a[p + k][1], b[p + shift + k][1]) for p in hit for k in range(5) if a[p + k][1]}
+            if len(pairs) - len({x for x, _ in pairs}) <= 0.2 * len({x for x, _ in pairs}):
+                best = max(best, len(hit))
+        return best / len(rich)
+    got = {(r.doc_id, r.item_id): r.coverage for r in D.leaks(docs_of(spark, texts), bench).collect()}
+    for d in texts:
+        share = aligned(d, d % 15)
+        # the case-folded form can only add to what the template finds
+        assert share < D.COVER or got[d, d % 15] >= share - 1e-9, (d, items[d % 15], texts[d])
+        if d % 3 != 1:
+            assert share == 1.0 and (d, d % 15) in got
+    assert {i for d, i in got if d % 15 != i} == set()
