@@ -3,15 +3,20 @@ shunting-yard evaluation of and/or/with license expressions.
 
 A text is lower-cased (A-Z) and cut into words
 ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``; one automaton pass over the words
-joined by a space finds all phrases.  Where it sees an identifier tag
-(``SPDX-License-Identifier:``), the expression behind the tag is read from
-the whole text up to the end of its line and evaluated: AND, OR and WITH
-with the usual order (WITH binds strongest, OR weakest) and parentheses.
-An expression is open if a choice exists that needs permissive licenses
-only.
+joined by a space finds all phrases and identifier tags
+(``SPDX-License-Identifier:``) with their places.  The expression behind a
+tag is read from its place up to the end of the line and evaluated: AND, OR
+and WITH with the usual order (WITH binds strongest, OR weakest) and
+parentheses.  Operands are licence ids that are known (``LICENSES``, with
+``+``, ``-only`` or ``-or-later``) or begin with ``LicenseRef-``; anything
+else behind an operator is prose and ends the expression before the
+operator.  An expression is open if a choice exists that needs permissive
+licenses only.
 
 Defined cases: null text counts as empty; texts without words have no
-findings; malformed expressions are kept as findings that are not valid and
+findings; a very long text takes time in proportion to its length, whatever
+number of tags it has; findings are in the order of their places, at one
+place phrases before expressions; malformed expressions are kept as findings that are not valid and
 give no labels; null doc_id and repeated rows are kept as they are; other
 columns are ignored; an empty table gives no rows.
 """
@@ -22,6 +27,7 @@ import re
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +57,34 @@ MORE_PHRASES = {
     "cc by sa": "cc-by-sa",
     "cc0 1 0 universal": "cc0",
     "all rights reserved": "all-rights-reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
+    "licensed under the apache license": "apache-2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "boost software license version 1 0": "bsl",
+    "eclipse public license": "epl",
+    "this software is provided as is without any express or implied warranty in no event": "zlib",
+    "european union public licence": "eupl",
 }
+# Common SPDX licence ids and exceptions, in lower case.
+LICENSES = frozenset("""
+0bsd afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0
+bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 bzip2-1.0.6
+cc0-1.0 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0
+cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0
+efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg
+imagemagick isc jpnic json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 libtiff lppl-1.3c mit mit-0 mit-cmu mpl-1.0
+mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa npl-1.1 odbl-1.0 odc-by-1.0 ofl-1.1 openssl osl-2.1 osl-3.0 pddl-1.0
+php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0
+vim w3c wtfpl x11 xnet zend-2.0 zlib zlib-acknowledgement zpl-2.1
+""".split())
+EXCEPTIONS = frozenset("""
+autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0
+font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 libtool-exception linux-syscall-note
+llvm-exception ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0
+swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1
+""".split())
 TAG = "spdx license identifier"
 PERMISSIVE = ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd",
               "zlib", "bsl-1.0")
@@ -63,6 +96,11 @@ _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*|\S")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def _license_id(name: str) -> bool:
+    plain = name.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+    return plain in LICENSES or name.startswith(("licenseref-", "documentref-"))
+
+
 def evaluate(expression: str) -> tuple[bool, list[str], bool]:
     """(valid, licenses, open) of a license expression by shunting-yard."""
     values: list[tuple[frozenset, bool]] = []
@@ -92,7 +130,7 @@ def evaluate(expression: str) -> tuple[bool, list[str], bool]:
             ops.append(tok)
             want = True
         elif tok == "(":
-            if not want:
+            if not want or ops and ops[-1] == "with":  # an exception is one name
                 return False, [], False
             ops.append(tok)
         elif tok == ")":
@@ -110,6 +148,12 @@ def evaluate(expression: str) -> tuple[bool, list[str], bool]:
             if not tok[0].isalnum():
                 return False, [], False
             name = tok.rstrip(".:-")
+            if not (name in EXCEPTIONS if ops and ops[-1] == "with" else _license_id(name)):
+                if not values or not ops or ops[-1] == "(":
+                    return False, [], False
+                ops.pop()  # prose behind the expression
+                want = False
+                break
             values.append((frozenset([name]), name in PERMISSIVE))
             want = False
     while ops:
@@ -136,23 +180,26 @@ def scan_text(text: bytes | None) -> tuple[int, list[dict]]:
     raw = text or b""
     words = raw.translate(_WORDS).split()
     line = " " + b" ".join(words).decode("utf-8", "replace") + " "
-    found, seen, at, tagged = [], 0, 0, False
+    found, seen, at, starts = [], 0, 0, None
     for end, (kind, label, width) in sorted(_automaton().iter(line), key=lambda x: x[0] - x[1][2]):
         start = end - width + 1
         seen += line.count(" ", at, start)
         at = start
         if kind == "tag":
-            tagged = True
+            if starts is None:  # where each word begins in the text
+                solid = np.frombuffer(raw.translate(_WORDS), np.uint8) != 0x20
+                starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+                lower = raw.lower()
+            m = _TAG_TEXT.match(lower, int(starts[seen]))
+            if m:
+                expr = m[1].decode("utf-8", "replace").strip()
+                valid, names, opened = evaluate(expr)
+                found.append({"kind": "expression", "word": seen, "labels": names, "expression": expr,
+                              "valid": valid, "open": opened})
         else:
             found.append({"kind": kind, "word": seen, "labels": [label], "expression": None, "valid": True,
                           "open": label in ("mit", "apache-2", "isc", "bsd", "bsd-2-clause", "bsd-3-clause", "cc-by",
                                             "cc0", "unlicense")})
-    if tagged:
-        for m in _TAG_TEXT.finditer(raw.lower()):
-            expr = m[1].decode("utf-8", "replace").strip()
-            valid, names, opened = evaluate(expr)
-            found.append({"kind": "expression", "word": len(raw[:m.start()].translate(_WORDS).split()),
-                          "labels": names, "expression": expr, "valid": valid, "open": opened})
     return len(words), found
 
 
