@@ -149,6 +149,10 @@ class Model:
         v = self.scale[ids]
         return float(self.w[ids] @ v) / float(np.sqrt(v @ v) or 1.0) + self.bias
 
+    @property
+    def fitted(self) -> bool:
+        return self.scale is not None
+
     def score(self, text: bytes | None) -> float:
         if self.scale is None:
             return 0.5
@@ -195,9 +199,12 @@ def score(model: Model, text: Column, spark) -> Column:
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``."""
-    good = score(train(docs, labels, **how), F.col("text"), docs.sparkSession) >= least
-    return docs.filter(good)
+    """The rows of ``docs`` with a score of at least ``least``; all rows if
+    there is no model, as no label says what to reject."""
+    model = train(docs, labels, **how)
+    if not model.fitted:
+        return docs
+    return docs.filter(score(model, F.col("text"), docs.sparkSession) >= least)
 
 
 def op6(spark, sf_dir):

@@ -96,6 +96,10 @@ class Model:
             best = max(mean.max(), best) if best is not None else mean.max()
         return (0.0 if best is None else float(best)) + self.bias
 
+    @property
+    def fitted(self) -> bool:
+        return self.logit is not None
+
     def score(self, text: bytes | None) -> float:
         if self.logit is None:
             return 0.5

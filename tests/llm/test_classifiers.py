@@ -119,3 +119,34 @@ def test_sample_is_bounded_and_held_out(spark):
     assert 0 < len(rows) <= 20 and all(len(t) <= 8 for t in texts)
     held = {f"t{i}" for i in range(200) if zlib.crc32(str(i % 90).encode()) % 4 == 2}
     assert not {t.decode() for t in texts} & held
+
+
+def labelled_docs(spark, n, text, extra=()):
+    docs = [(i, text(i)) for i in range(n)] + list(extra)
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame([(i, i % 2, i % 2) for i in range(n)], "doc_id long, quality int, toxic int"))
+
+
+def test_a_repeated_id_takes_one_place(spark):
+    docs, labels = labelled_docs(spark, 200, lambda i: f"text {i}", [(2, "text 2")] * 3000 + [(4, f"other {k}") for k in range(50)])
+    got = sample(docs, labels, "quality", 4, 2, 40, 1000).collect()
+    assert [sum(r.y == y for r in got) for y in (0, 1)] == [40, 40]
+    assert len({bytes(r.t) for r in got}) == 80
+    again = sample(docs.repartition(7), labels.repartition(3), "quality", 4, 2, 40, 1000).collect()
+    assert sorted((bytes(r.t), r.y) for r in got) == sorted((bytes(r.t), r.y) for r in again)
+
+
+def test_ids_with_long_texts_do_not_take_places(spark):
+    docs, labels = labelled_docs(spark, 400, lambda i: f"text {i}" if i % 4 < 2 else "long " * 400)
+    got = sample(docs, labels, "toxic", 5, 0, 60, 1000).collect()
+    assert [sum(r.y == y for r in got) for y in (0, 1)] == [60, 60]
+
+
+def test_quality_stage_keeps_all_where_nothing_can_be_learnt(spark):
+    docs, labels = labelled_docs(spark, 40, lambda i: f"long text {i} " * 100)
+    with pytest.warns(RuntimeWarning, match="no model"):
+        assert Q.keep(docs, labels, max_bytes=100).count() == 40
+    with pytest.warns(RuntimeWarning, match="no model"):
+        assert Q.keep(docs, labels.filter("quality = 1")).count() == 40
+    with pytest.warns(RuntimeWarning, match="no model"):
+        assert T.train(docs, labels.limit(0)).score(b"x") == 0.5
