@@ -162,7 +162,8 @@ def take(docs: DataFrame, **how) -> DataFrame:
     rows = docs.alias("d").join(plan.alias("p"), F.xxhash64("d.doc_id", "d.source", "d.text") == F.col("p.key"))
     once = rows.filter("p.n = 1").select("d.*", F.col("p.copies").alias(name))
     again = (rows.filter("p.n > 1").groupBy("p.key", "p.copies")
-             .agg(F.min(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])).alias("row"))
+             .agg(F.min_by(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]),
+                           F.struct("d.lang", "d.n_chars")).alias("row"))
              .select("row.*", F.col("copies").alias(name)))
     return once.unionByName(again).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))))
 

@@ -166,8 +166,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate group: the one with
-    the smallest doc_id (of rows that share an id, the first by its columns;
-    of rows with null ids one, and only where a group has no other id)."""
+    the smallest doc_id (of rows that share an id, the first by the hash of
+    its text and its source, lang and n_chars; of rows with null ids one, and
+    only where a group has no other id)."""
     groups = near_duplicates(docs, k, radius)
     wins = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     winners = (groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), wins.alias("win"))
@@ -176,7 +177,9 @@ def keep_one(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     once = rows.filter("w.n = 1").select("d.*")
     # rows that share an id (or have none): a partial minimum before the shuffle
     again = (rows.filter("w.n > 1").select("d.*")
-             .groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+             .groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(
+                 F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
+                 F.struct(F.xxhash64("text"), "source", "lang", "n_chars")).alias("__row"))
              .select("__row.*"))
     return once.unionByName(again)
 
