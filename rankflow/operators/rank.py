@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FIXED_POINT_SCALE, exact_sum, fixed_point
+from ..session import ensure_checkpoint_dir
 
 # Damping and base of the update rule.
 DAMPING = 0.85
@@ -51,8 +52,11 @@ def tag_salts(mult: DataFrame, hot: DataFrame, values: tuple[str, ...] = ()) ->
 
 def _votes(edges: DataFrame, ranks: DataFrame, salt_chunk: int) -> DataFrame:
     """(dst, mult, vote) per distinct edge; hot sources meet their votes in
-    salted buckets, parallel edges are counted before anything moves."""
-    mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+    salted buckets, parallel edges are counted before anything moves.  The
+    counted edges are checkpointed: fan-out, hot sources and votes read them,
+    not the input."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    mult = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult")).checkpoint(eager=True)
     fan = mult.groupBy("src").agg(F.sum("mult").alias("outdeg"), F.count(F.lit(1)).alias("fanout"))
     send = ranks.join(fan, ranks["id"] == fan["src"]).select(
         "src", (F.col("rank") / F.col("outdeg")).alias("vote"),

@@ -366,6 +366,10 @@ SELECT job_id, algo, event_id AS pos, CASE
   ELSE 'Reduce task attempt_' || CAST(event_id AS VARCHAR) || ' SUCCEEDED'
 END AS value FROM ({EV})"""
 
+SQL["log_files_round_trip"] = f"""
+SELECT job_id, value, lead(value) OVER (PARTITION BY job_id ORDER BY pos) AS next_value
+FROM (SELECT regexp_extract(job_id, '^([^_]+_[^_]+)_', 1) AS job_id, pos, value FROM ({JOB_LOG}))"""
+
 RUNS = f"""
 SELECT job_id, algo AS algorithm, dataset, sum(c) / 100.0 AS total_time
 FROM ({EV}) GROUP BY job_id, algo, dataset"""

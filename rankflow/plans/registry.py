@@ -22,9 +22,10 @@ from ..operators.ordered import next_in_group
 from ..operators.vertex_program import link_rank_program, vertex_program
 from ..plans import loop as L
 from ..session import ensure_checkpoint_dir
-from ..sinks import append_metrics, format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json
+from ..sinks import append_metrics, format_metrics, rank_lines, to_adjacency_tsv, to_vertex_json, \
+    write_log_lines
 from ..sources import tables as TB
-from ..sources.logs import parse_job_log, parse_sar
+from ..sources.logs import parse_job_log, parse_sar, read_log_lines
 from ..sources.text import adjacency_graph, parse_adjacency_tsv, parse_edges, parse_vertex_json, \
     rejects, vertex_json_graph
 
@@ -490,6 +491,23 @@ def _samples(spark, sf):
     return parse_sar(TB.monitor_lines(spark, sf))
 
 
+@query("log_files_round_trip")
+def q_log_files_round_trip(spark, sf):
+    # one log per algorithm and dataset, written in parts, read in splits of
+    # 16 kB: every line with the one that follows it
+    lines = TB.job_log_lines(spark, sf).withColumn("job_id", F.regexp_extract("job_id", "^([^_]+_[^_]+)_", 1))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/logs-{uuid.uuid4().hex}"
+    write_log_lines(lines, path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        back = read_log_lines(spark, f"{path}/*.log").select("job_id", "pos.part", "pos.block", "pos.row", "value")
+        out = next_in_group(back, "job_id", ["part", "block", "row"], "value")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    return out
+
+
 @query("job_log_parsed")
 def q_job_log_parsed(spark, sf):
     p = _parsed(spark, sf)

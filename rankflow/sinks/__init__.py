@@ -68,6 +68,16 @@ def write_ranks(ranks: DataFrame, path: str, fmt: str = "text") -> None:
         ranks.write.mode("errorifexists").parquet(path)
 
 
+def write_log_lines(lines: DataFrame, path: str) -> None:
+    """Write log lines (job_id, pos, value) as one folder of parts per job,
+    ``<path>/job=<job_id>.log``, in the order of ``pos``.  The rows are
+    range-partitioned by (job_id, pos), so a long log has several parts and
+    no task holds a whole one; ``read_log_lines`` gives the order back."""
+    rows = lines.select(F.concat("job_id", F.lit(".log")).alias("job"), "pos", "value")
+    rows.repartitionByRange("job", "pos").sortWithinPartitions("job", "pos").drop("pos") \
+        .write.partitionBy("job").mode("errorifexists").text(path)
+
+
 # The columns of a metrics row and the format of each.
 METRICS_FORMATS = {
     "algorithm": "%s", "dataset": "%s", "job_id": "%s", "total_execution_time": "%.2fs",

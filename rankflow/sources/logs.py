@@ -24,23 +24,25 @@ CLOCK_TOKENS = ("AM", "PM")
 
 
 def read_log_lines(spark: SparkSession, pattern: str, algo: str | None = None) -> DataFrame:
-    """(job_id, algo, pos, value) from log files ``<algo>_<dataset>_<run>[_mon].log``.
+    """(job_id, algo, pos, value) from log files ``<algo>_<dataset>_<run>[_mon].log``,
+    or folders of that name that hold a log in parts (``sinks.write_log_lines``) (S9).
 
     Files are read line by line and split like any text input, so a huge log
-    is spread over many tasks.  ``pos`` is exact line order within a file:
-    the split's byte offset (``_metadata.file_block_start``), then the row
-    order inside the split.
+    is spread over many tasks.  ``pos`` is exact line order within a log: the
+    part's name (empty for a log in one file), the split's byte offset
+    (``_metadata.file_block_start``), then the row order inside the split.
     """
-    # file names come URL-encoded ('{' -> %7B); keep a literal '+' as is
-    fname = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
-    raw = spark.read.text(pattern).select(
-        "value", fname.alias("f"),
+    # paths come URL-encoded ('{' -> %7B); keep a literal '+' as is
+    path = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    raw = spark.read.option("recursiveFileLookup", True).text(pattern).select(
+        "value", path.alias("f"), F.col("_metadata.file_name").alias("part"),
         F.col("_metadata.file_block_start").alias("blk"))
-    name = F.regexp_extract("f", r"^(.+?)(?:_mon|_full)?\.log$", 1)
+    name = F.regexp_extract("f", r"(?:^|/)(?:job=)?([^/]+?)(?:_mon|_full)?\.log(?:/[^/]*)?$", 1)
     algo_col = F.lit(algo) if algo else F.regexp_extract(name, r"^([^_]+)_", 1)
     return raw.select(
         name.alias("job_id"), algo_col.alias("algo"),
-        F.struct(F.col("blk").alias("block"),
+        F.struct(F.when(F.col("f").endswith(".log"), "").otherwise(F.col("part")).alias("part"),
+                 F.col("blk").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("pos"),
         F.regexp_replace("value", "\r$", "").alias("value"))
 
