@@ -8,9 +8,8 @@ words, so a copy in capitals or in lower case matches too.  Windows of
 ``WINDOW`` words of either form, of which at least ``LITERALS`` are no
 placeholders, are hashed and joined with the windows of the benchmark; a
 window that is the same in both forms goes once.  Of an item with fewer
-words the whole template is its one window, and of an item of which fewer
-than half of the windows have enough literals all windows with a literal
-count; such an item is found only if one alignment has all its windows.  Matches are grouped by
+words the whole template is its one window, and of an item without a window
+of enough literals all windows with a literal count; such an item is found only if one alignment has all its windows.  Matches are grouped by
 document, item, form and alignment; within
 an alignment a slot value of the item must always stand for the same value
 of the document; if more than ``CONFLICTS`` of the values conflict, the
@@ -172,10 +171,9 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def counts(form):
         return F.count(F.when(F.col("form") != 3 - form, 1)), F.count(F.when((F.col("form") != 3 - form) & rich, 1))
-    n = every.groupBy("item_id", "it").agg(F.array(*[
-        2 * counts(f)[1] < counts(f)[0] for f in (1, 2)]).alias("sparse")).alias("n")
+    n = every.groupBy("item_id", "it").agg(F.array(*[counts(f)[1] == 0 for f in (1, 2)]).alias("sparse")).alias("n")
     w = every.alias("w").join(n, F.expr("w.item_id <=> n.item_id and w.it = n.it")).select("w.*", "sparse")
-    # of items with few rich windows all count that have a literal, and all are needed
+    # of items without rich windows all count that have a literal, and all are needed
     uses = F.array(*[(F.col("form") != 3 - f) & (rich | (F.col("sparse")[f - 1] & (F.col("literals") > 0))) for f in (1, 2)])
     form = F.when(uses[0] & uses[1], 3).when(uses[0], 1).when(uses[1], 2)
     w = w.withColumn("form", form).filter("form is not null")
