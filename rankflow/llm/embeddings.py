@@ -34,6 +34,7 @@ from .simhash import _forest
 
 TABLES = 10
 BLOCKS = 2  # lattice points per cell
+CELLS = 1 + BLOCKS  # a vector's own cell of a table and those it probes
 SCALE = 1.25
 BLOCK = 512
 SEED = 11
@@ -148,8 +149,8 @@ def compare(a: np.ndarray, b: np.ndarray, t: int, probing: bool, same: bool, lea
 # ------------------------------------------------------------------ operator
 
 def _records(nodes: DataFrame, tables: int, wide: bool) -> DataFrame:
-    """(dim, t, cell, probing, node, rec): every vector once in its own cell
-    of a table and once per probed cell."""
+    """(dim, node, rec, cells): every vector once as a record, with its own
+    cell and its probed cells of each table in turn."""
     def run(batches):
         for batch in batches:
             node, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -158,37 +159,55 @@ def _records(nodes: DataFrame, tables: int, wide: bool) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims):
                 rows = np.nonzero(dims == dim)[0]
+                n = len(rows)
                 x = flat[starts[rows][:, None] + np.arange(dim)]
                 own, probes = cells(_unit(x), tables)
-                rec = np.empty(len(rows), dtype=_layout(int(dim), tables, wide))
+                rec = np.empty(n, dtype=_layout(int(dim), tables, wide))
                 rec["node"], rec["m"], rec["own"], rec["probe"], rec["x"] = node[rows], m[rows], own, probes, x
-                packed = [r.tobytes() for r in rec]
-                for t in range(tables):
-                    both = [(own[:, t], False), *((probes[:, t, k], True) for k in range(BLOCKS))]
-                    for cell, probing in both:
-                        n = len(rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)),
-                             pa.array(cell.astype(np.int64)), pa.array(np.full(n, probing)), pa.array(node[rows]),
-                             pa.array(packed, pa.binary())], ["dim", "t", "cell", "probing", "node", "rec"])
-    return nodes.mapInArrow(run, "dim int, t int, cell long, probing boolean, node long, rec binary")
+                named = np.concatenate([own[:, :, None], probes], axis=2).astype(np.int64)
+                ends = np.arange(n + 1, dtype=np.int32) * (tables * CELLS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, dim, np.int32)), pa.array(node[rows]),
+                     pa.array([r.tobytes() for r in rec], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(named.ravel()))],
+                    ["dim", "node", "rec", "cells"])
+    return nodes.mapInArrow(run, "dim int, node long, rec binary, cells array<long>")
 
 
 def links(nodes: DataFrame, least: float, tables: int, wide: bool) -> DataFrame:
     """(node, links, root) rows: linked vectors found in a pair of blocks,
-    and the smallest node that the block pair's links reach."""
+    and the smallest node that the block pair's links reach.
+
+    The cells move by number first; a vector moves only to the cells that
+    another one shares.  A cell of one block is compared in one row; those of
+    more blocks are cut, and pairs of blocks are compared."""
     recs = saved(_records(nodes, tables, wide))
     where = ["dim", "t", "cell"]
-    used = recs.groupBy(*where).agg(F.count(F.lit(1)).alias("n"),
-                                    F.count(F.when(~F.col("probing"), 1)).alias("stored"))
+    places = recs.select("dim", "node", F.posexplode("cells").alias("at", "cell")).select(
+        "dim", F.floor(F.col("at") / CELLS).cast("int").alias("t"), "cell",
+        (F.col("at") % CELLS > 0).alias("probing"), "node")
+    used = places.groupBy(*where).agg(F.count(F.lit(1)).alias("n"),
+                                      F.count(F.when(~F.col("probing"), 1)).alias("stored"))
     # a cell that nobody shares has nothing to compare
     used = used.filter("n > 1 and stored > 0").select(*where, F.ceil(F.col("n") / BLOCK).alias("nb"))
-    blocks = (recs.join(used, where).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
+    shared = saved(places.join(used, where))
+    rec = recs.select("node", "rec")
+
+    one = (shared.filter("nb = 1").join(rec, "node").groupBy(*where)
+           .agg(F.collect_list(F.when(~F.col("probing"), F.col("rec"))).alias("b"),
+                F.collect_list(F.when(F.col("probing"), F.col("rec"))).alias("p")))
+    sides = F.array(F.struct(F.lit(False).alias("probing"), F.lit(True).alias("same"), F.col("b").alias("a")),
+                    F.struct(F.lit(True).alias("probing"), F.lit(False).alias("same"), F.col("p").alias("a")))
+    one = one.select("dim", "t", F.explode(sides).alias("s"), "b").filter("size(s.a) > 0").select(
+        "dim", "t", "s.probing", "s.same", "s.a", "b")
+
+    blocks = (shared.filter("nb > 1").join(rec, "node")
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
               .groupBy(*where, "probing", "block").agg(F.collect_list("rec").alias("recs")))
     blocks = saved(blocks)
     left = blocks.select(*where, "probing", F.col("block").alias("i"), F.col("recs").alias("a"))
     right = blocks.filter("not probing").select(*where, F.col("block").alias("j"), F.col("recs").alias("b"))
-    pairs = left.join(right, where).filter("probing or i <= j").select(
+    cut = left.join(right, where).filter("probing or i <= j").select(
         "dim", "t", "probing", (~F.col("probing") & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
 
     def run(batches):
@@ -202,7 +221,7 @@ def links(nodes: DataFrame, least: float, tables: int, wide: bool) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)],
                                                  ["node", "links", "root"])
-    return pairs.mapInArrow(run, "node long, links long, root long")
+    return one.unionByName(cut).mapInArrow(run, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES) -> DataFrame:

@@ -57,10 +57,11 @@ def test_query_matches_brute_force(spark, sf):
     assert got == want
 
 
-def test_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("dim", [64, 192])
+def test_recall_at_the_threshold(spark, dim):
     """Pairs of cosine 0.9 to 0.92 and no other links: at least 0.9 are found."""
     rng = np.random.default_rng(3)
-    u = rng.normal(size=(1500, 64))
+    u = rng.normal(size=(1500, dim))
     u /= np.linalg.norm(u, axis=1)[:, None]
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(axis=1)[:, None] * u
@@ -94,5 +95,20 @@ def test_groups_copies_and_odd_rows(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_move_to_shared_cells_only(spark, monkeypatch):
+    """The rows that carry vectors to cells are those of cells with a second vector."""
+    rng = np.random.default_rng(9)
+    far = rng.normal(size=(300, 64))
+    pair = far[:5] + rng.normal(size=(5, 64)) * 0.01
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([far, pair]))]
+    kept = []
+    real = E.saved
+    monkeypatch.setattr(E, "saved", lambda df: kept.append(real(df)) or kept[-1])
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id for r in got.collect() if r.n_links} == {*range(5), *range(300, 305)}
+    shared = next(df for df in kept if "nb" in df.columns)
+    assert "rec" not in shared.columns and 10 <= shared.count() < len(rows) * E.TABLES * E.CELLS / 3
+
+
 def test_no_rows(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
