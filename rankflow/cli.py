@@ -1,6 +1,6 @@
 """Command line: the study's workflow as Spark jobs.
 
-    python -m rankflow preprocess EDGES OUT_TSV OUT_JSON
+    python -m rankflow preprocess EDGES OUT_TSV OUT_JSON [--part-edges N]
     python -m rankflow rank INPUT OUT [--format edges|tsv|json] [--delta l1|fixed_point]
                        [--tol 1e-4] [--max-iter 500] [--lag 0] [--snapshot-dir DIR] [--resume]
                        [--partitions N] [--salt-chunk N] [--strict]
@@ -67,9 +67,10 @@ def _graph(spark: SparkSession, path: str, fmt: str, seen: Observation) -> tuple
 def cmd_preprocess(a) -> int:
     spark = _session()
     edges = parse_edges(read_lines(spark, a.edges, order=True), keep=("pos",))
-    # neighbours in the order of the input lines, computed once for all outputs
-    adj = G.adjacency(edges, order_col="pos").persist()
-    print(f"Nodes: {adj.count()}. Writing outputs...")
+    # neighbours in the order of the input lines, computed once for all outputs;
+    # a vertex of more than a part's neighbours gets several lines
+    adj = G.adjacency_parts(edges, order_col="pos", part_edges=a.part_edges).persist()
+    print(f"Nodes: {adj.select('id').distinct().count()}. Writing outputs...")
     write_adjacency_tsv(adj, a.out_tsv)
     write_vertex_json(adj, a.out_json)
     adj.unpersist()
@@ -152,6 +153,7 @@ def main(argv: list[str] | None = None) -> int:
     pp.add_argument("edges")
     pp.add_argument("out_tsv")
     pp.add_argument("out_json")
+    pp.add_argument("--part-edges", type=int, default=G.PART_EDGES)
     pr = sub.add_parser("rank")
     pr.add_argument("input")
     pr.add_argument("out")

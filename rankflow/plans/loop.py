@@ -48,6 +48,7 @@ from ..functions import exact_sum
 from ..operators.rank import (BASE, DAMPING, SALT_CHUNK, fixed_point_delta_col,
                               l1_delta_col, tag_salts)
 from ..session import ensure_checkpoint_dir
+from .tables import read_bucketed, write_bucketed
 
 # The study's convergence threshold and update cap.
 TOLERANCE = 1e-4
@@ -63,6 +64,8 @@ HISTORY_SCHEMA = T.StructType([
     T.StructField("delta", T.DoubleType(), False),
     T.StructField("delta_fixed", T.DoubleType(), False),
 ])
+# a marker also tells into how many buckets its snapshot is laid out
+MARKER_SCHEMA = T.StructType([*HISTORY_SCHEMA.fields, T.StructField("buckets", T.IntegerType())])
 STATUS_SCHEMA = T.StructType([
     T.StructField("status", T.StringType(), False),
     T.StructField("iterations", T.IntegerType(), False),
@@ -70,6 +73,9 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
+GRAPH_SCHEMA = "num_vertices bigint, num_hot bigint, num_partitions int, hot boolean, values array<string>"
+
+
 @dataclass
 class LinkGraph:
     """A prepared graph: loop-invariant data, materialised once."""
@@ -226,6 +232,37 @@ def prepare(edges: DataFrame, num_partitions: int | None = None,
     return LinkGraph(verts, emat, hot_edges, n, n_hot, p, bool(broadcast), tuple(values))
 
 
+def save_graph(g: LinkGraph, base: str) -> None:
+    """Write a prepared graph as folders bucketed by the loop's keys, for
+    later runs and sessions (``load_graph``).  ``<base>/graph`` is written
+    last, so a graph that was not written to its end is not loaded."""
+    if g.broadcast:
+        raise ValueError("a graph prepared for the broadcast join has no layout to keep")
+    base, p, spark = base.rstrip("/"), g.num_partitions, g.vertices.sparkSession
+    with _LoopConf(spark, p, adaptive=False):
+        write_bucketed(g.vertices, f"{base}/vertices", p, "id")
+        write_bucketed(g.edges, f"{base}/edges", p, "src")
+        if g.hot_edges is not None:
+            write_bucketed(g.hot_edges, f"{base}/hot_edges", p, "src", "salt")
+    spark.createDataFrame([(g.num_vertices, g.num_hot, p, g.hot_edges is not None, list(g.values))], GRAPH_SCHEMA
+                          ).coalesce(1).write.mode("overwrite").parquet(f"{base}/graph")
+
+
+def load_graph(spark: SparkSession, base: str) -> LinkGraph:
+    """A graph written by ``save_graph``.  It comes in the layout of the loop:
+    nothing is counted, shuffled or tagged again."""
+    ensure_checkpoint_dir(spark)
+    base = base.rstrip("/")
+    m = spark.read.parquet(f"{base}/graph").first()
+    p = m["num_partitions"]
+
+    def part(name, *keys):
+        return read_bucketed(spark, f"{base}/{name}", p, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    return LinkGraph(part("vertices", "id"), part("edges", "src"),
+                     part("hot_edges", "src", "salt") if m["hot"] else None,
+                     m["num_vertices"], m["num_hot"], p, False, tuple(m["values"]))
+
+
 def initial_state(g: LinkGraph) -> DataFrame:
     return g.vertices.select("id", F.col("start").alias("rank"), F.col("start").alias("prev"),
                              "outdeg", "nsalt")
@@ -296,20 +333,22 @@ class _LoopConf:
                 self.spark.conf.set(k, v)
 
 
-def _list_snapshots(spark: SparkSession, base: str) -> list[tuple[int, float, float]]:
-    """(iter, delta, delta_fixed) of the complete snapshots, from the markers
-    (one row per update, as the history has)."""
+def _list_snapshots(spark: SparkSession, base: str) -> list[tuple[int, float, float, int | None]]:
+    """(iter, delta, delta_fixed, buckets) of the complete snapshots, from the
+    markers (one row per update, as the history has)."""
     try:
-        m = spark.read.parquet(f"{base.rstrip('/')}/manifest")
+        m = spark.read.option("mergeSchema", True).parquet(f"{base.rstrip('/')}/manifest")
     except AnalysisException:           # no snapshot written yet
         return []
-    return sorted((int(r["iter"]), r["delta"], r["delta_fixed"])
-                  for r in m.select("iter", "delta", "delta_fixed").distinct().collect())
+    buckets = F.max("buckets" if "buckets" in m.columns else F.lit(None).cast("int")).alias("buckets")
+    rows = m.groupBy("iter", "delta", "delta_fixed").agg(buckets).collect()
+    return sorted(((int(r["iter"]), r["delta"], r["delta_fixed"], r["buckets"]) for r in rows), key=lambda r: r[0])
 
 
 def write_snapshot(state: DataFrame, base: str, i: int, deltas: list[tuple[int, float, float]],
-                   complete: set[int] | None = None) -> None:
-    """Write the state of update i to ``<base>/iter=<i>`` (K4).
+                   complete: set[int] | None = None, buckets: int | None = None) -> None:
+    """Write the state of update i to ``<base>/iter=<i>`` (K4), bucketed by id
+    if ``buckets`` says into how many.
 
     The marker ``<base>/manifest/iter=<i>`` is written after the snapshot has
     committed and holds the deltas of the updates since the marker before, so
@@ -323,8 +362,11 @@ def write_snapshot(state: DataFrame, base: str, i: int, deltas: list[tuple[int,
         complete = {d[0] for d in _list_snapshots(state.sparkSession, base)}
     if i in complete:
         raise ValueError(f"snapshot {i} exists in {base}")
-    state.write.mode("overwrite").parquet(f"{base}/iter={i}")
-    state.sparkSession.createDataFrame(deltas, HISTORY_SCHEMA).coalesce(1).write.mode(
+    if buckets:
+        write_bucketed(state, f"{base}/iter={i}", buckets, "id")
+    else:
+        state.write.mode("overwrite").parquet(f"{base}/iter={i}")
+    state.sparkSession.createDataFrame([(*d, buckets) for d in deltas], MARKER_SCHEMA).coalesce(1).write.mode(
         "overwrite").parquet(f"{base}/manifest/part={i}")
 
 
@@ -354,14 +396,16 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     state = initial_state(g)
     k0 = 0
     history: list[tuple[int, float, float]] = []
-    marked: list[tuple[int, float, float]] = []
+    marked: list[tuple[int, float, float, int | None]] = []
+    laid_out = False            # whether the resumed state has the layout of the loop
     if snapshot_dir:
         # the markers are read once; updates written from here on are added
         marked = _list_snapshots(spark, snapshot_dir)
     if marked and resume:
-        history = list(marked)
-        k0 = history[-1][0]
-        state = read_snapshot(spark, snapshot_dir, k0)
+        history = [m[:3] for m in marked]
+        k0, laid_out = marked[-1][0], marked[-1][3] == g.num_partitions
+        state = (read_bucketed(spark, f"{snapshot_dir.rstrip('/')}/iter={k0}", g.num_partitions, "id")
+                 if laid_out else read_snapshot(spark, snapshot_dir, k0))
     complete = {h[0] for h in marked}
 
     def measure(df: DataFrame) -> tuple[float, float]:
@@ -380,7 +424,7 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
             d, f = float(m["d"]), float(m["f"])
             if snapshot_dir:
                 since = [h for h in history if h[0] > max(complete, default=0)] + [(k, d, f)]
-                write_snapshot(out, snapshot_dir, k, since, complete)
+                write_snapshot(out, snapshot_dir, k, since, complete, g.num_partitions)
                 complete.update(h[0] for h in since)
             return out, d, f
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -391,8 +435,8 @@ def run(g: LinkGraph, *, max_iter: int = MAX_ITERATIONS, tol: float | None = TOL
     cached: DataFrame | None = None
     with _LoopConf(spark, g.num_partitions, adaptive):
         if k0 > 0:
-            # back into the layout of the loop, once
-            state = state.repartition(g.num_partitions, "id").checkpoint(eager=True)
+            if not laid_out:        # a snapshot of another layout: once into that of the loop
+                state = state.repartition(g.num_partitions, "id").checkpoint(eager=True)
             _, d, f = history[-1]
             last_tested = d if delta == "l1" else f
             if tol is not None and k0 >= min_updates and last_tested < tol:

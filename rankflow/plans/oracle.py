@@ -133,6 +133,11 @@ SQL["out_degree_sinks"] = _out_degree(PAGE_LINKS)
 SQL["adjacency_sorted"] = f"""
 SELECT id, CAST(len(nbrs) AS INTEGER) AS n_nbrs, {_joined('nbrs')} AS nbrs
 FROM ({_adjacency(CO_PURCHASE)})"""
+SQL["adjacency_parts"] = f"""
+SELECT src AS id, true AS bounded, row_number() OVER (PARTITION BY src ORDER BY dst) AS place, dst AS nbr
+FROM ({CO_PURCHASE})
+UNION ALL SELECT id, true, NULL, NULL FROM ({SQL['vertex_set']})
+WHERE id NOT IN (SELECT src FROM ({CO_PURCHASE}))"""
 SQL["explode_adjacency"] = f"SELECT src, dst FROM ({SUPPLY})"
 SQL["init_ranks"] = f"SELECT id, 1.0::DOUBLE AS rank FROM ({SQL['vertex_set']})"
 
@@ -253,6 +258,7 @@ SQL["rank_lines"] = (SQL["rank_until_l1"].replace(
 SQL["rank_tagged_union"] = SQL["rank_fixed_10"]
 SQL["vertex_program_rank"] = SQL["rank_until_l1"]
 SQL["snapshot_resume"] = SQL["rank_until_l1"]
+SQL["rank_from_saved_graph"] = SQL["rank_until_l1"]
 SQL["vertex_program_from_json"] = SQL["rank_until_l1"]
 SQL["vertex_program_vertex_halt"] = SQL["rank_until_lag1"]
 

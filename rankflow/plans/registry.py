@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact_sum
@@ -172,6 +172,19 @@ def q_adjacency_sorted(spark, sf):
     return a.select("id", F.size("nbrs").alias("n_nbrs"), _joined("nbrs").alias("nbrs"))
 
 
+@query("adjacency_parts")
+def q_adjacency_parts(spark, sf):
+    """Every neighbour with its place in its vertex's list, from parts of a
+    few neighbours; the places of a part start after those of the parts before."""
+    parts = G.adjacency_parts(TB.co_purchase_edges(spark, sf), part_edges=4).persist()
+    sizes = parts.select("id", "part", F.size("nbrs").alias("n"))
+    start = sizes.select("id", "part", (F.sum("n").over(Window.partitionBy("id").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    return parts.join(start, ["id", "part"]).select(
+        "id", (F.size("nbrs") < 8).alias("bounded"), "before", F.posexplode_outer("nbrs").alias("at", "nbr")).select(
+        "id", "bounded", (F.col("before") + F.col("at") + 1).alias("place"), "nbr")
+
+
 @query("explode_adjacency")
 def q_explode_adjacency(spark, sf):
     return G.explode_adjacency(_supply_adj(spark, sf))
@@ -347,6 +360,15 @@ def q_snapshot_resume(spark, sf):
     return res.ranks.select("id", r6("rank"))
 
 
+@query("rank_from_saved_graph")
+def q_rank_from_saved_graph(spark, sf):
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/graph-{uuid.uuid4().hex}"
+    g = L.prepare(TB.co_purchase_edges(spark, sf), salt_chunk=20)
+    L.save_graph(g, base)
+    g.release()
+    return L.run(L.load_graph(spark, base)).ranks.select("id", r6("rank"))
+
+
 # ----------------------------------------- adjacency state as rank input
 
 def _ranked_tsv_lines(spark, sf):

@@ -44,14 +44,26 @@ def to_vertex_json(adj: DataFrame, value: float = 1.0, style: str = "compact") -
                                F.array_join(pairs, sep), F.lit("]]")).alias("value"))
 
 
+def _in_order(adj: DataFrame) -> DataFrame:
+    """Parts of a vertex (``adjacency_parts``) next to each other and in
+    order; a vertex of many parts may go on in the next file."""
+    if "part" not in adj.columns:
+        return adj
+    return adj.repartitionByRange("id", "part").sortWithinPartitions("id", "part")
+
+
 def write_adjacency_tsv(adj: DataFrame, path: str, rank: float = 1.0) -> None:
-    """Write K1 lines as text files (fails if the folder exists)."""
-    to_adjacency_tsv(adj, rank).write.mode("errorifexists").text(path)
+    """Write K1 lines as text files (fails if the folder exists).  Of rows
+    with a ``part`` each part is a line that starts with the vertex, so no
+    line grows with a hot vertex; a vertex of one part has the line it has
+    in K1.  The readers here take several lines of a vertex together."""
+    to_adjacency_tsv(_in_order(adj), rank).write.mode("errorifexists").text(path)
 
 
 def write_vertex_json(adj: DataFrame, path: str, style: str = "compact") -> None:
-    """Write K2 lines as text files (fails if the folder exists)."""
-    to_vertex_json(adj, style=style).write.mode("errorifexists").text(path)
+    """Write K2 lines as text files (fails if the folder exists); parts as in
+    ``write_adjacency_tsv``."""
+    to_vertex_json(_in_order(adj), style=style).write.mode("errorifexists").text(path)
 
 
 def rank_lines(ranks: DataFrame) -> DataFrame:
