@@ -103,3 +103,16 @@ def test_tags_in_other_dress():
 def test_notice_texts():
     mit = "Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software and"
     assert [x["labels"] for x in L.scan_text(mit.encode())[1]] == [["mit"]]
+
+
+def test_base_phrases_of_the_query(spark, tmp_path):
+    # "the mit license" alone is no base phrase of the query, but a label of the method
+    texts = {1: "The MIT License", 2: "released Under the MIT\n License; the MIT license. CC-BY-NC",
+             3: "under the apache license, version 2", 4: "under the mit licenses", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:7] for r in L.op1(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0, None, None, "", "mit"), 2: (11, 2, 1, 8, "cc-by-nc,mit", "cc-by-nc,mit"),
+                   3: (6, 1, 2, 2, "apache-2", "apache-2"), 4: (4, 0, None, None, "", ""),
+                   5: (0, 0, None, None, "", "")}
+    _, found = L.scan_text(texts[2].encode(), L.BASE_PHRASES)
+    assert [(x["kind"], x["word"]) for x in found] == [("base", 1), ("more", 5), ("base", 8)]
