@@ -350,3 +350,18 @@ def test_broadcast_is_refused_above_the_limit(spark, golden_edges):
     g = L.prepare(golden_edges, broadcast=True, broadcast_bytes=10 << 20)
     assert g.broadcast is True
     assert close(as_dict(L.run(g).ranks), STOP26, 1e-6)
+
+
+def test_tagging_many_hot_sources_broadcasts_nothing(spark):
+    mult = spark.range(9000).select((F.col("id") % 1000).alias("src"), F.col("id").alias("dst"),
+                                    F.lit(1).cast("bigint").alias("mult"))
+    hot = R.hot_sources(mult.where("src % 2 = 0").groupBy("src").agg(F.count(F.lit(1)).alias("fanout")), 2).persist()
+    assert hot.count() == 500
+    tagged = R.tag_salts(mult, hot, salt_chunk=2)
+    assert "Broadcast" not in tagged._jdf.queryExecution().executedPlan().toString()
+    rows = tagged.collect()
+    assert sorted(r.dst for r in rows) == list(range(9000))
+    assert all((r.nsalt == 5 and 0 <= r.salt < 5) if r.src % 2 == 0 else (r.nsalt, r.salt) == (1, 0) for r in rows)
+    plain = {tuple(r) for r in R.tag_salts(mult, hot).collect()}
+    assert plain == {tuple(r) for r in rows}
+    hot.unpersist()
