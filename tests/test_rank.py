@@ -352,6 +352,42 @@ def test_broadcast_is_refused_above_the_limit(spark, golden_edges):
     assert close(as_dict(L.run(g).ranks), STOP26, 1e-6)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_packed_votes_give_the_same_ranks(spark, kind):
+    e = spark.range(3000).select((F.col("id") * 7 % 97).cast(kind).alias("src"),
+                                 (F.col("id") * 31 % 389 + F.col("id") % 2).cast(kind).alias("dst"))
+    v = spark.range(400).select(F.col("id").cast(kind).alias("id"), (F.col("id") % 5 / 3).alias("rank"))
+    plain = L.rank_until(e, vertices=v, num_partitions=3)
+    for parts in (1, 4):
+        got = L.rank_until(e, vertices=v, num_partitions=parts, packed=True)
+        assert (got.iterations, got.final_delta) == (plain.iterations, plain.final_delta)
+        assert sorted(map(tuple, got.ranks.collect())) == sorted(map(tuple, plain.ranks.collect()))
+    g = L.prepare(e, num_partitions=2, packed=True)
+    assert g.slots is not None and L.prepare(e, packed=None).slots is None
+    assert L.prepare(e, packed=True, salt_chunk=5).slots is None      # hot sources keep their salted join
+    g.release()
+
+
+def test_votes_of_a_hot_target_are_combined_before_they_move(spark, monkeypatch):
+    """Without one they move as single numbers; the sums are the same."""
+    e = spark.range(2000).select((F.col("id") % 50).alias("src"), F.when(F.col("id") % 3 == 0, 7).otherwise(
+        F.col("id") % 211).cast("bigint").alias("dst"))
+    plans, ranks = [], []
+    monkeypatch.setattr(L, "SINGLE_EDGE_ROWS", 1)
+    for chunk in (R.SALT_CHUNK, 20):
+        monkeypatch.setattr(L, "SALT_CHUNK", chunk)
+        g = L.prepare(e, num_partitions=3, salt_chunk=R.SALT_CHUNK)
+        with L._LoopConf(spark, g.num_partitions, False):
+            new = L.step(g, L.initial_state(g))
+            plans.append(new._jdf.queryExecution().executedPlan().toString())
+            ranks.append(sorted(map(tuple, new.select("id", "rank").collect())))
+        assert g.single_votes == (chunk != 20)
+        g.release()
+    # the layout of the edges is one in both
+    assert [p.count("REPARTITION_BY_NUM") for p in plans] == [2, 1]
+    assert ranks[0] == ranks[1]
+
+
 def test_tagging_many_hot_sources_broadcasts_nothing(spark):
     mult = spark.range(9000).select((F.col("id") % 1000).alias("src"), F.col("id").alias("dst"),
                                     F.lit(1).cast("bigint").alias("mult"))
