@@ -14,7 +14,10 @@ Where the work runs: words are counted over all documents and dealt in
 ranges of bounded size.  The context counts are a Spark aggregate over the
 training counts of all words, by the context's 56-bit hash and the byte that
 follows, as many as the corpus has; a range of words gets the counts of its
-own contexts by a join, so nothing of them reaches the driver.  Weights and
+own contexts by a join, so nothing of them reaches the driver.  A beginning
+of words stands in one range, which counts it itself, unless it is one of the
+range's first or last word; only those and the short contexts are joined.  A
+range works per different beginning, not per word that has it.  Weights and
 refinement learn online in every range from all of its training words, each
 by its count and predicted as if it had not been counted itself; their mean
 over the ranges, by training tokens, is the model's.  Then the model is
@@ -34,7 +37,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,10 @@ ORDERS = (1, 2, 3, 4, 0)  # bytes of context; 0: the whole word so far
 SLOT_BITS = (16, 18, 20, 20, 22)
 RANGE_BYTES = 6_000_000  # coded words of a range
 COUNT_FLUSH = 4_000_000
+SUM_PARTS = 16  # rows of summed weights that the driver gets at most
 STEP = 240  # words between two moves of the weights when a range learns
+BLOCK_BYTES = 1 << 15  # of a block whose inputs are worked out at once
+PER_SCORE = 2048  # beginnings that are scored at once
 PER_STEP = 12  # bits whose errors a set of weights follows in full in one step
 CHUNK_BYTES = 16_000_000
 FLUSH = 400_000
@@ -135,10 +141,62 @@ def parts(words: list[bytes]):
         yield at, len(words)
 
 
+class Beginnings:
+    """The different beginnings of some coded words: their codes, the last
+    order's being the beginning itself, and where each word's stand."""
+
+    def __init__(self, words: list[bytes]):
+        order = sorted(range(len(words)), key=words.__getitem__)
+        words = [words[i] for i in order]
+        codes, at, n = [np.zeros((0, len(ORDERS)), np.uint64)], [np.zeros(0, np.int32)], 0
+        for lo, hi in parts(words):  # sorted, so few are in two parts; those are there twice
+            b, _, hashes = contexts(words[lo:hi])
+            every = codes_of(b, hashes)
+            _, first, own = np.unique(every[:, -1], return_index=True, return_inverse=True)
+            codes.append(every.take(first, axis=0))
+            at.append((own + n).astype(np.int32))
+            n += len(first)
+        self.codes, self.at = np.concatenate(codes), np.concatenate(at)
+        self.byte = (self.codes[:, -1] & np.uint64(255)).astype(np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.starts, self.lengths = np.empty((2, len(words)), dtype=np.int64)
+        self.starts[order], self.lengths[order] = np.cumsum(lengths) - lengths, lengths
+
+    def of(self, own: np.ndarray):
+        """(beginnings, lengths) of some words, one after the other."""
+        lengths = self.lengths[own]
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return self.at[np.repeat(self.starts[own], lengths) + place], lengths
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Per word the sum of ``v`` over its beginnings."""
+        order = np.argsort(self.starts)
+        out = np.empty(len(order))
+        if len(order):
+            out[order] = np.add.reduceat(v[self.at], self.starts[order])
+        return out
+
+    def counts(self, c: np.ndarray) -> np.ndarray:
+        """Per beginning the sum of the words' counts."""
+        order = np.argsort(self.starts)
+        return np.bincount(self.at, np.repeat(c[order], self.lengths[order]), len(self.codes))
+
+
+def borders(words: list[bytes]) -> np.ndarray:
+    """Contexts that words outside of a range may share: beginnings of its
+    first and its last word."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    b, _, hashes = contexts([min(words), max(words)])
+    return np.unique(codes_of(b, hashes)[:, -1] >> np.uint64(8))
+
+
 class Paths:
     """Exact counts of the contexts of some words: per code (context and
     byte) how often the context was followed by the byte's first 0 to 8
-    bits.  ``more``: codes that may lack a count."""
+    bits.  ``more``: codes that may lack a count.  ``n`` has a row of counts
+    per code, but one for all codes of equal count that alone follow their
+    context; ``row`` tells each code's."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, more: np.ndarray):
         every = np.concatenate([codes, more])
@@ -146,20 +204,36 @@ class Paths:
         every = every[order]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
         self.codes = every[first]
-        n = np.concatenate([n, np.zeros(len(more))])[order]
+        n = np.concatenate([n, np.zeros(len(more))])[order].astype(np.int64)
+        del every, order
         n = np.add.reduceat(n, first) if len(first) else n
-        self.n = np.empty((len(first), 9))
+        ctx = self.codes >> np.uint64(8)
+        new = np.concatenate([[True], ctx[1:] != ctx[:-1], [True]])[-len(ctx) - 1:]
+        alone = new[:-1] & new[1:]
+        several = self.codes[~alone]
+        one, own = np.unique(n[alone], return_inverse=True)
+        self.row = np.empty(len(n), dtype=np.int32)
+        self.row[~alone], self.row[alone] = np.arange(len(several)), own + len(several)
+        self.n = np.empty((len(several) + len(one), 9), dtype=np.int32 if n.sum() < 2 ** 31 else np.int64)
+        self.n[len(several):] = one[:, None]
+        n = n[~alone]
         for j in range(9):
-            group = self.codes >> np.uint64(8 - j)
+            group = several >> np.uint64(8 - j)
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[:len(group)])
             if len(first):
-                self.n[:, j] = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(group)))
+                self.n[:len(several), j] = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(group)))
+
+        self.place = np.zeros(len(self.n), dtype=np.int32)  # of a row in a block
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """(orders, beginnings): the rows of some codes."""
+        return np.stack([self.row[np.searchsorted(self.codes, codes[:, o])] for o in range(len(ORDERS))])
 
     def of(self, words: list[bytes]):
         """(seen, same, bits, so_far, owner) of all bits: per order how often
         the context was seen, and with the bit that comes."""
         b, lengths, hashes = contexts(words)
-        n = self.n[np.searchsorted(self.codes, codes_of(b, hashes))]
+        n = self.n[self.rows(codes_of(b, hashes)).T]
         bits, so_far = bits_of(b)
         owner = np.repeat(np.repeat(np.arange(len(words)), lengths), 8)
         seen, same = (n[:, :, k:k + 8].transpose(0, 2, 1).reshape(-1, len(ORDERS)) for k in (0, 1))
@@ -176,6 +250,38 @@ def _squash(x):
     return 1 / (1 + np.exp(-x))
 
 
+_BITS, _SO_FAR = bits_of(np.arange(256, dtype=np.uint8))
+
+
+class Block:
+    """Inputs of the model for a run of bytes, from the exact counts of their
+    paths (``rows``: orders, bytes), worked out once per different row.
+    ``less`` is taken off the counts of the bits that come."""
+
+    def __init__(self, paths: Paths, rows: np.ndarray, less: int = 0):
+        paths.place[rows] = 1
+        used = np.flatnonzero(paths.place)
+        paths.place[used] = np.arange(len(used))
+        self.rows = paths.place.take(rows).astype(np.int64)
+        paths.place[used] = 0
+        n = np.ascontiguousarray(paths.n.take(used, axis=0).T).astype(np.float64)
+        same, other = np.maximum(n[1:] - less, 0), n[:8] - n[1:]
+        seen = same + other
+        st = np.clip(np.log((same + 0.02) / (other + 0.02)), -_CLIP, _CLIP)
+        self.st, self.sure = np.ascontiguousarray(st.T), np.ascontiguousarray((seen / (seen + 3)).T)
+        level = np.ascontiguousarray(np.log2(seen + 1).T)
+        self.long, self.longer = np.minimum(level / 2, 3).astype(np.uint8), np.minimum(level, 5).astype(np.uint8) * np.uint8(4)
+
+    def inputs(self, at: slice, byte: np.ndarray):
+        """(x, gate, bits, so_far) of all bits of some of the bytes."""
+        rows, bits = self.rows[:, at], _BITS.take(byte, axis=0)
+        x = np.empty((2, *rows.shape, 8))
+        np.multiply(self.st.take(rows, axis=0), 2.0 * bits - 1, out=x[0])
+        np.multiply(self.sure.take(rows, axis=0), x[0], out=x[1])
+        gate = (self.longer.take(rows[4], axis=0) + self.long.take(rows[3], axis=0)).astype(np.int64) * 8 + np.arange(8)
+        return x.reshape(2 * len(ORDERS), -1).T, gate.ravel(), bits.ravel(), _SO_FAR.take(byte, axis=0).ravel()
+
+
 class Model:
     """Gated weights and the refinement table; counts per slot (n0, n1) for
     what is not counted in ``Paths``."""
@@ -221,16 +327,25 @@ class Model:
         x = np.concatenate([both[..., 0], both[..., 1]], axis=1)
         return x, self.levels[slots[:, 4]].astype(np.int64) * 4 + self.levels[slots[:, 3]]
 
-    def _refine(self, z, so_far):
+    @staticmethod
+    def _place(z):
+        """Where in the table's rows the mixed predictions are."""
         at = (np.clip(z, -7.999, 7.999) + 8) * ((APM_STEPS - 1) / 16)
         low = at.astype(np.int64)
-        part = at - low
-        return self.apm[so_far, low] * (1 - part) + self.apm[so_far, low + 1] * part, low, part
+        return low, at - low
+
+    def mixed(self, x, gate):
+        z = np.zeros(len(gate))
+        for i in range(x.shape[1]):
+            z += self.weights[:, i].take(gate) * x[:, i]
+        np.clip(z, -_CLIP, _CLIP, out=z)
+        return z, _squash(z)
 
     def predict(self, x, gate, so_far):
-        z = np.clip(np.einsum("ij,ij->i", self.weights[gate], x), -_CLIP, _CLIP)
-        p = _squash(z)
-        q, low, part = self._refine(z, so_far)
+        z, p = self.mixed(x, gate)
+        low, part = self._place(z)
+        cell, table = so_far * APM_STEPS + low, self.apm.reshape(-1)
+        q = table.take(cell) * (1 - part) + table.take(cell + 1) * part
         final = np.where(np.abs(z) < 7.9, 0.5 * p + 0.5 * q, p)
         return p, np.clip(final, 2.0 ** -22, 1 - 2.0 ** -22), low, part
 
@@ -249,29 +364,32 @@ class Model:
                 np.add.at(self.apm, (so_far, cell), apm_rate * share * (bits - self.apm[so_far, cell]))
         np.clip(self.apm, 1e-4, 1 - 1e-4, out=self.apm)
 
-    def counted(self, paths: Paths, words: list[bytes], less: int = 0):
-        """(x, gate, bits, so_far, owner) from exact counts; ``less`` is taken
-        off the counts of the bits that come."""
-        seen, same, bits, so_far, owner = paths.of(words)
-        other = np.maximum(seen - same, 0)
-        same = np.maximum(same - less, 0)
-        x, gate = self.stretched(same + other, np.where(bits[:, None] == 1, same, other))
-        return x, gate * 8 + np.tile(np.arange(8), len(bits) // 8), bits, so_far, owner
-
-    def learn_all(self, paths: Paths, words: list[bytes], c: np.ndarray, rate: float = 0.005, apm_rate: float = 0.02) -> None:
+    def learn_all(self, paths: Paths, words: list[bytes], c: np.ndarray, rate: float = 0.005, apm_rate: float = 0.02,
+                  begun: Beginnings | None = None) -> None:
         """Online, from every word by its count: a word with more than the
         mean count comes as several copies, so no step hangs on one word."""
+        begun = begun or Beginnings(words)
+        rows = paths.rows(begun.codes)
         mean = c.sum() / len(c)
         k = np.ceil(c / mean).astype(np.int64)
         stream = np.repeat(np.arange(len(words)), k)
         weight = c / (k * mean)
         np.random.default_rng(7).shuffle(stream)
         sets, width = self.weights.shape
+        end = 0
         for at in range(0, len(stream), STEP):
+            if at == end:  # steps of a block of bounded size
+                size = np.cumsum(begun.lengths[stream[at:at + STEP * 64]])
+                end = at + STEP * max(1, int(np.searchsorted(size[STEP - 1::STEP], BLOCK_BYTES, "right")))
+                some, lengths = begun.of(stream[at:end])
+                block, byte, ends, first = Block(paths, rows.take(some, axis=1), 1), begun.byte[some], np.cumsum(lengths), at
             own = stream[at:at + STEP]
-            x, gate, bits, so_far, owner = self.counted(paths, [words[i] for i in own], less=1)
-            p, _, low, part = self.predict(x, gate, so_far)
-            by = weight[own][owner]
+            lengths = begun.lengths[own]
+            here = slice(ends[at - first] - lengths[0], ends[at - first + len(own) - 1])
+            x, gate, bits, so_far = block.inputs(here, byte[here])
+            z, p = self.mixed(x, gate)
+            low, part = self._place(z)
+            by = np.repeat(weight[own], lengths * 8)
             err = by * (bits - p)
             mass = np.bincount(gate, by, sets)
             now = rate / (1 + at / (len(stream) / 4)) * np.minimum(1, PER_STEP / np.maximum(mass, 1e-9))
@@ -284,17 +402,25 @@ class Model:
             mass = np.bincount(cell, share, table.size)
             ones = np.bincount(cell, share * np.concatenate([bits, bits]), table.size)
             # as many moves of apm_rate as the cell has weight
-            table += (1 - (1 - apm_rate) ** mass) * (ones / np.maximum(mass, 1e-9) - table) * (mass > 0)
+            hit = np.flatnonzero(mass)
+            mass = mass[hit]
+            table[hit] += (1 - (1 - apm_rate) ** mass) * (ones[hit] / np.maximum(mass, 1e-9) - table[hit])
         np.clip(self.apm, 1e-4, 1 - 1e-4, out=self.apm)
 
-    def score_counted(self, paths: Paths, words: list[bytes]) -> np.ndarray:
-        """log10 probability of every coded word, from exact counts."""
-        out = np.empty(len(words))
-        for at, end in parts(words):
-            x, gate, bits, so_far, owner = self.counted(paths, words[at:end])
-            _, p, _, _ = self.predict(x, gate, so_far)
-            out[at:end] = np.bincount(owner, np.log10(np.where(bits == 1, p, 1 - p)), end - at)
-        return out
+    def score_counted(self, paths: Paths, words: list[bytes], begun: Beginnings | None = None) -> np.ndarray:
+        """log10 probability of every coded word, from exact counts; each
+        different beginning is predicted once."""
+        begun = begun or Beginnings(words)
+        lp = np.empty(len(begun.codes))
+        for first in range(0, len(lp), BLOCK_BYTES):
+            byte = begun.byte[first:first + BLOCK_BYTES]
+            block = Block(paths, paths.rows(begun.codes[first:first + BLOCK_BYTES]))
+            for at in range(0, len(byte), PER_SCORE):
+                here = slice(at, min(at + PER_SCORE, len(byte)))
+                x, gate, bits, so_far = block.inputs(here, byte[here])
+                _, p, _, _ = self.predict(x, gate, so_far)
+                lp[first + at:first + here.stop] = np.log10(np.where(bits == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        return begun.sums(lp)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of every coded word, by the frozen model."""
@@ -358,10 +484,14 @@ def in_ranges(words: DataFrame) -> DataFrame:
                  .select(F.spark_partition_id().alias("chunk"), "word", "c"))
 
 
-def context_counts(words: DataFrame) -> DataFrame:
+def context_counts(words: DataFrame, joined: bool = False) -> DataFrame:
     """(ctx, byte, n): how often a byte follows a context in training rows,
-    for all contexts of all words."""
+    for all contexts of all words.  ``joined``: of the beginnings only those
+    that several ranges may share."""
     def run(batches):
+        if joined:
+            batches = list(batches)  # a range
+            shared = borders([w for b in batches for w in b.column("word").to_pylist()])
         codes, n, size = [], [], 0
 
         def rows():
@@ -371,14 +501,19 @@ def context_counts(words: DataFrame) -> DataFrame:
                 (found & np.uint64(255)).astype(np.int32)), pa.array(sums)], ["ctx", "byte", "n"])
         for batch in batches:
             some, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
-            for at, end in parts(some):
-                b, lengths, hashes = contexts(some[at:end])
-                codes.append(codes_of(b, hashes).ravel())
-                n.append(np.repeat(c[at:end], lengths * len(ORDERS)))
-                size += len(codes[-1])
-                if size > COUNT_FLUSH:
-                    yield rows()
-                    codes, n, size = [], [], 0
+            begun = Beginnings(some)
+            of = begun.counts(c)
+            for o in range(len(ORDERS)):
+                own = begun.codes[:, o]
+                use = np.isin(own >> np.uint64(8), shared) if joined and not ORDERS[o] else slice(None)
+                # most are there many times in a batch
+                found, at = np.unique(own[use], return_inverse=True)
+                codes.append(found)
+                n.append(np.bincount(at, of[use], len(found)))
+                size += len(found)
+            if size > COUNT_FLUSH:
+                yield rows()
+                codes, n, size = [], [], 0
         if codes:
             yield rows()
     got = words.filter("c > 0").select("word", "c").mapInArrow(run, "ctx long, byte int, n long")
@@ -386,77 +521,86 @@ def context_counts(words: DataFrame) -> DataFrame:
     return saved(got.repartition("ctx").groupBy("ctx", "byte").agg(F.sum("n").alias("n")))
 
 
-def with_counts(words: DataFrame, counts: DataFrame, work, schema: str, learnt: bool = False) -> DataFrame:
-    """``work`` on every range of words and the exact counts of its contexts:
-    work(words, c, paths) gives a table."""
-    if learnt:
-        words = words.filter("c > 0")
-
+def needed_counts(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(chunk, code, n): per range of words the counts that it cannot take
+    from its own words."""
     def needed(batches):
-        found, now = [], None
+        found, now, all_words = [], None, []
         for batch in batches:
             if batch.num_rows:
                 now, some = batch.column("chunk")[0].as_py(), batch.column("word").to_pylist()
-                for at, end in parts(some):
-                    b, _, hashes = contexts(some[at:end])
-                    found.append(np.unique(codes_of(b, hashes) >> np.uint64(8)))
+                found.append(np.unique(Beginnings(some).codes[:, :-1] >> np.uint64(8)))
+                all_words += [min(some), max(some)]
         if found:
-            ctx = np.unique(np.concatenate(found))
+            ctx = np.unique(np.concatenate([*found, borders(all_words)]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ctx), now, np.int32)), pa.array(ctx.view(np.int64))],
                                              ["chunk", "ctx"])
     need = words.select("chunk", "word").mapInArrow(needed, "chunk int, ctx long")
-    have = need.join(counts, "ctx").select("chunk", F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("code"), "n")
+    return need.join(counts, "ctx").select("chunk", F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("code"), "n")
 
+
+def with_counts(words: DataFrame, have: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on every range of words and the exact counts of its contexts:
+    work(words, c, paths, beginnings) gives a table."""
     def run(left, right):
         some, c = left.column("word").to_pylist(), left.column("c").to_numpy()
-        new = [w for w, k in zip(some, c.tolist(), strict=True) if not k]
-        more = []
-        for at, end in parts(new):
-            b, _, hashes = contexts(new[at:end])
-            more.append(np.unique(codes_of(b, hashes)))
-        paths = Paths(right.column("code").to_numpy().view(np.uint64), right.column("n").to_numpy().astype(np.float64),
-                      np.concatenate([np.zeros(0, np.uint64), *more]))
-        return work(some, c, paths)
+        begun = Beginnings(some)
+        own = ~np.isin(begun.codes[:, -1] >> np.uint64(8), borders(some))
+        paths = Paths(np.concatenate([right.column("code").to_numpy().view(np.uint64), begun.codes[own, -1]]),
+                      np.concatenate([right.column("n").to_numpy(), begun.counts(c)[own].astype(np.int64)]),
+                      np.concatenate([begun.codes[~own, -1], *(np.unique(begun.codes[:, o]) for o in range(len(ORDERS) - 1))]))
+        return work(some, c, paths, begun)
     return words.groupBy("chunk").cogroup(have.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def train(words: DataFrame, counts: DataFrame) -> Model:
+def train(words: DataFrame, have: DataFrame) -> Model:
     """Weights and refinement, learnt in every range from all of its training
     words; their means by training tokens."""
-    def learn(some, c, paths):
+    def learn(some, c, paths, begun):
+        if not some:  # a range without training words
+            return pa.table({"v": pa.array([], pa.list_(pa.float64())), "by": pa.array([], pa.float64())})
         model = Model()
-        model.learn_all(paths, some, c.astype(np.float64))
-        flat = np.concatenate([model.weights.ravel(), model.apm.ravel()])
-        return pa.table({"cell": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat),
-                         "by": pa.array(np.full(len(flat), float(c.sum())))})
-    got = (with_counts(words, counts, learn, "cell int, v double, by double", learnt=True).groupBy("cell")
-           .agg((F.sum(F.col("v") * F.col("by")) / F.sum("by")).alias("v")).toArrow())  # a row per weight and cell
+        model.learn_all(paths, some, c.astype(np.float64), begun=begun)
+        by = float(c.sum())
+        return pa.table({"v": pa.array([np.concatenate([model.weights.ravel(), model.apm.ravel()]) * by]), "by": pa.array([by])})
+
+    def add(batches):
+        total, mass = 0.0, 0.0
+        for batch in batches:
+            for v, by in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total, mass = total + v.values.to_numpy(), mass + by
+        if mass:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([mass])], ["v", "by"])
+    # a row per range, then one per part: nothing to the driver that grows
+    schema = "v array<double>, by double"
+    got = with_counts(words.filter("c > 0"), have, learn, schema).repartition(SUM_PARTS).mapInArrow(add, schema).toArrow()
     model = Model()
     if got.num_rows:
-        flat = np.empty(got.num_rows)
-        flat[got.column("cell").to_numpy()] = got.column("v").to_numpy()
+        flat = sum(v.values.to_numpy() for v in got.column("v")) / sum(got.column("by").to_pylist())
         model.weights = flat[:model.weights.size].reshape(model.weights.shape)
         model.apm = flat[model.weights.size:].reshape(model.apm.shape)
     return model
 
 
-def score_words(words: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """(word, c, lp): log10 probability of every different word."""
-    def run(some, c, paths):
+def score_words(words: DataFrame, counts: DataFrame, model: Model, have: DataFrame | None = None) -> DataFrame:
+    """(word, c, lp): log10 probability of every different word; ``have``: its
+    ``needed_counts``, if they are there."""
+    def run(some, c, paths, begun):
         return pa.table({"word": pa.array(some, pa.binary()), "c": pa.array(c),
-                         "lp": pa.array(model.score_counted(paths, some))})
-    return with_counts(words, counts, run, "word binary, c long, lp double")
+                         "lp": pa.array(model.score_counted(paths, some, begun))})
+    return with_counts(words, needed_counts(words, counts) if have is None else have, run, "word binary, c long, lp double")
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, bits_per_byte."""
     out = fold(F.col("doc_id"), folds) == held
-    words = in_ranges(word_counts(docs, ~out))
+    words = in_ranges(saved(word_counts(docs, ~out)))
     size = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("c").alias("n")).first()
     v, n = size["v"], size["n"] or 0
-    counts = context_counts(words)
-    scored = score_words(words, counts, train(words, counts))
+    counts = context_counts(words, joined=True)
+    have = saved(needed_counts(words, counts))
+    scored = score_words(words, counts, train(words, have), have)
     source = docs.select("doc_id", F.col("text").cast("binary").alias("t"), out.alias("held_out"),
                          F.spark_partition_id().alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -501,21 +645,20 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     base_under = np.log10(n + 0.1 * (v + 1))
 
     def look_up(left, right):
-        found = set()
+        index: defaultdict = defaultdict()
+        index.default_factory = index.__len__  # words by their first place
+        ids = []
         for t in left.column("t").to_pylist():
-            found.update(tokens(t))
-        words = list(found)
+            some = tokens(t)
+            ids.append(np.fromiter(map(index.__getitem__, some), np.int32, len(some)))
         h = right.column("h").to_numpy()
         order = np.argsort(h)
-        at = order[np.searchsorted(h, keys(words), sorter=order)]
-        index = dict(zip(words, at.tolist(), strict=True))
-        coded = np.zeros(len(h), dtype=np.int64)
-        coded[at] = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        c, lp = right.column("c").to_numpy(), right.column("lp").to_numpy().astype(np.float64)
+        at = order[np.searchsorted(h, keys(index), sorter=order)]
+        coded = np.fromiter(map(len, index), np.int64, len(index)) + 1
+        c, lp = right.column("c").to_numpy()[at], right.column("lp").to_numpy()[at].astype(np.float64)
         base, known = np.log10(c + 0.1) - base_under, c > 0
         rows = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
-        for t in left.column("t").to_pylist():
-            at = np.fromiter(map(index.__getitem__, tokens(t)), np.int64)
+        for at in ids:
             s = float(lp[at].sum())
             for k, x in zip(rows, (len(at), int(known[at].sum()), float(base[at].sum()), s,
                                    -s / np.log10(2) / int(coded[at].sum())), strict=True):

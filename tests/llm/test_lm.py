@@ -176,3 +176,63 @@ def test_every_training_word_moves_the_weights(spark):
     with_all.learn_all(paths, words, c)
     without.learn_all(paths, words[:-1], c[:-1])
     assert not np.array_equal(with_all.weights, without.weights)
+
+
+def _some_words(n, seed=5):
+    rng = np.random.default_rng(seed)
+    some = {bytes(rng.integers(97, 103, rng.integers(0, 12)).astype(np.uint8)): int(rng.integers(0, 4)) for _ in range(n)}
+    return some | {b"ab\x00c": 2, b"ab": 5, b"\xff" * 50: 1}
+
+
+def test_ranges_take_whole_words_from_their_own_words(spark, monkeypatch):
+    """Only short contexts and the beginnings of border words are joined, and the counts are all there."""
+    some = _some_words(2000)
+    words = spark.createDataFrame([(bytearray(w), c) for w, c in some.items()], "word binary, c long")
+    monkeypatch.setattr(L, "RANGE_BYTES", 2000)
+    ranged = L.in_ranges(words)
+    every, joined = L.context_counts(ranged), L.context_counts(ranged, joined=True)
+    assert joined.count() < 0.7 * every.count()
+    a, b = (L.score_words(ranged, counts, L.Model()) for counts in (every, joined))
+    a, b = ({bytes(r.word): (r.c, round(r.lp, 9)) for r in x.collect()} for x in (a, b))
+    assert a == b and len(a) == len(some)
+    # against one set of all counts
+    found, own = list(some), np.array(list(some.values()), dtype=np.float64)
+    begun = L.Beginnings(found)
+    codes, n = begun.codes.T.ravel(), np.tile(begun.counts(own), len(L.ORDERS))
+    lp = L.Model().score_counted(L.Paths(codes, n, codes[:0]), found)
+    assert {w: round(v, 9) for w, v in zip(found, lp.tolist(), strict=True)} == {w: v for w, (_, v) in a.items()}
+
+
+def test_a_range_is_held_in_rows_per_count():
+    """Codes that alone follow their context share a row of counts; nine numbers of eight bytes a code were too much."""
+    words = [bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i // 676]) * 30 for i in range(5000)]
+    begun = L.Beginnings(words)
+    codes = np.unique(begun.codes[:, -1])
+    paths = L.Paths(codes, np.ones(len(codes)), codes[:0])
+    assert paths.n.nbytes + paths.row.nbytes + paths.codes.nbytes < 16 * len(codes)
+
+
+def test_each_beginning_is_predicted_once(monkeypatch):
+    words = [b"beginning%d" % i for i in range(1000)]
+    begun = L.Beginnings(words)
+    codes = begun.codes.T.ravel()
+    paths, predicted, predict = L.Paths(codes, np.ones(len(codes)), codes[:0]), [], L.Model.predict
+    monkeypatch.setattr(L.Model, "predict", lambda self, x, *a: predicted.append(len(x)) or predict(self, x, *a))
+    L.Model().score_counted(paths, words)
+    assert sum(predicted) < 8 * sum(len(w) + 1 for w in words) / 4
+
+
+def test_weights_of_ranges_are_a_row_each(spark, monkeypatch):
+    """However many ranges there are, the driver gets a bounded number of rows, with the mean of all ranges."""
+    monkeypatch.setattr(L, "RANGE_BYTES", 300)
+    words = L.in_ranges(spark.createDataFrame([(bytearray(b"w%d" % i), 1 + i % 3) for i in range(600)], "word binary, c long"))
+    have = L.needed_counts(words, L.context_counts(words, joined=True))
+    n = words.select("chunk").distinct().count()
+    assert n > 5
+    rows, was = [], L.with_counts
+    monkeypatch.setattr(L, "with_counts", lambda *a: rows.append(was(*a)) or rows[-1])
+    model = L.train(words, have)
+    each = rows[0].collect()
+    assert len(each) == n
+    mean = sum(np.array(r.v) for r in each) / sum(r.by for r in each)
+    assert np.allclose(np.concatenate([model.weights.ravel(), model.apm.ravel()]), mean, rtol=1e-12)
